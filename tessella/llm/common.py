@@ -49,7 +49,7 @@ def numbered(df: DataFrame, group: list[str], key: Column, out: str, rows: int,
 
     Rows go to hash buckets of about per_bucket rows of a table of `rows` rows. Bucket sizes are counted, summed up inside
     each group (one row per bucket), and row_number runs inside (group, bucket) only. Rows equal in key may take either
-    order. A null group is a group of its own.
+    order. Group columns must not be null.
     """
     n = max(1, -(-rows // per_bucket))
     b = df.withColumn("__bucket", F.pmod(F.xxhash64(F.lit(7), key), F.lit(n)).cast("int"))
@@ -63,16 +63,11 @@ def numbered(df: DataFrame, group: list[str], key: Column, out: str, rows: int,
         .drop("__n")
     )
     names = [*group, "__bucket"]
-    starts = starts.select(*[F.col(c).alias(f"__s_{c}") for c in names], "__start")
-    b = b.withColumn(out, F.row_number().over(Window.partitionBy(*names).orderBy(key)) - 1)
-    on = None
-    for c in names:
-        e = F.col(c).eqNullSafe(F.col(f"__s_{c}"))
-        on = e if on is None else on & e
     return (
-        b.join(starts, on)
+        b.withColumn(out, F.row_number().over(Window.partitionBy(*names).orderBy(key)) - 1)
+        .join(starts, names)
         .withColumn(out, (F.col(out) + F.col("__start")).cast("long"))
-        .drop("__bucket", "__start", *[f"__s_{c}" for c in names])
+        .drop("__bucket", "__start")
     )
 
 
