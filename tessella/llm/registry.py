@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import compression_quality, language_id, quality_rules
+from tessella.llm import compression_quality, html_extraction, language_id, packing, quality_rules, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,9 +15,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.query,
         "op2_quality_rules": quality_rules.query,
+        "op4_best_fit_packing": packing.query,
+        "op5_html_extraction": html_extraction.query,
         "op6_compression_quality": compression_quality.query,
+        "op8_kd_sharding": sharding.query,
+        "op10_url_filter": url_filter.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_url_filter": url_filter.sql()}
