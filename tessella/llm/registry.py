@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import compression_quality, html_extraction, language_id, packing, quality_rules, sharding, url_filter
+from tessella.llm import compression_quality, fingerprints, html_extraction, language_id, packing, quality_rules, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -18,6 +18,7 @@ def queries() -> dict[str, Query]:
         "op4_best_fit_packing": packing.query,
         "op5_html_extraction": html_extraction.query,
         "op6_compression_quality": compression_quality.query,
+        "op7_canonical_digest": fingerprints.query,
         "op8_kd_sharding": sharding.query,
         "op10_url_filter": url_filter.query,
     }
