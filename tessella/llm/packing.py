@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from functools import cache
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -84,21 +84,21 @@ def cut(ids: bytes, size: int) -> list[tuple[int, int, int, int]]:
 def pieces(docs: DataFrame, size: int, files: tuple[str, str], id_col: str, text_col: str) -> DataFrame:
     """One row per piece: the id column and PIECE."""
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = encoder(*files)
         for b in batches:
-            ids, rows = [], []
-            for key, text in zip(b["__id"], b["__t"], strict=True):
+            at, rows = [], []
+            for k, text in enumerate(b.column("__t").to_pylist()):
                 own = cut(encode(text) + SEPARATOR, size)
                 rows += own
-                ids += [key] * len(own)
-            out = pd.DataFrame(rows, columns=PIECE.fieldNames())
-            out.insert(0, "__id", pd.Series(ids, dtype=b["__id"].dtype))
-            yield out
+                at += [k] * len(own)
+            columns = zip(*rows, strict=True) if rows else [()] * len(PIECE)
+            kinds = (pa.int32(), pa.int64(), pa.int64(), pa.int64())
+            yield pa.RecordBatch.from_arrays([b.column("__id").take(pa.array(at, type=pa.int64())), *[pa.array(c, type=t) for c, t in zip(columns, kinds, strict=True)]], ["__id", *PIECE.fieldNames()])
 
     read = docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
     schema = T.StructType([T.StructField("__id", read.schema["__id"].dataType), *PIECE.fields])
-    return read.mapInPandas(of, schema).withColumnRenamed("__id", id_col)
+    return read.mapInArrow(of, schema).withColumnRenamed("__id", id_col)
 
 
 class Capacities:

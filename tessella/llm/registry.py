@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import compression_quality, fingerprints, html_extraction, language_id, packing, quality_rules, sharding, url_filter
+from tessella.llm import compression_quality, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_rules, sharding, url_filter
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -15,11 +15,13 @@ def queries() -> dict[str, Query]:
     return {
         "op1_language_id": language_id.query,
         "op2_quality_rules": quality_rules.query,
+        "op3_probminhash": near_duplicates.query,
         "op4_best_fit_packing": packing.query,
         "op5_html_extraction": html_extraction.query,
         "op6_compression_quality": compression_quality.query,
         "op7_canonical_digest": fingerprints.query,
         "op8_kd_sharding": sharding.query,
+        "op9_temperature_mixing": mixing.query,
         "op10_url_filter": url_filter.query,
     }
 
