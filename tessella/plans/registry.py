@@ -2,14 +2,24 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 
-def flagship(spark, sf_dir):
-    raise NotImplementedError
+from pyspark.sql import DataFrame, SparkSession
 
+from tessella.plans import market, risk
 
-def queries():
-    return {}
+Query = Callable[[SparkSession, str], DataFrame]
+MODULES = (market, risk)
 
 
-def oracle_sql():
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: fn for m in MODULES for name, (fn, _) in m.QUERIES.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    # as in the queries, -0 is 0
+    return {name: sql.replace("round(", "0.0 + round(") for m in MODULES for name, (_, sql) in m.QUERIES.items() if sql}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return queries()["historical_var_es"](spark, sf_dir)
