@@ -171,9 +171,10 @@ def pooled_z(cells: DataFrame) -> DataFrame:
 def drop_one(trades: DataFrame, key: str) -> DataFrame:
     """The pooled mean and count without each key in turn, from one pass of sums."""
     cells = trades.groupBy(key).agg(F.count("net_R").alias("n"), F.sum("net_R").alias("s"))
-    whole = trades.agg(F.count("net_R").alias("N"), F.sum("net_R").alias("S"))
+    whole = trades.agg(F.count("net_R").alias("all_n"), F.sum("net_R").alias("all_s"))
     d = cells.join(F.broadcast(whole))  # one row is broadcast
-    return d.select(F.col(key).alias("dropped"), (F.col("N") - F.col("n")).alias("trades"), ratio(F.col("S") - F.col("s"), F.col("N") - F.col("n")).alias("mean_net_R"))
+    left = F.col("all_n") - F.col("n")
+    return d.select(F.col(key).alias("dropped"), left.alias("trades"), ratio(F.col("all_s") - F.col("s"), left).alias("mean_net_R"))
 
 
 def subsets(trades: DataFrame, key: str, names: list[str], size: int = 3) -> DataFrame:

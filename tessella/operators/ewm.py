@@ -18,54 +18,66 @@ from tessella.functions.ordering import Series, column, ratio
 BLOCK = 64
 
 
-def carries(summaries: DataFrame, keys: tuple[str, ...], level: str, block: int) -> DataFrame:
-    """(keys, level, carry): the state before each block, from rows (keys, level, A, B)."""
-    start = F.struct(F.lit(0.0).alias("y"), F.array().cast("array<struct<k:bigint,c:double>>").alias("out"))
-    step = lambda s, x: F.struct((x.A * s.y + x.B).alias("y"), F.concat(s.out, F.array(F.struct(x.k.alias("k"), s.y.alias("c")))).alias("out"))
+def carries(summaries: DataFrame, keys: tuple[str, ...], level: str, block: int, width: int) -> DataFrame:
+    """(keys, level, carry): the states before each block, from rows (keys, level, A, B); B and the carry are arrays of `width`."""
+    nothing = F.array().cast("array<struct<k:bigint,c:array<double>>>")
+    after = lambda y, x: F.zip_with(x.B, y, lambda b, v: x.A * v + b)
+    step = lambda s, x: F.struct(after(s.y, x).alias("y"), F.concat(s.out, F.array(F.struct(x.k.alias("k"), s.y.alias("c")))).alias("out"))
     rows = F.sort_array(F.collect_list(F.struct(F.col(level).alias("k"), "A", "B")))
-    big = F.floor(F.col(level) / block)
-    groups = summaries.groupBy(*keys, big.alias("__g")).agg(rows.alias("r"))
-    # the map of a whole group, then the state before each group, then inside the groups
-    whole = F.reduce("r", F.struct(F.lit(1.0).alias("A"), F.lit(0.0).alias("B")), lambda s, x: F.struct((s.A * x.A).alias("A"), (x.A * s.B + x.B).alias("B")))
+    groups = summaries.groupBy(*keys, F.floor(F.col(level) / block).alias("__g")).agg(rows.alias("r"))
+    # the map of a whole group, then the states before each group, then inside the groups
+    zeros = F.array(*[F.lit(0.0)] * width)
+    whole = F.reduce("r", F.struct(F.lit(1.0).alias("A"), zeros.alias("B")), lambda s, x: F.struct((s.A * x.A).alias("A"), after(s.B, x).alias("B")))
     groups = groups.withColumn("__m", whole)
     over = groups.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("__g").alias("k"), F.col("__m.A").alias("A"), F.col("__m.B").alias("B")))).alias("r"))
+    start = F.struct(zeros.alias("y"), nothing.alias("out"))
     outer = over.select(*keys, F.explode(F.reduce("r", start, step, lambda s: s.out)).alias("o")).select(*keys, F.col("o.k").alias("__g"), F.col("o.c").alias("__c"))
     inner = groups.join(outer, [*keys, "__g"])
-    from_carry = F.struct(F.col("__c").alias("y"), F.array().cast("array<struct<k:bigint,c:double>>").alias("out"))
+    from_carry = F.struct(F.col("__c").alias("y"), nothing.alias("out"))
     return inner.select(*keys, F.explode(F.reduce("r", from_carry, step, lambda s: s.out)).alias("o")).select(*keys, F.col("o.k").alias(level), F.col("o.c").alias("__carry"))
 
 
-def affine_scan(df: DataFrame, series: Series, a: Column, b: Column, out: str, block: int = BLOCK) -> DataFrame:
-    """Column out with out[t] = a[t] * out[t-1] + b[t], out[-1] = 0. The a must be positive, and min(a) ** block above 1e-300; the
-    first row's a has no effect."""
-    keys = series.keys
-    rows = df.withColumns({"__a": a, "__b": b, "__i": F.row_number().over(series.window()) - 1})
+def affine_scan(df: DataFrame, series: Series, a: Column, b: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """For each out, b of the dictionary a column out with out[t] = a[t] * out[t-1] + b[t], out[-1] = 0; recursions with one `a` run
+    together. The a must be positive, and min(a) ** block above 1e-300; the first row's a has no effect."""
+    keys, names = series.keys, list(b)
+    inputs = {f"__b{k}": c for k, c in enumerate(b.values())}
+    rows = df.withColumns({"__a": a, "__i": F.row_number().over(series.window()) - 1} | inputs)
     rows = rows.withColumn("__blk", F.floor(F.col("__i") / block))
     inside = Window.partitionBy(*keys, "__blk").orderBy("__i").rowsBetween(Window.unboundedPreceding, 0)
     rows = rows.withColumn("__p", F.exp(F.sum(F.ln("__a")).over(inside)))
-    rows = rows.withColumn("__y", F.col("__p") * F.sum(F.col("__b") / F.col("__p")).over(inside))
-    ends = rows.groupBy(*keys, "__blk").agg(F.max_by("__p", "__i").alias("A"), F.max_by("__y", "__i").alias("B"))
-    done = rows.join(carries(ends, keys, "__blk", block), [*keys, "__blk"])
-    return done.withColumn(out, F.col("__y") + F.col("__p") * F.col("__carry")).drop("__a", "__b", "__i", "__blk", "__p", "__y", "__carry")
+    rows = rows.withColumns({f"__y{k}": F.col("__p") * F.sum(F.col(c) / F.col("__p")).over(inside) for k, c in enumerate(inputs)})
+    at = F.max_by(F.struct("__p", F.array(*[f"__y{k}" for k in range(len(names))]).alias("y")), "__i")
+    ends = rows.groupBy(*keys, "__blk").agg(at.alias("__e")).select(*keys, "__blk", F.col("__e.__p").alias("A"), F.col("__e.y").alias("B"))
+    done = rows.join(carries(ends, keys, "__blk", block, len(names)), [*keys, "__blk"])
+    done = done.withColumns({n: F.col(f"__y{k}") + F.col("__p") * F.col("__carry")[k] for k, n in enumerate(names)})
+    return done.drop("__a", "__i", "__blk", "__p", "__carry", *inputs, *[f"__y{k}" for k in range(len(names))])
 
 
-def ewm_mean(df: DataFrame, series: Series, value: Column | str, alpha: float, out: str, min_periods: int = 1) -> DataFrame:
-    """The recursive exponentially weighted mean: it starts at the first value; a null keeps the state, and lets its weight decay,
-    so the value after a gap of g nulls weighs alpha / ((1 - alpha) ** (g + 1) + alpha). Null before the first value."""
+def ewm_means(df: DataFrame, series: Series, values: dict[str, Column], alpha: float, min_periods: int = 1) -> DataFrame:
+    """Recursive exponentially weighted means, by name, of columns that are null on the same rows.
+
+    A mean starts at the first value; a null keeps the state and lets its weight decay, so the value after a gap of g nulls weighs
+    alpha / ((1 - alpha) ** (g + 1) + alpha). Null before `min_periods` values.
+    """
     if not 0 < alpha <= 0.9999:
         raise ValueError("alpha must be above 0 and at most 0.9999")
-    x = column(value)
-    d = df.withColumn("__x", x)
-    n = F.count("__x").over(series.upto())
-    last = F.max(F.when(F.col("__x").isNotNull(), F.col("__row"))).over(series.before())
-    d = d.withColumn("__row", F.row_number().over(series.window())).withColumns({"__n": n, "__last": last})
-    old = F.pow(F.lit(1 - alpha), F.col("__row") - F.col("__last"))
-    keep, add = old / (old + alpha), F.lit(alpha) / (old + alpha)
-    first = (F.col("__n") == 1) & F.col("__x").isNotNull()
-    a = F.when(F.col("__x").isNull() | first, F.lit(1.0)).otherwise(F.when(F.col("__row") - F.col("__last") == 1, F.lit(1 - alpha)).otherwise(keep))
-    b = F.when(F.col("__x").isNull(), F.lit(0.0)).when(first, F.col("__x")).otherwise(F.when(F.col("__row") - F.col("__last") == 1, F.lit(alpha)).otherwise(add) * F.col("__x"))
-    done = affine_scan(d, series, a, b, out)
-    return done.withColumn(out, F.when(F.col("__n") >= min_periods, F.col(out))).drop("__x", "__row", "__n", "__last")
+    names = {n: f"__x{k}" for k, n in enumerate(values)}
+    d = df.withColumns({names[n]: c for n, c in values.items()})
+    there = F.col("__x0").isNotNull()
+    d = d.withColumn("__row", F.row_number().over(series.window()))
+    d = d.withColumns({"__n": F.count("__x0").over(series.upto()), "__last": F.max(F.when(there, F.col("__row"))).over(series.before())})
+    gap = F.col("__row") - F.col("__last")
+    old = F.pow(F.lit(1 - alpha), gap)
+    weight = F.when((F.col("__n") == 1) & there, F.lit(1.0)).when(gap == 1, F.lit(alpha)).otherwise(F.lit(alpha) / (old + alpha))
+    keep = F.when(gap == 1, F.lit(1 - alpha)).otherwise(old / (old + alpha))
+    a = F.when(there & (F.col("__n") > 1), keep).otherwise(F.lit(1.0))
+    done = affine_scan(d, series, a, {n: F.when(there, weight * F.col(x)).otherwise(F.lit(0.0)) for n, x in names.items()})
+    return done.withColumns({n: F.when(F.col("__n") >= min_periods, F.col(n)) for n in names}).drop("__row", "__n", "__last", *names.values())
+
+
+def ewm_mean(df: DataFrame, series: Series, value: Column | str, alpha: float, out: str, min_periods: int = 1) -> DataFrame:
+    return ewm_means(df, series, {out: column(value)}, alpha, min_periods)
 
 
 def ema(df: DataFrame, series: Series, value: Column | str, span: int, out: str = "ema") -> DataFrame:
@@ -113,7 +125,7 @@ def ewma_variance(df: DataFrame, series: Series, ret: str, lam: float = 0.94, wa
     d = d.withColumn("__prev", last)
     a = F.when((at <= 0) | F.col("__prev").isNull(), F.lit(1.0)).otherwise(F.lit(lam))
     b = F.when(at < 0, F.lit(0.0)).when(at == 0, F.col("__seed")).when(F.col("__prev").isNull(), F.lit(0.0)).otherwise(F.lit(1 - lam) * F.col("__prev") * F.col("__prev"))
-    done = affine_scan(d, series, a, b, out)
+    done = affine_scan(d, series, a, {out: b})
     return done.withColumn(out, F.when(F.col("__row") > warmup, F.col(out))).drop("__row", "__seed", "__prev")
 
 
@@ -138,7 +150,7 @@ def ewma_covariance(panel: DataFrame, lam: float = 0.94, warmup: int = 30, date:
     at = F.col("__row") - 1 - warmup
     a = F.when(at <= 0, F.lit(1.0)).otherwise(F.lit(lam))
     b = F.when(at < 0, F.lit(0.0)).when(at == 0, F.col("__seed")).otherwise(F.lit(1 - lam) * F.col("__prev"))
-    done = affine_scan(d, series, a, b, "value")
+    done = affine_scan(d, series, a, {"value": b})
     return done.filter(F.col("__row") > warmup).select(date, "asset_i", "asset_j", "value")
 
 
@@ -158,8 +170,6 @@ def ewma_correlation_path(panel: DataFrame, lam: float = 0.97, date: str = "date
     """(date, asset_i, asset_j, rho) for i < j: the ratio of three recursions, clipped to [-1, 1], of the dates before."""
     pairs = pair_products(panel, date, asset, ret, diagonal=False)
     s = Series(("asset_i", "asset_j"), (date,))
-    d = pairs.withColumns({"__ii": F.col("__ri") * F.col("__ri"), "__jj": F.col("__rj") * F.col("__rj")})
-    for c, v in (("__cij", "x"), ("__cii", "__ii"), ("__cjj", "__jj")):
-        d = ewm_mean(d, s, v, 1 - lam, c)
+    d = ewm_means(pairs, s, {"__cij": F.col("x"), "__cii": F.col("__ri") * F.col("__ri"), "__cjj": F.col("__rj") * F.col("__rj")}, 1 - lam)
     rho = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), ratio(F.col("__cij"), F.sqrt(F.col("__cii") * F.col("__cjj")))))
     return d.withColumn("rho", s.lag(rho)).select(date, "asset_i", "asset_j", "rho")

@@ -134,7 +134,7 @@ def filter_garch(df: DataFrame, fits: DataFrame, series: Series, ret: str, out:
     d = d.withColumns({"__s": start, "__e": e, "__first": F.row_number().over(series.window()) == 1})
     a = F.when(F.col("__first"), F.lit(1.0)).otherwise(F.greatest(F.col("beta"), F.lit(1e-12)))
     b = F.when(F.col("__first"), F.col("__s")).otherwise(F.col("omega") + F.col("alpha") * F.col("__e") * F.col("__e"))
-    return affine_scan(d, series, a, b, out, block=16).drop("__s", "__e", "__first", "omega", "alpha", "beta", "mu")
+    return affine_scan(d, series, a, {out: b}, block=16).drop("__s", "__e", "__first", "omega", "alpha", "beta", "mu")
 
 
 def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, window: int = 750, refit: int = 21, student: bool = True) -> DataFrame:

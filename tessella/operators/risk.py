@@ -94,7 +94,7 @@ def portfolio_var(cov: DataFrame, weights: DataFrame, confidence: float = 0.99,
     """VaR and ES of a portfolio, normal or (with nu) scaled t; a negative variance raises."""
     check_confidence(confidence)
     v = portfolio_variance(cov, weights, extra)
-    sigma = F.sqrt(F.when(F.col("variance") >= 0, F.col("variance")).otherwise(F.raise_error(F.lit("negative portfolio variance")).cast("double")))
+    sigma = F.sqrt(F.when(F.col("variance") < 0, F.raise_error(F.lit("negative portfolio variance")).cast("double")).otherwise(F.col("variance")))
     if nu is None:
         var, es = normal_var_of_sigma(sigma, confidence)
     else:
@@ -125,7 +125,7 @@ def backtest_counts(df: DataFrame, series: Series, ret: str, var: str, confidenc
     one aggregation. Keys with fewer than `least` rows give no row; a negative VaR raises."""
     r, v = finite(ret), finite(var)
     d = df.withColumns({"__r": r, "__v": v}).filter("__r IS NOT NULL AND __v IS NOT NULL")
-    d = d.withColumn("__v", F.when(F.col("__v") >= 0, F.col("__v")).otherwise(F.raise_error(F.lit("negative VaR")).cast("double")))
+    d = d.withColumn("__v", F.when(F.col("__v") < 0, F.raise_error(F.lit("negative VaR")).cast("double")).otherwise(F.col("__v")))
     d = d.withColumn("__b", (-F.col("__r") > F.col("__v")).cast("int")).withColumn("__p", series.lag("__b"))
     over = F.when(F.col("__b") == 1, -F.col("__r") - F.col("__v"))
     count = lambda p, b: F.count_if((F.col("__p") == p) & (F.col("__b") == b)).alias(f"n{p}{b}")

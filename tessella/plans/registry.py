@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import market, risk
+from tessella.plans import market, risk, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (market, risk)
+MODULES = (market, risk, trading)
 
 
 def queries() -> dict[str, Query]:

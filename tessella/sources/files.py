@@ -41,7 +41,7 @@ def minute_bars(spark: SparkSession, path: str, zone: str = "America/New_York",
     never made up. Of repeated stamps the first in file order stays."""
     raw = read_csv(spark, path, M1, ";", False).withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
     wall = F.try_to_timestamp("datetime", F.lit("yyyyMMdd HHmmss"))
-    d = raw.withColumn("ts", to_utc(wall, zone)).filter("ts IS NOT NULL").withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("__file", r"([A-Za-z]{6})", 1))
+    d = raw.withColumn("ts", to_utc(wall, zone)).filter("ts IS NOT NULL").withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("__file", r"([A-Za-z]{6})[^/]*$", 1))
     d = deduplicated(d, ("symbol", "ts"), "__pos", keep="first")
     return d.select("symbol", "ts", "open", "high", "low", "close", F.lit(None).cast("double").alias("tick_count"))
 
@@ -50,7 +50,7 @@ def ticks(spark: SparkSession, path: str, zone: str = "America/New_York", symbol
     """`yyyyMMdd HHmmssSSS,bid,ask,v` without header: (symbol, ts, tick_id, bid, ask, mid, spread). Repeated stamps stay."""
     raw = read_csv(spark, path, TICK, ",", False).withColumn("__file", F.input_file_name()).withColumn("tick_id", F.monotonically_increasing_id())
     wall = F.try_to_timestamp("datetime", F.lit("yyyyMMdd HHmmssSSS"))
-    d = raw.withColumn("ts", to_utc(wall, zone)).filter("ts IS NOT NULL").withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("__file", r"([A-Za-z]{6})", 1))
+    d = raw.withColumn("ts", to_utc(wall, zone)).filter("ts IS NOT NULL").withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("__file", r"([A-Za-z]{6})[^/]*$", 1))
     return d.select("symbol", "ts", "tick_id", "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread"))
 
 
