@@ -328,3 +328,62 @@ def demo_panel(spark: SparkSession, days: int = 3000, assets: int = 3, seed: int
                     yield pd.DataFrame({"day": np.arange(days), "asset": f"asset{k}", "ret": 0.7 * f + rng.normal(0, 0.004, days)})
 
     return spark.range(1).mapInPandas(of, "day long, asset string, ret double")
+
+
+def rolling_dcc(panel: DataFrame, assets: list[str], window: int = 750, refit: int = 126, least: int = 400, date: str = "date", asset: str = "asset", ret: str = "ret") -> DataFrame:
+    """Walk-forward DCC: (date, asset_i, asset_j, value) for i <= j, each covariance known before its date.
+
+    Refit points are rows with their window of panel rows, fitted in parallel. A segment starts from its own fit alone: the
+    correlation after the window stands in for Q, and is advanced from there. Row numbers run over the panel's dates, which
+    are few beside any table of ticks.
+    """
+    from pyspark.sql.window import Window
+
+    wide = panel.groupBy(date).pivot(asset, assets).agg(F.first(ret)).dropna()
+    kind = dict(panel.dtypes)[date]
+    over = Window.partitionBy("__panel").orderBy(date)
+    rows = wide.select(date, F.lit(1).alias("__panel"), F.array(*[F.col(f"`{a}`") for a in assets]).alias("r")).withColumn("__i", F.row_number().over(over))
+    held = F.collect_list(F.struct(F.col("__i").alias("i"), F.col(date).alias("at"), "r")).over(over.rowsBetween(-window, refit - 1))
+    points = rows.withColumn("__w", held).filter((F.col("__i") > least) & ((F.col("__i") - 1 - least) % refit == 0)).select(F.col("__i").alias("first"), "__w")
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for first, cells in zip(b["first"], b["__w"], strict=True):
+                past = np.array([list(c["r"]) for c in cells if c["i"] < first], dtype=float)[-window:]
+                f = dcc_fit(past)
+                params = [fit(past[:, k], student=False) for k in range(len(assets))]
+                z = past[-1] / np.sqrt(f["variance"][-2])
+                q_bar = np.corrcoef(past / np.sqrt(f["variance"][:-1]), rowvar=False)
+                q, s = f["corr"][-2], f["variance"][-1].copy()
+                q = (1 - f["a"] - f["b"]) * q_bar + f["a"] * np.outer(z, z) + f["b"] * q
+                for c in cells:
+                    if c["i"] < first:
+                        continue
+                    d = 1 / np.sqrt(np.diag(q))
+                    h = q * d[:, None] * d[None, :] * np.sqrt(s)[:, None] * np.sqrt(s)[None, :]
+                    out += [(c["at"], assets[i], assets[j], float(h[i, j])) for i in range(len(assets)) for j in range(i, len(assets))]
+                    r = np.array(list(c["r"]), dtype=float)
+                    z = r / np.sqrt(s)
+                    q = (1 - f["a"] - f["b"]) * q_bar + f["a"] * np.outer(z, z) + f["b"] * q
+                    s = np.array([p["omega"] + p["alpha"] * x * x + p["beta"] * v for p, x, v in zip(params, r, s, strict=True)])
+            yield pd.DataFrame(out, columns=[date, "asset_i", "asset_j", "value"])
+
+    return points.repartition("first").mapInPandas(of, f"{date} {kind}, asset_i string, asset_j string, value double")
+
+
+def dcc_var_series(cov: DataFrame, weights: DataFrame, confidence: float = 0.99, nu: float | None = 8.0, date: str = "date") -> DataFrame:
+    """Portfolio VaR and ES on each date of a covariance path, with a scaled t of nu degrees (normal for None). A nu fitted on the
+    whole sample would look ahead; give one of the past."""
+    from tessella.operators.risk import portfolio_var
+
+    return portfolio_var(cov, weights, confidence, nu, extra=(date,))
+
+
+def compare_methods(spark: SparkSession, returns: np.ndarray, **options) -> DataFrame:
+    """The three simulation methods in one table."""
+    out = None
+    for method in ("fhs", "parametric", "bootstrap"):
+        d = monte_carlo_var(spark, returns, method, **options).withColumn("method", F.lit(method))
+        out = d if out is None else out.unionByName(d)
+    return out

@@ -192,3 +192,27 @@ def reversion_summary(trades: DataFrame, keys: tuple[str, ...] = (), trades_per_
         F.stddev_samp(n).alias("__sd"), F.avg((F.col("side") > 0).cast("double")).alias("long_share"),
     )
     return d.withColumns({"t": ratio(F.col("net_bp") * F.sqrt("trades"), F.col("__sd")), "sharpe": ratio(F.col("net_bp") * F.lit(trades_per_year**0.5), F.col("__sd"))}).drop("__sd")
+
+
+def choose_in_sample(trades: DataFrame, least: int = 30, value: str = "net_R") -> DataFrame:
+    """(config, in_mean, out_n, out_mean) of the configuration with the best mean among in-sample trades, of those with enough; its
+    held-out trades beside. trades has config and the boolean in_sample."""
+    x, inside = F.col(value), F.col("in_sample")
+    d = trades.groupBy("config").agg(
+        F.count(F.when(inside, x)).alias("in_n"), F.avg(F.when(inside, x)).alias("in_mean"), F.count(F.when(~inside, x)).alias("out_n"), F.avg(F.when(~inside, x)).alias("out_mean")
+    )
+    return d.filter(F.col("in_n") >= least).orderBy(F.col("in_mean").desc(), "config").limit(1)
+
+
+def breakdown(trades: DataFrame, dims: list[str], value: str = "net_R") -> DataFrame:
+    """Trades, win rate and mean over all rows and by each dimension alone, in one pass of grouping sets; a dimension that a row does
+    not group by is null."""
+    sets = [[]] + [[F.col(d)] for d in dims]
+    x = F.col(value)
+    return trades.groupingSets(sets, *[F.col(d) for d in dims]).agg(F.grouping_id().alias("level"), F.count(x).alias("trades"), F.avg((x > 0).cast("double")).alias("win_rate"), F.avg(x).alias("mean"))
+
+
+def allowed_for(side: Column | str, all_gates: Column, implied: Column) -> Column:
+    """Whether the gates let a side trade: all are open and the partner implies that side."""
+    s = F.col(side) if isinstance(side, str) else side
+    return F.coalesce(all_gates & (F.signum(implied) == F.signum(s)), F.lit(False))

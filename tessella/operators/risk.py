@@ -178,3 +178,30 @@ def backtest(df: DataFrame, series: Series, ret: str, var: str, confidence: floa
 def compare_models(results: DataFrame) -> DataFrame:
     """Passed models first, then by Lopez loss."""
     return results.orderBy(F.col("passed").desc(), F.col("lopez_loss").asc())
+
+
+def conditional_var(variance: Column, nu: Column, confidence: float = 0.99) -> Column:
+    """VaR of a scaled t with a nu of its own in each row; null where nu is 2 or less. For many different nu: the constant comes
+    from Python, in Arrow batches."""
+    import pandas as pd
+
+    @F.pandas_udf("double")
+    def factor(x: pd.Series) -> pd.Series:
+        known = {v: -dist.t_ppf(1 - confidence, v) * math.sqrt((v - 2) / v) for v in x.dropna().unique() if v > 2}
+        return x.map(known)
+
+    return factor(nu) * F.sqrt(variance)
+
+
+def naive_strategy_var(df: DataFrame, series: Series, net: str = "net", confidence: float = 0.99, window: int = 500) -> DataFrame:
+    """VaR fitted on the strategy's own returns, flat days and all."""
+    from tessella.operators.rolling import rolling_historical_var
+
+    return rolling_historical_var(df, series, net, confidence, window)
+
+
+def compare_constructions(estimates: DataFrame, series: Series, net: str = "net", var: str = "var", position: str = "position", confidence: float = 0.99, in_market_only: bool = True) -> DataFrame:
+    """Back-tests of several VaR constructions (column `construction` among the keys) on the days in the market; those with fewer
+    than 100 such days give no row."""
+    d = estimates.filter(F.col(position) != 0) if in_market_only else estimates
+    return compare_models(backtest(d, series, net, var, confidence))

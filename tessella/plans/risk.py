@@ -337,6 +337,30 @@ def dcc_cov(spark: SparkSession, sf: str) -> DataFrame:
     return G.dcc_path(panel(spark, sf).filter(F.col("asset").isin(assets)), assets)
 
 
+def rolling_dcc(spark: SparkSession, sf: str) -> DataFrame:
+    assets = ["1-URGENT", "2-HIGH"]
+    two = daily(spark, sf).filter(F.col("symbol").isin(assets))
+    p = B.log_returns(two, DAILY).filter("ret IS NOT NULL").select("date", F.col("symbol").alias("asset"), (F.col("ret") / 100).alias("ret"))
+    cov = G.rolling_dcc(p, assets, window=500, refit=200, least=400)
+    w = spark.createDataFrame([(a, 0.5) for a in assets], "asset string, weight double")
+    return G.dcc_var_series(cov, w)
+
+
+def var_constructions(spark: SparkSession, sf: str) -> DataFrame:
+    st = strategy(spark, sf)
+    own = with_var(spark, sf).select("symbol", "date", "var")
+    scaled = P.position_scaled_var(st, own, ["symbol", "date"]).withColumn("var", F.col("strategy_var")).select("symbol", "date", "position", "net", "var", F.lit("scaled").alias("construction"))
+    naive = K.naive_strategy_var(st, DAILY, "net", 0.95, 250).select("symbol", "date", "position", "net", "var", F.lit("naive").alias("construction"))
+    d = K.compare_constructions(scaled.unionByName(naive), Series(("construction", "symbol"), ("date",)), confidence=0.95)
+    return d.select("construction", "symbol", "n_obs", "n_breaches", r("lopez_loss").alias("lopez_loss"))
+
+
+CONSTRUCT_SQL = STRAT_SQL + """, h AS (SELECT symbol, date, CASE WHEN count(ret) OVER p >= 250 THEN -quantile_cont(ret, 0.05) OVER p END AS var FROM rr WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+nv AS (SELECT symbol, date, CASE WHEN count(net) OVER p >= 250 THEN -quantile_cont(net, 0.05) OVER p END AS var FROM strat WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+est AS (SELECT 'scaled' AS construction, s.symbol, s.net, abs(position) * var AS var, position FROM strat s JOIN h ON s.symbol = h.symbol AND s.date = h.date UNION ALL SELECT 'naive', s.symbol, s.net, var, position FROM strat s JOIN nv ON s.symbol = nv.symbol AND s.date = nv.date)
+SELECT construction, symbol, count(*) AS n_obs, count(*) FILTER (-net > var) AS n_breaches, round(coalesce(sum(1 + pow((-net - var) * 100, 2)) FILTER (-net > var), 0), 6) AS lopez_loss FROM est WHERE position <> 0 AND var IS NOT NULL AND net IS NOT NULL GROUP BY ALL HAVING count(*) >= 100"""
+
+
 def monte_carlo_var(spark: SparkSession, sf: str) -> DataFrame:
     one = clean_returns(spark, sf).filter("symbol = '1-URGENT'").orderBy("date").select("ret")
     # one instrument's daily series, the input of a simulation: some thousand numbers
@@ -401,6 +425,8 @@ QUERIES = {
     "garch_forecast": (garch_forecast, None),
     "garch_var_path": (garch_var_path, None),
     "dcc_cov": (dcc_cov, None),
+    "rolling_dcc_var": (rolling_dcc, None),
+    "var_constructions": (var_constructions, f"WITH {CONSTRUCT_SQL}"),
     "monte_carlo_var": (monte_carlo_var, None),
     "null_paths": (null_paths, None),
     "demo_panel": (demo_panel, None),

@@ -309,6 +309,17 @@ def walkforward_summary(spark: SparkSession, sf: str) -> DataFrame:
     return Q.walk_forward_summary(Q.out_of_sample(t, folds, picks), picks)
 
 
+def trade_breakdown(spark: SparkSession, sf: str) -> DataFrame:
+    t = walked(spark, sf).withColumns({"year": F.year("date").cast("string"), "direction": F.when(F.col("side") > 0, "long").otherwise("short")})
+    d = Q.breakdown(t, ["symbol", "direction", "year"])
+    return d.select("symbol", "direction", "year", "trades", r("win_rate").alias("win_rate"), r("mean").alias("mean"))
+
+
+def in_sample_choice(spark: SparkSession, sf: str) -> DataFrame:
+    t = configs(spark, sf).withColumn("in_sample", F.col("entry_time") < "1999-06-01")
+    return Q.choose_in_sample(t, value="unit_net_R")
+
+
 def fold_dates(spark: SparkSession, sf: str) -> DataFrame:
     d = daily(spark, sf).select("date").distinct()
     t = Q.slice_fold(d, C.folds_frame(spark, FOLDS), "test_start", "test_end", "date")
@@ -395,6 +406,8 @@ QUERIES = {
     "reversion_summary": (reversion_summary, None),
     "walkforward_select": (walkforward_select, None),
     "walkforward_summary": (walkforward_summary, None),
+    "trade_breakdown": (trade_breakdown, f"{WALK_SQL}, x AS (SELECT symbol, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS direction, CAST(year(date) AS VARCHAR) AS year, net_R FROM walk) SELECT symbol, direction, year, count(*) AS trades, round(avg((net_R > 0)::INT), 6) AS win_rate, round(avg(net_R), 6) AS mean FROM x GROUP BY GROUPING SETS ((), (symbol), (direction), (year))"),
+    "in_sample_choice": (in_sample_choice, None),
     "fold_slices": (fold_dates, f"WITH {DAILY_SQL}, {FOLDS_SQL} SELECT fold, count(DISTINCT date) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM daily JOIN folds ON date >= a AND date < b GROUP BY fold"),
     "inducement_entries": (inducement, None),
     "turtle_soup_entries": (turtle_soup, None),

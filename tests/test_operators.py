@@ -343,3 +343,88 @@ def test_null_paths_are_fair_and_repeat(spark):
 def test_empty_inputs(spark):
     e = bars(spark, [], [], [])
     assert E.ema(e, BAR, "close", 5).count() == 0 and N.order_blocks(e, BAR).count() == 0 and P.performance_summary(B.log_returns(e, BAR), BAR, "ret").count() == 0
+
+
+def test_scenario_coverage_and_multiple(spark):
+    from tessella.operators import stress as X
+
+    days = [date(2020, 1, 1) + timedelta(days=k) for k in range(5)]
+    rows = [(d, a, -0.05) for d in days for a in ("a", "b")]
+    panel = spark.createDataFrame(rows, "date date, asset string, ret double")
+    w = spark.createDataFrame([("a", 0.5), ("b", 0.3), ("c", 0.2)], "asset string, weight double")
+    s = spark.createDataFrame([("k", days[0], days[-1])], "key string, start date, end date")
+    [r] = X.replay(panel, w, s).collect()
+    assert r.coverage == pytest.approx(0.8) and r.missing == "c" and r.worst_day == pytest.approx(-0.05)
+    [m] = X.stress_vs_var(X.replay(panel, w, s), 0.02).collect()
+    assert m.multiple == pytest.approx(2.5) and m.breach
+    [r] = X.replay(panel, w, s, rescale_missing=False).collect()
+    assert r.worst_day == pytest.approx(-0.04)
+
+
+def test_components_add_up(spark):
+    cov = spark.createDataFrame([("a", "a", 4e-4), ("a", "b", 1e-4), ("b", "b", 9e-4)], "asset_i string, asset_j string, value double")
+    w = spark.createDataFrame([("a", 0.6), ("b", 0.4)], "asset string, weight double")
+    [p] = K.portfolio_var(cov, w).collect()
+    parts = K.component_var(cov, w).collect()
+    assert sum(x.component_var for x in parts) == pytest.approx(p["var"]) and sum(x.pct for x in parts) == pytest.approx(1)
+    rho = {(r.asset_i, r.asset_j): r.value for r in J.correlation_of(cov).collect()}
+    assert rho[("a", "a")] == 1 and rho[("a", "b")] == pytest.approx(1 / 6)
+    bad = spark.createDataFrame([("a", "a", 1e-4), ("a", "b", -9e-4), ("b", "b", 1e-4)], "asset_i string, asset_j string, value double")
+    with pytest.raises(Exception, match="negative portfolio variance"):
+        K.portfolio_var(bad, w).collect()
+
+
+def test_mann_whitney_by_hand(spark):
+    d = spark.createDataFrame([(True, 1.0), (True, 2.0), (False, 2.0), (False, 3.0), (False, 4.0)], "g boolean, v double")
+    [r] = Q.mann_whitney(d, "v", "g").collect()
+    assert r.u == 0.5 and r.mean_ratio == 0.5
+    assert r.z == pytest.approx((0.5 - 3) / math.sqrt(6 / 12 * (6 - 6 / 20)))
+
+
+def test_rank_ic_matches_pandas(spark):
+    rng = np.random.default_rng(4)
+    x, y = rng.integers(0, 30, 200).astype(float), rng.normal(size=200)
+    d = spark.createDataFrame([("s", i, float(a), float(b)) for i, (a, b) in enumerate(zip(x, y, strict=True))], "symbol string, i long, x double, y double")
+    [c] = Q.cell_ics(d, "x", "y", F.lit("m"), "i").collect()
+    assert c.ic == pytest.approx(pd.Series(x).corr(pd.Series(y), method="spearman"))
+    q = pd.qcut(pd.Series(x).rank(method="first"), 5, labels=False)
+    assert c.edge_bp == pytest.approx((y[q == 4].mean() - y[q == 0].mean()) / 2 * 1e4)
+
+
+def test_rolling_dcc_uses_the_past_only(spark):
+    rng = np.random.default_rng(6)
+    f = rng.normal(0, 0.01, 620)
+    rows = [(date(2020, 1, 1) + timedelta(days=t), a, float(f[t] + rng.normal(0, 0.006))) for t in range(620) for a in ("a", "b")]
+    panel = spark.createDataFrame(rows, "date date, asset string, ret double")
+    cut = rows[2 * 560][0]
+    run = lambda p: {(r.date, r.asset_i, r.asset_j): r.value for r in G.rolling_dcc(p, ["a", "b"], window=300, refit=100, least=300).collect()}
+    whole, part = run(panel), run(panel.filter(F.col("date") < F.lit(cut)))
+    assert len(part) == 260 * 3 and all(whole[k] == pytest.approx(v) for k, v in part.items())
+    assert all(whole[(d, "a", "b")] ** 2 < whole[(d, "a", "a")] * whole[(d, "b", "b")] for d in {k[0] for k in whole})
+
+
+def test_conditional_var_and_gates(spark):
+    d = spark.createDataFrame([(1e-4, 5.0), (1e-4, 2.0), (1e-4, None)], "v double, nu double")
+    got = [r.x for r in d.select(K.conditional_var(F.col("v"), F.col("nu")).alias("x")).collect()]
+    assert got[0] == pytest.approx(3.364929999 * math.sqrt(0.6) * 0.01, rel=1e-6) and all(x is None or math.isnan(x) for x in got[1:])
+    g = spark.createDataFrame([(1.0, True, 0.5), (1.0, True, -0.5), (-1.0, True, -2.0), (1.0, None, 1.0)], "side double, g boolean, implied double")
+    assert [r.a for r in g.select(Q.allowed_for("side", F.col("g"), F.col("implied")).alias("a")).collect()] == [True, False, True, False]
+
+
+def test_intents_cut_shorts(spark):
+    sig = spark.createDataFrame([("a", 1, 1.0), ("a", 2, -1.0), ("b", 2, -1.0)], "symbol string, date int, signal double")
+    inst = spark.createDataFrame([("a", True), ("b", False)], "symbol string, shortable boolean")
+    pos = spark.createDataFrame([("b", 2.0)], "symbol string, qty double")
+    got = {r.symbol: (r.target, r.delta, r.order_side, r.order_qty) for r in P.intents(sig, inst, pos).collect()}
+    assert got == {"a": (-1.0, -1.0, "sell", 1.0), "b": (0.0, -2.0, "sell", 2.0)}
+
+
+def test_validators():
+    with pytest.raises(ValueError):
+        T.Barriers(stop_k=0)
+    with pytest.raises(ValueError):
+        C.in_sessions("ts", ["mars"])
+    with pytest.raises(ValueError):
+        K.check_confidence(0.4)
+    with pytest.raises(ValueError):
+        E.ewm_means(None, BAR, {}, 1.5)

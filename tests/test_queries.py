@@ -7,7 +7,7 @@ from tessella.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"garch_var_path", "dcc_cov", "walkforward_summary", "mtf_cascade", "reversion_summary", "null_benchmark"}
+SLOW = {"garch_var_path", "dcc_cov", "walkforward_summary", "mtf_cascade", "reversion_summary", "null_benchmark", "rolling_dcc_var", "in_sample_choice"}
 
 
 @pytest.fixture(scope="module")
