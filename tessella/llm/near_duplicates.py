@@ -7,8 +7,8 @@ classes are the connected components of all links, and texts with equal words al
 Signatures. Every shingle has a Poisson process of arrivals, at a rate equal to its weight, each at a random register; a
 register keeps the shingle that arrives first. Two signatures agree in a register with the probability Jaccard similarity.
 Arrivals are made up to a time horizon, and once every register is taken within it no later arrival matters: generation ends
-early and exactly. Registers are grouped in bands; texts that agree in a whole band meet in a bucket. At 40 bands of 6 a pair
-at 0.8 is missed with probability 5e-6.
+early and exactly. Registers are grouped in bands; texts that agree in a whole band meet in a bucket. At 30 bands of 5 a pair
+at 0.8 is missed with probability 7e-6.
 
 Verification, without all pairs of a bucket. Copies are one node from the start. In every bucket each node is compared with one
 leader, by exact similarity of whole texts. 1 - similarity is a metric, so nodes whose similarities s, s' to a common leader
@@ -80,13 +80,14 @@ def weights(counts: np.ndarray) -> np.ndarray:
 def signature(hashes: np.ndarray, rates: np.ndarray, registers: int) -> np.ndarray:
     """For each register the hash of the shingle that arrives first; hashes must not be empty."""
     taken, owner = np.full(registers, np.inf), np.zeros(registers, dtype=np.uint64)
-    horizon = registers * (np.log(registers) + 4) / rates.sum()
+    horizon = registers * (np.log(registers) + 2) / rates.sum()
     seen, clock, own, rate = np.zeros(len(hashes), dtype=np.uint64), np.zeros(len(hashes)), hashes, rates
     while True:
         waiting = []
         while len(own):
-            # as many arrivals at once as the average shingle has up to the horizon
-            block = max(1, int(np.ceil(min(rate.mean() * (horizon - clock.min()), 4096 / len(own) + 1))))
+            # as many arrivals at once as most shingles have up to the horizon
+            mean = rate.mean() * (horizon - clock.min())
+            block = max(1, int(np.ceil(min(mean + 2 * np.sqrt(mean), 8192 / len(own) + 1))))
             steps = seen[:, None] + np.arange(1, block + 1, dtype=np.uint64)
             bits = mixed(own[:, None] + steps * GOLDEN)
             gaps = -np.log(((bits >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / rate[:, None]
@@ -156,10 +157,15 @@ def similarity(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray
     return float((1 / (above / x + below / y)).sum())
 
 
+def small(keys: DataFrame, rows: int = 2_000_000) -> DataFrame:
+    """A table of keys, to be broadcast while it is small (it is counted); a larger one is shuffled."""
+    return F.broadcast(keys) if keys.count() <= rows else keys
+
+
 class NearDuplicates:
     """Classes of near-duplicate documents."""
 
-    def __init__(self, threshold: float = 0.8, bands: int = 40, rows: int = 6, small: int = 64, leaders: int = 32):
+    def __init__(self, threshold: float = 0.8, bands: int = 30, rows: int = 5, small: int = 64, leaders: int = 32):
         """small: an open rest of a bucket up to this size is compared pair by pair at once; a larger one gets `leaders` leaders in
         each round. Both bound the work of a round, not what is found."""
         self.threshold, self.bands, self.rows, self.small, self.leaders = threshold, bands, rows, small, leaders
@@ -188,24 +194,28 @@ class NearDuplicates:
         return rows.mapInArrow(of, "id long, h long, g long, t long, d1 long, d2 long, keys array<long>")
 
     def blobs(self, docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
-        """(node, blob) of the given nodes (node, t, d1, d2): their texts are found by hash, and made into shingles once more."""
+        """(node, blob, size, total) of the given nodes (node, t, d1, d2): their texts are found by hash, and made into shingles once
+        more; size and total are the number and the weight of the shingles."""
 
         def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                digests, made = [], []
+                digests, made, sizes = [], [], []
                 for text in b.column("x").to_pylist():
                     words = words_of(text)
                     digests.append(digest_of(words))
-                    made.append(packed(*shingles(words)))
+                    hashes, counts = shingles(words)
+                    made.append(packed(hashes, counts))
+                    sizes.append((len(hashes), float(weights(counts).sum())))
                 both = np.array(digests, dtype=np.int64).reshape(len(digests), 2)
-                yield pa.RecordBatch.from_arrays([pa.array(both[:, 0]), pa.array(both[:, 1]), pa.array(made, type=pa.binary())], ["d1", "d2", "blob"])
+                n, total = np.array(sizes, dtype=float).reshape(len(sizes), 2).T
+                columns = [both[:, 0], both[:, 1], pa.array(made, type=pa.binary()), n.astype(np.int64), total]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["d1", "d2", "blob", "size", "total"])
 
         text = F.coalesce(F.col(text_col), F.lit(""))
         wanted = nodes.select(F.col("t").alias("w")).distinct()
-        few = wanted.count() <= 2_000_000
-        found = docs.select(text.alias("x")).join(F.broadcast(wanted) if few else wanted, F.xxhash64("x") == F.col("w"), "left_semi")
-        made = found.mapInArrow(of, "d1 long, d2 long, blob binary").groupBy("d1", "d2").agg(F.first("blob").alias("blob"))
-        return made.join(nodes.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "blob")
+        found = docs.select(text.alias("x")).join(small(wanted), F.xxhash64("x") == F.col("w"), "left_semi")
+        made = found.mapInArrow(of, "d1 long, d2 long, blob binary, size long, total double").groupBy("d1", "d2").agg(*[F.first(c).alias(c) for c in ("blob", "size", "total")])
+        return made.join(nodes.select("node", "d1", "d2"), ["d1", "d2"]).select("node", "blob", "size", "total")
 
     # ---- comparisons
 
@@ -223,9 +233,10 @@ class NearDuplicates:
                     out.append(similarity(unpacked(p), seen[q]))
                 yield pd.Series(out, dtype="float64")
 
-        one = pairs.join(blobs.select(F.col("node").alias("a"), F.col("blob").alias("x")), "a")
-        two = one.join(blobs.select(F.col("node").alias("b"), F.col("blob").alias("y")), "b")
-        return two.select("a", "b", of("x", "y").alias("s"))
+        # only the texts that are compared are moved
+        pairs = materialise(pairs, "pairs")
+        own = {c: blobs.join(small(pairs.select(F.col(c).alias("node")).distinct()), "node", "left_semi").select(F.col("node").alias(c), F.col("blob").alias(f"blob_{c}")) for c in ("a", "b")}
+        return pairs.join(own["a"], "a").join(own["b"], "b").select("a", "b", of("blob_a", "blob_b").alias("s"))
 
     def merged(self, labels: DataFrame, sims: DataFrame) -> DataFrame:
         """labels (node, comp) after joining what the links among sims (a, b, s) connect.
@@ -252,12 +263,40 @@ class NearDuplicates:
         """Of rows (key, node, s) those that could have a link to another class in their bucket, with comp. s is the similarity
         to the bucket's first leader."""
         slack = 1 - self.threshold
-        failed = F.max(F.when(F.col("s") < self.threshold, F.col("s")))
-        tops = rows.groupBy("key").agg(failed.alias("f")).filter("f IS NOT NULL")
+        tops = rows.groupBy("key").agg(F.max(F.when(F.col("s") < self.threshold, F.col("s"))).alias("f")).filter("f IS NOT NULL")
         near = rows.join(tops, "key").filter((F.col("s") < self.threshold) | (F.col("s") - F.col("f") <= slack)).drop("f")
-        near = near.join(labels, "node")
-        several = near.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") < self.threshold).alias("nf")).filter("lo <> hi")
-        return near.join(several.select("key", "n", "nf"), "key")
+        return self.undecided(near.join(labels, "node"))
+
+    def undecided(self, near: DataFrame) -> DataFrame:
+        """The rows of buckets with more than one class and with a failed node."""
+        counts = near.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") < self.threshold).alias("nf"))
+        return near.join(counts.filter("lo <> hi AND nf > 0").select("key", "n"), "key")
+
+    def bounded(self, rest: DataFrame, blobs: DataFrame) -> DataFrame:
+        """The open rows that can have a link at all, with size, unit (all weights are 1), shared and share: how many of a text's
+        shingles, and what part of its weight, any other open text has."""
+
+        def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for node, blob in zip(b.column("node").to_pylist(), b.column("blob").to_pylist(), strict=True):
+                    hashes, w = unpacked(blob)
+                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(w), node)), pa.array(w)], ["h", "node", "w"])
+
+        nodes = materialise(rest.select("node").distinct(), "nodes")
+        own = blobs.join(small(nodes), "node", "left_semi")
+        lone = own.select("node", "blob").mapInArrow(each, "h long, node long, w double").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("w").alias("w")).filter("c = 1")
+        lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"), F.sum("w").alias("weight"))
+        facts = own.select("node", "size", "total").join(lone, "node", "left")
+        shared, share = F.col("size") - F.coalesce("lone", F.lit(0)), 1 - F.coalesce("weight", F.lit(0.0)) / F.col("total")
+        facts = materialise(facts.select("node", "size", (F.abs(F.col("total") - F.col("size")) < 1e-6).alias("unit"), shared.alias("shared"), share.alias("share")), "facts")
+        d = rest.drop("n").join(facts, "node").filter(F.col("share") >= self.threshold - 1e-9)
+        least = d.groupBy("key").agg(F.min(F.when(F.col("unit"), F.col("size"))).alias("least"), F.bool_or(~F.col("unit")).alias("other"))
+        d = d.join(least, "key").filter(~F.col("unit") | F.col("other") | (F.col("shared") >= self.overlap(F.col("size"), F.col("least")))).drop("least", "other")
+        return materialise(self.undecided(d), "open")
+
+    def overlap(self, m: Column, n: Column) -> Column:
+        """The shingles that two sets of m and n must share to reach the threshold."""
+        return F.lit(self.threshold / (1 + self.threshold)) * (m + n) - 1e-9
 
     def labelled(self, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
         """(node, comp) of the nodes that met another one."""
@@ -278,16 +317,17 @@ class NearDuplicates:
         labels = self.merged(labels, materialise(self.compared(probes, blobs), "tested"))
         rest = materialise(self.still_open(rest.select("key", "node", "s"), labels), "open")
         while rest.head(1):
+            rest = self.bounded(rest, blobs)
             # failed nodes lead in the order of their numbers: a few of a large bucket, all of a small one
-            order = Window.partitionBy("key").orderBy("node")
-            failing = rest.filter(F.col("s") < self.threshold).withColumn("turn", F.row_number().over(order))
-            lead = failing.filter((F.col("turn") <= self.leaders) | (F.col("n") <= self.small)).select("key", F.col("node").alias("b"), F.col("comp").alias("cb"), F.col("s").alias("sb"))
-            pairs = rest.join(lead, "key").filter((F.col("comp") != F.col("cb")) & (F.abs(F.col("s") - F.col("sb")) <= 1 - self.threshold))
-            # of two leaders the larger leads, so a pair is compared once
-            pairs = pairs.select(F.col("node").alias("a"), "b").distinct()
-            both = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-            labels = self.merged(labels, materialise(self.compared(both, blobs), "tested"))
-            left = rest.select("key", "node", "s").join(lead.select("key", F.col("b").alias("node")), ["key", "node"], "left_anti")
+            failing = rest.filter(F.col("s") < self.threshold).withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
+            lead = failing.filter((F.col("turn") <= self.leaders) | (F.col("n") <= self.small))
+            lead = materialise(lead.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "comp", "s", "size", "unit", "shared")]), "leaders")
+            can = F.when(F.col("unit") & F.col("l_unit"), F.least("shared", "l_shared") >= self.overlap(F.col("size"), F.col("l_size"))).otherwise(F.lit(True))
+            on = (F.col("key") == F.col("l_key")) & (F.col("comp") != F.col("l_comp")) & (F.abs(F.col("s") - F.col("l_s")) <= 1 - self.threshold) & can
+            met = rest.join(lead.withColumnRenamed("key", "l_key"), on)
+            pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
+            labels = self.merged(labels, materialise(self.compared(pairs, blobs), "tested"))
+            left = rest.select("key", "node", "s").join(lead.select("key", F.col("l_node").alias("node")), ["key", "node"], "left_anti")
             rest = materialise(self.still_open(left, labels), "open")
         return labels
 
