@@ -179,14 +179,19 @@ def var_backtest(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
-BT_SQL = RETURNS_SQL + """, v AS (SELECT symbol, date, ret, CASE WHEN count(ret) OVER p >= 250 THEN -quantile_cont(ret, 0.05) OVER p END AS var FROM rets WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+def safe_log(x: str) -> str:
+    """A logarithm in SQL, 0 where there is none."""
+    return f"CASE WHEN {x} > 0 THEN ln({x}) ELSE 0 END"
+
+
+BT_SQL = RETURNS_SQL + f""", v AS (SELECT symbol, date, ret, CASE WHEN count(ret) OVER p >= 250 THEN -quantile_cont(ret, 0.05) OVER p END AS var FROM rets WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
 b AS (SELECT *, (-ret > var)::INT AS b FROM v WHERE ret IS NOT NULL AND var IS NOT NULL), bp AS (SELECT *, lag(b) OVER (PARTITION BY symbol ORDER BY date) AS p FROM b),
 c AS (SELECT symbol, count(*) AS n, sum(b)::DOUBLE AS x, count(*) FILTER (p = 0 AND b = 0) AS n00, count(*) FILTER (p = 0 AND b = 1) AS n01, count(*) FILTER (p = 1 AND b = 0) AS n10, count(*) FILTER (p = 1 AND b = 1) AS n11,
   avg(-ret - var) FILTER (b = 1) AS ms, max(-ret - var) FILTER (b = 1) AS xs, sum(1 + pow((-ret - var) * 100, 2)) FILTER (b = 1) AS ll FROM bp GROUP BY symbol),
-k AS (SELECT *, -2 * ((n - x) * ln(0.95) + x * ln(0.05) - (n - x) * ln(1 - x / n) - x * ln(x / n)) AS kup, n01 / (n00 + n01) AS p01, n11 / (n10 + n11) AS p11, (n01 + n11) / (n00 + n01 + n10 + n11) AS p FROM c),
-i AS (SELECT *, greatest(0, -2 * ((n00 + n10) * ln(1 - p) + (n01 + n11) * ln(p) - n00 * ln(1 - p01) - n01 * ln(p01) - n10 * ln(1 - p11) - CASE WHEN n11 > 0 THEN n11 * ln(p11) ELSE 0 END)) AS ind FROM k)
+k AS (SELECT *, -2 * ((n - x) * ln(0.95) + x * ln(0.05) - (n - x) * {safe_log('1 - x / n')} - x * {safe_log('x / n')}) AS kup, n01 / (n00 + n01) AS p01, n11 / (n10 + n11) AS p11, (n01 + n11) / (n00 + n01 + n10 + n11) AS p FROM c),
+i AS (SELECT *, CASE WHEN n00 + n01 = 0 OR n10 + n11 = 0 OR n01 + n11 = 0 OR p = 1 THEN 0 ELSE greatest(0, -2 * ((n00 + n10) * {safe_log('1 - p')} + (n01 + n11) * {safe_log('p')} - n00 * {safe_log('1 - p01')} - n01 * {safe_log('p01')} - n10 * {safe_log('1 - p11')} - n11 * {safe_log('p11')})) END AS ind FROM k)
 SELECT symbol, n AS n_obs, x::BIGINT AS n_breaches, n00, n01, n10, n11, round(x / n, 6) AS breach_rate, round(kup, 6) AS kupiec, round(ind, 6) AS independence, round(kup + ind, 6) AS conditional,
-  round(exp(-(kup + ind) / 2), 6) AS conditional_p, round(ll, 6) AS lopez_loss, round(ms, 6) AS mean_severity, round(xs, 6) AS max_severity, 'n/a' AS basel_zone FROM i"""
+  round(exp(-(kup + ind) / 2), 6) AS conditional_p, round(coalesce(ll, 0), 6) AS lopez_loss, round(coalesce(ms, 0), 6) AS mean_severity, round(coalesce(xs, 0), 6) AS max_severity, 'n/a' AS basel_zone FROM i WHERE n >= 100"""
 
 
 def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
