@@ -165,7 +165,7 @@ def small(keys: DataFrame, rows: int = 2_000_000) -> DataFrame:
 class NearDuplicates:
     """Classes of near-duplicate documents."""
 
-    def __init__(self, threshold: float = 0.8, bands: int = 30, rows: int = 5, small: int = 64, leaders: int = 32):
+    def __init__(self, threshold: float = 0.8, bands: int = 30, rows: int = 5, small: int = 512, leaders: int = 512):
         """small: an open rest of a bucket up to this size is compared pair by pair at once; a larger one gets `leaders` leaders in
         each round. Both bound the work of a round, not what is found."""
         self.threshold, self.bands, self.rows, self.small, self.leaders = threshold, bands, rows, small, leaders
@@ -311,7 +311,8 @@ class NearDuplicates:
         rest = materialise(self.still_open(rows, labels), "open")
         if not rest.head(1):
             return labels
-        # the failed ones meet a linked node of their bucket, another one in each bucket
+        # failed nodes that can have a link meet a linked node of their bucket, another one in each bucket
+        rest = self.bounded(rest, blobs)
         linked = rest.filter(F.col("s") >= self.threshold).groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), F.col("node").alias("b"), F.col("comp").alias("cb"))).alias("l"))
         probes = rest.filter(F.col("s") < self.threshold).join(linked, "key").filter(F.col("comp") != F.col("l.cb")).select(F.col("node").alias("a"), F.col("l.b").alias("b")).distinct()
         labels = self.merged(labels, materialise(self.compared(probes, blobs), "tested"))
@@ -338,7 +339,8 @@ class NearDuplicates:
         rows = materialise(self.described(docs, id_col, text_col), "signatures")
         known = F.struct(F.col("id").isNull().alias("none"), "id", "h", "g")
         reps = rows.groupBy("d1", "d2").agg(F.first("keys").alias("keys"), F.min("t").alias("t"), F.min(known).alias("k"))
-        reps = materialise(numbered(reps.withColumn("all", F.lit(0)), ["all"], F.struct("d1", "d2"), "node", rows.count()).drop("all"), "nodes")
+        total = rows.count()
+        reps = materialise(numbered(reps.withColumn("all", F.lit(0)), ["all"], F.struct("d1", "d2"), "node", total).drop("all"), "nodes")
         labels = self.labelled(docs, reps, text_col)
         named = reps.select("node", "d1", "d2", "k").join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         names = named.groupBy("comp").agg(F.min("k").alias("first"))
