@@ -7,18 +7,37 @@ Parquet and read again as the next one's docs. All but the last return the colum
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
 from tessella.llm import language_id, mixing, near_duplicates, packing, quality_rules
 from tessella.llm.common import materialise, table
 
-STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
-    ("quality_rules", quality_rules.stage),
-    ("language_id", language_id.stage),
-    ("near_duplicates", near_duplicates.stage),
-    ("mixing", mixing.stage),
-    ("packing", packing.stage),
+Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
+
+#: Rows that Spark sends to a Python worker at once. Workers of one stage stay alive for a while beside the next stage's, so what
+#: each holds is kept small.
+BATCH_ROWS = "2000"
+
+
+def lean(stage: Stage) -> Stage:
+    """The stage with small Arrow batches."""
+
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_rules", lean(quality_rules.stage)),
+    ("language_id", lean(language_id.stage)),
+    ("near_duplicates", lean(near_duplicates.stage)),
+    ("mixing", lean(mixing.stage)),
+    ("packing", lean(packing.stage)),
 ]
 
 #: Isolation forests, n-gram models and tokenizers are beyond SQL; tests hold the stages against brute-force versions.
