@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -183,8 +184,6 @@ def compare_models(results: DataFrame) -> DataFrame:
 def conditional_var(variance: Column, nu: Column, confidence: float = 0.99) -> Column:
     """VaR of a scaled t with a nu of its own in each row; null where nu is 2 or less. For many different nu: the constant comes
     from Python, in Arrow batches."""
-    import pandas as pd
-
     @F.pandas_udf("double")
     def factor(x: pd.Series) -> pd.Series:
         known = {v: -dist.t_ppf(1 - confidence, v) * math.sqrt((v - 2) / v) for v in x.dropna().unique() if v > 2}
