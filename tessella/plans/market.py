@@ -180,7 +180,7 @@ def trailing_rank(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def expanding_median(spark: SparkSession, sf: str) -> DataFrame:
-    return R.expanding_median(hourly(spark, sf).filter("ts < timestamp_ntz'2024-01-12'"), HOURLY, "close", 50).select("symbol", stamp(), r("median").alias("median"))
+    return R.expanding_median(hourly(spark, sf), HOURLY, "close", 50).select("symbol", stamp(), r("median").alias("median"))
 
 
 def recent_nonzero(spark: SparkSession, sf: str) -> DataFrame:
@@ -400,7 +400,7 @@ QUERIES = {
     "quant_metrics": (quant_metrics, f"WITH {RETURNS_SQL}, q AS (SELECT symbol, date, count(ret) {T126} AS n, (avg(ret) {T126} - 0.02 / 252) / stddev_samp(ret) {T126} * sqrt(252) AS s, -quantile_cont(ret, 0.05) {T126} AS v FROM rets) SELECT symbol, {D}, round(s, 6) AS sharpe, round(v, 8) AS var_95 FROM q WHERE n >= 126"),
     "prior_extremes": (prior_extremes, f"WITH {DAILY_SQL} SELECT symbol, {D}, round(CASE WHEN count(*) {PREV20} >= 20 THEN max(high) {PREV20} END, 6) AS hi_prev, round(CASE WHEN count(*) {PREV20} >= 20 THEN min(low) {PREV20} END, 6) AS lo_prev FROM daily"),
     "trailing_rank": (trailing_rank, f"WITH {RETURNS_SQL}, q AS (SELECT symbol, date, ret, list(ret) OVER p AS l, count(*) OVER t AS n, count(ret) OVER t AS c FROM rets WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 99 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)) SELECT symbol, {D}, round(CASE WHEN c >= 50 AND ret IS NOT NULL THEN len(list_filter(l, lambda x: x < ret)) / (n - 1) END, 6) AS rank FROM q"),
-    "expanding_median": (expanding_median, f"WITH {HOURLY_SQL}, q AS (SELECT symbol, ts, count(*) OVER w AS n, median(close) OVER w AS m FROM bars WHERE ts < TIMESTAMP '2024-01-12' WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) SELECT symbol, {TS}, round(CASE WHEN n >= 50 THEN m END, 6) AS median FROM q"),
+    "expanding_median": (expanding_median, f"WITH {HOURLY_SQL}, q AS (SELECT symbol, ts, count(*) OVER w AS n, median(close) OVER w AS m FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY ts ROWS UNBOUNDED PRECEDING)) SELECT symbol, {TS}, round(CASE WHEN n >= 50 THEN m END, 6) AS median FROM q"),
     "recent_nonzero": (recent_nonzero, f"WITH {RETURNS_SQL}, h AS (SELECT symbol, date, CASE WHEN ret > 0.015 THEN 1.0 WHEN ret < -0.015 THEN -1.0 ELSE 0.0 END::DOUBLE AS hit FROM rets) SELECT symbol, {D}, hit, coalesce(last_value(nullif(hit, 0) IGNORE NULLS) OVER (PARTITION BY symbol ORDER BY h.date ROWS BETWEEN 12 PRECEDING AND CURRENT ROW), 0.0)::DOUBLE AS recent FROM h"),
     "vwap_ema_signal": (vwap_ema_signal, f"WITH {VWAP_SQL} SELECT symbol, {D}, round(ln(ema), 8) AS log_ema, round(deviation, 6) AS deviation, round(ema_gap, 6) AS ema_gap, signal FROM sig"),
     "vwap_summary": (vwap_summary, f"WITH {VWAP_SQL} SELECT symbol, count(*) AS n_obs, round(avg((deviation > 0)::INT), 6) AS share_above, round(avg(abs(deviation)), 6) AS mean_abs_deviation, round(min(deviation), 6) AS min_deviation, round(max(deviation), 6) AS max_deviation FROM sig WHERE deviation IS NOT NULL GROUP BY symbol"),
