@@ -11,8 +11,9 @@ writes some from a grammar of common page layouts, so nothing has to be annotate
 
 Defined results. A null or empty page, and one without content, gives the empty text. Broken markup is read as far as it
 goes: unclosed elements end with their parent, stray end tags are ignored, an unclosed script, style or comment runs to the
-end. Text outside any element belongs to the root. Pages are read whole; repeated rows give equal texts; an empty table gives
-an empty result; extra columns are not read.
+end. What stands in a script, style or another raw element isn't markup; the element ends at the next end tag of its name. Text
+outside any element belongs to the root. Pages are read whole; repeated rows give equal texts; an empty table gives an empty
+result; extra columns are not read.
 """
 
 from __future__ import annotations
@@ -41,6 +42,8 @@ SPACE = re.compile(r"\s+")
 #: Elements without content of their own; elements whose content is not markup; elements inside a line of text.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title noscript template iframe svg math xmp noembed noframes".split())
+#: The end tags of the elements whose content is not markup.
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>]|\Z)[^>]*>?", re.I) for tag in RAW}
 INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Start tags that end an open element of these kinds (as HTML's optional end tags do).
@@ -63,12 +66,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
     """Block elements in page order (parents first; 0 is the root), and the page's flow: (element, text), with None where a
     block or line begins or ends. Inline elements add their text to the block they stand in."""
     nodes, flow = [Node("#root", -1)], []
-    stack, links, skip = [(0, "#root")], 0, ""
-    for m in TOKEN.finditer(page):
-        if skip:
-            if m[1] and m[1].lower() == skip:
-                skip = ""
-            continue
+    stack, links, tokens = [(0, "#root")], 0, TOKEN.finditer(page)
+    while m := next(tokens, None):
         end, start = m[1], m[2]
         if start:
             tag = start.lower()
@@ -77,7 +76,8 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 continue
             if tag in RAW:
                 if not m[0].endswith("/>"):
-                    skip = tag
+                    ended = RAW_END[tag].search(page, m.end())
+                    tokens = TOKEN.finditer(page, ended.end() if ended else len(page))
                 continue
             if tag in VOID:
                 continue

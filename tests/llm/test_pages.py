@@ -126,3 +126,21 @@ def test_cascade_is_exact_when_filters_are_poor(spark, monkeypatch):
     assert len(cascade.levels) > 2
     got = {r.key for r in universe.distinct().filter(cascade.member(F.col("key"))).collect()}
     assert got == set(listed)
+
+
+@pytest.mark.parametrize(
+    "raw",
+    [
+        "<script>for(i=0;i<n;i++){f(i)}</script>", "<script>if(a<b){x=\"it's\"}</script>", "<script>if(a<b&&c=='\"'){g()}</SCRIPT\n>", "<script><!-- if(i<n) g()</script>",
+        "<script><!--\nx('</p>')\n//--></script>", "<script>x='</scripted>';y=a<b</script >", "<STYLE>a<b{content:\"'\"}</style>", "<script>a<b</script><script>c<d</script>",
+        "<textarea>a <b 'c</textarea>", "<noscript><img alt='></noscript>", "<svg><text>a<b</svg>", "<script><![CDATA[ a<b </script>",
+    ],
+)
+def test_raw_elements_end_at_their_end_tag(raw):
+    flow = HX.parse(f"<article><p>Before.</p>{raw}<p>After it.</p></article>")[1]
+    assert [x for _, x in flow if x is not None] == ["Before.", "After it."]
+
+
+def test_unclosed_raw_elements_run_to_the_end():
+    for raw in ("<script>i<n", "<style>p{}</styled>", "<script><!-- -->"):
+        assert [x for _, x in HX.parse(f"<p>Before.</p>{raw}<p>After it.</p>")[1] if x is not None] == ["Before."]
