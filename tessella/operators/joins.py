@@ -86,11 +86,11 @@ def real_cost_bp(bars: DataFrame, spreads: DataFrame, series: Series, bucket: Co
 
 
 def best_partner(paths: DataFrame, moves: DataFrame, date: str, rho_min: float, rho: str = "rho") -> DataFrame:
-    """(date, asset, partner, rho, implied): the partner of largest absolute correlation (the first by name among equals) and the
-    side it implies: sign(rho) * sign(its own recent move), 0 below rho_min. paths has each pair once; moves is (date, asset,
+    """(date, asset, partner, rho, implied): the partner of largest absolute correlation (the first by name among those equal to 12
+    digits: a path begins with correlations of 1 or -1, which only rounding errors would tell apart) and the side it implies: sign(rho) * sign(its own recent move), 0 below rho_min. paths has each pair once; moves is (date, asset,
     move)."""
     both = paths.select(date, F.col("asset_i").alias("asset"), F.col("asset_j").alias("partner"), rho).unionByName(paths.select(date, F.col("asset_j").alias("asset"), F.col("asset_i").alias("partner"), rho))
-    w = Window.partitionBy(date, "asset").orderBy(F.abs(rho).desc(), "partner")
+    w = Window.partitionBy(date, "asset").orderBy(F.round(F.abs(rho), 12).desc(), "partner")
     top = both.filter(F.col(rho).isNotNull()).withColumn("__r", F.row_number().over(w)).filter("__r = 1").drop("__r")
     m = moves.select(date, F.col("asset").alias("partner"), "move")
     implied = F.when(F.abs(rho) >= rho_min, F.signum(rho) * F.signum("move")).otherwise(F.lit(0.0))

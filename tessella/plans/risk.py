@@ -141,12 +141,10 @@ def best_partner(spark: SparkSession, sf: str) -> DataFrame:
     p = panel(spark, sf)
     s = Series(("asset",), ("date",))
     moves = p.withColumn("move", F.sum("ret").over(s.prev(8))).select("date", "asset", "move")
-    # the first correlations of a path are 1 or -1
-    paths = corr_paths(spark, sf).filter("date >= '1995-06-01'")
-    return J.best_partner(paths, moves, "date", 0.1).select(day(), "asset", "partner", r("rho", 8).alias("rho"), "implied")
+    return J.best_partner(corr_paths(spark, sf), moves, "date", 0.1).select(day(), "asset", "partner", r("rho", 8).alias("rho"), "implied")
 
 
-PARTNER_SQL = CORR_SQL + """, both_ways AS (SELECT date, asset_i AS asset, asset_j AS partner, rho FROM rho WHERE rho IS NOT NULL AND date >= '1995-06-01' UNION ALL SELECT date, asset_j, asset_i, rho FROM rho WHERE rho IS NOT NULL AND date >= '1995-06-01'),
+PARTNER_SQL = CORR_SQL + """, both_ways AS (SELECT date, asset_i AS asset, asset_j AS partner, rho FROM rho WHERE rho IS NOT NULL UNION ALL SELECT date, asset_j, asset_i, rho FROM rho WHERE rho IS NOT NULL),
 top AS (SELECT *, row_number() OVER (PARTITION BY date, asset ORDER BY abs(rho) DESC, partner) AS k FROM both_ways),
 mv AS (SELECT date, asset, sum(ret) OVER (PARTITION BY asset ORDER BY date ROWS BETWEEN 8 PRECEDING AND 1 PRECEDING) AS move FROM panel)
 SELECT CAST(top.date AS VARCHAR) AS date, top.asset, partner, round(rho, 8) AS rho, coalesce(CASE WHEN abs(rho) >= 0.1 THEN sign(rho) * sign(move) ELSE 0 END, 0)::DOUBLE AS implied

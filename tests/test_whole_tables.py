@@ -1,10 +1,12 @@
 """Queries cover the whole of their tables: their rows against loops over all rows read."""
 
+import math
 import statistics
 from collections import defaultdict
 
 import pytest
 
+from tessella.operators import joins as J
 from tessella.plans import base, registry
 
 SF = "/root/testdata/sf0.001"
@@ -21,3 +23,33 @@ def test_expanding_median_runs_over_all_hours(spark):
     got = {(x.symbol, x.ts): x["median"] for x in registry.queries()["expanding_median"](spark, SF).collect()}
     assert set(got) == set(want) and max(ts for _, ts in got) > "2024-01-29"
     assert all((got[k] is None) == (v is None) and (v is None or got[k] == pytest.approx(v, abs=1e-6)) for k, v in want.items())
+
+
+def test_best_partner_begins_with_the_panel(spark):
+    """Against a loop over the panel; an asset's first correlation is known on the panel's second date."""
+    sf = "/root/testdata/sf0.01"
+    panel = defaultdict(dict)
+    for x in base.panel(spark, sf).collect():
+        panel[x.date][x.asset] = x.ret
+    dates, want, sums = sorted(panel), {}, {}
+    for t, d in enumerate(dates):
+        names = sorted(panel[d])
+        for a in names if t else ():
+            rho = {b: sums[a, b] / math.sqrt(sums[a, a] * sums[b, b]) for b in names if b != a}
+            partner = min(rho, key=lambda b: (-round(abs(rho[b]), 12), b))
+            move = sum(panel[e][partner] for e in dates[max(0, t - 8) : t])
+            want[str(d), a] = (partner, rho[partner], math.copysign(1, rho[partner]) * math.copysign(1, move) if abs(rho[partner]) >= 0.1 else 0.0)
+        for a in names:
+            for b in names:
+                v = panel[d][a] * panel[d][b]
+                sums[a, b] = 0.97 * sums[a, b] + 0.03 * v if t else v
+    got = {(str(x.date), x.asset): (x.partner, x.rho, x.implied) for x in registry.queries()["best_partner_alignment"](spark, sf).collect()}
+    assert set(got) == set(want) and min(got)[0] < "1995-06-01"
+    assert all(got[k][0] == v[0] and got[k][1] == pytest.approx(v[1], abs=1e-7) and got[k][2] == v[2] for k, v in want.items())
+
+
+def test_best_partner_ties_go_by_name(spark):
+    rows = [(1, "a", "b", 1 - 1e-16), (1, "a", "c", -1.0), (1, "b", "c", 1.0 - 2e-16)]
+    paths = spark.createDataFrame(rows, "date int, asset_i string, asset_j string, rho double")
+    moves = spark.createDataFrame([(1, a, 1.0) for a in "abc"], "date int, asset string, move double")
+    assert {x.asset: x.partner for x in J.best_partner(paths, moves, "date", 0.1).collect()} == {"a": "b", "b": "a", "c": "a"}
