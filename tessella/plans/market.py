@@ -116,15 +116,17 @@ def coverage_report(spark: SparkSession, sf: str) -> DataFrame:
     return B.coverage(daily(spark, sf)).select("symbol", day("first_date"), day("last_date"), "n_rows", "binding")
 
 
+#: The instruments of `daily`, and their columns in a wide panel.
+PRIORITIES = {"1-URGENT": "urgent", "2-HIGH": "high", "3-MEDIUM": "medium", "4-NOT SPECIFIED": "unspecified", "5-LOW": "low"}
+
+
 def price_panel(spark: SparkSession, sf: str) -> DataFrame:
-    symbols = ["1-URGENT", "2-HIGH", "5-LOW"]
-    p = B.panel(daily(spark, sf), symbols)
-    return p.select(day(), *[F.col(f"`{s}`").alias(a) for s, a in zip(symbols, ("urgent", "high", "low"), strict=True)])
+    p = B.panel(daily(spark, sf), list(PRIORITIES))
+    return p.select(day(), *[F.col(f"`{s}`").alias(a) for s, a in PRIORITIES.items()])
 
 
 def aligned_log_returns(spark: SparkSession, sf: str) -> DataFrame:
-    two = daily(spark, sf).filter("symbol IN ('1-URGENT', '2-HIGH')")
-    return B.aligned_returns(two, 2).select(day(), "symbol", r("ret", 8).alias("ret"))
+    return B.aligned_returns(daily(spark, sf), len(PRIORITIES)).select(day(), "symbol", r("ret", 8).alias("ret"))
 
 
 def monthly_returns(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,8 +389,8 @@ QUERIES = {
     "blackout_mask": (blackout_mask, BLACKOUT_SQL),
     "bar_sanity": (bar_sanity, f"WITH {DAILY_SQL} SELECT symbol, count(*) AS n_rows, " + ", ".join(f"CAST(sum(({rule})::INT) AS BIGINT) AS {name}" for name, rule in B.SANITY.items()) + " FROM daily GROUP BY symbol"),
     "coverage_report": (coverage_report, f"WITH {DAILY_SQL}, c AS (SELECT symbol, min(date) AS f, max(date) AS l, count(*) AS n FROM daily GROUP BY symbol) SELECT symbol, CAST(f AS VARCHAR) AS first_date, CAST(l AS VARCHAR) AS last_date, n AS n_rows, row_number() OVER (ORDER BY f DESC, symbol DESC) = 1 AS binding FROM c"),
-    "price_panel": (price_panel, f"WITH {DAILY_SQL} SELECT {D}, max(CASE WHEN symbol = '1-URGENT' THEN close END) AS urgent, max(CASE WHEN symbol = '2-HIGH' THEN close END) AS high, max(CASE WHEN symbol = '5-LOW' THEN close END) AS low FROM daily WHERE symbol IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY date"),
-    "aligned_log_returns": (aligned_log_returns, f"WITH {DAILY_SQL}, d AS (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM daily WHERE symbol IN ('1-URGENT', '2-HIGH')), x AS (SELECT a.date, a.symbol, ln(a.close / b.close) AS ret FROM d a JOIN d b ON a.symbol = b.symbol AND a.k = b.k + 1) SELECT {D}, symbol, round(ret, 8) AS ret FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM x) WHERE n = 2"),
+    "price_panel": (price_panel, f"WITH {DAILY_SQL} SELECT {D}, " + ", ".join(f"max(CASE WHEN symbol = '{s}' THEN close END) AS {a}" for s, a in PRIORITIES.items()) + " FROM daily GROUP BY date"),
+    "aligned_log_returns": (aligned_log_returns, f"WITH {DAILY_SQL}, d AS (SELECT *, dense_rank() OVER (ORDER BY date) AS k FROM daily), x AS (SELECT a.date, a.symbol, ln(a.close / b.close) AS ret FROM d a JOIN d b ON a.symbol = b.symbol AND a.k = b.k + 1) SELECT {D}, symbol, round(ret, 8) AS ret FROM (SELECT *, count(*) OVER (PARTITION BY date) AS n FROM x) WHERE n = 5"),
     "monthly_returns": (monthly_returns, f"WITH {DAILY_SQL}, m AS (SELECT symbol, date_trunc('month', date)::DATE AS month, arg_max(close, date) AS close FROM daily GROUP BY ALL) SELECT symbol, CAST(month AS VARCHAR) AS month, round(close, 6) AS close, round(close / lag(close) OVER (PARTITION BY symbol ORDER BY month) - 1, 8) AS ret FROM m"),
     "clean_bars": (clean_bars, f"WITH {HOURLY_SQL}, j AS (SELECT *, abs(close / lag(close) OVER w - 1) AS jump FROM bars WHERE volume > 0 {W}) SELECT symbol, {TS}, {OHLC}, volume FROM j WHERE jump IS NULL OR jump <= 2.0"),
     "typical_price": (typical, f"WITH {DAILY_SQL} SELECT symbol, {D}, round((high + low + close) / 3, 6) AS typical FROM daily"),

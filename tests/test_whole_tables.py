@@ -53,3 +53,21 @@ def test_best_partner_ties_go_by_name(spark):
     paths = spark.createDataFrame(rows, "date int, asset_i string, asset_j string, rho double")
     moves = spark.createDataFrame([(1, a, 1.0) for a in "abc"], "date int, asset string, move double")
     assert {x.asset: x.partner for x in J.best_partner(paths, moves, "date", 0.1).collect()} == {"a": "b", "b": "a", "c": "a"}
+
+
+def test_aligned_returns_and_panel_have_all_instruments(spark):
+    sf = "/root/testdata/sf0.01"
+    close = defaultdict(dict)
+    for x in base.daily(spark, sf).collect():
+        close[str(x.date)][x.symbol] = x.close
+    symbols, dates = sorted({s for own in close.values() for s in own}), sorted(close)
+    assert len(symbols) == 5
+    want = {}
+    for before, d in zip(dates, dates[1:]):
+        if all(s in close[d] and s in close[before] for s in symbols):
+            want |= {(d, s): math.log(close[d][s] / close[before][s]) for s in symbols}
+    got = {(str(x.date), x.symbol): x.ret for x in registry.queries()["aligned_log_returns"](spark, sf).collect()}
+    assert got == pytest.approx(want, abs=1e-7) and len(want) > 0
+    columns = dict(zip(("urgent", "high", "medium", "unspecified", "low"), symbols, strict=True))
+    rows = registry.queries()["price_panel"](spark, sf).collect()
+    assert {str(x.date): {s: x[c] for c, s in columns.items() if x[c] is not None} for x in rows} == dict(close)
