@@ -254,39 +254,85 @@ def simulate_paths(rng: np.random.Generator, paths: int, horizon: int, omega: fl
     return total
 
 
-def monte_carlo_var(spark: SparkSession, returns: np.ndarray, method: str = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8) -> DataFrame:
-    """(horizon, var, es, ratio_sqrt_time): simulated losses by filtered historical simulation, parametric t, or bootstrap of raw
-    returns. Paths are simulated in blocks, each with a seed of its own, so the result doesn't depend on where a block runs."""
-    if method not in ("fhs", "parametric", "bootstrap"):
-        raise ValueError("method is fhs, parametric or bootstrap")
+def simulation_state(returns: np.ndarray, method: str) -> dict:
+    """What a simulation starts from: the fitted recursion, the next variance, and the returns and their standardised residuals."""
     r = np.asarray(returns, dtype=float)
     r = r[np.isfinite(r)]
+    if len(r) < 2 or not r.std() > 0:
+        return {"omega": None, "alpha": None, "beta": None, "nu": None, "last": None, "r": [], "z": []}
     f = fit(r, student=method == "parametric")
     if f["omega"] is None:
         f = {"omega": float(np.var(r)), "alpha": 0.0, "beta": 0.0, "nu": 8.0}
     s = variances(r**2, f["omega"], f["alpha"], f["beta"], float(np.var(r, ddof=1)))
     z = r / np.sqrt(s[:-1])
     z = (z - z.mean()) / z.std()
-    nu, last = f["nu"] or 8.0, float(s[-1])
-    each = -(-paths // blocks)
+    return {"omega": f["omega"], "alpha": f["alpha"], "beta": f["beta"], "nu": f["nu"] or 8.0, "last": float(s[-1]), "r": r.tolist(), "z": z.tolist()}
+
+
+STATE = "omega double, alpha double, beta double, nu double, last double, r array<double>, z array<double>"
+
+
+def monte_carlo_by(df: DataFrame, series: Series, ret: str, method: str = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8) -> DataFrame:
+    """(keys, horizon, paths, var, es, ratio_sqrt_time) of every series, as `monte_carlo_var`. Each series is fitted in its own group;
+    then (series, block) are rows and run in parallel. Series draw with equal seeds, so a series' figures don't depend on which others
+    there are. A series of fewer than two returns, or a constant one, has 0 paths and null figures."""
+    check_method(method)
+    keys, kinds = list(series.keys), dict(df.dtypes)
+
+    def of(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values(list(series.order))
+        return pd.DataFrame([{k: own[k].iloc[0] for k in keys} | simulation_state(own[ret].to_numpy(), method)])
+
+    states = df.select(*keys, *series.order, ret).groupBy(*keys).applyInPandas(of, ", ".join([*(f"{k} {kinds[k]}" for k in keys), STATE]))
+    return simulate(states, keys, method, horizons, confidence, paths, seed, blocks)
 
-    def draw(rng: np.random.Generator, n: int) -> np.ndarray:
-        return rng.choice(z, n) if method == "fhs" else rng.standard_t(nu, n) * math.sqrt((nu - 2) / nu)
+
+def check_method(method: str) -> None:
+    if method not in ("fhs", "parametric", "bootstrap"):
+        raise ValueError("method is fhs, parametric or bootstrap")
+
+
+def simulate(states: DataFrame, keys: list[str], method: str, horizons: tuple[int, ...], confidence: float, paths: int, seed: int, blocks: int) -> DataFrame:
+    """VaR and ES by key and horizon of simulation states, one row each. Paths are simulated in blocks, each with a seed of its own, so
+    the result doesn't depend on where a block runs."""
+    each, kinds = -(-paths // blocks), dict(states.dtypes)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for block in b["id"]:
+            for x in b.to_dict("records"):
+                r, z, nu = np.asarray(x["r"], dtype=float), np.asarray(x["z"], dtype=float), x["nu"]
+
+                def draw(rng: np.random.Generator, n: int, z=z, nu=nu) -> np.ndarray:
+                    return rng.choice(z, n) if method == "fhs" else rng.standard_t(nu, n) * math.sqrt((nu - 2) / nu)
+
                 for h in horizons:
-                    rng = np.random.default_rng([seed, int(block), h])
-                    total = rng.choice(r, (each, h)).sum(axis=1) if method == "bootstrap" else simulate_paths(rng, each, h, f["omega"], f["alpha"], f["beta"], last, draw)
-                    yield pd.DataFrame({"horizon": h, "path": np.arange(each) + block * each, "ret": total})
-
-    sims = spark.range(0, blocks, 1, blocks).mapInPandas(of, "horizon int, path long, ret double").filter(F.col("path") < paths)
-    q = sims.groupBy("horizon").agg(F.percentile("ret", F.lit(1 - confidence)).alias("__q"), F.count(F.lit(1)).alias("paths"))
-    tail = sims.join(F.broadcast(q), "horizon").filter("ret <= __q").groupBy("horizon").agg(F.avg("ret").alias("__es"))  # one row per horizon
-    d = q.join(tail, "horizon").select("horizon", "paths", (-F.col("__q")).alias("var"), (-F.col("__es")).alias("es"))
-    first = d.agg(F.min(F.struct("horizon", "var")).alias("__f"))
-    return d.join(F.broadcast(first)).select(*d.columns, (F.col("var") / (F.col("__f.var") * F.sqrt(F.col("horizon") / F.col("__f.horizon")))).alias("ratio_sqrt_time"))
+                    rng = np.random.default_rng([seed, int(x["block"]), h])
+                    if not len(r):
+                        total = np.full(each, np.nan)
+                    elif method == "bootstrap":
+                        total = rng.choice(r, (each, h)).sum(axis=1)
+                    else:
+                        total = simulate_paths(rng, each, h, x["omega"], x["alpha"], x["beta"], x["last"], draw)
+                    yield pd.DataFrame({k: x[k] for k in keys} | {"horizon": h, "path": np.arange(each) + x["block"] * each, "ret": total})
+
+    work = states.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*keys, "block")
+    sims = work.mapInPandas(of, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "horizon int, path long, ret double"]))
+    sims = sims.filter(F.col("path") < paths).withColumn("ret", F.when(~F.isnan("ret"), F.col("ret")))
+    by = [*keys, "horizon"]
+    q = sims.groupBy(*by).agg(F.percentile("ret", F.lit(1 - confidence)).alias("__q"), F.count("ret").alias("paths"))
+    tail = sims.join(F.broadcast(q.drop("paths")), by).filter("ret <= __q").groupBy(*by).agg(F.avg("ret").alias("__es"))  # one row per series and horizon
+    d = q.join(tail, by, "left").select(*by, "paths", (-F.col("__q")).alias("var"), (-F.col("__es")).alias("es"))
+    first = d.groupBy(*keys).agg(F.min(F.struct("horizon", "var")).alias("__f"))
+    both = d.join(F.broadcast(first), keys) if keys else d.join(F.broadcast(first))
+    return both.select(*d.columns, (F.col("var") / (F.col("__f.var") * F.sqrt(F.col("horizon") / F.col("__f.horizon")))).alias("ratio_sqrt_time"))
+
+
+def monte_carlo_var(spark: SparkSession, returns: np.ndarray, method: str = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8) -> DataFrame:
+    """(horizon, paths, var, es, ratio_sqrt_time) of one series: simulated losses by filtered historical simulation, parametric t, or
+    bootstrap of raw returns."""
+    check_method(method)
+    state = spark.createDataFrame([tuple(simulation_state(returns, method).values())], STATE)
+    return simulate(state, [], method, horizons, confidence, paths, seed, blocks)
 
 
 def null_paths(spark: SparkSession, seeds: list[int], bars: int, regime: str = "garch", sigma: float = 3e-4, alpha: float = 0.08, beta: float = 0.90, steps: int = 10, start_price: float = 100.0) -> DataFrame:

@@ -365,9 +365,7 @@ SELECT construction, symbol, count(*) AS n_obs, count(*) FILTER (-net > var) AS
 
 
 def monte_carlo_var(spark: SparkSession, sf: str) -> DataFrame:
-    one = clean_returns(spark, sf).filter("symbol = '1-URGENT'").orderBy("date").select("ret")
-    # one instrument's daily series, the input of a simulation: some thousand numbers
-    return G.monte_carlo_var(spark, [x["ret"] for x in one.collect()])
+    return G.monte_carlo_by(clean_returns(spark, sf), DAILY, "ret")
 
 
 def null_paths(spark: SparkSession, sf: str) -> DataFrame:

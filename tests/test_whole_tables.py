@@ -6,6 +6,7 @@ from collections import defaultdict
 
 import pytest
 
+from tessella.operators import garch as G
 from tessella.operators import joins as J
 from tessella.plans import base, registry
 
@@ -71,3 +72,22 @@ def test_aligned_returns_and_panel_have_all_instruments(spark):
     columns = dict(zip(("urgent", "high", "medium", "unspecified", "low"), symbols, strict=True))
     rows = registry.queries()["price_panel"](spark, sf).collect()
     assert {str(x.date): {s: x[c] for c, s in columns.items() if x[c] is not None} for x in rows} == dict(close)
+
+
+def test_monte_carlo_simulates_every_symbol(spark):
+    rows = defaultdict(list)
+    for x in base.returns(spark, SF).filter("ret IS NOT NULL").orderBy("symbol", "date").collect():
+        rows[x.symbol].append(x.ret)
+    got = {(x.symbol, x.horizon): x for x in registry.queries()["monte_carlo_var"](spark, SF).collect()}
+    assert set(got) == {(s, h) for s in rows for h in (1, 5, 10)} and len(rows) == 5
+    for s in ("1-URGENT", "5-LOW"):
+        for x in G.monte_carlo_var(spark, rows[s]).collect():
+            y = got[s, x.horizon]
+            assert (y.paths, y["var"], y.es, y.ratio_sqrt_time) == pytest.approx((x.paths, x["var"], x.es, x.ratio_sqrt_time))
+
+
+def test_monte_carlo_of_a_constant_series_is_null(spark):
+    d = spark.createDataFrame([(s, t, v) for t in range(150) for s, v in (("a", 0.0), ("b", 0.01 * math.sin(t * t)))], "symbol string, date int, ret double")
+    for method in ("fhs", "parametric", "bootstrap"):
+        got = {(x.symbol, x.horizon): (x.paths, x["var"]) for x in G.monte_carlo_by(d, base.DAILY, "ret", method, horizons=(1, 2), paths=400).collect()}
+        assert got["a", 1] == got["a", 2] == (0, None) and got["b", 1][0] == 400 and got["b", 1][1] > 0
