@@ -336,17 +336,11 @@ def garch_var_path(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def dcc_cov(spark: SparkSession, sf: str) -> DataFrame:
-    assets = ["1-URGENT", "2-HIGH", "3-MEDIUM"]
-    return G.dcc_path(panel(spark, sf).filter(F.col("asset").isin(assets)), assets)
+    return G.dcc_path(panel(spark, sf), [a for a, _ in WEIGHTS])
 
 
 def rolling_dcc(spark: SparkSession, sf: str) -> DataFrame:
-    assets = ["1-URGENT", "2-HIGH"]
-    two = daily(spark, sf).filter(F.col("symbol").isin(assets))
-    p = B.log_returns(two, DAILY).filter("ret IS NOT NULL").select("date", F.col("symbol").alias("asset"), (F.col("ret") / 100).alias("ret"))
-    cov = G.rolling_dcc(p, assets, window=500, refit=200, least=400)
-    w = spark.createDataFrame([(a, 0.5) for a in assets], "asset string, weight double")
-    return G.dcc_var_series(cov, w)
+    return G.dcc_var_series(G.rolling_dcc(panel(spark, sf), [a for a, _ in WEIGHTS]), weights(spark))
 
 
 def var_constructions(spark: SparkSession, sf: str) -> DataFrame:

@@ -91,3 +91,17 @@ def test_monte_carlo_of_a_constant_series_is_null(spark):
     for method in ("fhs", "parametric", "bootstrap"):
         got = {(x.symbol, x.horizon): (x.paths, x["var"]) for x in G.monte_carlo_by(d, base.DAILY, "ret", method, horizons=(1, 2), paths=400).collect()}
         assert got["a", 1] == got["a", 2] == (0, None) and got["b", 1][0] == 400 and got["b", 1][1] > 0
+
+
+def test_dcc_queries_have_all_assets(spark, monkeypatch):
+    sf = "/root/testdata/sf0.01"
+    panel = sorted({str(x.date) for x in base.panel(spark, sf).select("date").collect()})
+    asked = []
+    whole = G.rolling_dcc
+    monkeypatch.setattr(G, "rolling_dcc", lambda p, assets, **options: asked.append((sorted(assets), options)) or whole(p, assets, **options))
+    symbols = sorted(x.symbol for x in base.daily(spark, sf).select("symbol").distinct().collect())
+    got = {str(x.date): x for x in registry.queries()["rolling_dcc_var"](spark, sf).collect()}
+    assert asked == [(symbols, {})]
+    assert sorted(got) == panel[400:] and all(x["var"] > 0 and x.es > x["var"] for x in got.values())
+    pairs = {(x.asset_i, x.asset_j) for x in registry.queries()["dcc_cov"](spark, sf).select("asset_i", "asset_j").distinct().collect()}
+    assert pairs == {(a, b) for a in symbols for b in symbols if a <= b}
