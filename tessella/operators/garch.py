@@ -138,36 +138,47 @@ def filter_garch(df: DataFrame, fits: DataFrame, series: Series, ret: str, out:
 
 
 def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, window: int = 750, refit: int = 21, student: bool = True) -> DataFrame:
-    """Walk-forward forecasts: (keys, order, variance, nu), each known before its row. Refit points are exploded with their window
-    of returns and fitted in parallel; each point then filters its own window and the rows up to the next point."""
+    """Walk-forward forecasts: (keys, order, variance, nu, refit_at), each known before its row. Refit points are exploded with their
+    window of returns and fitted in parallel. A fit's parameters then hold, and its variance runs on, up to the next point that could
+    be fitted: a point whose window has too few returns or is constant keeps the last ones, so no row drops out. Rows before a
+    series' first fit have no forecast. refit_at is the row number of the fit."""
     keys, at = list(series.keys), series.order[0]
     n = F.row_number().over(series.window())
     d = df.select(*keys, at, ret).withColumn("__i", n)
-    w = series.window().rowsBetween(-window, refit - 1)
-    pieces = F.collect_list(F.struct("__i", F.col(at).alias("at"), F.col(ret).alias("r"))).over(w)
-    points = d.withColumn("__w", pieces).filter((F.col("__i") > min_obs) & ((F.col("__i") - 1 - min_obs) % refit == 0)).select(*keys, F.col("__i").alias("first"), "__w")
+    past = F.collect_list(F.struct("__i", F.col(ret).alias("r"))).over(series.window().rowsBetween(-window, -1))
+    points = d.withColumn("__w", past).filter((F.col("__i") > min_obs) & ((F.col("__i") - 1 - min_obs) % refit == 0)).select(*keys, F.col("__i").alias("first"), "__w")
     kinds = dict(df.dtypes)
-    schema = ", ".join(f"{k} {kinds[k]}" for k in keys) + f", {at} {kinds[at]}, variance double, nu double, refit_at long"
+    of_keys = ", ".join([f"{k} {kinds[k]}" for k in keys])
 
-    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             out = []
             for k in range(len(b)):
-                cells, first = b["__w"].iloc[k], b["first"].iloc[k]
-                past = np.array([c["r"] for c in cells if c["__i"] < first], dtype=float)[-window:]
-                found = fit(past, student, False)
+                own = np.array([c["r"] for c in sorted(b["__w"].iloc[k], key=lambda c: c["__i"])], dtype=float)
+                found = fit(own, student, False)
                 if found["omega"] is None:
                     continue
-                own = past[np.isfinite(past)]
+                own = own[np.isfinite(own)]
                 s = variances(own**2, found["omega"], found["alpha"], found["beta"], float(np.var(own, ddof=1)))[-1]
-                for c in cells:
-                    if c["__i"] >= first:
-                        out.append({x: b[x].iloc[k] for x in keys} | {at: c["at"], "variance": s, "nu": found["nu"], "refit_at": first})
-                        if c["r"] is not None and math.isfinite(c["r"]):
-                            s = found["omega"] + found["alpha"] * c["r"] ** 2 + found["beta"] * s
-            yield pd.DataFrame(out, columns=[*keys, at, "variance", "nu", "refit_at"])
-
-    return points.repartition(*keys, "first").mapInPandas(of, schema)
+                out.append({x: b[x].iloc[k] for x in keys} | {"first": b["first"].iloc[k], "start": s} | {x: found[x] for x in ("omega", "alpha", "beta", "nu")})
+            yield pd.DataFrame(out, columns=[*keys, "first", "start", "omega", "alpha", "beta", "nu"])
+
+    fits = points.repartition(*keys, "first").mapInPandas(fitted, f"{of_keys}, first long, start double, omega double, alpha double, beta double, nu double")
+    # each row's fit is the last one at or before it; a fit and its rows are one segment
+    rows = d.join(fits.withColumnRenamed("first", "__i"), [*keys, "__i"], "left")
+    rows = rows.withColumn("__fit", F.last(F.when(F.col("omega").isNotNull(), F.col("__i")), ignorenulls=True).over(series.upto())).filter("__fit IS NOT NULL")
+
+    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("__i")
+        head = own.iloc[0]
+        s, path = head["start"], []
+        for x in own[ret].to_numpy(dtype=float).tolist():
+            path.append(s)
+            if math.isfinite(x):
+                s = head["omega"] + head["alpha"] * x**2 + head["beta"] * s
+        return own[[*keys, at]].assign(variance=path, nu=head["nu"] if student else None, refit_at=head["__fit"])
+
+    return rows.groupBy(*keys, "__fit").applyInPandas(walk, f"{of_keys}, {at} {kinds[at]}, variance double, nu double, refit_at long")
 
 
 def garch_var(forecasts: DataFrame, confidence: float = 0.99) -> DataFrame:

@@ -331,7 +331,7 @@ def garch_forecast(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def garch_var_path(spark: SparkSession, sf: str) -> DataFrame:
-    f = G.rolling_garch(clean_returns(spark, sf), DAILY, "ret", min_obs=250, window=500, refit=250)
+    f = G.rolling_garch(clean_returns(spark, sf), DAILY, "ret")
     return G.garch_var(f).select("symbol", "date", "variance", "nu", "var", "es")
 
 

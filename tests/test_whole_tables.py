@@ -4,6 +4,7 @@ import math
 import statistics
 from collections import defaultdict
 
+import numpy as np
 import pytest
 
 from tessella.operators import garch as G
@@ -105,3 +106,36 @@ def test_dcc_queries_have_all_assets(spark, monkeypatch):
     assert sorted(got) == panel[400:] and all(x["var"] > 0 and x.es > x["var"] for x in got.values())
     pairs = {(x.asset_i, x.asset_j) for x in registry.queries()["dcc_cov"](spark, sf).select("asset_i", "asset_j").distinct().collect()}
     assert pairs == {(a, b) for a in symbols for b in symbols if a <= b}
+
+
+def test_rolling_garch_carries_parameters_over_failed_refits(spark):
+    rng = np.random.default_rng(3)
+    r = rng.normal(0, 0.01, 700)
+    r[300:520] = 0.0
+    d = spark.createDataFrame([("a", t, float(x)) for t, x in enumerate(r)], "symbol string, date int, ret double")
+    got = {x.date: x for x in G.rolling_garch(d, base.DAILY, "ret", min_obs=150, window=150, refit=50).collect()}
+    assert sorted(got) == list(range(150, 700))
+    # rows 450 and 500 begin with a window of zeros alone
+    assert {t: got[t].refit_at for t in (400, 449, 450, 500, 549)} == {400: 401, 449: 401, 450: 401, 500: 401, 549: 401}
+    f = G.fit(r[250:400])
+    s = G.variances(r[250:400] ** 2, f["omega"], f["alpha"], f["beta"], float(np.var(r[250:400], ddof=1)))[-1]
+    for t in range(400, 550):
+        assert got[t].variance == pytest.approx(s) and got[t].nu == pytest.approx(f["nu"])
+        s = f["omega"] + f["alpha"] * r[t] ** 2 + f["beta"] * s
+
+
+def test_rolling_garch_without_any_fit_is_empty(spark):
+    d = spark.createDataFrame([("a", t, 0.0) for t in range(300)], "symbol string, date int, ret double")
+    assert G.rolling_garch(d, base.DAILY, "ret", min_obs=150, window=150, refit=50, student=False).count() == 0
+
+
+def test_garch_var_path_refits_by_the_operators_defaults(spark, monkeypatch):
+    asked = []
+    whole = G.rolling_garch
+    monkeypatch.setattr(G, "rolling_garch", lambda d, series, ret, **options: asked.append(options) or whole(d, series, ret, **options))
+    got = [(x.symbol, x.date) for x in registry.queries()["garch_var_path"](spark, SF).collect()]
+    assert asked == [{}]
+    rows = defaultdict(list)
+    for x in base.returns(spark, SF).filter("ret IS NOT NULL").orderBy("symbol", "date").collect():
+        rows[x.symbol].append(x.date)
+    assert sorted(got) == sorted((s, d) for s, own in rows.items() for d in own[250:])
