@@ -30,6 +30,8 @@ from tessella.llm.common import WORD, materialise, table
 
 #: Stands for a null source inside the operator.
 NO_SOURCE = "\x00"
+#: How much more often than the least repeated source the most repeated one may be used, in the query and the stage.
+MOST_REPETITIONS = 4.0
 
 
 def tokens_of(text: Column) -> Column:
@@ -169,7 +171,7 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """op9: every use of a document in the mixture, with its source's weight."""
-    uses, made = mixture(table(spark, sf_dir, "documents"))
+    uses, made = mixture(table(spark, sf_dir, "documents"), most_repetitions=MOST_REPETITIONS)
     return uses.select(
         F.col("id").alias("doc_id"), F.when(F.col("src") != NO_SOURCE, F.col("src")).alias("source"), F.col("tok").alias("n_tokens"), "pass", "block", "position",
         lookup(made.weights, "double").alias("weight"),
@@ -178,4 +180,4 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents as often as the mixture uses them."""
-    return apply(docs)
+    return apply(docs, most_repetitions=MOST_REPETITIONS)

@@ -420,6 +420,20 @@ def test_mixing_drops_nothing_and_repeats_by_the_plan(spark):
     assert set(got) == once and max(got.values()) == 2
 
 
+def test_query_and_stage_mix_up_to_four_repetitions(spark, monkeypatch):
+    rows = [(k, " ".join(["w"] * 10), "en", "hot" if k % 3 == 0 else f"s{k % 12}", 1) for k in range(1200)]
+    d = spark.createDataFrame(rows, SCHEMA)
+    monkeypatch.setattr(MX, "table", lambda *_: d)
+    uses = MX.query(spark, "").toPandas()
+    want = MX.plan(uses.drop_duplicates("doc_id").groupby("source")["n_tokens"].sum().to_dict(), None, 4.0, None)
+    weights = uses.groupby("source")["weight"].first().to_dict()
+    assert weights == pytest.approx(want.weights) and want.exponent == 0 and weights["hot"] == pytest.approx(1 / 9)
+    assert uses["doc_id"].nunique() == 1200
+    got = Counter(r.doc_id for r in MX.stage(spark, d, "").select("doc_id").collect())
+    assert len(got) == 1200 and got == Counter(uses["doc_id"])
+    assert max(got.values()) == 4 and {got[k] for k in range(0, 1200, 3)} == {1}
+
+
 # ---- pipeline
 
 
