@@ -20,22 +20,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The folder shared by the cluster (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder shared by the cluster (spark.checkpoint.dir). Where that is unset, a local master gets a temporary folder; any
+    other master is refused, as its executors don't share one."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         root = tempfile.mkdtemp(prefix="tessella-")
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
 
 
 def materialise(df: DataFrame, label: str = "part") -> DataFrame:
-    """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing."""
+    """Write df as Parquet to the shared folder and read it again: lineage ends there, and a lost executor costs nothing. The
+    folder goes when the application ends."""
     spark = df.sparkSession
     path = f"{scratch_dir(spark)}/tessella-{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def unused(taken: list[str], *names: str) -> list[str]:
+    """Column names made from the given ones that clash with no taken one, whatever its case."""
+    have, out = {c.lower() for c in taken}, []
+    for name in names:
+        k = 0
+        while f"{name}_{k}" in have:
+            k += 1
+        out.append(f"{name}_{k}")
+        have.add(out[-1])
+    return out
+
+
 def sampled(df: DataFrame, key: Column, rows: int, total: int, salt: int = 0) -> DataFrame:
     """About `rows` of `total` rows, chosen by the hash of key: the same rows on every run and in every partitioning."""
     if total <= rows:

@@ -11,11 +11,14 @@ early and exactly. Registers are grouped in bands; texts that agree in a whole b
 at 0.8 is missed with probability 7e-6.
 
 Verification, without all pairs of a bucket. Copies are one node from the start. In every bucket each node is compared with one
-leader, by exact similarity of whole texts. 1 - similarity is a metric, so nodes whose similarities s, s' to a common leader
-differ by more than 0.2 cannot be linked to each other; nodes already in one class need no link. What is still open after
-that is compared with a random node of the bucket that was linked, which settles nearly all of it; and the rest with
-further leaders, some in each round, until no pair of the bucket is open. So no pair is left out, no bucket is capped, and a
-bucket of n alike texts costs about n comparisons.
+leader, by exact similarity of whole texts, and what failed once more with the bucket's most central node. 1 - similarity is a
+metric, so nodes whose similarities s, s' to a common leader differ by more than 0.2 cannot be linked to each other; nodes
+already in one class need no link. What is still open meets by its rarest shingles: if c of x's n shingles are common to x and
+y, and their weights are X of them in x (Y in y) of a total W (V in y), then similarity <= 1 / (W/X + V/Y - 1). So a
+link needs a number of common shingles that follows from the sizes, and two linked texts have one among the first n - c + 1 of
+either, in one order of all shingles. The rarest come first, so edited copies of one text meet only where they share an edit. All
+pairs that meet are compared. So no pair of a bucket is left out, none is capped, and a bucket of n alike texts costs about n
+comparisons.
 
 Defined results. A null text is an empty one; texts without words are one class. Repeated rows share a class. A class is named
 by its smallest document id (null if none has one). An empty table gives an empty result. Columns beyond id and text are not
@@ -24,6 +27,7 @@ read by classes(); kept() passes them through. Texts are read whole.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,9 +39,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from tessella.llm.common import materialise, numbered, table
+from tessella.llm.common import materialise, numbered, struct_of, table, unused
 
 SHINGLE = 5
+#: Texts are put into classes of size (shingles) by this factor, and of excess weight by this share of it.
+STEP, EXCESS = 1.005, 0.01
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 MULTIPLIERS = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F], dtype=np.uint64)
 
@@ -162,13 +168,23 @@ def small(keys: DataFrame, rows: int = 2_000_000) -> DataFrame:
     return F.broadcast(keys) if keys.count() <= rows else keys
 
 
+def excess() -> Column:
+    """The weight of a text beyond one for each shingle."""
+    return F.greatest(F.col("total") - F.col("size"), F.lit(0.0))
+
+
+def size_class() -> list[Column]:
+    """nc, ec: the classes of a text's size and of its excess weight."""
+    return [F.floor(F.log("size") / math.log(STEP)).cast("int").alias("nc"), F.ceil(excess() / F.col("size") / EXCESS - 1e-9).cast("int").alias("ec")]
+
+
 class NearDuplicates:
     """Classes of near-duplicate documents."""
 
-    def __init__(self, threshold: float = 0.8, bands: int = 30, rows: int = 5, small: int = 512, leaders: int = 512):
-        """small: an open rest of a bucket up to this size is compared pair by pair at once; a larger one gets `leaders` leaders in
-        each round. Both bound the work of a round, not what is found."""
-        self.threshold, self.bands, self.rows, self.small, self.leaders = threshold, bands, rows, small, leaders
+    def __init__(self, threshold: float = 0.8, bands: int = 30, rows: int = 5, at_once: int = 64):
+        """at_once: open nodes of a bucket of rare shingles that meet its other nodes in the first round; each further round takes
+        twice as many, until all have. It bounds the work of a round, not what is found."""
+        self.threshold, self.bands, self.rows, self.at_once = threshold, bands, rows, at_once
 
     # ---- nodes: one for each different list of words
 
@@ -190,8 +206,9 @@ class NearDuplicates:
 
         text = F.coalesce(F.col(text_col), F.lit(""))
         h, g = row_hashes(id_col, text_col)
-        rows = docs.select(F.col(id_col).cast("long").alias("id"), h.alias("h"), g.alias("g"), F.xxhash64(text).alias("t"), text.alias("x"))
-        return rows.mapInArrow(of, "id long, h long, g long, t long, d1 long, d2 long, keys array<long>")
+        rows = docs.select(F.col(id_col).alias("id"), h.alias("h"), g.alias("g"), F.xxhash64(text).alias("t"), text.alias("x"))
+        long = T.LongType()
+        return rows.mapInArrow(of, struct_of(id=rows.schema["id"].dataType, h=long, g=long, t=long, d1=long, d2=long, keys=T.ArrayType(long)))
 
     def blobs(self, docs: DataFrame, nodes: DataFrame, text_col: str) -> DataFrame:
         """(node, blob, size, total) of the given nodes (node, t, d1, d2): their texts are found by hash, and made into shingles once
@@ -263,74 +280,111 @@ class NearDuplicates:
         """Of rows (key, node, s) those that could have a link to another class in their bucket, with comp. s is the similarity
         to the bucket's first leader."""
         slack = 1 - self.threshold
-        tops = rows.groupBy("key").agg(F.max(F.when(F.col("s") < self.threshold, F.col("s"))).alias("f")).filter("f IS NOT NULL")
+        tops = materialise(rows.groupBy("key").agg(F.max(F.when(F.col("s") < self.threshold, F.col("s"))).alias("f")).filter("f IS NOT NULL"), "tops")
         near = rows.join(tops, "key").filter((F.col("s") < self.threshold) | (F.col("s") - F.col("f") <= slack)).drop("f")
-        return self.undecided(near.join(labels, "node"))
+        return self.undecided(materialise(near.join(labels, "node"), "near"))
 
     def undecided(self, near: DataFrame) -> DataFrame:
-        """The rows of buckets with more than one class and with a failed node."""
-        counts = near.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("n"), F.count_if(F.col("s") < self.threshold).alias("nf"))
-        return near.join(counts.filter("lo <> hi AND nf > 0").select("key", "n"), "key")
-
-    def bounded(self, rest: DataFrame, blobs: DataFrame) -> DataFrame:
-        """The open rows that can have a link at all, with size, unit (all weights are 1), shared and share: how many of a text's
-        shingles, and what part of its weight, any other open text has."""
+        """The rows of buckets with more than one class and with a failed node. near is a written table: its counts and its rows
+        reach their join by exchanges of their own, which Spark can split."""
+        counts = near.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count_if(F.col("s") < self.threshold).alias("nf"))
+        counts = materialise(counts.filter("lo <> hi AND nf > 0").select("key"), "counts")
+        return materialise(near.join(counts, "key"), "open")
+
+    def needed(self, n: Column, e: Column, nc: Column, ec: Column) -> Column:
+        """The shingles that a text of n, whose weight is n + e, must share with a text of size class nc, ec to be linked: the
+        least c with (n + e) / (c + e) + (m + f) / (c + f) <= 1 + 1 / threshold, m the class's least size and f its largest
+        excess weight."""
+        k, m, f = F.lit(1 + 1 / self.threshold), F.ceil(F.pow(F.lit(STEP), nc) * (1 - 1e-9)), ec * EXCESS * F.pow(F.lit(STEP), nc + 1) * (1 + 1e-9)
+        p, q = k * (e + f) - (n + e) - (m + f), k * e * f - (n + e) * f - (m + f) * e
+        c = (F.sqrt(p * p - 4 * k * q) - p) / (2 * k)
+        return F.greatest(F.ceil(c - 1e-6), F.lit(1))
+
+    def shingle_rows(self, nodes: DataFrame, blobs: DataFrame) -> DataFrame:
+        """(h, node, nc, ec) of every shingle of the nodes, with the node's size class."""
 
         def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for b in batches:
-                for node, blob in zip(b.column("node").to_pylist(), b.column("blob").to_pylist(), strict=True):
-                    hashes, w = unpacked(blob)
-                    yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.full(len(w), node)), pa.array(w)], ["h", "node", "w"])
+                for node, blob, size, total in zip(*[b.column(c).to_pylist() for c in names], strict=True):
+                    hashes, _ = unpacked(blob)
+                    own = [np.full(len(hashes), x) for x in (node, size, total)]
+                    yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hashes.view(np.int64), *own)], ["h", "node", "size", "total"])
+
+        names = ["node", "blob", "size", "total"]
+        rows = blobs.join(small(nodes), "node", "left_semi").select(*names).mapInArrow(each, "h long, node long, size long, total double")
+        return rows.select("h", "node", *size_class())
 
+    def bounded(self, rest: DataFrame, blobs: DataFrame) -> DataFrame:
+        """The open rows that can have a link at all, with n, e (weight above n), nc, ec (size class), lone (how many of the text's
+        shingles no other open text has) and classes, the size classes of the bucket."""
         nodes = materialise(rest.select("node").distinct(), "nodes")
-        own = blobs.join(small(nodes), "node", "left_semi")
-        lone = own.select("node", "blob").mapInArrow(each, "h long, node long, w double").groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node"), F.min("w").alias("w")).filter("c = 1")
-        lone = lone.groupBy("node").agg(F.count(F.lit(1)).alias("lone"), F.sum("w").alias("weight"))
-        facts = own.select("node", "size", "total").join(lone, "node", "left")
-        shared, share = F.col("size") - F.coalesce("lone", F.lit(0)), 1 - F.coalesce("weight", F.lit(0.0)) / F.col("total")
-        facts = materialise(facts.select("node", "size", (F.abs(F.col("total") - F.col("size")) < 1e-6).alias("unit"), shared.alias("shared"), share.alias("share")), "facts")
-        d = rest.drop("n").join(facts, "node").filter(F.col("share") >= self.threshold - 1e-9)
-        least = d.groupBy("key").agg(F.min(F.when(F.col("unit"), F.col("size"))).alias("least"), F.bool_or(~F.col("unit")).alias("other"))
-        d = d.join(least, "key").filter(~F.col("unit") | F.col("other") | (F.col("shared") >= self.overlap(F.col("size"), F.col("least")))).drop("least", "other")
-        return materialise(self.undecided(d), "open")
-
-    def overlap(self, m: Column, n: Column) -> Column:
-        """The shingles that two sets of m and n must share to reach the threshold."""
-        return F.lit(self.threshold / (1 + self.threshold)) * (m + n) - 1e-9
+        lone = self.shingle_rows(nodes, blobs).groupBy("h").agg(F.count(F.lit(1)).alias("c"), F.min("node").alias("node")).filter("c = 1").groupBy("node").agg(F.count(F.lit(1)).alias("lone"))
+        facts = blobs.select("node", "size", "total").join(small(nodes), "node", "left_semi").join(lone, "node", "left")
+        facts = materialise(facts.select("node", F.col("size").alias("n"), excess().alias("e"), *size_class(), F.coalesce("lone", F.lit(0)).alias("lone")), "facts")
+        rest = materialise(rest.join(facts, "node"), "rest")
+        sizes = materialise(rest.groupBy("key").agg(F.collect_set(F.struct("nc", "ec")).alias("classes")), "classes")
+        can = F.exists("classes", lambda x: self.needed(F.col("n"), F.col("e"), x.nc, x.ec) <= F.col("n") - F.col("lone"))
+        return self.undecided(materialise(rest.join(sizes, "key").filter(can), "bounded"))
+
+    def meetings(self, rest: DataFrame, blobs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """Who can be linked to whom, by rare shingles. First (h, nc, ec, node, own): a node outside the largest class of its bucket,
+        in class own, is to meet the texts of size class (nc, ec) that have its shingle h. Second (h, nc, ec, node): the texts to be met."""
+        main = rest.groupBy("key", "comp").agg(F.count(F.lit(1)).alias("c")).groupBy("key").agg(F.max(F.struct("c", "comp")).alias("m"))
+        apart = rest.join(materialise(main.select("key", F.col("m.comp").alias("main")), "main"), "key").filter("comp <> main")
+        apart = apart.groupBy("node").agg(*[F.first(c).alias(c) for c in ("n", "e", "comp")], F.array_distinct(F.flatten(F.collect_list("classes"))).alias("classes"))
+        apart = materialise(apart, "apart")
+        rows = materialise(self.shingle_rows(materialise(rest.select("node").distinct(), "nodes"), blobs), "shingles")
+        many = materialise(rows.groupBy("h").agg(F.count(F.lit(1)).alias("c")).filter("c > 1"), "counts")
+        own = rows.select("h", "node").join(small(apart.select("node")), "node", "left_semi").join(many, "h")
+        # the shingles that no other open text has come first, then the rarer of the others
+        order = Window.partitionBy("node")
+        found = own.withColumn("at", F.row_number().over(order.orderBy("c", "h")) - F.count(F.lit(1)).over(order) - 1).join(apart, "node")
+        last = F.transform("classes", lambda x: F.struct(x.nc.alias("nc"), x.ec.alias("ec"), self.needed(F.col("n"), F.col("e"), x.nc, x.ec).alias("c")))
+        found = found.select("h", "node", "comp", F.explode(F.filter(last, lambda x: F.col("at") <= -x.c)).alias("x"))
+        met = materialise(found.select("h", "x.nc", "x.ec", "node", F.col("comp").alias("own")), "met")
+        wanted = materialise(met.select("h").distinct(), "wanted")
+        theirs = rows.join(small(wanted), "h", "left_semi").join(materialise(met.select("h", "nc", "ec").distinct(), "buckets"), ["h", "nc", "ec"], "left_semi")
+        return met, materialise(theirs.select("h", "nc", "ec", "node"), "theirs")
+
+    def settled(self, rest: DataFrame, blobs: DataFrame, labels: DataFrame) -> DataFrame:
+        """labels after all links among the open rows. In each round, some nodes of each bucket of rare shingles meet the bucket's
+        other nodes; buckets of one class are done."""
+        met, theirs = self.meetings(rest, blobs)
+        turns, bucket = self.at_once, ["h", "nc", "ec"]
+        while met.head(1):
+            turn = F.row_number().over(Window.partitionBy(*bucket).orderBy("a"))
+            now = materialise(met.withColumnRenamed("node", "a").withColumn("turn", turn).filter(F.col("turn") <= turns).drop("turn"), "now")
+            pairs = now.join(theirs.join(labels, "node").withColumnRenamed("node", "b"), bucket).filter("own <> comp")
+            pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+            labels = self.merged(labels, materialise(self.compared(pairs, blobs), "tested"))
+            left = materialise(met.join(now.select(*bucket, F.col("a").alias("node")), [*bucket, "node"], "left_anti"), "met")
+            if not left.head(1):
+                return labels
+            comps = theirs.join(labels, "node").groupBy(*bucket).agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"))
+            left = left.drop("own").join(labels.withColumnRenamed("comp", "own"), "node").join(comps, bucket).filter("lo <> hi OR lo <> own").drop("lo", "hi")
+            met, turns = materialise(left, "met"), 2 * turns
+        return labels
 
     def labelled(self, docs: DataFrame, reps: DataFrame, text_col: str) -> DataFrame:
         """(node, comp) of the nodes that met another one."""
         members = reps.select("node", F.explode("keys").alias("key"))
-        leaders = members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead")
+        leaders = materialise(members.groupBy("key").agg(F.min("node").alias("lead"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("key", "lead"), "leaders")
         members = materialise(members.join(leaders, "key"), "members")
         blobs = materialise(self.blobs(docs, reps.join(members.select("node").distinct(), "node"), text_col), "blobs")
         labels = materialise(blobs.select("node", F.col("node").alias("comp")), "labels")
         tested = materialise(self.compared(members.filter("node <> lead").select(F.col("node").alias("a"), F.col("lead").alias("b")).distinct(), blobs), "tested")
         labels = self.merged(labels, tested)
-        rows = members.filter("node <> lead").join(tested.select(F.col("a").alias("node"), F.col("b").alias("lead"), "s"), ["node", "lead"]).select("key", "node", "s")
-        rest = materialise(self.still_open(rows, labels), "open")
+        # nodes that share a leader are one bucket, however many bands they share it in
+        rest = self.still_open(tested.select(F.col("b").alias("key"), F.col("a").alias("node"), "s"), labels)
         if not rest.head(1):
             return labels
-        # failed nodes that can have a link meet a linked node of their bucket, another one in each bucket
+        # nodes that can have a link meet the node of their bucket that has the fewest shingles of its own
         rest = self.bounded(rest, blobs)
-        linked = rest.filter(F.col("s") >= self.threshold).groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("o"), F.col("node").alias("b"), F.col("comp").alias("cb"))).alias("l"))
-        probes = rest.filter(F.col("s") < self.threshold).join(linked, "key").filter(F.col("comp") != F.col("l.cb")).select(F.col("node").alias("a"), F.col("l.b").alias("b")).distinct()
+        central = materialise(rest.groupBy("key").agg(F.min(F.struct("lone", F.col("node").alias("b"), F.col("comp").alias("cb"))).alias("l")).select("key", "l.b", "l.cb"), "central")
+        probes = rest.join(central, "key").filter("comp <> cb").select(F.col("node").alias("a"), "b").distinct()
         labels = self.merged(labels, materialise(self.compared(probes, blobs), "tested"))
-        rest = materialise(self.still_open(rest.select("key", "node", "s"), labels), "open")
-        while rest.head(1):
-            rest = self.bounded(rest, blobs)
-            # failed nodes lead in the order of their numbers: a few of a large bucket, all of a small one
-            failing = rest.filter(F.col("s") < self.threshold).withColumn("turn", F.row_number().over(Window.partitionBy("key").orderBy("node")))
-            lead = failing.filter((F.col("turn") <= self.leaders) | (F.col("n") <= self.small))
-            lead = materialise(lead.select("key", *[F.col(c).alias(f"l_{c}") for c in ("node", "comp", "s", "size", "unit", "shared")]), "leaders")
-            can = F.when(F.col("unit") & F.col("l_unit"), F.least("shared", "l_shared") >= self.overlap(F.col("size"), F.col("l_size"))).otherwise(F.lit(True))
-            on = (F.col("key") == F.col("l_key")) & (F.col("comp") != F.col("l_comp")) & (F.abs(F.col("s") - F.col("l_s")) <= 1 - self.threshold) & can
-            met = rest.join(lead.withColumnRenamed("key", "l_key"), on)
-            pairs = met.select(F.least("node", "l_node").alias("a"), F.greatest("node", "l_node").alias("b")).distinct()
-            labels = self.merged(labels, materialise(self.compared(pairs, blobs), "tested"))
-            left = rest.select("key", "node", "s").join(lead.select("key", F.col("l_node").alias("node")), ["key", "node"], "left_anti")
-            rest = materialise(self.still_open(left, labels), "open")
-        return labels
+        rest = self.still_open(rest.select("key", "node", "s"), labels)
+        return self.settled(self.bounded(rest, blobs), blobs, labels) if rest.head(1) else labels
 
     # ---- results
 
@@ -354,10 +408,10 @@ class NearDuplicates:
     def kept(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """One row of each class, that with the smallest id, with docs' own columns."""
         found = self.rows_with_class(docs, id_col, text_col)
-        first = found.filter((F.col("h") == F.col("first.h")) & (F.col("g") == F.col("first.g"))).select(F.col("h").alias("__h"), F.col("g").alias("__g")).distinct()
-        h, g = row_hashes(id_col, text_col)
-        keyed = docs.withColumns({"__h": h, "__g": g}).join(first, ["__h", "__g"])
-        return keyed.withColumn("__r", F.row_number().over(Window.partitionBy("__h", "__g").orderBy("__h"))).filter("__r = 1").select(*docs.columns)
+        h, g, r = unused(docs.columns, "h", "g", "r")
+        first = found.filter((F.col("h") == F.col("first.h")) & (F.col("g") == F.col("first.g"))).select(F.col("h").alias(h), F.col("g").alias(g)).distinct()
+        keyed = docs.withColumns(dict(zip((h, g), row_hashes(id_col, text_col), strict=True))).join(first, [h, g])
+        return keyed.withColumn(r, F.row_number().over(Window.partitionBy(h, g).orderBy(h))).filter(F.col(r) == 1).select(*docs.columns)
 
 
 def row_hashes(id_col: str, text_col: str) -> tuple[Column, Column]:

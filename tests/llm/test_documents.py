@@ -182,9 +182,22 @@ def planted(rng, n_words=120):
     return [(10 + 3 * i, t) for i, t in enumerate(rows)]
 
 
-@pytest.mark.parametrize("options", [{}, {"small": 2, "leaders": 1}])
-def test_classes_match_brute_force(spark, options):
-    rows = planted(random.Random(5))
+def shared_edits(rng, n_words=90, copies=70):
+    """Copies of one text, some of whose words recur, with several edits each out of a few, so that many pairs lie around 0.8."""
+    words = [f"{rng.choice('abcdefgh')}{rng.randrange(900)}" for _ in range(n_words)]
+    words += words[:12] + words[30:37]
+    edits = [(rng.randrange(n_words), rng.choice(("", "the", "and"))) for _ in range(14)]
+    rows = []
+    for _ in range(copies):
+        w = words[:]
+        for at, new in sorted(rng.sample(edits, rng.randint(0, 6)), reverse=True):
+            w[at : at + 1] = [new] if new else []
+        rows.append(" ".join(w))
+    return [(5 + 2 * i, t) for i, t in enumerate(rows)]
+
+
+def components(rows):
+    """The smallest id of each text's class, from all pairs."""
     sets = {i: weighted(t) for i, t in rows}
     top = {i: i for i in sets}
 
@@ -197,10 +210,40 @@ def test_classes_match_brute_force(spark, options):
         if set(sets[a]) & set(sets[b]) and slow_similarity(sets[a], sets[b]) >= 0.8:
             x, y = sorted((find(a), find(b)))
             top[y] = x
+    return {i: find(i) for i in sets}
+
+
+@pytest.mark.parametrize(("make", "options"), [(planted, {}), (shared_edits, {}), (shared_edits, {"at_once": 1})])
+def test_classes_match_brute_force(spark, make, options):
+    rows = make(random.Random(5))
     d = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], SCHEMA)
     got = {r.doc_id: r.class_id for r in ND.NearDuplicates(**options).classes(d).collect()}
-    assert got == {i: find(i) for i in sets}
-    assert {r.doc_id for r in ND.NearDuplicates(**options).kept(d).collect()} == set(got.values())
+    want = components(rows)
+    assert got == want and 1 < len(set(want.values())) < len(rows)
+
+
+def test_needed_shingles_bound_the_similarity(spark):
+    """No pair of weighted sets is as alike as the threshold with fewer common shingles than needed() says."""
+    rng, nd, rows, tight = random.Random(12), ND.NearDuplicates(), [], 0
+    for _ in range(400):
+        base = {k: rng.choice((1, 1, 1, 2, 3, 9)) for k in range(rng.randint(5, 60))}
+        x, y = ({k: c if rng.random() < 0.9 else c + 1 for k, c in base.items() if rng.random() < 0.95} | {(s, k): 1 for k in range(rng.randint(0, 6))} for s in "xy")
+        wx, wy = ({k: 1 + math.log(c) for k, c in z.items()} for z in (x, y))
+        if x and y and slow_similarity(wx, wy) >= 0.8:
+            rows += [(len(x), sum(wx.values()), len(y), sum(wy.values()), len(set(x) & set(y)))]
+    own = spark.createDataFrame(rows, "n long, w double, size long, total double, c long")
+    for r in own.select("n", "c", nd.needed(F.col("n"), F.col("w") - F.col("n"), *ND.size_class()).alias("least")).collect():
+        assert r.c >= r.least
+        tight += r.least > 0.8 * r.n
+    assert tight > len(rows) / 3
+
+
+def test_ids_of_any_type_and_clashing_columns(spark):
+    text = " ".join(f"w{k}" for k in range(30))
+    d = spark.createDataFrame([("b", text, 1, 2), ("a", text.upper(), 3, 4), ("c", "else", 5, 6)], "doc_id string, text string, h_0 int, __g int")
+    assert {r.doc_id: r.class_id for r in ND.NearDuplicates().classes(d).collect()} == {"a": "a", "b": "a", "c": "c"}
+    kept = ND.NearDuplicates().kept(d)
+    assert kept.columns == d.columns and sorted(r.h_0 for r in kept.collect()) == [3, 5]
 
 
 def test_near_duplicates_on_odd_rows(spark):
@@ -362,6 +405,44 @@ def test_shards_are_even_and_slots_gapless(spark):
     assert got.set_index("doc_id").loc[3000, "text_crc32"] == zlib.crc32(b"copy of one text" * 8)
 
 
+def test_equal_texts_share_a_shard(spark):
+    """Whatever their source and language; only a text with more bytes than a shard is in several."""
+    rng = random.Random(18)
+    texts = [" ".join(rng.choice(("ab", "cde", "\u00e9t\u00e9", "x\ny")) for _ in range(rng.randint(1, 60))) for _ in range(900)]
+    rows = [t for t in texts for _ in range(rng.choice((1, 1, 1, 2, 5, 9)))] + ["one text of which there are many"] * 2500
+    rng.shuffle(rows)
+    d = spark.createDataFrame([(k, t, rng.choice(("en", "fr", None)), f"s{k % 23}", 1) for k, t in enumerate(rows)], SCHEMA)
+    got = SH.shard(d, shards=17).toPandas()
+    got["text"] = got["doc_id"].map(dict(enumerate(rows)))
+    size, parts = got.groupby("shard")["size"].sum(), got.groupby("text")["shard"].nunique()
+    assert size.max() / size.mean() < 1.03 and size.min() / size.mean() > 0.97
+    assert parts.pop("one text of which there are many") <= math.ceil(2500 * 49 / size.mean()) + 2 and set(parts) == {1}
+    real = SH.query(spark, SF).join(table(spark).select("doc_id", "text"), "doc_id").toPandas()
+    assert real["shard"].between(0, 39).all() and real.groupby("text")["shard"].nunique().max() == 1
+
+
+def test_cuts_are_the_nearest_to_the_median(spark):
+    """Each node of the tree is cut at the place that a search through all its rows finds best, to the tolerance."""
+    rng = random.Random(19)
+    rows = spark.createDataFrame([(rng.randint(1, 90), *(rng.randrange(1 << rng.choice((10, 40, 62))) for _ in range(2))) for _ in range(700)], "size long, d0 long, d1 long")
+    local, root = [tuple(r) for r in rows.collect()], SH.Node(0, 8, [(0, 1 << 62)] * 2)
+    while SH.split(rows, root, ["d0", "d1"], 0.0):
+        pass
+
+    def walk(node, own):
+        if node.left is None:
+            return
+        goal = sum(r[0] for r in own) / 2
+        miss = {d: min(abs(sum(r[0] for r in own if r[1 + d] < cut) - goal) for cut in {r[1 + d] for r in own} | {1 << 62}) for d in (0, 1)}
+        sides = [r for r in own if r[1 + node.dim] < node.cut], [r for r in own if r[1 + node.dim] >= node.cut]
+        assert abs(sum(r[0] for r in sides[0]) - goal) == pytest.approx(miss[node.dim])
+        assert miss[node.dim] <= SH.LOOSE * goal / (node.shards / 2) or miss[node.dim] == min(miss.values())
+        walk(node.left, sides[0])
+        walk(node.right, sides[1])
+
+    walk(root, local)
+
+
 def test_shards_on_odd_rows(spark):
     d = frame(spark, ODD).drop("shard")
     got = SH.shard(d, shards=4).toPandas()
