@@ -3,7 +3,7 @@
 An entry's outcome depends on its own bars ahead only. So all outcomes are found set-wise: a window gathers the next bars of
 each entry as an array, and array functions find the first touch. Which entries are taken depends on the ones before: an entry
 is dropped while an earlier one runs. That greedy choice needs an entry's bar and the first free bar after it, nothing else; it
-runs over these two numbers per key.
+runs over the entries of a key in their order.
 """
 
 from __future__ import annotations
@@ -14,7 +14,6 @@ from dataclasses import dataclass
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tessella.functions.ordering import Series, ratio
 from tessella.functions.scalars import breakeven_win_rate, touch_probability
@@ -41,12 +40,11 @@ def numbered_bars(bars: DataFrame, series: Series) -> DataFrame:
 
 def greedy(entries: DataFrame, keys: tuple[str, ...], start: str = "bar", free: str = "next_free") -> DataFrame:
     """The entries that are taken when each is refused while an earlier taken one runs: start at or after its `free` bar. Entries
-    of one key with one start keep their order by `free`.
+    of one key with one start are tied: the one with the smallest `free` comes first, then that with the smallest hash of its row,
+    and what ties with a taken entry is refused.
 
-    Only the two numbers of an entry reach Python, sorted by key; the fold holds one number, whatever the key's length.
+    Rows go through Python sorted by key; the fold holds one number, whatever the key's length.
     """
-    kinds = [f for f in entries.select(*keys, start, free).schema.fields]
-    schema = T.StructType(kinds)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last, until = None, None
@@ -60,9 +58,8 @@ def greedy(entries: DataFrame, keys: tuple[str, ...], start: str = "bar", free:
                     last, until = k, f
             yield b.filter(pa.array(keep, type=pa.bool_()))
 
-    slim = entries.select(*keys, start, free).repartition(*keys).sortWithinPartitions(*keys, start, free)
-    taken = slim.mapInArrow(of, schema).distinct()
-    return entries.join(taken, [*keys, start, free], "left_semi")
+    parts = entries.repartition(*keys) if keys else entries.coalesce(1)
+    return parts.sortWithinPartitions(*keys, start, free, F.xxhash64(*entries.columns)).mapInArrow(of, entries.schema)
 
 
 def first_touch(ahead: Column, side: Column, target: Column, stop: Column) -> Column:

@@ -94,8 +94,12 @@ def add_months(d: date, n: int) -> date:
 
 
 def make_folds(start: date, end: date, train_months: int, test_months: int, step_months: int | None = None) -> list[dict]:
-    """Walk-forward folds: half-open train and test spans, the test right after its training, none past the end."""
-    step, k, out = step_months or test_months, 0, []
+    """Walk-forward folds: half-open train and test spans, the test right after its training, none past the end. The step is the
+    test's length unless given; spans and step are at least a month."""
+    step, k, out = test_months if step_months is None else step_months, 0, []
+    for name, months in (("train_months", train_months), ("test_months", test_months), ("step_months", step)):
+        if months < 1:
+            raise ValueError(f"{name} must be at least 1, not {months}")
     while True:
         a = add_months(start, k * step)
         b = add_months(a, train_months)

@@ -82,6 +82,22 @@ def test_overlapping_entries_are_dropped_and_later_ones_taken(spark):
     assert walk(b, entry(spark, stop=100.0), rr=1) == []
 
 
+def test_tied_entries_take_one(spark):
+    """Of entries that start on one bar one is taken, whatever their sides and ends; the others run into it."""
+    rows = [("x", 1, 5, 1.0), ("x", 1, 5, -1.0), ("x", 1, 7, 1.0), ("x", 4, 9, 1.0), ("x", 5, 6, 1.0), ("x", 5, 6, 1.0), ("y", 1, 5, 1.0)]
+    d = spark.createDataFrame(rows, "symbol string, bar long, next_free long, side double")
+    got = [(r.symbol, r.bar, r.next_free) for r in T.greedy(d, ("symbol",)).orderBy("symbol", "bar").collect()]
+    assert got == [("x", 1, 5), ("x", 5, 6), ("y", 1, 5)]
+    assert T.greedy(d.limit(0), ("symbol",)).columns == d.columns
+
+
+def test_folds_refuse_empty_spans():
+    for months in ((0, 6, None), (18, 0, None), (18, 6, 0), (18, -1, 6), (18, 6, -2)):
+        with pytest.raises(ValueError, match="at least 1"):
+            C.make_folds(date(2021, 1, 1), date(2026, 1, 1), *months)
+    assert [f["test_start"] for f in C.make_folds(date(2021, 1, 1), date(2023, 1, 1), 12, 6, 3)] == [date(2022, 1, 1), date(2022, 4, 1), date(2022, 7, 1)]
+
+
 def test_greedy_keeps_keys_apart(spark):
     rows = [(k, b, b + 3) for k in ("a", "b") for b in range(10)]
     d = spark.createDataFrame(rows, "symbol string, bar long, next_free long")
