@@ -171,15 +171,14 @@ def reversion_positions(bars: DataFrame, series: Series, score: str = "score", s
     out `hold` bars later; gross, cost and net in bp."""
     ahead = series.lead("close", hold)
     out_time = series.lead(series.order[0], hold)
-    d = bars.withColumns({"exit": ahead, "exit_time": out_time})
+    # a count of nights may look ahead too, so it is made before rows are dropped
+    d = bars.withColumns({"exit": ahead, "exit_time": out_time, "nights": nights if nights is not None else F.lit(0)})
     s = F.col(score)
     side = F.when(s >= high, 1.0).when(s <= low, -1.0)
     d = d.withColumn("side", side).filter((at_hour if at_hour is not None else F.hour(series.order[0])) == hour)
     w = Window.partitionBy(*series.keys, session).orderBy(*series.order)
     d = d.withColumn("__r", F.row_number().over(w)).filter("__r = 1 AND side IS NOT NULL AND exit IS NOT NULL")
-    crossed = nights if nights is not None else F.lit(0)
-    gross = F.col("side") * F.ln(F.col("exit") / F.col("close")) * 1e4
-    d = d.withColumns({"gross_bp": gross, "nights": crossed})
+    d = d.withColumn("gross_bp", F.col("side") * F.ln(F.col("exit") / F.col("close")) * 1e4)
     d = d.withColumn("cost_bp", F.lit(2 * cost_bp) + F.col("nights") * F.lit(swap_bp))
     return d.select(*series.keys, F.col(series.order[0]).alias("entry_time"), "exit_time", "side", F.col(score).alias("score"), F.col("close").alias("entry"), "exit", "gross_bp", "cost_bp", (F.col("gross_bp") - F.col("cost_bp")).alias("net_bp"), "nights")
 

@@ -334,6 +334,16 @@ def research_features(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("symbol", stamp(), *[r(c).alias(c) for c in ("mom_1h", "mom_4h", "mom_24h", "vwap_rev", "poc_rev")])
 
 
+FEAT_SUM = "CASE WHEN count(lr) OVER t{0} >= {0} THEN sum(lr) OVER t{0} END"
+RESEARCH_SQL = SESSION_SQL + f""", l AS (SELECT *, ln(close / lag(close) OVER w) AS lr, row_number() OVER w - 1 AS rn FROM s {W}),
+sg AS (SELECT symbol, ts, sqrt({ewm_sql("lr * lr", 0.03, "symbol", "ts", "rn")}) AS sigma FROM l WHERE lr IS NOT NULL),
+poc AS (SELECT symbol, session, lag(p) OVER (PARTITION BY symbol ORDER BY session) AS poc FROM (SELECT symbol, session, arg_max(close, (volume, -epoch_us(ts))) AS p FROM s GROUP BY ALL)),
+z AS (SELECT *, sum((high + low + close) / 3 * volume) OVER d / sum(volume) OVER d AS vwap, {FEAT_SUM.format(4)} AS m4, {FEAT_SUM.format(24)} AS m24, CASE WHEN count(*) OVER q >= 60 THEN median(volume) OVER q END AS med FROM l
+  WINDOW d AS (PARTITION BY symbol, session ORDER BY ts ROWS UNBOUNDED PRECEDING), t4 AS (PARTITION BY symbol ORDER BY ts ROWS 3 PRECEDING), t24 AS (PARTITION BY symbol ORDER BY ts ROWS 23 PRECEDING), q AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 119 PRECEDING AND CURRENT ROW)),
+feat AS (SELECT z.*, lr / nullif(sigma, 0) AS mom_1h, m4 / nullif(sigma, 0) AS mom_4h, m24 / nullif(sigma, 0) AS mom_24h, (close / vwap - 1) / nullif(sigma, 0) AS vwap_rev, (close / poc.poc - 1) / nullif(sigma, 0) AS poc_rev, sign(lr) * volume / med AS flow_proxy
+  FROM z JOIN poc ON z.symbol = poc.symbol AND z.session = poc.session LEFT JOIN sg ON z.symbol = sg.symbol AND z.ts = sg.ts)"""
+
+
 def gaps(spark: SparkSession, sf: str) -> DataFrame:
     d = C.gap_frame(daily(spark, sf), DAILY)
     return d.withColumn("trade", gap_trade(F.col("gap"), F.col("intraday"), 0.1, 2.0))
@@ -416,7 +426,7 @@ QUERIES = {
     "asof_higher_frame": (asof_higher_frame, f"WITH {ASOF_SQL}"),
     "forward_returns": (forward_returns, f"WITH {HOURLY_SQL} SELECT symbol, strftime(bars.ts, '%Y-%m-%d %H:%M:%S') AS ts, " + ", ".join(f"round(ln(lead(close, {h}) OVER w / close), 8) AS fwd_{h}" for h in (1, 4, 24)) + " FROM bars WINDOW w AS (PARTITION BY symbol ORDER BY bars.ts)"),
     "session_features": (session_features, f"WITH {FEATURES_SQL}"),
-    "research_features": (research_features, None),
+    "research_features": (research_features, f"WITH {RESEARCH_SQL} SELECT symbol, {TS}, " + ", ".join(f"round({c}, 6) AS {c}" for c in ("mom_1h", "mom_4h", "mom_24h", "vwap_rev", "poc_rev")) + " FROM feat"),
     "gap_trade": (gap_trades, f"WITH {GAP_SQL} SELECT symbol, {D}, round(gap, 6) AS gap, round(intraday, 6) AS intraday, round(trade, 6) AS trade FROM trades"),
     "in_sample_split": (in_sample_split, f"WITH {DAILY_SQL}, x AS (SELECT symbol, date, row_number() OVER (PARTITION BY symbol ORDER BY date) <= floor(count(*) OVER (PARTITION BY symbol) * 0.67) AS in_sample FROM daily) SELECT symbol, in_sample, count(*) AS n, CAST(max(date) AS VARCHAR) AS last_date FROM x GROUP BY ALL"),
     "nights_between": (nights, f"WITH {HOURLY_SQL}, x AS (SELECT symbol, ts, lead(ts, 24) OVER w AS until FROM bars {W}) SELECT symbol, {TS}, greatest(0, date_diff('day', CAST(x.ts - INTERVAL 17 HOUR AS DATE), CAST(until - INTERVAL 17 HOUR AS DATE)))::BIGINT AS nights FROM x WHERE until IS NOT NULL"),

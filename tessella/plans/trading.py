@@ -17,7 +17,7 @@ from tessella.operators import patterns as N
 from tessella.operators import research as Q
 from tessella.operators import rolling as R
 from tessella.plans.base import DAILY, DAILY_SQL, HOURLY, HOURLY_SQL, daily, hourly
-from tessella.plans.market import AT, GAP_SQL, ZONE, D, day, ewm_sql, features, gaps, r, sessions, stamp
+from tessella.plans.market import AT, GAP_SQL, RESEARCH_SQL, ZONE, D, day, ewm_sql, features, gaps, r, sessions, stamp
 
 KEY = ("symbol",)
 
@@ -178,6 +178,20 @@ cand AS (SELECT s.symbol, bar, date, sweep AS side, close AS entry, close - swee
   close + sweep * 2 * greatest(abs(close - CASE WHEN sweep > 0 THEN low ELSE high END), sigma * close) AS target FROM sweep s JOIN mx ON s.symbol = mx.symbol WHERE sweep <> 0 AND sigma > 0 AND bar > 20 AND bar < mb)""" + OUTCOME_SQL.replace("{n}", "10")
 
 
+BREAKEVEN_SQL = EXPLICIT_SQL.split(", ends AS (")[0] + """,
+ah AS (SELECT c.symbol, c.bar, c.side, c.entry, c.stop, c.target, f.bar AS j, f.close AS cl, CASE WHEN c.side > 0 THEN f.high >= c.target ELSE f.low <= c.target END AS ht,
+  CASE WHEN c.side > 0 THEN f.low <= c.stop ELSE f.high >= c.stop END AS hs, CASE WHEN c.side > 0 THEN f.low <= c.entry ELSE f.high >= c.entry END AS hb,
+  CASE WHEN c.side > 0 THEN f.close >= c.entry + c.side * 0.01 * c.entry ELSE f.close <= c.entry + c.side * 0.01 * c.entry END AS arm
+  FROM cand c JOIN b f ON f.symbol = c.symbol AND f.bar BETWEEN c.bar + 1 AND c.bar + 10),
+f1 AS (SELECT symbol, bar, side, any_value(entry) AS entry, any_value(stop) AS stop, any_value(target) AS target, min(j) FILTER (ht OR hs) AS hit, min(j) FILTER (arm) AS aj, arg_max(cl, j) AS lastc FROM ah GROUP BY symbol, bar, side),
+f2 AS (SELECT f1.*, f1.aj IS NOT NULL AND (f1.hit IS NULL OR f1.hit > f1.aj) AS armed, s.j2 FROM f1
+  LEFT JOIN (SELECT a.symbol, a.bar, a.side, min(a.j) AS j2 FROM ah a JOIN f1 x ON a.symbol = x.symbol AND a.bar = x.bar AND a.side = x.side WHERE a.j > x.aj AND (a.ht OR a.hb) GROUP BY ALL) s ON s.symbol = f1.symbol AND s.bar = f1.bar AND s.side = f1.side),
+f3 AS (SELECT *, CASE WHEN armed THEN j2 ELSE hit END AS h FROM f2),
+be AS (SELECT f3.*, CASE WHEN h IS NULL THEN 'time' WHEN armed AND a.hb THEN 'breakeven' WHEN NOT armed AND a.hs THEN 'stop' ELSE 'target' END AS outcome,
+  CASE WHEN h IS NULL THEN lastc WHEN armed AND a.hb THEN f3.entry WHEN NOT armed AND a.hs THEN f3.stop ELSE f3.target END AS exit FROM f3 LEFT JOIN ah a ON a.symbol = f3.symbol AND a.bar = f3.bar AND a.side = f3.side AND a.j = f3.h)
+SELECT symbol, outcome, count(*) AS n, round(avg(side * (exit - entry) / abs(entry - stop) - 2.0 / 1e4 * entry / abs(entry - stop)), 6) AS "mean_net_R", count(*) FILTER (armed) AS armed FROM be GROUP BY ALL"""
+
+
 def mann_whitney(spark: SparkSession, sf: str) -> DataFrame:
     f = C.flags(daily(spark, sf), keys=KEY).withColumn("range", F.ln(F.col("high") / F.col("low")))
     d = Q.mann_whitney(f.filter("volume >= 2"), "range", "turn", KEY)
@@ -281,13 +295,30 @@ def reversion_positions(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def reversion_summary(spark: SparkSession, sf: str) -> DataFrame:
-    return Q.reversion_summary(reversion(spark, sf), KEY)
+    d = Q.reversion_summary(reversion(spark, sf), KEY)
+    return d.select("symbol", "trades", *[r(c, 5).alias(c) for c in ("win_rate", "gross_bp", "cost_bp", "net_bp", "long_share", "t", "sharpe")])
+
+
+def rank_sql(x: str) -> str:
+    return f"CASE WHEN count({x}) OVER t >= 40 AND {x} IS NOT NULL THEN len(list_filter(list({x}) OVER p, lambda v: v < {x})) / (count(*) OVER t - 1) END AS rank_{x}"
+
+
+UNTIL = AT.replace("ts AT", "until AT")
+REVERSION_SQL = RESEARCH_SQL + f""", q AS (SELECT *, {rank_sql("flow_proxy")}, {rank_sql("mom_1h")}, lead(ts, 24) OVER w AS until, lead(close, 24) OVER w AS out FROM feat
+  WINDOW w AS (PARTITION BY symbol ORDER BY ts), p AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND 1 PRECEDING), t AS (PARTITION BY symbol ORDER BY ts ROWS BETWEEN 99 PRECEDING AND CURRENT ROW)),
+sc AS (SELECT *, (rank_flow_proxy + rank_mom_1h) / 2 AS score FROM q),
+one AS (SELECT *, CASE WHEN score >= 0.8 THEN 1.0 WHEN score <= 0.2 THEN -1.0 END::DOUBLE AS side, row_number() OVER (PARTITION BY symbol, session ORDER BY ts) AS k FROM sc WHERE hour({AT}) = 11),
+pos AS (SELECT symbol, ts, side, score, side * ln(out / close) * 1e4 AS gross, greatest(0, date_diff('day', CAST({AT} - INTERVAL 17 HOUR AS DATE), CAST({UNTIL} - INTERVAL 17 HOUR AS DATE)))::BIGINT AS nights
+  FROM one WHERE k = 1 AND side IS NOT NULL AND out IS NOT NULL)"""
+
+
+GEOMETRIES = {"k1": T.Barriers(1.0, 1.5, 8, 2.0), "k2": T.Barriers(2.0, 1.0, 8, 2.0), "k3": T.Barriers(1.0, 3.0, 12, 2.0)}
 
 
 def configs(spark: SparkSession, sf: str) -> DataFrame:
     """Walks of three geometries, as configurations."""
     out = None
-    for name, cfg in (("k1", T.Barriers(1.0, 1.5, 8, 2.0)), ("k2", T.Barriers(2.0, 1.0, 8, 2.0)), ("k3", T.Barriers(1.0, 3.0, 12, 2.0))):
+    for name, cfg in GEOMETRIES.items():
         t = T.walk(signal_bars(spark, sf), DAILY, cfg).select(F.lit(name).alias("config"), "symbol", F.col("date").alias("entry_time"), "unit_net_R")
         out = t if out is None else out.unionByName(t)
     return out
@@ -306,7 +337,34 @@ def walkforward_select(spark: SparkSession, sf: str) -> DataFrame:
 def walkforward_summary(spark: SparkSession, sf: str) -> DataFrame:
     t, folds = configs(spark, sf), C.folds_frame(spark, FOLDS)
     picks = Q.select_configs(t, folds)
-    return Q.walk_forward_summary(Q.out_of_sample(t, folds, picks), picks)
+    d = Q.walk_forward_summary(Q.out_of_sample(t, folds, picks), picks)
+    return d.select("trades", "distinct_configs", *[r(c).alias(c) for c in ("win_rate", "mean_net_R", "t", "selection_stability")])
+
+
+#: The walks of all geometries: a symbol is repeated for each, with the geometry's name before its own.
+CONFIG_SQL = (
+    WALK_SQL.split(", s AS (SELECT *, coalesce(sign(lag(lr)")[0]
+    + """, s AS (SELECT *, coalesce(sign(lag(lr) OVER (PARTITION BY symbol ORDER BY date)), 0) AS sig FROM b),
+fl AS (SELECT *, coalesce(lag(sig) OVER (PARTITION BY symbol ORDER BY date), 0) AS ps FROM s),
+geo AS (SELECT * FROM (VALUES """
+    + ", ".join(f"('{k}', {g.stop_k}::DOUBLE, {g.rr}::DOUBLE, {g.max_bars})" for k, g in GEOMETRIES.items())
+    + """) g(config, k, rr, n)),
+b3 AS (SELECT config || ':' || symbol AS symbol, bar, high, low, close FROM b, geo),
+cand AS (SELECT config || ':' || symbol AS symbol, config, n, bar, date, sig AS side, close AS entry, close - sig * k * sigma * close AS stop, close + sig * k * sigma * close * rr AS target FROM fl, geo WHERE sig <> ps AND sig <> 0 AND sigma > 0)"""
+    + OUTCOME_SQL.replace("FROM b GROUP", "FROM b3 GROUP").replace("JOIN b f", "JOIN b3 f").replace("{n}", "c.n")
+    + """,
+walk3 AS (SELECT cand.config, cand.date, t.side * (t.exit - t.entry) / abs(t.entry - t.stop) - 4.0 / 1e4 * t.entry / abs(t.entry - t.stop) AS x FROM trades t JOIN cand ON cand.symbol = t.symbol AND cand.bar = t.bar)"""
+)
+FOLD_VALUES = ", ".join(f"({f['fold']}, DATE '{f['train_start']}', DATE '{f['train_end']}', DATE '{f['test_start']}', DATE '{f['test_end']}')" for f in FOLDS)
+SELECT_SQL = CONFIG_SQL + f""",
+fold AS (SELECT * FROM (VALUES {FOLD_VALUES}) f(fold, a, b, c, d)),
+scores AS (SELECT fold, config, avg(x) AS score FROM walk3 JOIN fold ON date >= a AND date < fold.b GROUP BY ALL HAVING count(*) >= 30),
+picks AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY fold ORDER BY score DESC, config) AS k FROM scores) WHERE k = 1)"""
+FORWARD_SQL = SELECT_SQL + """,
+oos AS (SELECT x FROM walk3 JOIN fold ON date >= c AND date < d JOIN picks ON picks.fold = fold.fold AND picks.config = walk3.config),
+used AS (SELECT config, count(*) AS n FROM picks GROUP BY config)
+SELECT count(*) AS trades, (SELECT count(*) FROM used) AS distinct_configs, round(avg((x > 0)::INT), 6) AS win_rate, round(avg(x), 6) AS "mean_net_R", round(avg(x) * sqrt(count(*)) / stddev_samp(x), 6) AS t,
+  round((SELECT max(n) / sum(n) FROM used), 6) AS selection_stability FROM oos"""
 
 
 def trade_breakdown(spark: SparkSession, sf: str) -> DataFrame:
@@ -317,7 +375,7 @@ def trade_breakdown(spark: SparkSession, sf: str) -> DataFrame:
 
 def in_sample_choice(spark: SparkSession, sf: str) -> DataFrame:
     t = configs(spark, sf).withColumn("in_sample", F.col("entry_time") < "1999-06-01")
-    return Q.choose_in_sample(t, value="unit_net_R")
+    return Q.choose_in_sample(t, value="unit_net_R").select("config", "in_n", r("in_mean").alias("in_mean"), "out_n", r("out_mean").alias("out_mean"))
 
 
 def fold_dates(spark: SparkSession, sf: str) -> DataFrame:
@@ -392,7 +450,7 @@ QUERIES = {
     "drop_one": (drop_one, f"{WALK_SQL}, c AS (SELECT symbol, count(*) AS n, sum(net_R) AS s FROM walk GROUP BY symbol) SELECT symbol AS dropped, CAST((SELECT sum(n) FROM c) - n AS BIGINT) AS trades, round(((SELECT sum(s) FROM c) - s) / ((SELECT sum(n) FROM c) - n), 6) AS \"mean_net_R\" FROM c"),
     "subset_ranking": (subset_ranking, f"{WALK_SQL}, c AS (SELECT symbol, count(*) AS n, sum(net_R) AS s, sum(cost_R) AS k FROM walk GROUP BY symbol) SELECT concat_ws(',', x.symbol, y.symbol, z.symbol) AS subset, x.n + y.n + z.n AS trades, round((x.s + y.s + z.s) / (x.n + y.n + z.n), 6) AS \"mean_net_R\", round((x.k + y.k + z.k) / (x.n + y.n + z.n), 6) AS \"mean_cost_R\" FROM c x JOIN c y ON x.symbol < y.symbol JOIN c z ON y.symbol < z.symbol"),
     "explicit_walk": (explicit_walk, f"{EXPLICIT_SQL} SELECT symbol, bar, side, round(exit, 6) AS exit, outcome, held AS bars_held, ambiguous, round(side * (exit - entry) / abs(entry - stop) - 2.0 / 1e4 * entry / abs(entry - stop), 6) AS \"net_R\" FROM trades"),
-    "explicit_walk_breakeven": (explicit_walk_breakeven, None),
+    "explicit_walk_breakeven": (explicit_walk_breakeven, BREAKEVEN_SQL),
     "mann_whitney": (mann_whitney, f"WITH {MW_SQL}"),
     "gap_stats": (gap_stats, f"WITH {GAP_SQL}, s AS (SELECT symbol, count(*) AS n, avg(trade) AS m, stddev_samp(trade) AS sd FROM trades WHERE trade <> 0 GROUP BY symbol HAVING count(*) >= 20) SELECT symbol, n, round(m, 6) AS mean, round(m * sqrt(n) / sd, 6) AS t, round(m * sqrt(252) / sd, 6) AS sharpe FROM s"),
     "realised_clustering": (clustering, f"WITH {LOGS_SQL}, q AS (SELECT symbol, lr * lr AS s, lag(lr * lr) OVER (PARTITION BY symbol ORDER BY date) AS l FROM b) SELECT symbol, round(corr(s, l), 6) AS clustering FROM q GROUP BY symbol"),
@@ -402,12 +460,12 @@ QUERIES = {
     "holm_given_p": (holm_given, f"WITH {HOLM_SQL}"),
     "event_study_cells": (event_study, f"WITH {EVENT_SQL} SELECT symbol, year, n, round(mean, 5) AS mean FROM cells"),
     "event_study_pooled": (event_pooled, f"WITH {EVENT_SQL} SELECT count(*) AS cells, round(avg(mean), 5) AS mean, round(avg(mean) * sqrt(count(*)) / stddev_samp(mean), 6) AS t, round(avg((mean > 0)::INT), 6) AS share_pos FROM cells"),
-    "reversion_positions": (reversion_positions, None),
-    "reversion_summary": (reversion_summary, None),
-    "walkforward_select": (walkforward_select, None),
-    "walkforward_summary": (walkforward_summary, None),
+    "reversion_positions": (reversion_positions, f"WITH {REVERSION_SQL} SELECT symbol, strftime(ts, '%Y-%m-%d %H:%M:%S') AS entry_time, side, round(score, 6) AS score, round(gross, 4) AS gross_bp, round(gross - 2.0 - 0.3 * nights, 4) AS net_bp, nights FROM pos"),
+    "reversion_summary": (reversion_summary, f"WITH {REVERSION_SQL}, n AS (SELECT *, 2.0 + 0.3 * nights AS cost, gross - 2.0 - 0.3 * nights AS net FROM pos) SELECT symbol, count(*) AS trades, round(avg((net > 0)::INT), 5) AS win_rate, round(avg(gross), 5) AS gross_bp, round(avg(cost), 5) AS cost_bp, round(avg(net), 5) AS net_bp, round(avg((side > 0)::INT), 5) AS long_share, round(avg(net) * sqrt(count(*)) / stddev_samp(net), 5) AS t, round(avg(net) * sqrt(252) / stddev_samp(net), 5) AS sharpe FROM n GROUP BY symbol"),
+    "walkforward_select": (walkforward_select, f"{SELECT_SQL} SELECT fold, config, round(score, 6) AS score FROM picks"),
+    "walkforward_summary": (walkforward_summary, FORWARD_SQL),
     "trade_breakdown": (trade_breakdown, f"{WALK_SQL}, x AS (SELECT symbol, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS direction, CAST(year(date) AS VARCHAR) AS year, net_R FROM walk) SELECT symbol, direction, year, count(*) AS trades, round(avg((net_R > 0)::INT), 6) AS win_rate, round(avg(net_R), 6) AS mean FROM x GROUP BY GROUPING SETS ((), (symbol), (direction), (year))"),
-    "in_sample_choice": (in_sample_choice, None),
+    "in_sample_choice": (in_sample_choice, f"{CONFIG_SQL}, a AS (SELECT config, count(*) FILTER (date < DATE '1999-06-01') AS in_n, avg(x) FILTER (date < DATE '1999-06-01') AS i, count(*) FILTER (date >= DATE '1999-06-01') AS out_n, avg(x) FILTER (date >= DATE '1999-06-01') AS o FROM walk3 GROUP BY config) SELECT config, in_n, round(i, 6) AS in_mean, out_n, round(o, 6) AS out_mean FROM a WHERE in_n >= 30 ORDER BY i DESC, config LIMIT 1"),
     "fold_slices": (fold_dates, f"WITH {DAILY_SQL}, {FOLDS_SQL} SELECT fold, count(DISTINCT date) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM daily JOIN folds ON date >= a AND date < b GROUP BY fold"),
     "inducement_entries": (inducement, None),
     "turtle_soup_entries": (turtle_soup, None),

@@ -7,7 +7,8 @@ from tessella.plans import registry
 
 SF = "/root/testdata/sf0.001"
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-SLOW = {"garch_var_path", "dcc_cov", "walkforward_summary", "mtf_cascade", "reversion_summary", "null_benchmark", "rolling_dcc_var", "in_sample_choice"}
+#: Fits of minutes; tests/test_whole_tables.py holds their operators to account.
+SLOW = {"garch_var_path", "dcc_cov", "rolling_dcc_var"}
 
 
 @pytest.fixture(scope="module")
