@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import materialise, table
+from tessella.llm.common import materialise, table, unused
 
 #: Code points that count as white space in the canonical form.
 SPACES = r"[\s\x{85}\p{Z}]+"
@@ -59,8 +59,10 @@ def ranked(rows: DataFrame, mixed: DataFrame, digest: str, text: str) -> DataFra
 
 def settled(rows: DataFrame, ranks: DataFrame, digest: str, sha: str) -> DataFrame:
     """rows with the ranks of clashing texts appended to their digests."""
-    out = rows.join(ranks, (F.col(digest) == F.col("__cd")) & (F.col(sha) == F.col("__sha")), "left")
-    return out.withColumn(digest, F.concat(digest, F.coalesce(F.concat(F.lit("-"), F.col("__rank").cast("string")), F.lit("")))).drop("__cd", "__sha", "__rank")
+    names = unused(rows.columns, "d", "sha", "rank")
+    d, own, rank = names
+    out = rows.join(ranks.toDF(*names), (F.col(digest) == F.col(d)) & (F.col(sha) == F.col(own)), "left")
+    return out.withColumn(digest, F.concat(digest, F.coalesce(F.concat(F.lit("-"), F.col(rank).cast("string")), F.lit("")))).drop(*names)
 
 
 def shared_digests(digests: DataFrame) -> DataFrame:
@@ -70,28 +72,34 @@ def shared_digests(digests: DataFrame) -> DataFrame:
 
 def fingerprints(docs: DataFrame, text_col: str = "text", out: str = "fingerprint") -> DataFrame:
     """docs with the column `out`."""
-    rows = docs.withColumn("__canon", canonical(F.coalesce(F.col(text_col), F.lit("")))).withColumn(out, wide(F.col("__canon")))
-    texts = rows.select(F.col(out).alias("d"), F.col("__canon").alias("c"))
+    form, own = unused(docs.columns, "canon", "sha")
+    rows = docs.withColumn(form, canonical(F.coalesce(F.col(text_col), F.lit("")))).withColumn(out, wide(F.col(form)))
+    texts = rows.select(F.col(out).alias("d"), F.col(form).alias("c"))
     texts = within(texts, shared_digests(texts.select("d")), "d")
     mixed = materialise(mixed_buckets(texts, "d", "c"), "mixed")
     if not mixed.head(1):
-        return rows.drop("__canon")
-    return settled(rows.withColumn("__own", F.sha2("__canon", 256)), ranked(texts, mixed, "d", "c"), out, "__own").drop("__canon", "__own")
+        return rows.drop(form)
+    return settled(rows.withColumn(own, F.sha2(form, 256)), ranked(texts, mixed, "d", "c"), out, own).drop(form, own)
 
 
 def bounds(ids: DataFrame, key: str, rows_per_bucket: int, most: int) -> list[int]:
     """Ids that cut the table into ranges of about equal rows: at most `most` of them."""
     n = ids.count()
     k = min(most, max(1, n // rows_per_bucket))
-    cuts = ids.agg(F.percentile_approx(key, [i / k for i in range(1, k)] or [0.5], 10_000).alias("q")).head()["q"] if n else None
+    cuts = ids.agg(F.percentile_approx(key, [i / k for i in range(1, k)] or [0.5], max(10_000, 4 * k)).alias("q")).head()["q"] if n else None
     return sorted(set(cuts or []))
 
 
+def constant(values: list[int]) -> Column:
+    """An array of whole numbers, one constant after folding however long it is."""
+    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+
+
 def bucket_of(key: Column, cuts: list[int]) -> Column:
     """How many cuts are at or below key, by binary search."""
     if not cuts:
         return F.lit(0)
-    array = F.split(F.lit(",".join(map(str, cuts))), ",").cast("array<bigint>")  # a constant after folding
+    array = constant(cuts)
     steps = F.array(*[F.lit(1 << b) for b in reversed(range(len(cuts).bit_length()))])
     return F.reduce(steps, F.lit(0), lambda at, step: F.when((at + step <= len(cuts)) & (F.get(array, at + step - 1) <= key), at + step).otherwise(at))
 
@@ -102,31 +110,34 @@ def last_third_replaced(text: Column, by: Column) -> Column:
     return F.concat(F.substring(text, F.lit(1), F.char_length(text) - third), F.substring(by, F.lit(1), third))
 
 
-def with_next(docs: DataFrame, id_col: str, carried: dict[str, Column], rows_per_bucket: int = 4096, most_buckets: int = 4096) -> DataFrame:
+def with_next(docs: DataFrame, id_col: str, carried: dict[str, Column], rows_per_bucket: int = 4096, most_buckets: int = 65_536) -> DataFrame:
     """(__id, carried columns, and as next_* the id and carried columns of the next document by descending id; after the last
     the first).
 
     Documents go once to ranges of ids, with the highest document of each range sent to the range above as well. Inside a
     range a window looks one row back; the lowest document of all finds the highest one the same way. Rows with one id follow
-    in the order of their carried columns' hashes.
+    in the order of their carried columns' hashes; rows without an id stand below all ids.
     """
-    rows = docs.select(F.col(id_col).alias("__id"), *[c.alias(n) for n, c in carried.items()])
-    ids = docs.select(F.col(id_col).alias("__id"))
-    cuts = bounds(ids, "__id", rows_per_bucket, most_buckets)
-    own = bucket_of(F.col("__id"), cuts)
-    tops = sorted(r["top"] for r in ids.groupBy(own.alias("b")).agg(F.max("__id").alias("top")).collect())
+    order = F.coalesce(F.col(id_col), F.lit(-(2**63)))
+    rows = docs.select(F.col(id_col).alias("__id"), order.alias("__o"), *[c.alias(n) for n, c in carried.items()])
+    ids = docs.select(order.alias("__o"))
+    cuts = bounds(ids, "__o", rows_per_bucket, most_buckets)
+    own = bucket_of(F.col("__o"), cuts)
+    tops = sorted(r["top"] for r in ids.groupBy(own.alias("b")).agg(F.max("__o").alias("top")).collect())
     if not tops:
-        return rows.select("*", *[F.col(n).alias(f"next_{n}") for n in ("__id", *carried)])
+        return rows.drop("__o").select("*", *[F.col(n).alias(f"next_{n}") for n in ("__id", *carried)])
     at = [bisect_right(cuts, t) for t in tops]
     # a range's highest document is a guest in the next range that has rows; the last range's is one in the first
-    guest = F.create_map(*[F.lit(x) for k, t in enumerate(tops) for x in (t, at[(k + 1) % len(at)])])[F.col("__id")]
+    top, guest = [0] * (len(cuts) + 1), [0] * (len(cuts) + 1)
+    for k, (t, b) in enumerate(zip(tops, at, strict=True)):
+        top[b], guest[b] = t, at[(k + 1) % len(at)]
     place = lambda b, g: F.struct(b.cast("int").alias("b"), F.lit(g).alias("guest"))
-    places = F.when(F.col("__id").isin(tops), F.array(place(own, False), place(guest, True))).otherwise(F.array(place(own, False)))
-    sent = rows.withColumn("__p", F.explode(places)).select("__id", *carried, F.col("__p.b").alias("__b"), F.col("__p.guest").alias("__guest"))
+    places = F.when(F.col("__o") == F.get(constant(top), own), F.array(place(own, False), place(F.get(constant(guest), own), True))).otherwise(F.array(place(own, False)))
+    sent = rows.withColumn("__p", F.explode(places)).select("__id", "__o", *carried, F.col("__p.b").alias("__b"), F.col("__p.guest").alias("__guest"))
     # guests come first: their ids are below the range's, or they are the table's highest document before its lowest
-    w = Window.partitionBy("__b").orderBy(F.col("__guest").desc(), "__id", F.xxhash64(*carried))
+    w = Window.partitionBy("__b").orderBy(F.col("__guest").desc(), "__o", F.xxhash64(*carried))
     back = sent.select("*", *[F.lag(n).over(w).alias(f"next_{n}") for n in ("__id", *carried)])
-    return back.filter("NOT __guest").drop("__b", "__guest")
+    return back.filter("NOT __guest").drop("__b", "__guest", "__o")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -135,9 +146,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = F.coalesce(F.col("text"), F.lit(""))
     both = with_next(docs, "doc_id", {"t": text, "d": wide(canonical(text))})
     edited = both.withColumn("e", last_third_replaced(F.col("t"), F.col("next_t"))).withColumn("ec", canonical(F.col("e")))
+    # a document is found again by the hash of its id and text, so repeated and null ids do no harm
+    keys = [F.xxhash64("__id", "t").alias("k"), F.xxhash64("next___id", "next_t").alias("next_k")]
     rows = materialise(
         edited.select(
-            F.col("__id").alias("doc_id"), F.col("next___id").alias("next_id"), F.char_length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"),
+            F.col("__id").alias("doc_id"), *keys, F.char_length("t").cast("long").alias("n_chars"), F.sha2("e", 256).alias("edited_sha256"),
             "d", "next_d", wide(F.col("ec")).alias("ed"),
         ),
         "fingerprints",
@@ -145,11 +158,11 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     # buckets of two or more, over own and edited texts; the texts in them are made again and compared
     shared = shared_digests(rows.select("d").unionByName(rows.select(F.col("ed").alias("d"))))
     own = within(docs.select(canonical(text).alias("c")).withColumn("d", wide(F.col("c"))), shared, "d")
-    pairs = within(rows.select(F.col("ed").alias("d"), "doc_id", "next_id", "edited_sha256"), shared, "d").drop("d").distinct()
+    pairs = within(rows.select(F.col("ed").alias("d"), "k", "next_k", "edited_sha256"), shared, "d").drop("d").distinct()
     pairs = materialise(pairs, "pairs")
-    needed = pairs.select("doc_id").unionByName(pairs.select(F.col("next_id").alias("doc_id"))).distinct()
-    texts = within(docs.select("doc_id", text.alias("t")), needed, "doc_id")
-    made = pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("next_id"), F.col("t").alias("next_t")), "next_id")
+    needed = pairs.select("k").unionByName(pairs.select(F.col("next_k").alias("k"))).distinct()
+    texts = within(docs.select(F.xxhash64(F.col("doc_id"), text).alias("k"), text.alias("t")), needed, "k").dropDuplicates(["k"])
+    made = pairs.join(texts, "k").join(texts.select(F.col("k").alias("next_k"), F.col("t").alias("next_t")), "next_k")
     made = made.withColumn("e", last_third_replaced(F.col("t"), F.col("next_t"))).filter(F.sha2("e", 256) == F.col("edited_sha256"))
     made = made.select(canonical(F.col("e")).alias("c")).withColumn("d", wide(F.col("c")))
     compared = own.unionByName(made)
@@ -157,10 +170,9 @@ def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     if mixed.head(1):
         ranks = ranked(compared, mixed, "d", "c")
         shas = both.withColumn("e", last_third_replaced(F.col("t"), F.col("next_t"))).select(
-            F.col("__id").alias("doc_id"), F.sha2("e", 256).alias("edited_sha256"), F.col("next___id").alias("next_id"),
-            *[F.sha2(canonical(F.col(c)), 256).alias(f"sha_{c}") for c in ("t", "next_t", "e")],
+            *keys, *[F.sha2(canonical(F.col(c)), 256).alias(f"sha_{c}") for c in ("t", "next_t", "e")],
         )
-        rows = rows.join(shas.distinct(), ["doc_id", "next_id", "edited_sha256"])
+        rows = rows.join(shas.distinct(), ["k", "next_k"])
         for digest, sha in (("d", "sha_t"), ("next_d", "sha_next_t"), ("ed", "sha_e")):
             rows = settled(rows, ranks, digest, sha)
     alike = lambda c: F.when(F.col("d") == F.col(c), 1.0).otherwise(0.0)
