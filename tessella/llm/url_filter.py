@@ -15,16 +15,17 @@ length; columns beyond the URL pass through.
 
 from __future__ import annotations
 
+import json
 import math
 from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.llm.common import table
+from tessella.llm.common import table, unused
 
 HASHES = 7
-#: Rules are few or many; a list beyond this many keys must be split, so that its filters stay some megabytes.
+#: Keys of one cascade, so that its filters stay some megabytes; a longer list becomes several cascades.
 MOST_KEYS = 5_000_000
 
 #: A word of the host that says what a site is for; keys of words begin with this mark, which no host has.
@@ -43,10 +44,11 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
-def rule_keys(host: Column, path: Column, lengths: Iterable[int]) -> Column:
-    """All keys host suffix + path prefix, for the given lengths of path prefixes."""
+def rule_keys(host: Column, path: Column, lengths: Iterable[int], most_labels: int) -> Column:
+    """All keys host suffix + path prefix, for the given lengths of path prefixes and suffixes of up to most_labels labels."""
     labels = F.split(host, r"\.", -1)
-    suffixes = F.when(host != "", F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
+    first = F.greatest(F.lit(1), F.size(labels) - (most_labels - 1))
+    suffixes = F.when(host != "", F.transform(F.sequence(first, F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))).otherwise(F.array().cast("array<string>"))
     heads = F.filter(F.array(*[F.when(F.char_length(path) >= n, F.substring(path, 1, n)) for n in sorted(set(lengths))] or [F.lit(None).cast("string")]), lambda x: x.isNotNull())
     return F.flatten(F.transform(suffixes, lambda s: F.transform(heads, lambda h: F.concat(s, h))))
 
@@ -85,39 +87,48 @@ def filter_bits(keys: int, per_key: float) -> int:
     return max(64, min(2**31 - 1, math.ceil(keys * per_key / 64) * 64))
 
 
+def key_rows(spark: SparkSession, keys: list[str]) -> DataFrame:
+    """A table of the keys, from one constant."""
+    return spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(keys)), "array<string>")).alias("key"))
+
+
 class Cascade:
     """Exact membership in a list for every key of a universe."""
 
-    def __init__(self, spark: SparkSession, listed: Iterable[str], universe: DataFrame, universe_size: int):
+    def __init__(self, spark: SparkSession, listed: Iterable[str], universe: DataFrame, universe_size: int, most_keys: int = MOST_KEYS):
         """universe: one column `key`, repeats allowed. The first level gets so many bits that about as many keys of the universe
-        as are listed slip through, so no level outgrows the list as the corpus grows."""
+        as are listed slip through, so no level outgrows the list as the corpus grows. A list of more than most_keys becomes
+        several cascades, each exact for its part."""
         self.levels: list[Bloom] = []
+        self.others: list[Cascade] = []
         listed = sorted(set(listed))
+        if len(listed) > most_keys:
+            parts = [listed[k : k + most_keys] for k in range(most_keys, len(listed), most_keys)]
+            self.others = [Cascade(spark, part, universe, universe_size, most_keys) for part in parts]
+            listed = listed[:most_keys]
         if not listed:
             return
-        assert len(listed) <= MOST_KEYS, "split the list"
-        own = spark.createDataFrame([(x,) for x in listed], "key string")
+        own = key_rows(spark, listed)
         per_key = max(10.0, 1.44 * math.log2(max(2.0, universe_size / len(listed))) + 4)
         first = Bloom(own, 0, filter_bits(len(listed), per_key))
         self.levels.append(first)
         # listed and slipped keys are told apart by a grouped union
         passed = universe.filter(first.has(F.col("key"))).select("key", F.lit(0).alias("l")).unionByName(own.withColumn("l", F.lit(1)))
-        slipped = [r["key"] for r in passed.groupBy("key").agg(F.max("l").alias("l")).filter("l = 0").select("key").limit(MOST_KEYS + 1).collect()]
-        assert len(slipped) <= MOST_KEYS, "split the list"
+        slipped = [r["key"] for r in passed.groupBy("key").agg(F.max("l").alias("l")).filter("l = 0").select("key").collect()]
         held, caught = listed, slipped
         while caught:
             level = len(self.levels)
-            mine = spark.createDataFrame([(x,) for x in caught], "key string")
-            filter_ = Bloom(mine, level, filter_bits(len(caught), 10.0))
+            filter_ = Bloom(key_rows(spark, caught), level, filter_bits(len(caught), 10.0))
             self.levels.append(filter_)
-            others = spark.createDataFrame([(x,) for x in held], "key string")
-            held, caught = caught, [r["key"] for r in others.filter(filter_.has(F.col("key"))).collect()]
+            held, caught = caught, [r["key"] for r in key_rows(spark, held).filter(filter_.has(F.col("key"))).collect()]
 
     def member(self, key: Column) -> Column:
         """The first level that rejects a key decides: an odd one (from 1) rejects what is not listed."""
         out = F.lit(len(self.levels) % 2 == 1)
         for k in reversed(range(len(self.levels))):
             out = F.when(~self.levels[k].has(key), F.lit(k % 2 == 1)).otherwise(out)
+        for other in self.others:
+            out = out | other.member(key)
         return out
 
 
@@ -130,17 +141,19 @@ def judge(pages: DataFrame, allow: Iterable[str], block: Iterable[str], words: I
     spark, url = pages.sparkSession, F.col(url_col)
     allow, block = set(allow), set(block)
     lengths = {len(r) - r.index("/") for r in allow | block if "/" in r} | {0 for r in allow | block if "/" not in r}
-    parts = pages.drop(*[c for c in ("host", "path", "rule", "verdict") if c != url_col]).withColumns({"__host": host_of(url), "__path": path_of(url)})
-    parts = parts.withColumns({"__rules": rule_keys(F.col("__host"), F.col("__path"), lengths), "__words": word_keys(F.col("__host"))})
-    universe = parts.select(F.explode(F.concat("__rules", "__words")).alias("key"))
+    labels = max((r.split("/")[0].count(".") + 1 for r in allow | block), default=1)
+    kept = [c for c in pages.columns if c == url_col or c not in ("host", "path", "rule", "verdict")]
+    at_host, at_path, rules, named_by, found = unused(pages.columns, "host", "path", "rules", "words", "rule")
+    parts = pages.select(*kept).withColumns({at_host: host_of(url), at_path: path_of(url)})
+    parts = parts.withColumns({rules: rule_keys(F.col(at_host), F.col(at_path), lengths, labels), named_by: word_keys(F.col(at_host))})
+    universe = parts.select(F.explode(F.concat(rules, named_by)).alias("key"))
     size = universe.agg(F.approx_count_distinct("key").alias("n")).head()["n"]
     allowed, blocked, named = (Cascade(spark, keys, universe, size) for keys in (allow, block, {WORD_MARK + w for w in words}))
-    fits = F.filter("__rules", lambda k: allowed.member(k) | blocked.member(k))
+    fits = F.filter(rules, lambda k: allowed.member(k) | blocked.member(k))
     longest = F.reduce(fits, F.lit(None).cast("string"), lambda a, b: F.when(a.isNull() | (F.char_length(b) > F.char_length(a)), b).otherwise(a))
-    ruled = parts.withColumn("__rule", longest)
-    verdict = F.when(F.col("__rule").isNotNull(), F.when(blocked.member(F.col("__rule")), "block").otherwise("allow")).when(F.exists("__words", named.member), "block").otherwise("allow")
-    own = [c for c in ruled.columns if not c.startswith("__")]
-    return ruled.select(*own, F.col("__host").alias("host"), F.col("__path").alias("path"), F.col("__rule").alias("rule"), verdict.alias("verdict"))
+    ruled = parts.withColumn(found, longest)
+    verdict = F.when(F.col(found).isNotNull(), F.when(blocked.member(F.col(found)), "block").otherwise("allow")).when(F.exists(named_by, named.member), "block").otherwise("allow")
+    return ruled.select(*kept, F.col(at_host).alias("host"), F.col(at_path).alias("path"), F.col(found).alias("rule"), verdict.alias("verdict"))
 
 
 #: The rules of the query.
