@@ -116,6 +116,18 @@ def test_query_against_sql(spark):
     assert rows(ours) == rows(theirs)
 
 
+def test_long_lists_and_long_hosts(spark):
+    keys = [f"k{k}" for k in range(500)]
+    universe = spark.createDataFrame([(k,) for k in keys], "key string")
+    cascade = UF.Cascade(spark, keys[::3], universe, 500, most_keys=40)
+    assert len(cascade.others) == 4
+    assert {r.key for r in universe.filter(cascade.member(F.col("key"))).collect()} == set(keys[::3])
+    host = ".".join(["a"] * 4000) + ".example.org"
+    d = spark.createDataFrame([(1, f"http://{host}/es/x", 5)], "page_id long, url string, __kept int")
+    [r] = UF.judge(d, ALLOW, BLOCK).collect()
+    assert (r.host, r.rule, r.verdict, r["__kept"]) == (host, "example.org/es/", "block", 5)
+
+
 def test_cascade_is_exact_when_filters_are_poor(spark, monkeypatch):
     rng = random.Random(6)
     keys = [f"k{rng.randrange(10**9)}" for _ in range(3000)]
@@ -141,6 +153,20 @@ def test_raw_elements_end_at_their_end_tag(raw):
     assert [x for _, x in flow if x is not None] == ["Before.", "After it."]
 
 
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [
+        ("<svg><path><article><h1>Title here</h1><p>Some prose of the article that goes on.</p></article>", "Title here Some prose of the article that goes on."),
+        ("<div class=ad title=it's>x</div><article><h1>Title here</h1><p>Some prose of the article that goes on.</p></article>", "Title here Some prose of the article that goes on."),
+        ("<article><h1>T t</h1><p>So x equals <math><mi>y</mi></math> here in text.</p></article>", "T t So x equals y here in text."),
+        ("<html><body><h1>Head line</h1><p>First paragraph of prose, long enough.</p><p>Second paragraph of prose, too.</p></body></html>", "Head line First paragraph of prose, long enough. Second paragraph of prose, too."),
+        ("<html><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><h1>Head line</h1><p>First paragraph of prose, long enough.</p><p>Second one.</p><footer><p>&copy; us</p></footer></body></html>", "Head line First paragraph of prose, long enough. Second one."),
+    ],
+)
+def test_odd_pages(model, page, text):
+    assert model.extract(page) == text
+
+
 def test_unclosed_raw_elements_run_to_the_end():
     for raw in ("<script>i<n", "<style>p{}</styled>", "<script><!-- -->"):
         assert [x for _, x in HX.parse(f"<p>Before.</p>{raw}<p>After it.</p>")[1] if x is not None] == ["Before."]
