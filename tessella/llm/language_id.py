@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import struct_of, table
+from tessella.llm.common import struct_of, table, unused
 
 UNKNOWN = "und"
 
@@ -166,7 +166,8 @@ class LanguageID:
 
     def kept(self, docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
         """The rows of docs with a language whose score is at least `least`, with docs' own columns only."""
-        return docs.withColumn("__v", self.predicted(F.col(text_col))).filter((F.col("__v.lang_pred") != UNKNOWN) & (F.col("__v.score") >= least)).drop("__v")
+        [v] = unused(docs.columns, "verdict")
+        return docs.withColumn(v, self.predicted(F.col(text_col))).filter((F.col(f"{v}.lang_pred") != UNKNOWN) & (F.col(f"{v}.score") >= least)).drop(v)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

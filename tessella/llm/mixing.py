@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.llm.common import WORD, materialise, table
+from tessella.llm.common import WORD, materialise, table, unused
 
 #: Stands for a null source inside the operator.
 NO_SOURCE = "\x00"
@@ -159,14 +159,13 @@ def apply(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sourc
     u // k uses each, the first u % k of them one more.
     """
     uses, _ = mixture(docs, id_col=id_col, text_col=text_col, source_col=source_col, **options)
-    names = ["__src", "__h", "__g"]
-    counts = uses.groupBy(F.col("src").alias("__src"), F.col("h").alias("__h"), F.col("g").alias("__g")).agg(F.count(F.lit(1)).alias("__u"))
+    *names, n, all_, own, copy = unused(docs.columns, "src", "h", "g", "uses", "equal", "turn", "copy")
+    counts = uses.groupBy(*[F.col(c).alias(name) for c, name in zip(("src", "h", "g"), names, strict=True)]).agg(F.count(F.lit(1)).alias(n))
     keyed = docs.withColumns(dict(zip(names, (source_of(source_col), *hashes_of(id_col, text_col)), strict=True)))
     same = Window.partitionBy(*names)
-    both = keyed.join(counts, names).withColumns({"__k": F.count(F.lit(1)).over(same), "__r": F.row_number().over(same.orderBy("__h"))})
-    times = F.floor(F.col("__u") / F.col("__k")) + F.when(F.col("__r") <= F.col("__u") % F.col("__k"), 1).otherwise(0)
-    repeated = both.withColumn("__e", F.array_repeat(F.lit(1), times.cast("int")))
-    return repeated.select(*docs.columns, F.explode("__e").alias("__e")).drop("__e")
+    both = keyed.join(counts, names).withColumns({all_: F.count(F.lit(1)).over(same), own: F.row_number().over(same.orderBy(names[1]))})
+    times = F.floor(F.col(n) / F.col(all_)) + F.when(F.col(own) <= F.col(n) % F.col(all_), 1).otherwise(0)
+    return both.select(*docs.columns, F.explode(F.array_repeat(F.lit(1), times.cast("int"))).alias(copy)).drop(copy)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -383,6 +383,27 @@ def test_clashing_hashes_are_told_apart_by_bytes(spark, tmp_path, monkeypatch):
     assert got[1].fingerprint == got[2].fingerprint and len({r.fingerprint for r in got.values()}) == 3 and got[2].near_next == 1.0 and got[3].near_next == 0.0
 
 
+def test_edited_texts_of_repeated_and_null_ids(spark, tmp_path):
+    rows = [(None, "only one without an id"), (1, "a b c d e f"), (1, "a b c d e f"), (1, "A  B c d e F"), (2, "x y z"), (2, None), (3, "a b c d e f")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = FP.query(spark, str(tmp_path)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+    assert len({r.fingerprint for r in got if r.doc_id in (1, 3)}) == 1 and all(0 <= r.near_next <= 1 for r in got)
+    none = spark.createDataFrame([(None, "p"), (None, "p")], "doc_id long, text string")
+    none.write.parquet(f"{tmp_path}/none/documents.parquet")
+    assert FP.query(spark, f"{tmp_path}/none").count() == 2
+
+
+def test_columns_that_clash_pass_through(spark):
+    d = frame(spark, ODD).withColumns({c: F.lit(7) for c in ("__v", "verdict_0", "src_0", "h_0", "canon_0", "sha_0", "__h", "copy_0")})
+    labels = spark.createDataFrame([(1, 1), (9, 0)], "doc_id long, quality int")
+    rules = QR.QualityRules().fit(d, labels)
+    assert rules.kept(d).columns == d.columns and set(d.columns) < set(rules.judged(d).columns) and rules.judged(d).count() == d.count()
+    mixed, printed = MX.apply(d), FP.fingerprints(d)
+    assert mixed.columns == d.columns and mixed.count() >= d.count()
+    assert printed.columns == [*d.columns, "fingerprint"] and {r["verdict_0"] for r in printed.collect()} == {7}
+
+
 def test_fingerprints_of_nothing_and_one(spark, tmp_path):
     for k, rows in enumerate(([], [(5, "abcdef")])):
         spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/{k}/documents.parquet")
