@@ -40,7 +40,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", lean(packing.stage)),
 ]
 
-#: Isolation forests, n-gram models and tokenizers are beyond SQL; tests hold the stages against brute-force versions.
+#: Isolation forests, n-gram models and tokenizers are beyond SQL; tests hold the stages' operators against brute-force versions, and
+#: the pipeline's stages against one another.
 ORACLE_SQL: str | None = None
 
 
