@@ -40,8 +40,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", lean(packing.stage)),
 ]
 
-#: Isolation forests, n-gram models and tokenizers are beyond SQL; tests hold the stages' operators against brute-force versions, and
-#: the pipeline's stages against one another.
+#: Isolation forests, n-gram models and tokenizers are beyond SQL; tests hold the stages' operators against brute-force versions,
+#: and compare run() with its stages one by one by their numbers of rows.
 ORACLE_SQL: str | None = None
 
 
