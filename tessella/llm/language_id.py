@@ -5,9 +5,10 @@ likelihood is that of its trigrams (with word marks). Expectation-maximisation e
 and among the nested language sets left by dropping the weakest language the one with the best penalised likelihood (BIC)
 is kept.
 
-Defined results. A null text, an empty one and one without any letter get the language `und` and score 0. Equal texts get
-equal results, ties between languages go to the first in alphabetical order, an empty table gives an empty result. Without
-labelled rows every text is `und`. Texts are read whole; extra columns pass through.
+Defined results. A null text, an empty one and one without any letter get the language `und`, score 0 and no languages. Equal
+texts get equal results, ties between languages go to the first in alphabetical order, an empty table gives an empty result.
+Without labelled rows every text is `und`, and kept() keeps every row, as there is no language to reject one by. Texts are read
+whole; extra columns pass through.
 """
 
 from __future__ import annotations
@@ -113,7 +114,7 @@ def mixture(ll: np.ndarray, counts: np.ndarray, penalty: float) -> tuple[np.ndar
     return share, alone
 
 
-OUT = struct_of(lang_pred=T.StringType(), score=T.DoubleType())
+OUT = struct_of(lang_pred=T.StringType(), score=T.DoubleType(), languages=T.ArrayType(T.StringType()), shares=T.ArrayType(T.DoubleType()))
 
 
 class LanguageID:
@@ -152,20 +153,26 @@ class LanguageID:
         return self
 
     def predicted(self, text: Column) -> Column:
-        """A struct of lang_pred and score."""
+        """A struct of lang_pred, score, languages (the document's set, the largest share first) and shares (their proportions)."""
         model = self.model
         assert model is not None, "fit() comes first"
 
         @F.pandas_udf(OUT)
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
             for b in batches:
-                found = [model.infer(t)[:2] for t in b]
+                found = []
+                for lang, score, share in map(model.infer, b):
+                    own = sorted((k for k, x in enumerate(share) if x > 0), key=lambda k: -share[k])
+                    found.append((lang, score, [model.langs[k] for k in own], [share[k] for k in own]))
                 yield pd.DataFrame(found, columns=OUT.fieldNames())
 
         return of(text)
 
     def kept(self, docs: DataFrame, text_col: str = "text", least: float = 0.5) -> DataFrame:
-        """The rows of docs with a language whose score is at least `least`, with docs' own columns only."""
+        """The rows of docs with a language whose score is at least `least`, with docs' own columns only; all rows if no language
+        was learned."""
+        if self.model is not None and not self.model.langs:
+            return docs
         [v] = unused(docs.columns, "verdict")
         return docs.withColumn(v, self.predicted(F.col(text_col))).filter((F.col(f"{v}.lang_pred") != UNKNOWN) & (F.col(f"{v}.score") >= least)).drop(v)
 

@@ -115,7 +115,24 @@ def test_language_on_odd_rows(spark):
     assert got == [("und", 0.0)] * 3
     assert lid.kept(d).columns == d.columns and lid.kept(d.limit(0)).count() == 0
     nothing = LI.LanguageID().fit(d.limit(0))
-    assert {r.v.lang_pred for r in d.select(nothing.predicted(F.col("text")).alias("v")).collect()} == {"und"}
+    assert {(r.v.lang_pred, *r.v.languages) for r in d.select(nothing.predicted(F.col("text")).alias("v")).collect()} == {("und",)}
+    assert nothing.kept(d).count() == d.count()
+
+
+def test_language_query_keeps_its_contract(spark):
+    sf = "/root/testdata/sf0.001"
+    docs = {r.doc_id: r for r in table(spark, sf).select("doc_id", "text", "lang").collect()}
+    got = LI.query(spark, sf)
+    assert got.columns == ["doc_id", "held_out", "lang_pred", "score", "languages", "shares"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    model = LI.LanguageID().fit(table(spark, sf).filter("pmod(crc32(cast(doc_id as string)), 4) <> 2")).model
+    for r in rows:
+        assert r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 4 == 2)
+        lang, score, share = model.infer(docs[r.doc_id].text)
+        assert r.lang_pred == lang and r.score == pytest.approx(score) and 0 <= r.score <= 1
+        assert dict(zip(r.languages, r.shares, strict=True)) == pytest.approx({x: s for x, s in zip(model.langs, share, strict=True) if s > 0})
+        assert r.shares == sorted(r.shares, reverse=True) and (lang == "und" or sum(r.shares) == pytest.approx(1) and r.languages[0] == lang)
 
 
 # ---- compression
