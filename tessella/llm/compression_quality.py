@@ -1,16 +1,20 @@
 """Quality by compression: how much better good text's dictionary packs a document than bad text's.
 
-Two zstandard dictionaries are built from labelled good and bad texts. A document is compressed whole with each; the
-size difference over the size without dictionary is calibrated to a probability on labelled rows kept out of the dictionaries.
+Pairs of zstandard dictionaries, of several sizes, are built from labelled good and bad texts. A document is compressed whole
+with each of them; the differences of a pair's sizes, normalised in three ways, are calibrated to a probability on labelled
+rows kept out of the dictionaries. Nothing but these differences is in the score: no length, no share of compression alone.
 
-Defined results. A null or empty text has no size difference and gets the calibration's score at its own length. Equal texts
-get equal scores, an empty table an empty result. If either label is missing, the score is the share of label 1 (0.5
-without labels). Extra columns pass through.
+Defined results. A null or empty text has no size difference and gets the calibration's score there. Equal texts get equal
+scores, an empty table an empty result. If the dictionaries or the calibration miss either label, the score is the share of
+label 1 (0.5 without labels). Extra columns pass through, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+from collections import Counter
 from collections.abc import Iterator
+from itertools import accumulate
 
 import numpy as np
 import pandas as pd
@@ -30,21 +34,24 @@ def dictionary(texts: list[bytes], size: int) -> bytes:
         return b"".join(texts)[-size:]
 
 
-class Sizes:
-    """Compressed sizes of one text with the good, the bad and no dictionary."""
+class Differences:
+    """Normalised differences of one text's compressed sizes with pairs of (good, bad) dictionaries."""
 
-    def __init__(self, good: bytes, bad: bytes, level: int):
-        self.parts = [
-            zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=level)
-            for d in (good, bad, b"")
-        ]
+    def __init__(self, pairs: list[tuple[bytes, bytes]], level: int):
+        self.pairs = [tuple(self.compressor(d, level) for d in pair) for pair in pairs]
+
+    @staticmethod
+    def compressor(d: bytes, level: int) -> zstandard.ZstdCompressor:
+        return zstandard.ZstdCompressor(level=level, dict_data=zstandard.ZstdCompressionDict(d)) if d else zstandard.ZstdCompressor(level=level)
 
     def features(self, text: str | None) -> list[float]:
-        """Normalised size difference, packed share, log length, and the difference where the text is long or packs well."""
-        raw = (text or "").encode("utf-8", "surrogatepass")
-        good, bad, none = (len(c.compress(raw)) for c in self.parts)
-        diff, share, length = (bad - good) / none, none / (len(raw) + 16), np.log1p(len(raw))
-        return [diff, share, length, diff * length, diff * share, diff * diff, share * share, share * length]
+        """For each pair the difference per byte of text, per byte of the smaller result, and its signed logarithm."""
+        raw, out = (text or "").encode("utf-8", "surrogatepass"), []
+        for pair in self.pairs:
+            good, bad = (len(c.compress(raw)) for c in pair)
+            diff = bad - good
+            out += [diff / (len(raw) + 16), diff / min(good, bad), math.copysign(math.log1p(abs(diff)), diff)]
+        return out
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50) -> np.ndarray:
@@ -64,59 +71,80 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-3, rounds: int = 50
 class CompressionQuality:
     """fit() on labelled texts, then score() of any text column."""
 
-    def __init__(self, fit_rows: int = 12_000, dict_bytes: int = 32_768, level: int = 3):
-        """fit_rows bounds the labelled texts that are read at all (chosen by the hash of their id)."""
-        self.fit_rows, self.dict_bytes, self.level = fit_rows, dict_bytes, level
-        self.good = self.bad = b""
+    def __init__(
+        self, fit_rows: int = 12_000, fit_bytes: int = 16_000_000, dict_bytes: tuple[int, ...] = (2_048, 8_192, 32_768), level: int = 3
+    ):
+        """fit_rows bounds the labelled texts that are read at all (chosen by the hash of their id), fit_bytes the bytes of one
+        label's texts that a dictionary is built from, on the driver."""
+        self.fit_rows, self.fit_bytes, self.dict_bytes, self.level = fit_rows, fit_bytes, dict_bytes, level
+        self.pairs: list[tuple[bytes, bytes]] = []
         self.mean = self.scale = self.weights = None
         self.constant: float | None = None
 
-    def fit_rows_of(self, rows: list[tuple[str | None, int]]) -> CompressionQuality:
-        """rows of (text, label): even ones of each label build its dictionary, odd ones calibrate."""
-        parts = {q: [t for t, label in rows if label == q] for q in (0, 1)}
-        if min(map(len, parts.values())) < 2:
-            n = len(parts[0]) + len(parts[1])
-            self.constant = len(parts[1]) / n if n else 0.5
-            return self
-        raw = {q: [t.encode("utf-8", "surrogatepass") for t in p[::2] if t] for q, p in parts.items()}
-        few = min(sum(map(len, r)) for r in raw.values())  # as much good as bad text, so that neither dictionary knows more
-        for q, r in raw.items():
-            held, kept = 0, []
-            for t in r:
-                if held <= few:
-                    kept.append(t)
-                    held += len(t)
-            raw[q] = kept
-        self.good, self.bad = dictionary(raw[1], self.dict_bytes), dictionary(raw[0], self.dict_bytes)
-        sizes = Sizes(self.good, self.bad, self.level)
-        rest = [(t, q) for q, p in parts.items() for t in p[1::2]]
-        x, y = np.array([sizes.features(t) for t, _ in rest]), np.array([q for _, q in rest], dtype=float)
+    def build(self, good: list[bytes], bad: list[bytes]) -> CompressionQuality:
+        self.pairs = [(dictionary(good, size), dictionary(bad, size)) for size in self.dict_bytes]
+        return self
+
+    def calibrate(self, x: np.ndarray, y: np.ndarray) -> CompressionQuality:
         self.mean, self.scale = x.mean(axis=0), x.std(axis=0) + 1e-9
         self.weights = logistic((x - self.mean) / self.scale, y)
         return self
 
     def fit(self, docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> CompressionQuality:
+        """Half of the labelled rows (by hash) build the dictionaries, as many bytes of good as of bad text; the other half
+        calibrates. Dictionary texts come to the driver, of the others only their differences."""
         labels = labels.select(F.col(id_col).alias("__id"), F.col("quality").alias("__q")).filter("__q IN (0, 1) AND __id IS NOT NULL")
         few = sampled(labels, F.col("__id"), self.fit_rows, labels.count(), salt=6)
-        rows = docs.select(F.col(id_col).alias("__id"), F.col(text_col).alias("__t")).join(few, "__id").collect()
-        return self.fit_rows_of([(t, q) for _, t, q in sorted((r["__id"], r["__t"] or "", r["__q"]) for r in rows)])
-
-    def scores(self, texts: list[str | None], sizes: Sizes | None = None) -> np.ndarray:
-        if self.constant is not None:
-            return np.full(len(texts), self.constant)
-        sizes = sizes or Sizes(self.good, self.bad, self.level)
-        x = np.array([sizes.features(t) for t in texts]).reshape(len(texts), len(self.mean))
+        rows = (
+            docs.select(F.col(id_col).alias("__id"), F.coalesce(F.col(text_col), F.lit("")).alias("__t"))
+            .join(few, "__id")
+            .select("__q", "__t", F.xxhash64(F.lit(9), "__id", "__t").alias("__h"), F.octet_length("__t").alias("__n"))
+        )
+        found = sorted((r["__q"], r["__h"], r["__n"]) for r in rows.select("__q", "__h", "__n").collect())
+        count = Counter((q, h % 2) for q, h, _ in found)
+        if not all(count[q, part] for q in (0, 1) for part in (0, 1)):
+            ones = sum(q for q, _, _ in found)
+            self.constant = ones / len(found) if found else 0.5
+            return self
+        sizes = {q: [(h, n) for p, h, n in found if p == q and h % 2 == 0 and n <= self.fit_bytes] for q in (0, 1)}
+        most = min(self.fit_bytes, *(sum(n for _, n in own) for own in sizes.values()))
+        wanted = F.lit(False)
+        for q, own in sizes.items():
+            own = [(h, n) for h, n in own if n <= most]
+            fits = [h for (h, _), total in zip(own, accumulate(n for _, n in own), strict=True) if total <= most]
+            if fits:
+                wanted |= (F.col("__q") == q) & (F.col("__h") <= fits[-1]) & (F.col("__n") <= most)
+        texts = sorted((r["__q"], r["__h"], r["__t"].encode("utf-8", "surrogatepass")) for r in rows.filter("pmod(__h, 2) = 0").filter(wanted).collect())
+        self.build(*([t for q, _, t in texts if q == label and t] for label in (1, 0)))
+        rest = rows.filter("pmod(__h, 2) = 1").select("__q", "__h", self.differences(F.col("__t")).alias("x")).collect()
+        rest = sorted((r["__h"], r["__q"], tuple(r["x"])) for r in rest)
+        return self.calibrate(np.array([x for _, _, x in rest]), np.array([q for _, q, _ in rest], dtype=float))
+
+    def scores(self, x: np.ndarray) -> np.ndarray:
         z = (x - self.mean) / self.scale @ self.weights[:-1] + self.weights[-1]
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
+    def differences(self, text: Column) -> Column:
+        pairs, level = self.pairs, self.level
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            own = Differences(pairs, level)
+            for b in batches:
+                yield pd.Series([own.features(t) for t in b], dtype=object)
+
+        return of(text)
+
     def score(self, text: Column) -> Column:
+        if self.constant is not None:
+            return F.lit(self.constant)
         own = self
 
         @F.pandas_udf(T.DoubleType())
         def of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            sizes = Sizes(own.good, own.bad, own.level)
+            differences = Differences(own.pairs, own.level)
             for b in batches:
-                yield pd.Series(own.scores(list(b), sizes))
+                yield pd.Series(own.scores(np.array([differences.features(t) for t in b]).reshape(len(b), len(own.mean))))
 
         return of(text)
 

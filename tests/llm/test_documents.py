@@ -9,11 +9,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
-
 import pytest
+import zstandard
 from pyspark.sql import functions as F
 
-
 from tessella.llm import compression_quality as CQ
 from tessella.llm import fingerprints as FP
 from tessella.llm import language_id as LI
@@ -59,11 +58,67 @@ def test_statistics_match_the_definition(spark):
         assert QR.statistics(t)[0] == slow_statistics(t)
 
 
-def test_forest_sets_junk_apart(spark):
-    docs, labels = table(spark, "/root/testdata/sf0.01"), table(spark, "/root/testdata/sf0.01", "labels")
-    judged = QR.QualityRules().fit(docs, labels).judged(docs).join(labels, "doc_id").filter("n_words >= 50")
-    rate = {r.quality: r.k for r in judged.groupBy("quality").agg(F.avg(F.col("kept").cast("double")).alias("k")).collect()}
-    assert rate[1] > 0.97 and rate[0] < 0.4
+def test_forest_against_a_walk_of_each_row():
+    rng = np.random.default_rng(4)
+    x = np.column_stack([rng.normal(size=400), rng.normal(size=400), np.zeros(400)])
+    forest = QR.fit_forest(x, np.array([1.0, 1.0, 0.0]), trees=20, points=64)
+    rows = [[0, 0, 0], [5, 0, 0], [0, -7, 3], *x[:20]]
+    for row, score in zip(rows, forest.scores(np.array(rows, dtype=float)), strict=True):
+        paths = []
+        for f, v in zip(forest.feature, forest.value, strict=True):
+            at = 0
+            while f[at] >= 0:
+                at = 2 * at + (2 if row[f[at]] >= v[at] else 1)
+            paths.append(v[at])
+        assert score == pytest.approx(2 ** (-sum(paths) / len(paths) / QR.expected_path(64)))
+    assert min(forest.scores(np.array(rows[1:3], dtype=float))) > np.median(forest.scores(x)) and 2 not in forest.feature
+    for t, f in enumerate(forest.feature):  # a leaf's value is its depth and what its share of the tree's points adds
+        own = x[np.random.default_rng(11).choice(400, 64, replace=False)] if t == 0 else None
+        todo = [(0, own, 0)] if t == 0 else []
+        while todo:
+            at, held, d = todo.pop()
+            if f[at] < 0:
+                assert forest.value[t, at] == pytest.approx(d + QR.expected_path(len(held))) and (d == 6 or len(held) <= 1)
+                continue
+            right = held[:, f[at]] >= forest.value[t, at]
+            todo += [(2 * at + 1, held[~right], d + 1), (2 * at + 2, held[right], d + 1)]
+
+
+def test_threshold_is_the_cheapest():
+    rng = np.random.default_rng(5)
+    good, bad = rng.normal(0.3, 0.1, 60).round(2), rng.normal(0.5, 0.1, 30).round(2)
+
+    def cost(c):
+        return 5 * np.mean(good > c) + np.mean(bad <= c)
+
+    assert cost(QR.threshold_of(good, bad, 5.0)) == pytest.approx(min(cost(c) for c in np.linspace(-0.1, 1.1, 2401)))
+    assert QR.threshold_of(good, good[:0], 5.0) > good.max() and QR.threshold_of(good[:0], bad, 5.0) is None
+
+
+def test_forest_on_unseen_labels(spark):
+    """Error rates among rows that pass the base rules, on the half of the labels that is not fitted, both ways."""
+    docs, labels = table(spark, "/root/testdata/sf0.1"), table(spark, "/root/testdata/sf0.1", "labels")
+    rate = Counter()
+    half = F.pmod(F.xxhash64(F.lit(3), "doc_id"), F.lit(2))
+    for k in (0, 1):
+        rules = QR.QualityRules().fit(docs, labels.filter(half == k))
+        unseen = rules.judged(docs.join(labels.filter(half != k), "doc_id")).filter("NOT base_failed")
+        for r in unseen.groupBy("quality").agg(F.sum(F.col("kept").cast("int")).alias("k"), F.count("*").alias("n")).collect():
+            rate[r.quality, "kept"] += r.k
+            rate[r.quality, "all"] += r.n
+    assert rate[1, "kept"] / rate[1, "all"] >= 0.99 and rate[0, "kept"] / rate[0, "all"] <= 0.05, rate
+
+
+def test_rules_query_keeps_its_contract(spark):
+    docs = {r.doc_id: r.text for r in table(spark).select("doc_id", "text").collect()}
+    got = QR.query(spark, SF)
+    assert got.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "anomaly", "kept"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    for r in rows:
+        want = slow_statistics(docs[r.doc_id])
+        assert [r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words] == want
+        assert r.base_failed == (want[0] < 50 or 100 * want[4] > 50 * want[0]) and not (r.kept and r.base_failed)
 
 
 def test_rules_on_odd_rows(spark):
@@ -149,12 +204,53 @@ def test_compression_separates_held_out_labels(spark):
     assert ((rows.s >= 0.3) & (rows.quality == 1)).sum() / n1 > 0.97
 
 
+def test_compression_by_plain_sizes(spark):
+    """The operator's scores and the query's columns against zstandard called text by text."""
+    sf = "/root/testdata/sf0.01"
+    docs = {r.doc_id: r.text or "" for r in table(spark, sf).select("doc_id", "text").collect()}
+    labels = table(spark, sf, "labels")
+    got = CQ.query(spark, sf)
+    assert got.columns == ["doc_id", "held_out", "score", "predicted"]
+    rows = got.collect()
+    assert sorted(r.doc_id for r in rows) == sorted(docs)
+    model = CQ.CompressionQuality().fit(table(spark, sf), labels.filter("pmod(crc32(cast(doc_id as string)), 5) <> 0"))
+    for r in rows:
+        raw, x = docs[r.doc_id].encode(), []
+        for pair in model.pairs:
+            good, bad = (len(zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d)).compress(raw)) for d in pair)
+            x += [(bad - good) / (len(raw) + 16), (bad - good) / min(good, bad), math.log1p(abs(bad - good)) * (1 if bad >= good else -1)]
+        z = sum((a - m) / s * w for a, m, s, w in zip(x, model.mean, model.scale, model.weights)) + model.weights[-1]
+        assert r.score == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, z)))), abs=1e-9)
+        assert r.predicted == (r.score >= 0.3) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+
+
+def test_compression_learns_from_bounded_bytes(spark):
+    rng = random.Random(2)
+    rows = [(k, " ".join(rng.choice(("alpha beta gamma", "delta epsilon")[k % 2].split()) for _ in range(60)), k % 2) for k in range(200)]
+    rows.append((999, "x" * 500_000, 1))
+    d = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    seen = []
+    model = CQ.CompressionQuality(fit_bytes=5_000)
+    build = model.build
+    model.build = lambda good, bad: seen.extend((good, bad)) or build(good, bad)
+    model.fit(d.select("doc_id", "text"), d.select("doc_id", "quality"))
+    assert all(0 < sum(map(len, part)) <= 5_000 for part in seen)
+    got = d.select("quality", model.score(F.col("text")).alias("s")).filter("doc_id < 999").collect()
+    assert all((r.s >= 0.5) == (r.quality == 1) for r in got)
+
+
 def test_compression_on_odd_rows(spark):
-    d = frame(spark, ODD)
+    d = frame(spark, ODD).withColumn("__h", F.lit(1)).withColumn("__q", F.lit(1)).withColumn("__n", F.lit(1))
     none = CQ.CompressionQuality().fit(d, spark.createDataFrame([], "doc_id long, quality int"))
     assert {r.s for r in d.select(none.score(F.col("text")).alias("s")).collect()} == {0.5}
-    few = CQ.CompressionQuality().fit(d, spark.createDataFrame([(k, k % 2) for k in (1, 2, 3, 4, 5, 6, 9, 10)], "doc_id long, quality int"))
-    assert all(0 <= r.s <= 1 for r in d.select(few.score(F.col("text")).alias("s")).collect())
+    one = CQ.CompressionQuality().fit(d, spark.createDataFrame([(4, 1), (5, 1)], "doc_id long, quality int"))
+    assert {r.s for r in d.select(one.score(F.col("text")).alias("s")).collect()} == {1.0}
+    many = d.unionByName(d.selectExpr("doc_id + 100 AS doc_id", *[c for c in d.columns if c != "doc_id"]))
+    few = CQ.CompressionQuality().fit(many, many.filter("doc_id IS NOT NULL").selectExpr("doc_id", "int(doc_id % 2) AS quality").distinct())
+    assert few.constant is None
+    got = many.select("text", few.score(F.col("text")).alias("s")).collect()
+    assert all(0 <= r.s <= 1 for r in got) and len({r.s for r in got if r.text == "same text here again and again"}) == 1
+    assert many.limit(0).select(few.score(F.col("text")).alias("s")).count() == 0
 
 
 # ---- near duplicates
