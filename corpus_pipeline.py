@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the one before kept, and returns a DataFrame that is written as
 Parquet and read again as the next one's docs. All but the last return the columns of `documents`.
+
+Defined results. Rows with a null or empty text, and all others that fail the base rules, go in the first stage; a null id, lang
+or source is kept. Without labels the forest's default threshold holds, without any known lang the language stage keeps all
+rows. Of repeated rows and near copies one stays, and mixing uses it as often as its source's share asks. Columns beyond
+those of `documents`, whatever their names, pass through to the last stage, which returns pieces. Empty tables give none.
 """
 
 from __future__ import annotations
@@ -40,8 +45,8 @@ STAGES: list[tuple[str, Stage]] = [
     ("packing", lean(packing.stage)),
 ]
 
-#: Isolation forests, n-gram models and tokenizers are beyond SQL; tests hold the stages' operators against brute-force versions,
-#: and compare run() with its stages one by one by their numbers of rows.
+#: Isolation forests, n-gram models and tokenizers are beyond SQL; tests/llm/test_contracts.py holds each stage's rows against a
+#: brute-force version, and the number of run()'s rows against its stages one by one.
 ORACLE_SQL: str | None = None
 
 
