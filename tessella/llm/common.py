@@ -62,6 +62,16 @@ def sampled(df: DataFrame, key: Column, rows: int, total: int, salt: int = 0) ->
     return df.filter(F.pmod(F.xxhash64(F.lit(salt), key), F.lit(2**32)) < F.lit(cut))
 
 
+def looked_up(rows: DataFrame, few: DataFrame, on: list[str], spread: Column, most: int = 100_000) -> DataFrame:
+    """rows joined with a table that has one row a key. The table is counted, and broadcast up to `most` rows; beyond that, each of its
+    rows is copied to 32 salts and rows are dealt among them by the hash of `spread`, so that a frequent key is no single task's."""
+    if few.count() <= most:
+        return rows.join(F.broadcast(few), on)
+    (salt,) = unused([*rows.columns, *few.columns], "salt")
+    copies = few.withColumn(salt, F.explode(F.sequence(F.lit(0), F.lit(31))))
+    return rows.withColumn(salt, F.pmod(F.xxhash64(F.lit(3), spread), F.lit(32)).cast("int")).join(copies, [*on, salt]).drop(salt)
+
+
 def numbered(df: DataFrame, group: list[str], key: Column, out: str, rows: int, per_bucket: int = 20_000) -> DataFrame:
     """Add column `out`: a gapless number from 0 inside each group, without putting a group into one task.
 
