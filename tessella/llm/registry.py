@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import compression_quality, divergence, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_rules, sharding, url_filter
+from tessella.llm import compression_quality, divergence, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_rules, sharding, url_filter, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -23,9 +23,10 @@ def queries() -> dict[str, Query]:
         "op8_kd_sharding": sharding.query,
         "op9_temperature_mixing": mixing.query,
         "op10_url_filter": url_filter.query,
+        "op11_vector_codes": vector_codes.query,
         "op13_source_divergence": divergence.query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op10_url_filter": url_filter.sql(), "op13_source_divergence": divergence.sql()}
+    return {"op10_url_filter": url_filter.sql(), "op11_vector_codes": vector_codes.sql(), "op13_source_divergence": divergence.sql()}
