@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.llm import compression_quality, divergence, fingerprints, html_extraction, language_id, mixing, near_duplicates, packing, quality_rules, sharding, url_filter, vector_codes
+from tessella.llm import compression_quality, divergence, fingerprints, html_extraction, language_id, mixing, near_duplicates, neighbours, packing, quality_rules, sharding, url_filter, vector_codes
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -24,6 +24,7 @@ def queries() -> dict[str, Query]:
         "op9_temperature_mixing": mixing.query,
         "op10_url_filter": url_filter.query,
         "op11_vector_codes": vector_codes.query,
+        "op12_projected_neighbours": neighbours.query,
         "op13_source_divergence": divergence.query,
     }
 
