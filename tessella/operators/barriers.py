@@ -1,22 +1,23 @@
 """Barrier-exit trades: what each entry would do, then which entries are taken.
 
-An entry's outcome depends on its own bars ahead only. So all outcomes are found set-wise: a window gathers the next bars of
-each entry as an array, and array functions find the first touch. Which entries are taken depends on the ones before: an entry
-is dropped while an earlier one runs. That greedy choice needs an entry's bar and the first free bar after it, nothing else; it
-runs over the entries of a key in their order.
+An entry's outcome depends on its own bars ahead only. So all outcomes are found set-wise: bars are gathered by blocks, an entry
+takes its next bars from its block and the one after it, and array functions find the first touch. For a grid of configurations the
+bars ahead become an index of record prices, in which each configuration finds its first touches. Which entries are taken depends on the ones before: an entry
+is dropped while an earlier one runs. That greedy choice needs an entry's bar and the first free bar after it, nothing else
+(`operators/choice.py`).
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.ordering import Series, ratio
 from tessella.functions.scalars import breakeven_win_rate, touch_probability
+from tessella.operators.choice import greedy
 
 
 @dataclass(frozen=True)
@@ -38,30 +39,6 @@ def numbered_bars(bars: DataFrame, series: Series) -> DataFrame:
     return bars.withColumn("bar", (F.row_number().over(series.window()) - 1).cast("long"))
 
 
-def greedy(entries: DataFrame, keys: tuple[str, ...], start: str = "bar", free: str = "next_free") -> DataFrame:
-    """The entries that are taken when each is refused while an earlier taken one runs: start at or after its `free` bar. Entries
-    of one key with one start are tied: the one with the smallest `free` comes first, then that with the smallest hash of its row,
-    and what ties with a taken entry is refused.
-
-    Rows go through Python sorted by key; the fold holds one number, whatever the key's length.
-    """
-
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, until = None, None
-        for b in batches:
-            own = list(zip(*[b.column(k).to_pylist() for k in keys], strict=True)) if keys else [()] * b.num_rows
-            keep = []
-            for k, s, f in zip(own, b.column(start).to_pylist(), b.column(free).to_pylist(), strict=True):
-                take = k != last or s >= until
-                keep.append(take)
-                if take:
-                    last, until = k, f
-            yield b.filter(pa.array(keep, type=pa.bool_()))
-
-    parts = entries.repartition(*keys) if keys else entries.coalesce(1)
-    return parts.sortWithinPartitions(*keys, start, free, F.xxhash64(*entries.columns)).mapInArrow(of, entries.schema)
-
-
 def first_touch(ahead: Column, side: Column, target: Column, stop: Column) -> Column:
     """The number (from 1) of the first bar ahead that reaches the target or the stop; 0 if none does."""
     hit = F.transform(ahead, lambda b: F.when(side > 0, (b.high >= target) | (b.low <= stop)).otherwise((b.low <= target) | (b.high >= stop)))
@@ -109,23 +86,48 @@ def outcomes(entries: DataFrame, rr: float, cost_bp: Column, breakeven_frac: flo
     return d.withColumn("next_free", F.col("bar") + F.greatest(F.col("bars_held"), F.lit(1))).drop("__d", "__arm", "__first", "__hit", "__b", "ahead")
 
 
-def with_ahead(bars: DataFrame, series: Series, max_bars: int) -> DataFrame:
-    """bars with `ahead`, the next max_bars bars."""
-    return bars.withColumn("ahead", F.collect_list(F.struct("high", "low", "close")).over(series.following(max_bars)))
+def ahead_blocks(bars: DataFrame, series: Series, horizon: int, *more: Column) -> DataFrame:
+    """(keys, __blk, __bars): the bars of each block of `horizon` bars and of the next one, once for all entries of the block. A bar has
+    high, low, close and the columns of `more`; bars must have `bar`."""
+    item = F.struct("bar", "high", "low", "close", *more)
+    d = bars.groupBy(*series.keys, F.floor(F.col("bar") / horizon).alias("__blk")).agg(F.sort_array(F.collect_list(item)).alias("__own"))
+    following = F.lead("__own").over(Window.partitionBy(*series.keys).orderBy("__blk"))
+    return d.withColumn("__bars", F.when(following.isNull(), F.col("__own")).otherwise(F.concat("__own", following))).drop("__own")
+
+
+def looking_ahead(entries: DataFrame, bars: DataFrame, series: Series, horizon: int, *more: str) -> DataFrame:
+    """entries (keys, bar) with `ahead`, the up to `horizon` bars after their own, and columns of their own bar. Only entries get an array
+    of their own; bars must have `bar`."""
+    blocks = ahead_blocks(bars, series, horizon, *[F.col(c) for c in more])
+    at = (F.col("bar") - F.col("__blk") * horizon).cast("int")
+    d = entries.withColumn("__blk", F.floor(F.col("bar") / horizon)).join(blocks, [*series.keys, "__blk"])
+    own = F.get("__bars", at)
+    return d.filter(own.isNotNull()).withColumns({"ahead": F.slice("__bars", at + 2, horizon)} | {f"__own_{c}": own[c] for c in more}).drop("__blk", "__bars")
 
 
 def walk(bars: DataFrame, series: Series, cfg: Barriers = Barriers(), signal: str = "signal", sigma: str = "sigma", allow: str | None = None, size: str | None = None) -> DataFrame:
     """One row per trade taken where the signal changes to one other than 0 (and the gate allows, and sigma is known). The stop is
     stop_k sigmas of the close away, the target rr times that."""
-    b = with_ahead(numbered_bars(bars, series), series, cfg.max_bars)
+    d = outcomes(flips(bars, series, cfg.max_bars, cfg.stop_k, signal, sigma, allow), cfg.rr, F.lit(cfg.cost_bp))
+    stake = F.coalesce(F.col(size), F.lit(1.0)) if size else F.lit(1.0)
+    return greedy(d.withColumns({"stake": stake, "net_R": F.col("unit_net_R") * stake}), series.keys, cfg.max_bars)
+
+
+def flips(bars: DataFrame, series: Series, horizon: int, stop_k: float = 1.0, signal: str = "signal", sigma: str = "sigma", allow: str | None = None) -> DataFrame:
+    """Entries where the signal changes to one other than 0, with side, entry, stop and `ahead`."""
+    b = numbered_bars(bars, series)
     s = F.coalesce(F.col(signal), F.lit(0.0))
     flip = (s != F.coalesce(series.lag(s), F.lit(0.0))) & (s != 0)
-    b = b.withColumn("__flip", flip & (F.coalesce(F.col(allow), F.lit(False)) if allow else F.lit(True)) & (F.coalesce(F.col(sigma), F.lit(0.0)) > 0))
-    b = b.filter("__flip").withColumns({"side": F.signum(signal), "entry": F.col("close")})
-    b = b.withColumn("stop", F.col("entry") - F.col("side") * cfg.stop_k * F.col(sigma) * F.col("entry"))
-    d = outcomes(b, cfg.rr, F.lit(cfg.cost_bp))
-    stake = F.coalesce(F.col(size), F.lit(1.0)) if size else F.lit(1.0)
-    return greedy(d.withColumns({"stake": stake, "net_R": F.col("unit_net_R") * stake}), series.keys)
+    flip = flip & (F.coalesce(F.col(allow), F.lit(False)) if allow else F.lit(True)) & (F.coalesce(F.col(sigma), F.lit(0.0)) > 0)
+    # entries ride along in their blocks, so bars are read once
+    own = F.when(flip, F.struct(*b.columns)).alias("row")
+    blocks = ahead_blocks(b.withColumn("__row", own), series, horizon, F.col("__row").alias("row"))
+    at = lambda x: (x["bar"] - F.col("__blk") * horizon).cast("int")
+    mine = F.filter("__bars", lambda x: x["row"].isNotNull() & (at(x) < horizon))
+    plain = F.transform("__bars", lambda x: F.struct(x["high"].alias("high"), x["low"].alias("low"), x["close"].alias("close")))
+    d = blocks.withColumn("__plain", plain).select(F.explode(F.transform(mine, lambda x: F.struct(x["row"].alias("row"), F.slice("__plain", at(x) + 2, horizon).alias("ahead")))).alias("x"))
+    d = d.select("x.row.*", "x.ahead").withColumns({"side": F.signum(signal), "entry": F.col("close")})
+    return d.withColumn("stop", F.col("entry") - F.col("side") * stop_k * F.col(sigma) * F.col("entry"))
 
 
 def walk_explicit(bars: DataFrame, entries: DataFrame, series: Series, rr: float = 2.0, max_bars: int = 40, cost_bp: float | str = 1.0, breakeven_frac: float | None = None, allow_overlap: bool = False) -> DataFrame:
@@ -133,11 +135,112 @@ def walk_explicit(bars: DataFrame, entries: DataFrame, series: Series, rr: float
     no width, or on the last bar, is no trade and blocks none."""
     if rr <= 0 or max_bars < 1 or (breakeven_frac is not None and breakeven_frac <= 0):
         raise ValueError("rr, max_bars and breakeven_frac must be positive")
-    keys = list(series.keys)
+    d = with_cost(entries, bars, series, max_bars, cost_bp)
+    d = outcomes(d, rr, F.col("__cost"), breakeven_frac).drop("__cost")
+    return d if allow_overlap else greedy(d, series.keys, max_bars)
+
+
+def with_cost(entries: DataFrame, bars: DataFrame, series: Series, horizon: int, cost_bp: float | str) -> DataFrame:
+    """entries with `ahead`, `entry_time` and `__cost` of their bar."""
     cost = F.lit(float(cost_bp)) if not isinstance(cost_bp, str) else F.col(cost_bp)
-    b = with_ahead(numbered_bars(bars, series), series, max_bars).select(*keys, "bar", F.col(series.order[0]).alias("entry_time"), "ahead", cost.alias("__cost"))
-    d = outcomes(entries.join(b, [*keys, "bar"]), rr, F.col("__cost"), breakeven_frac).drop("__cost")
-    return d if allow_overlap else greedy(d, series.keys)
+    b = numbered_bars(bars, series).withColumns({"entry_time": F.col(series.order[0]), "cost": cost})
+    d = looking_ahead(entries.drop("entry_time"), b, series, horizon, "entry_time", "cost")
+    return d.withColumnRenamed("__own_entry_time", "entry_time").withColumnRenamed("__own_cost", "__cost")
+
+
+# ---- many configurations over one reading of the bars
+
+
+@dataclass(frozen=True)
+class Geometry:
+    """One configuration of a grid: its name, the reward ratio, the time limit, whether the breakeven stop works, and the column of
+    entries that holds its stop."""
+
+    name: str
+    rr: float
+    max_bars: int
+    stop: str = "stop"
+    breakeven: bool = False
+
+
+def passages(entries: DataFrame, horizons: list[int], breakeven_frac: float | Column | None = None) -> DataFrame:
+    """entries with a first-passage index in place of `ahead`: `up` and `down`, the record prices in and against the trade's favour with
+    the bar that set each (so the first bar to reach any level is the first record that does), the close and bar at each horizon, and
+    for a breakeven stop the bar that arms it, the next that touches the entry, and the records in favour after arming."""
+    side, ahead = F.col("side"), F.col("ahead")
+    good, bad = (lambda b: F.when(side > 0, b["high"]).otherwise(-b["low"])), (lambda b: F.when(side > 0, b["low"]).otherwise(-b["high"]))
+    kind = "struct<n:int,best:double,records:array<struct<k:int,level:double>>>"
+
+    def records(bars: Column, level, better, after: Column) -> Column:
+        def step(a: Column, b: Column) -> Column:
+            n, x = a["n"] + 1, level(b)
+            new = (n > after) & (a["best"].isNull() | better(x, a["best"]))
+            more = F.struct(n.alias("n"), x.alias("best"), F.concat(a["records"], F.array(F.struct(n.alias("k"), x.alias("level")))).alias("records"))
+            return F.when(F.coalesce(new, F.lit(False)), more).otherwise(F.struct(n.alias("n"), a["best"].alias("best"), a["records"].alias("records"))).cast(kind)
+
+        empty = F.struct(F.lit(0).alias("n"), F.lit(None).cast("double").alias("best"), F.array().cast("array<struct<k:int,level:double>>").alias("records")).cast(kind)
+        return F.reduce(bars, empty, step, lambda a: a["records"])
+
+    higher, lower = (lambda x, y: x > y), (lambda x, y: x < y)
+    d = entries.withColumns({"up": records(ahead, good, higher, F.lit(0)), "down": records(ahead, bad, lower, F.lit(0))})
+    if breakeven_frac is not None:
+        frac = breakeven_frac if isinstance(breakeven_frac, Column) else F.lit(breakeven_frac)
+        trigger = side * (F.col("entry") + side * frac * F.col("entry"))
+        d = d.withColumn("arm", F.array_position(F.transform(ahead, lambda b: side * b["close"] >= trigger), F.lit(True)).cast("int"))
+        touched = F.transform(ahead, lambda b, n: (n + 1 > F.col("arm")) & (bad(b) <= side * F.col("entry")))
+        d = d.withColumns({"back": F.array_position(touched, F.lit(True)).cast("int"), "up_after": records(ahead, good, higher, F.col("arm"))})
+    last = F.array(*[F.struct(F.lit(h).alias("horizon"), F.least(F.lit(h), F.size(ahead)).alias("k"), F.get(ahead, F.least(F.lit(h), F.size(ahead)) - 1)["close"].alias("close")) for h in sorted(set(horizons))])
+    return d.filter(F.size("ahead") > 0).withColumn("ends", last).drop("ahead")
+
+
+def first_reach(records: Column, reached) -> Column:
+    """The bar of the first record that satisfies; 0 if none does."""
+    return F.coalesce(F.get(F.filter(records, lambda r: reached(r["level"])), F.lit(0))["k"], F.lit(0))
+
+
+def grid_outcomes(indexed: DataFrame, grid: list[Geometry], cost_bp: Column) -> DataFrame:
+    """What each entry comes to under each geometry, as by outcomes(), from passages(): a row an entry and geometry (`config`)."""
+    cells = F.array(*[F.struct(F.lit(g.name).alias("config"), F.lit(float(g.rr)).alias("rr"), F.lit(g.max_bars).alias("most"), F.col(g.stop).cast("double").alias("level"), F.lit(g.breakeven).alias("be")) for g in grid])
+    d = indexed.withColumn("__g", F.explode(cells))
+    side, entry, be = F.col("side"), F.col("entry"), F.col("__g.be")
+    d = d.withColumns({"config": F.col("__g.config"), "stop": F.col("__g.level"), "__d": F.abs(entry - F.col("__g.level"))}).filter("__d > 0")
+    d = d.withColumn("target", entry + side * F.col("__d") * F.col("__g.rr"))
+    end = F.get(F.filter("ends", lambda e: e["horizon"] == F.col("__g.most")), F.lit(0))
+    within = lambda k: F.when(k <= F.col("__g.most"), k).otherwise(F.lit(0))
+    target, stop = side * F.col("target"), side * F.col("stop")
+    at_target, at_stop = within(first_reach(F.col("up"), lambda x: x >= target)), within(first_reach(F.col("down"), lambda x: x <= stop))
+    d = d.withColumns({"__t": at_target, "__s": at_stop, "__end": end})
+    first = F.when(F.col("__t") == 0, F.col("__s")).when(F.col("__s") == 0, F.col("__t")).otherwise(F.least("__t", "__s"))
+    if any(g.breakeven for g in grid):
+        arm = F.when(be, within(F.col("arm"))).otherwise(F.lit(0))
+        armed = (arm > 0) & ((first == 0) | (first > arm))
+        d = d.withColumn("be_armed", armed)
+        d = d.withColumns({
+            "__t": F.when(F.col("be_armed"), within(first_reach(F.col("up_after"), lambda x: x >= target))).otherwise(F.col("__t")),
+            "__s": F.when(F.col("be_armed"), within(F.col("back"))).otherwise(F.col("__s")),
+        })
+    else:
+        d = d.withColumn("be_armed", F.lit(False))
+    stopped = (F.col("__s") > 0) & ((F.col("__t") == 0) | (F.col("__s") <= F.col("__t")))
+    done = (F.col("__t") > 0) | (F.col("__s") > 0)
+    level = F.when(F.col("be_armed"), entry).otherwise(F.col("stop"))
+    d = d.withColumns({
+        "outcome": F.when(~done, "time").when(stopped & F.col("be_armed"), "breakeven").when(stopped, "stop").otherwise("target"),
+        "ambiguous": (F.col("__t") > 0) & (F.col("__t") == F.col("__s")),
+        "exit": F.when(~done, F.col("__end.close")).when(stopped, level).otherwise(F.col("target")),
+        "bars_held": F.when(~done, F.col("__end.k")).otherwise(F.coalesce(F.when(stopped, F.col("__s")), F.col("__t"))).cast("long"),
+    })
+    gross, cost = side * (F.col("exit") - entry) / F.col("__d"), 2 * cost_bp / 1e4 * entry / F.col("__d")
+    d = d.withColumns({"stop_frac": F.col("__d") / entry, "cost_R": cost, "gross_R": gross, "unit_net_R": gross - cost, "net_R": gross - cost})
+    return d.withColumn("next_free", F.col("bar") + F.greatest(F.col("bars_held"), F.lit(1))).drop("__g", "__d", "__t", "__s", "__end", "up", "down", "ends", "arm", "back", "up_after")
+
+
+def grid_walk(entries: DataFrame, series: Series, grid: list[Geometry], cost_bp: Column, breakeven_frac: float | Column | None = None, group: tuple[str, ...] = ()) -> DataFrame:
+    """The trades of each geometry over entries with `ahead` (as many bars as the longest time limit): entries are indexed once, and
+    each geometry takes its own trades that don't overlap. `group` columns keep trades apart as keys do."""
+    longest = max(g.max_bars for g in grid)
+    d = grid_outcomes(passages(entries, [g.max_bars for g in grid], breakeven_frac), grid, cost_bp)
+    return greedy(d, (*series.keys, *group, "config"), longest)
 
 
 def barrier_summary(trades: DataFrame, keys: tuple[str, ...], rr: float) -> DataFrame:

@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tessella.functions.ordering import Series, at_least, ratio
-from tessella.operators.barriers import greedy, numbered_bars
-from tessella.operators.ewm import ema, ewma_sigma
-from tessella.operators.joins import asof, touches_zone
+from tessella.operators.barriers import numbered_bars
+from tessella.operators.choice import first_come, greedy, option
+from tessella.operators.ewm import atr, ema, ewma_sigma
+from tessella.operators.joins import align_to, asof, median_step, shifted_to_close, touches_zone
 from tessella.operators.rolling import prior_extremes, session_vwap
 
 
@@ -130,13 +133,13 @@ def swept_levels(bars: DataFrame, series: Series, low_level: Column, high_level:
     return out
 
 
-def one_at_a_time(candidates: DataFrame, keys: tuple[str, ...]) -> DataFrame:
+def one_at_a_time(candidates: DataFrame, keys: tuple[str, ...], window: int) -> DataFrame:
     """The candidates that a scan meets which goes on behind each entry's bar: starts up to that bar are passed over, save the short
     side's on the very bar of a long entry."""
     # a bar has two turns, the long side's first; an entry leaves off at its own bar's other side or at the next bar
     short = F.when(F.col("side") < 0, 1).otherwise(0)
     turns = candidates.withColumns({"turn": 2 * F.col("start") + short, "next_free": 2 * F.col("bar") + 1 + short})
-    return greedy(turns, keys, "turn", "next_free").drop("turn", "next_free")
+    return greedy(turns, keys, 2 * window + 1, "turn", "next_free").drop("turn", "next_free")
 
 
 def inducement_entries(bars: DataFrame, series: Series, major: int = 20, k: int = 2, window: int = 3, stop_sigma: float = 1.0, lam: float = 0.94) -> DataFrame:
@@ -145,7 +148,7 @@ def inducement_entries(bars: DataFrame, series: Series, major: int = 20, k: int
     w = series.prev(major)
     lo, hi = at_least(F.min("low").over(w), F.col("low"), w, major), at_least(F.max("high").over(w), F.col("high"), w, major)
     low_level, high_level = F.when(F.col("swing_low") > lo, F.col("swing_low")), F.when(F.col("swing_high") < hi, F.col("swing_high"))
-    return one_at_a_time(swept_levels(d, series, low_level, high_level, window, stop_sigma, major + k + 1, "inducement"), series.keys)
+    return one_at_a_time(swept_levels(d, series, low_level, high_level, window, stop_sigma, major + k + 1, "inducement"), series.keys, window)
 
 
 def turtle_soup_entries(bars: DataFrame, series: Series, lookback: int = 20, min_age: int = 4, window: int = 3, stop_sigma: float = 1.0, require_age: bool = True, lam: float = 0.94) -> DataFrame:
@@ -157,66 +160,158 @@ def turtle_soup_entries(bars: DataFrame, series: Series, lookback: int = 20, min
     old = lambda c: (F.col("bar") - F.col(f"{c}.b") >= min_age) if require_age else F.lit(True)
     full = F.col("__c") == lookback
     low_level, high_level = F.when(full & old("__pl"), F.col("__pl.p")), F.when(full & old("__ph"), -F.col("__ph.p"))
-    return one_at_a_time(swept_levels(d, series, low_level, high_level, window, stop_sigma, lookback + 1, "turtle_soup"), series.keys)
+    return one_at_a_time(swept_levels(d, series, low_level, high_level, window, stop_sigma, lookback + 1, "turtle_soup"), series.keys, window)
 
 
-def retrace_setups(bars: DataFrame, series: Series, window: int = 6, near: float = 0.33, far: float = 1.0) -> DataFrame:
-    """Bars that come back into the band of the earliest qualifying breakout among the last `window` bars: side and level. `bars`
-    must have hi_prev and lo_prev."""
+def retrace_setups(bars: DataFrame, series: Series, window: int = 6, near: float = 0.33, far: float = 1.0, first: int = 0, zone_frame: DataFrame | None = None) -> DataFrame:
+    """Bars that come back into the band of a breakout among the last `window` bars, from ordinal `first` on: side and level of the earliest
+    such breakout. With zones, one whose side has a zone that the bar touches. `bars` must have hi_prev and lo_prev."""
     breakout = F.struct("bar", "close", "hi_prev", "lo_prev")
     d = numbered_bars(bars, series)
-    some = F.when((F.col("close") > F.col("hi_prev")) | (F.col("close") < F.col("lo_prev")), breakout)
+    some = F.when((F.col("bar") >= first) & ((F.col("close") > F.col("hi_prev")) | (F.col("close") < F.col("lo_prev"))), breakout)
     d = d.withColumn("__w", F.collect_list(some).over(series.prev(window)))
 
-    def fits(b: Column) -> Column:
-        up, down = b.close > b.hi_prev, b.close < b.lo_prev
-        i, j = b.close - b.hi_prev, b.lo_prev - b.close
-        long = up & (F.col("low") >= b.hi_prev + i * (1 - far)) & (F.col("low") <= b.hi_prev + i * (1 - near))
-        short = down & (F.col("high") >= b.lo_prev - j * (1 - near)) & (F.col("high") <= b.lo_prev - j * (1 - far))
-        return F.coalesce(long | short, F.lit(False))
+    def long(b: Column) -> Column:
+        i = b.close - b.hi_prev
+        return F.coalesce((i > 0) & (F.col("low") >= b.hi_prev + i * (1 - far)) & (F.col("low") <= b.hi_prev + i * (1 - near)), F.lit(False))
+
+    def short(b: Column) -> Column:
+        j = b.lo_prev - b.close
+        return F.coalesce((j > 0) & (F.col("high") >= b.lo_prev - j * (1 - near)) & (F.col("high") <= b.lo_prev - j * (1 - far)), F.lit(False))
+
+    up, down = (F.get(F.filter("__w", fits), F.lit(0)) for fits in (long, short))
+    either = F.array(F.when(up.isNotNull(), F.struct(up.bar.alias("of"), F.lit(1.0).alias("side"), up.hi_prev.alias("level"))), F.when(down.isNotNull(), F.struct(down.bar.alias("of"), F.lit(-1.0).alias("side"), down.lo_prev.alias("level"))))
+    rows = [*series.keys, "bar", F.col(series.order[0]).alias("ts"), "low", "high"]
+    if zone_frame is None:
+        d = d.withColumn("__f", F.array_min(either)).filter("__f IS NOT NULL").select(*rows, "__f.*")
+    else:
+        d = d.select(*rows, F.explode(F.filter(either, lambda x: x.isNotNull())).alias("__f")).select(*rows[:-3], "ts", "low", "high", "__f.*")
+        w = Window.partitionBy(*series.keys, "bar").orderBy("of")
+        d = touches_zone(d, zone_frame, series.keys).withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    return d.select(*series.keys, "bar", "ts", "side", "level", F.lit("retrace").alias("kind"))
 
-    d = d.withColumn("__f", F.get(F.filter("__w", fits), F.lit(0))).filter("__f IS NOT NULL")
-    up = F.col("__f.close") > F.col("__f.hi_prev")
-    return d.select(*series.keys, "bar", F.col(series.order[0]).alias("ts"), F.when(up, 1.0).otherwise(-1.0).alias("side"), F.when(up, F.col("__f.hi_prev")).otherwise(F.col("__f.lo_prev")).alias("level"), F.lit("retrace").alias("kind"), "low", "high")
 
+KINDS = ("breakout", "fakeout", "retrace")
 
-def setups(bars: DataFrame, series: Series, lookback: int = 20, zone_frame: DataFrame | None = None, **options) -> DataFrame:
+
+def setups(bars: DataFrame, series: Series, lookback: int = 20, zone_frame: DataFrame | None = None, kinds: tuple[str, ...] = KINDS, window: int = 6, near: float = 0.33, far: float = 1.0, **options) -> DataFrame:
     """(keys, bar, ts, side, level, kind) of breakouts, fakeouts (sweeps) and retraces; ts is the bar's stamp, and a setup is known
     when that bar closes. With zones, a retrace must touch one of its side."""
+    if set(kinds) - set(KINDS) or not kinds:
+        raise ValueError(f"kinds are some of {KINDS}")
     d = sweeps(bars, series, lookback, **options)
     n = numbered_bars(d, series).filter(F.col("bar") > lookback)
     out_cols = [*series.keys, "bar", F.col(series.order[0]).alias("ts")]
     up, down = F.col("close") > F.col("hi_prev"), F.col("close") < F.col("lo_prev")
-    breaks = n.filter(up | down).select(*out_cols, F.when(up, 1.0).otherwise(-1.0).alias("side"), F.when(up, F.col("hi_prev")).otherwise(F.col("lo_prev")).alias("level"), F.lit("breakout").alias("kind"))
-    fakes = n.filter("sweep <> 0").select(*out_cols, F.col("sweep").alias("side"), F.lit(None).cast("double").alias("level"), F.lit("fakeout").alias("kind"))
-    back = retrace_setups(d, series).filter(F.col("bar") > lookback)
-    if zone_frame is not None:
-        back = touches_zone(back, zone_frame, series.keys)
-    return breaks.unionByName(fakes).unionByName(back.drop("low", "high"))
+    found = {
+        "breakout": lambda: n.filter(up | down).select(*out_cols, F.when(up, 1.0).otherwise(-1.0).alias("side"), F.when(up, F.col("hi_prev")).otherwise(F.col("lo_prev")).alias("level"), F.lit("breakout").alias("kind")),
+        "fakeout": lambda: n.filter("sweep <> 0").select(*out_cols, F.col("sweep").alias("side"), F.lit(None).cast("double").alias("level"), F.lit("fakeout").alias("kind")),
+        "retrace": lambda: retrace_setups(d, series, window, near, far, lookback + 1, zone_frame).filter(F.col("bar") > lookback),
+    }
+    out = None
+    for kind in kinds:
+        rows = found[kind]()
+        out = rows if out is None else out.unionByName(rows)
+    return out
 
 
-def trigger_entries(bars: DataFrame, found: DataFrame, series: Series, known: str = "known_at", window: int = 6, stop_sigma: float = 1.0, sigma: str = "sigma", sigma_is_price: bool = False) -> DataFrame:
-    """For each setup the first bar among the `window` that begin at or after it is known, which closes on in its direction; each bar
-    gives one entry at most, and entries' bars rise from setup to setup. `bars` must have `sigma`.
+def trigger_entries(
+    bars: DataFrame, found: DataFrame, series: Series, known: str = "known_at", window: int = 6, stop_sigma: float = 1.0, sigma: str = "sigma", sigma_is_price: bool = False,
+    bias: str | None = None, vwap: str | None = None, vwap_filter: str = "none", group: tuple[str, ...] = (),
+) -> DataFrame:
+    """For each setup, in the order in which they are known, the first bar that is admissible and after the last setup's bar, among the
+    `window` that begin at or after it is known. A bar is admissible if `sigma` is positive there, it closes on in the setup's
+    direction, it isn't the series' last, `bias` (if named) is the setup's side, and by vwap_filter the close is on the near side of
+    `vwap` (revert: a long below it, trend: above it; an unknown vwap refuses none).
 
     Setups meet their bars by ordinal: the first such bar's ordinal comes from an as-of join, and the bars after it from an array
-    gathered ahead, so no pair of setup and bar is formed.
+    gathered ahead, so no pair of setup and bar is formed. Setups of different `group` columns don't stand in each other's way.
     """
+    if vwap_filter not in ("none", "revert", "trend") or window < 1 or stop_sigma <= 0:
+        raise ValueError("vwap_filter is none, revert or trend; window from 1; stop_sigma above 0")
     keys, ts = list(series.keys), series.order[0]
-    b = numbered_bars(bars, series).withColumn("__prev", series.lag("close"))
-    moved = F.struct("bar", F.col(ts).alias("ts"), "close", "low", "high", "__prev", F.col(sigma).alias("sigma"))
+    b = numbered_bars(bars, series).withColumns({"__prev": series.lag("close"), "__more": series.lead("close").isNotNull()})
+    extra = [F.col(bias).alias("bias") if bias else F.lit(None).cast("double").alias("bias"), F.col(vwap).alias("vwap") if vwap else F.lit(None).cast("double").alias("vwap")]
+    moved = F.struct("bar", F.col(ts).alias("ts"), "close", "low", "high", "__prev", "__more", F.col(sigma).alias("sigma"), *extra)
     b = b.withColumn("__ahead", F.collect_list(moved).over(series.window().rowsBetween(0, window - 1)))
     start = b.select(*keys, F.col(ts).alias(known), "__ahead")
     d = asof(found, start, series.keys, known, ["__ahead"], direction="forward").filter("__ahead IS NOT NULL")
-    good = lambda x: F.coalesce((x.sigma > 0) & F.when(F.col("side") > 0, x.close > x["__prev"]).otherwise(x.close < x["__prev"]), F.lit(False))
-    d = d.withColumn("__t", F.get(F.filter("__ahead", good), F.lit(0))).filter("__t IS NOT NULL")
+    side = F.col("side")
+
+    def good(x: Column) -> Column:
+        ok = x["__more"] & (x.sigma > 0) & F.when(side > 0, x.close > x["__prev"]).otherwise(x.close < x["__prev"])
+        if bias:
+            ok = ok & (x.bias == side)
+        if vwap and vwap_filter != "none":
+            toward = side if vwap_filter == "trend" else -side
+            ok = ok & F.coalesce(toward * (x.close - x.vwap) > 0, F.lit(True))
+        return F.coalesce(ok, F.lit(False))
+
+    options = F.transform(F.filter("__ahead", good), lambda x: option(x.bar, x.bar + 1))
+    d = d.withColumns({"__options": options, "__start": F.get("__ahead", F.lit(0)).bar})
+    d = first_come(d, (*keys, *group), "__start", "__options", [F.col(known), F.col("kind"), side], window)
+    d = d.withColumn("__t", F.get(F.filter("__ahead", lambda x: x.bar == F.col("__at")), F.lit(0)))
     entry = F.col("__t.close")
-    structural = F.when(F.col("side") > 0, F.col("__t.low")).otherwise(F.col("__t.high"))
-    floor = stop_sigma * F.col("__t.sigma") * (F.lit(1.0) if sigma_is_price else entry)
-    d = d.withColumns({"entry": entry, "stop": stop_beyond(entry, F.col("side"), structural, floor), "trigger_bar": F.col("__t.bar"), "time": F.col("__t.ts")})
-    # of setups that trigger on one bar the first known counts
-    w = Window.partitionBy(*keys, "trigger_bar").orderBy(known, "kind", "side")
-    return d.withColumn("__r", F.row_number().over(w)).filter("__r = 1").select(*keys, F.col("trigger_bar").alias("bar"), "time", "side", "entry", "stop", "kind")
+    structural = F.when(side > 0, F.col("__t.low")).otherwise(F.col("__t.high"))
+    unit = F.col("__t.sigma") * (F.lit(1.0) if sigma_is_price else entry)
+    return d.select(*keys, *group, F.col("__at").alias("bar"), F.col("__t.ts").alias("time"), "side", entry.alias("entry"), stop_beyond(entry, side, structural, stop_sigma * unit).alias("stop"), "kind", structural.alias("structural"), unit.alias("unit"))
+
+
+def on_walk_frame(entries: DataFrame, bars: DataFrame, series: Series, group: tuple[str, ...] = ()) -> DataFrame:
+    """Entries of a finer frame on the frame they are walked on: `bar` becomes the first bar that closes after the entry's time (never
+    the last bar), price and stop stay; of entries that come to one bar the first counts."""
+    ends = numbered_bars(bars, series).withColumn("__more", series.lead("close").isNotNull())
+    ends = shifted_to_close(ends, series, series.order[0]).select(*series.keys, F.col(series.order[0]).alias("time"), F.col("bar").alias("__bar"), "__more")
+    at = asof(entries, ends, series.keys, "time", ["__bar", "__more"], direction="forward", strict=True).filter("__more")
+    w = Window.partitionBy(*series.keys, *group, "__bar").orderBy("time")
+    first = at.withColumn("__r", F.row_number().over(w)).filter("__r = 1")
+    return first.withColumn("bar", F.col("__bar")).drop("__bar", "__more", "__r")
+
+
+@dataclass(frozen=True)
+class Cascade:
+    """What each frame of a cascade does: setups on a coarse one, triggers on a fine one, a bias from the coarsest."""
+
+    lookback: int = 20
+    kinds: tuple[str, ...] = KINDS
+    retrace_window: int = 6
+    near: float = 0.33
+    far: float = 1.0
+    trigger_window: int = 6
+    stop_sigma: float = 1.0
+    stop_mode: str = "atr"
+    atr_period: int = 14
+    lam: float = 0.94
+    bias_span: int = 9
+    vwap_filter: str = "none"
+
+    def __post_init__(self) -> None:
+        if self.lookback < 3 or self.retrace_window < 1 or self.trigger_window < 1 or self.bias_span < 1 or self.atr_period < 2:
+            raise ValueError("lookback from 3, windows and bias_span from 1, atr_period from 2")
+        if not 0 < self.near < self.far or self.stop_sigma <= 0 or self.stop_mode not in ("atr", "sigma") or self.vwap_filter not in ("none", "revert", "trend"):
+            raise ValueError("0 < near < far, stop_sigma above 0, stop_mode atr or sigma, vwap_filter none, revert or trend")
+
+
+def cascade_entries(fine: DataFrame, coarse: DataFrame, series: Series, cfg: Cascade = Cascade(), zone_frame: DataFrame | None = None, bias_bars: DataFrame | None = None, allow: Column | None = None, kind_sets: dict[str, tuple[str, ...]] | None = None) -> DataFrame:
+    """Entries of the cascade on the frame of `coarse`. `fine` must have `session` if a vwap filter is set, and bias_bars (a coarser
+    frame, or none for no bias) must have it. `allow` is a condition on an entry's `time` and keys: sessions, blackouts.
+
+    With kind_sets (name to kinds), each set is a cascade of its own, named by `kinds`; setups are found once for all.
+    """
+    sets = kind_sets or {"all": cfg.kinds}
+    every = tuple(k for k in KINDS if any(k in s for s in sets.values()))
+    found = setups(coarse, series, cfg.lookback, zone_frame, every, cfg.retrace_window, cfg.near, cfg.far, lam=cfg.lam)
+    names = F.filter(F.array(*[F.when(F.col("kind").isin(*s), F.lit(n)) for n, s in sets.items()]), lambda n: n.isNotNull())
+    step = median_step(coarse, series, series.order[0])
+    known = (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("step"))).cast(dict(coarse.dtypes)[series.order[0]])
+    found = found.join(step, list(series.keys)).withColumns({"known_at": known, "kinds": F.explode(names)}).drop("bar", "ts", "step", "level")
+    b = atr(fine, series, cfg.atr_period, "__unit") if cfg.stop_mode == "atr" else with_sigma(fine, series, cfg.lam).withColumnRenamed("sigma", "__unit")
+    if bias_bars is not None:
+        b = align_to(b, bias(bias_bars, series, cfg.bias_span).select(*series.keys, series.order[0], "bias"), series, ["bias"], series.order[0])
+    if cfg.vwap_filter != "none":
+        b = session_vwap(b, series)
+    e = trigger_entries(b, found, series, "known_at", cfg.trigger_window, cfg.stop_sigma, "__unit", cfg.stop_mode == "atr", "bias" if bias_bars is not None else None, "vwap" if cfg.vwap_filter != "none" else None, cfg.vwap_filter, ("kinds",))
+    return on_walk_frame(e.filter(allow) if allow is not None else e, coarse, series, ("kinds",))
 
 
 def breakout_retrace(bars: DataFrame, series: Series, lookback: int = 20, max_bars: int = 12, near: float = 0.33, far: float = 1.0, stop_sigma: float = 1.0, session: str = "session", trend: str | None = None, lam: float = 0.94) -> DataFrame:
@@ -259,6 +354,6 @@ def breakout_retrace(bars: DataFrame, series: Series, lookback: int = 20, max_ba
     d = d.select(
         *series.keys, F.col("bar").alias("breakout_bar"), F.col("__r.bar").alias("bar"), "side", entry.alias("entry"), (entry - side * F.greatest(struct_d, floor)).alias("stop"), F.col("level").alias("breakout_level"),
         (F.col("__i") / F.col("close")).alias("impulse_frac"), (F.abs(F.col("__x") - F.col("__r.deep")) / F.col("__i")).alias("retrace_frac"), (F.col("__r.bar") - F.col("bar")).alias("wait_bars"),
-        F.when(struct_d >= floor, "structure").otherwise("sigma_floor").alias("stop_from"),
+        F.when(struct_d >= floor, "structure").otherwise("sigma_floor").alias("stop_from"), (side * F.col("__r.deep")).alias("structural"), (F.col("__r.sigma") * entry).alias("unit"),
     )
-    return greedy(d.withColumn("next_free", F.col("bar") + 1), series.keys, "breakout_bar", "next_free").drop("next_free")
+    return greedy(d.withColumn("next_free", F.col("bar") + 1), series.keys, max_bars + 1, "breakout_bar", "next_free").drop("next_free")

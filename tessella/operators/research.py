@@ -148,13 +148,24 @@ def out_of_sample(trades: DataFrame, folds: DataFrame, picks: DataFrame, ts: str
     return slice_fold(trades, folds, "test_start", "test_end", ts).join(F.broadcast(picks.select("fold", "config")), ["fold", "config"])
 
 
-def walk_forward_summary(oos: DataFrame, picks: DataFrame, value: str = "unit_net_R") -> DataFrame:
-    """Trades, win rate, mean and t out of sample, and how often the most chosen configuration was picked."""
+def walk_forward_summary(oos: DataFrame, picks: DataFrame, value: str = "unit_net_R", fixed: DataFrame | None = None) -> DataFrame:
+    """Trades, win rate, mean and t out of sample, and how often the most chosen configuration was picked. With `fixed`, the trades of one
+    configuration in the same test spans, its mean and what picking gained over it."""
     r = F.col(value)
     s = oos.agg(F.count(r).alias("trades"), F.avg((r > 0).cast("double")).alias("win_rate"), F.avg(r).alias("mean_net_R"), F.stddev_samp(r).alias("__sd"))
     s = s.withColumn("t", F.when(F.col("trades") > 2, ratio(F.col("mean_net_R") * F.sqrt("trades"), F.col("__sd")))).drop("__sd")
     chosen = picks.groupBy("config").agg(F.count(F.lit(1)).alias("n")).agg((F.max("n") / F.sum("n")).alias("selection_stability"), F.count(F.lit(1)).alias("distinct_configs"))
-    return s.join(F.broadcast(chosen))  # one row each
+    s = s.join(F.broadcast(chosen))  # one row each
+    if fixed is None:
+        return s
+    s = s.join(F.broadcast(fixed.agg(F.avg(value).alias("fixed_mean_net_R"))))  # one row
+    return s.withColumn("selection_edge", F.col("mean_net_R") - F.col("fixed_mean_net_R"))
+
+
+def held_out_of(picks: DataFrame, trades: DataFrame, folds: DataFrame, value: str = "unit_net_R", ts: str = "entry_time") -> DataFrame:
+    """picks with the trades and mean of each pick in its test span."""
+    seen = out_of_sample(trades, folds, picks, ts).groupBy("fold").agg(F.count(value).alias("n_test"), F.avg(value).alias("test_mean"))
+    return picks.join(seen, "fold", "left").withColumn("n_test", F.coalesce("n_test", F.lit(0)))
 
 
 def reversion_score(df: DataFrame, ranks: dict[str, int]) -> Column:

@@ -6,10 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tessella.plans import market, risk, trading
+from tessella.plans import cascade, market, risk, trading
 
 Query = Callable[[SparkSession, str], DataFrame]
-MODULES = (market, risk, trading)
+MODULES = (market, risk, trading, cascade)
 
 
 def queries() -> dict[str, Query]:

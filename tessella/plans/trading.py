@@ -34,11 +34,18 @@ def price_sql(c: str) -> str:
     return f"100 * exp((ln({c}) - ln(1000.0::DOUBLE)) / 50) AS {c}"
 
 
-LOGS_SQL = DAILY_SQL + f""", pb AS (SELECT symbol, date, {", ".join(price_sql(c) for c in B.OHLC)}, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS bar FROM daily),
+#: From `pb` (symbol, date, OHLCV, bar): returns, sigma and prior extremes.
+PATTERN_SQL = f""",
 lr AS (SELECT *, ln(close / lag(close) OVER (PARTITION BY symbol ORDER BY date)) AS lr FROM pb),
 sq AS (SELECT symbol, date, sqrt({ewm_sql("lr * lr", 1 - 0.94, "symbol", "date", "bar")}) AS s FROM lr WHERE lr IS NOT NULL),
 b AS (SELECT lr.*, lag(s) OVER (PARTITION BY lr.symbol ORDER BY lr.date) AS sigma, CASE WHEN bar >= 20 THEN max(high) OVER p END AS hi_prev, CASE WHEN bar >= 20 THEN min(low) OVER p END AS lo_prev
   FROM lr LEFT JOIN sq ON lr.symbol = sq.symbol AND lr.date = sq.date WINDOW p AS (PARTITION BY lr.symbol ORDER BY lr.date ROWS BETWEEN 20 PRECEDING AND 1 PRECEDING))"""
+LOGS_SQL = (
+    DAILY_SQL
+    + f""", pb AS (SELECT symbol, date, {", ".join(price_sql(c) for c in B.OHLC)}, volume,
+  row_number() OVER (PARTITION BY symbol ORDER BY date) - 1 AS bar FROM daily)"""
+    + PATTERN_SQL
+)
 
 
 def sweeps(spark: SparkSession, sf: str) -> DataFrame:
@@ -46,9 +53,10 @@ def sweeps(spark: SparkSession, sf: str) -> DataFrame:
     return d.filter("sweep <> 0").select("symbol", day(), "sweep", r("level").alias("level"), r("pierce").alias("pierce"))
 
 
-SWEEP_SQL = LOGS_SQL + """, sw AS (SELECT *, low < lo_prev AND close > lo_prev AND (lo_prev - low) / (sigma * close) >= 0.25 AND (close - low) / nullif(high - low, 0) >= 0.5 AS bull,
+SWEEP_PART = """, sw AS (SELECT *, low < lo_prev AND close > lo_prev AND (lo_prev - low) / (sigma * close) >= 0.25 AND (close - low) / nullif(high - low, 0) >= 0.5 AS bull,
   high > hi_prev AND close < hi_prev AND (high - hi_prev) / (sigma * close) >= 0.25 AND (close - low) / nullif(high - low, 0) <= 0.5 AS bear FROM b),
 sweep AS (SELECT *, CASE WHEN bull THEN 1.0 WHEN bear THEN -1.0 ELSE 0.0 END::DOUBLE AS sweep FROM sw)"""
+SWEEP_SQL = LOGS_SQL + SWEEP_PART
 
 
 def reversal_entries(spark: SparkSession, sf: str) -> DataFrame:
@@ -72,9 +80,10 @@ def fair_value_gaps(spark: SparkSession, sf: str) -> DataFrame:
     return zone_cols(N.fair_value_gaps(logs(spark, sf), DAILY))
 
 
-FVG_SQL = LOGS_SQL + """, g AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(low, 1) OVER w AS l1 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)),
+FVG_PART = """, g AS (SELECT *, lag(high, 2) OVER w AS h2, lag(low, 2) OVER w AS l2, lag(low, 1) OVER w AS l1 FROM b WINDOW w AS (PARTITION BY symbol ORDER BY date)),
 f AS (SELECT *, h2 < low AND low - h2 >= 0.25 * sigma * l1 AS up, l2 > high AND l2 - high >= 0.25 * sigma * l1 AS down FROM g WHERE sigma > 0),
 fvg AS (SELECT symbol, bar AS known_bar, CASE WHEN up THEN 1.0 ELSE -1.0 END::DOUBLE AS side, CASE WHEN up THEN h2 ELSE high END AS lo, CASE WHEN up THEN low ELSE l2 END AS hi, bar - 1 AS formed_bar FROM f WHERE up OR down)"""
+FVG_SQL = LOGS_SQL + FVG_PART
 
 
 def order_blocks(spark: SparkSession, sf: str) -> DataFrame:
@@ -387,32 +396,93 @@ def fold_dates(spark: SparkSession, sf: str) -> DataFrame:
 FOLDS_SQL = "folds AS (SELECT fold, CAST(a AS DATE) AS a, CAST(b AS DATE) AS b FROM (VALUES " + ", ".join(f"({f['fold']}, '{f['test_start']}', '{f['test_end']}')" for f in FOLDS) + ") t(fold, a, b))"
 
 
-def inducement(spark: SparkSession, sf: str) -> DataFrame:
-    return N.inducement_entries(logs(spark, sf), DAILY)
+def chosen_sql(name: str, source: str, start: str, free: str) -> str:
+    """name: the rows of source that don't start while an earlier chosen one runs, by recursion over a symbol's rows."""
+    return f""",
+{name}_n AS (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY {start}, {free}) AS k FROM {source}),
+{name}_t AS (SELECT symbol, k, {free} AS until, true AS take FROM {name}_n WHERE k = 1
+  UNION ALL SELECT n.symbol, n.k, CASE WHEN n.{start} >= t.until THEN n.{free} ELSE t.until END, n.{start} >= t.until FROM {name}_t t JOIN {name}_n n ON n.symbol = t.symbol AND n.k = t.k + 1),
+{name} AS (SELECT n.* FROM {name}_n n JOIN {name}_t t ON t.symbol = n.symbol AND t.k = n.k WHERE take)"""
 
 
-def turtle_soup(spark: SparkSession, sf: str) -> DataFrame:
-    return N.turtle_soup_entries(logs(spark, sf), DAILY)
+def level_entries(d: DataFrame) -> DataFrame:
+    return d.select("symbol", "start", "bar", "side", r("entry").alias("entry"), r("stop").alias("stop"), r("level").alias("level"), "kind")
 
 
-def breakout_retrace(spark: SparkSession, sf: str) -> DataFrame:
-    return N.breakout_retrace(logs(spark, sf).withColumn("session", F.lit(0)), DAILY, lookback=10, far=3.0)
+def inducement(spark: SparkSession, sf: str) -> DataFrame:
+    return level_entries(N.inducement_entries(logs(spark, sf), DAILY))
 
 
-def mtf_setups(spark: SparkSession, sf: str) -> DataFrame:
-    b = B.rebar(hourly(spark, sf), B.every("ts", "3 hours"))
-    return N.setups(b, HOURLY, 20, N.zones(b, HOURLY)).select("symbol", stamp(), "side", "level", "kind")
+def turtle_soup(spark: SparkSession, sf: str) -> DataFrame:
+    return level_entries(N.turtle_soup_entries(logs(spark, sf), DAILY))
+
+
+def reclaimed_sql(kind: str, first_bar: int, window: int = 3) -> str:
+    """The entries of swept levels from `lv` (b with n, lo_level and hi_level)."""
+    return (
+        f""",
+swept AS (SELECT symbol, bar AS start, 1.0::DOUBLE AS side, lo_level AS level FROM lv WHERE low < lo_level AND bar >= {first_bar} AND sigma > 0 AND bar < n - 1
+  UNION ALL SELECT symbol, bar, -1.0, hi_level FROM lv WHERE high > hi_level AND bar >= {first_bar} AND sigma > 0 AND bar < n - 1),
+back AS (SELECT w.symbol, w.start, w.side, w.level, min(f.bar) AS bar FROM swept w JOIN lv f ON f.symbol = w.symbol AND f.bar BETWEEN w.start AND w.start + {window} AND f.bar < f.n - 1
+  WHERE CASE WHEN w.side > 0 THEN f.close > w.level ELSE f.close < w.level END GROUP BY ALL),
+worst AS (SELECT k.symbol, k.start, k.side, k.level, k.bar, coalesce(min(f.low) FILTER (k.side > 0), max(f.high) FILTER (k.side < 0)) AS extreme FROM back k JOIN lv f ON f.symbol = k.symbol AND f.bar BETWEEN k.start AND k.bar GROUP BY ALL),
+swept_in AS (SELECT w.*, f.close AS entry, f.close - w.side * greatest(abs(f.close - extreme), f.sigma * f.close) AS stop, 2 * start + (w.side < 0)::INT AS turn, 2 * w.bar + 1 + (w.side < 0)::INT AS free
+  FROM worst w JOIN lv f ON f.symbol = w.symbol AND f.bar = w.bar)"""
+        + chosen_sql("picked", "swept_in", "turn", "free")
+        + f" SELECT symbol, start, bar, side, round(entry, 6) AS entry, round(stop, 6) AS stop, round(level, 6) AS level, '{kind}' AS kind FROM picked"
+    )
+
+
+INDUCEMENT_SQL = (
+    "WITH RECURSIVE " + LOGS_SQL + """,
+m AS (SELECT *, lag(low, 2) OVER o AS ml, lag(high, 2) OVER o AS mh, list(low) OVER w AS ll, list(high) OVER w AS hh FROM b
+  WINDOW o AS (PARTITION BY symbol ORDER BY date), w AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 4 PRECEDING AND CURRENT ROW)),
+c AS (SELECT *, CASE WHEN len(ll) = 5 AND ml = list_min(ll) AND len(list_filter(ll, lambda v: v = ml)) = 1 THEN ml END AS sl,
+  CASE WHEN len(hh) = 5 AND mh = list_max(hh) AND len(list_filter(hh, lambda v: v = mh)) = 1 THEN mh END AS sh FROM m),
+sw AS (SELECT *, last_value(sl IGNORE NULLS) OVER u AS swing_low, last_value(sh IGNORE NULLS) OVER u AS swing_high, count(*) OVER (PARTITION BY symbol) AS n
+  FROM c WINDOW u AS (PARTITION BY symbol ORDER BY date ROWS UNBOUNDED PRECEDING)),
+lv AS (SELECT *, CASE WHEN swing_low > lo_prev THEN swing_low END AS lo_level, CASE WHEN swing_high < hi_prev THEN swing_high END AS hi_level FROM sw)"""
+    + reclaimed_sql("inducement", 23)
+)
+TURTLE_SQL = (
+    "WITH RECURSIVE " + LOGS_SQL + """,
+ages AS (SELECT x.symbol, x.bar, min(f.bar) FILTER (f.low = x.lo_prev) AS lo_bar, min(f.bar) FILTER (f.high = x.hi_prev) AS hi_bar FROM b x JOIN b f ON f.symbol = x.symbol AND f.bar BETWEEN x.bar - 20 AND x.bar - 1 GROUP BY ALL),
+lv AS (SELECT b.*, count(*) OVER (PARTITION BY b.symbol) AS n, CASE WHEN b.bar - lo_bar >= 4 THEN lo_prev END AS lo_level, CASE WHEN b.bar - hi_bar >= 4 THEN hi_prev END AS hi_level FROM b LEFT JOIN ages a ON a.symbol = b.symbol AND a.bar = b.bar)"""
+    + reclaimed_sql("turtle_soup", 21)
+)
 
 
-def mtf_cascade(spark: SparkSession, sf: str) -> DataFrame:
-    """Setups on 3-hour bars, triggered on hourly ones, walked on 3-hour bars from the first that closes after the fill."""
-    fine, coarse = hourly(spark, sf), B.rebar(hourly(spark, sf), B.every("ts", "3 hours"))
-    found = N.setups(coarse, HOURLY, 20).withColumn("known_at", F.col("ts") + F.expr("INTERVAL 3 HOURS"))
-    entries = N.trigger_entries(N.with_sigma(fine, HOURLY), found.drop("bar"), HOURLY)
-    ends = T.numbered_bars(coarse, HOURLY).withColumn("time", F.col("ts") + F.expr("INTERVAL 3 HOURS")).select("symbol", "time", F.col("bar").alias("walk_bar"))
-    at = J.asof(entries, ends, KEY, "time", ["walk_bar"], direction="forward", strict=True).filter("walk_bar IS NOT NULL")
-    trades = T.walk_explicit(coarse, at.drop("bar").withColumnRenamed("walk_bar", "bar"), HOURLY, rr=3.0, max_bars=20)
-    return trades.select("symbol", "bar", "kind", "side", "entry", "exit", "outcome", "bars_held", "net_R")
+def breakout_retrace(spark: SparkSession, sf: str) -> DataFrame:
+    d = N.breakout_retrace(logs(spark, sf).withColumn("session", F.year("date")), DAILY, lookback=10, far=3.0)
+    return d.select("symbol", "breakout_bar", "bar", "side", *[r(c).alias(c) for c in ("entry", "stop", "breakout_level", "impulse_frac", "retrace_frac")], "wait_bars", "stop_from")
+
+
+def retrace_sql(session: str, lookback: int = 10, most: int = 12, near: float = 0.33, far: float = 3.0) -> str:
+    """resumed (symbol, breakout_bar, bar, side, entry, structural, unit, ...) after PATTERN_SQL: the bars that arm, enter and end each breakout
+    are found apart and then put in order."""
+    return (
+        f""",
+bo AS (SELECT symbol, bar, {session} AS s, high, low, close, sigma, max(high) OVER p AS hp, min(low) OVER p AS lp FROM b
+  WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN {lookback} PRECEDING AND 1 PRECEDING)),
+br AS (SELECT *, CASE WHEN close > hp THEN 1.0 ELSE -1.0 END::DOUBLE AS side, CASE WHEN close > hp THEN hp ELSE lp END AS level FROM bo WHERE bar > {lookback} AND sigma > 0 AND (close > hp OR close < lp)),
+bx AS (SELECT *, abs(close - level) AS imp, CASE WHEN side > 0 THEN high ELSE -low END AS x, side * level + abs(close - level) * {1 - near!r}::DOUBLE AS near, side * level + abs(close - level) * {1 - far!r}::DOUBLE AS far FROM br),
+steps_in AS (SELECT o.symbol, o.bar AS i, f.bar AS j, f.s <> o.s AS other, o.side * f.close > o.x AS beyond, CASE WHEN o.side > 0 THEN f.low ELSE -f.high END AS reach, o.near, o.far
+  FROM bx o JOIN bo f ON f.symbol = o.symbol AND f.bar BETWEEN o.bar + 1 AND o.bar + {most}),
+arms AS (SELECT symbol, i, min(j) FILTER (reach <= near) AS aj, min(j) FILTER (reach < far) AS dj, min(j) FILTER (other) AS oj FROM steps_in GROUP BY ALL),
+goes AS (SELECT a.symbol, a.i, a.aj, a.dj, a.oj, min(t.j) AS bar FROM arms a JOIN steps_in t ON t.symbol = a.symbol AND t.i = a.i WHERE t.j > a.aj AND t.beyond GROUP BY ALL),
+okay AS (SELECT * FROM goes WHERE (dj IS NULL OR (aj < dj AND bar <= dj)) AND (oj IS NULL OR bar < oj)),
+deep AS (SELECT g.symbol, g.i, g.bar, min(t.reach) AS d FROM okay g JOIN steps_in t ON t.symbol = g.symbol AND t.i = g.i AND t.j < g.bar GROUP BY ALL),
+made AS (SELECT o.symbol, o.bar AS breakout_bar, g.bar, o.side, f.close AS entry, o.level AS breakout_level, imp, o.close AS oc, x, least(x, d) AS dp, f.sigma * f.close AS unit, g.bar + 1 AS free
+  FROM deep g JOIN bx o ON o.symbol = g.symbol AND o.bar = g.i JOIN bo f ON f.symbol = g.symbol AND f.bar = g.bar)"""
+        + chosen_sql("resumed", "made", "breakout_bar", "free")
+    )
+
+
+RETRACE_SQL = (
+    "WITH RECURSIVE " + LOGS_SQL + retrace_sql("year(date)")
+    + """ SELECT symbol, breakout_bar, bar, side, round(entry, 6) AS entry, round(entry - side * greatest(abs(entry - side * dp), unit), 6) AS stop, round(breakout_level, 6) AS breakout_level, round(imp / oc, 6) AS impulse_frac,
+  round(abs(x - dp) / imp, 6) AS retrace_frac, bar - breakout_bar AS wait_bars, CASE WHEN abs(entry - side * dp) >= unit THEN 'structure' ELSE 'sigma_floor' END AS stop_from FROM resumed"""
+)
 
 
 def hourly_bias(spark: SparkSession, sf: str) -> DataFrame:
@@ -467,11 +537,9 @@ QUERIES = {
     "trade_breakdown": (trade_breakdown, f"{WALK_SQL}, x AS (SELECT symbol, CASE WHEN side > 0 THEN 'long' ELSE 'short' END AS direction, CAST(year(date) AS VARCHAR) AS year, net_R FROM walk) SELECT symbol, direction, year, count(*) AS trades, round(avg((net_R > 0)::INT), 6) AS win_rate, round(avg(net_R), 6) AS mean FROM x GROUP BY GROUPING SETS ((), (symbol), (direction), (year))"),
     "in_sample_choice": (in_sample_choice, f"{CONFIG_SQL}, a AS (SELECT config, count(*) FILTER (date < DATE '1999-06-01') AS in_n, avg(x) FILTER (date < DATE '1999-06-01') AS i, count(*) FILTER (date >= DATE '1999-06-01') AS out_n, avg(x) FILTER (date >= DATE '1999-06-01') AS o FROM walk3 GROUP BY config) SELECT config, in_n, round(i, 6) AS in_mean, out_n, round(o, 6) AS out_mean FROM a WHERE in_n >= 30 ORDER BY i DESC, config LIMIT 1"),
     "fold_slices": (fold_dates, f"WITH {DAILY_SQL}, {FOLDS_SQL} SELECT fold, count(DISTINCT date) AS n, CAST(min(date) AS VARCHAR) AS first_date, CAST(max(date) AS VARCHAR) AS last_date FROM daily JOIN folds ON date >= a AND date < b GROUP BY fold"),
-    "inducement_entries": (inducement, None),
-    "turtle_soup_entries": (turtle_soup, None),
-    "breakout_retrace_setups": (breakout_retrace, None),
-    "mtf_setups": (mtf_setups, None),
-    "mtf_cascade": (mtf_cascade, None),
+    "inducement_entries": (inducement, INDUCEMENT_SQL),
+    "turtle_soup_entries": (turtle_soup, TURTLE_SQL),
+    "breakout_retrace_setups": (breakout_retrace, RETRACE_SQL),
     "hourly_bias": (hourly_bias, f"WITH {BIAS_SQL}"),
     "null_benchmark": (null_benchmark, None),
 }

@@ -86,9 +86,9 @@ def test_tied_entries_take_one(spark):
     """Of entries that start on one bar one is taken, whatever their sides and ends; the others run into it."""
     rows = [("x", 1, 5, 1.0), ("x", 1, 5, -1.0), ("x", 1, 7, 1.0), ("x", 4, 9, 1.0), ("x", 5, 6, 1.0), ("x", 5, 6, 1.0), ("y", 1, 5, 1.0)]
     d = spark.createDataFrame(rows, "symbol string, bar long, next_free long, side double")
-    got = [(r.symbol, r.bar, r.next_free) for r in T.greedy(d, ("symbol",)).orderBy("symbol", "bar").collect()]
+    got = [(r.symbol, r.bar, r.next_free) for r in T.greedy(d, ("symbol",), 6).orderBy("symbol", "bar").collect()]
     assert got == [("x", 1, 5), ("x", 5, 6), ("y", 1, 5)]
-    assert T.greedy(d.limit(0), ("symbol",)).columns == d.columns
+    assert T.greedy(d.limit(0), ("symbol",), 6).columns == d.columns
 
 
 def test_folds_refuse_empty_spans():
@@ -101,7 +101,7 @@ def test_folds_refuse_empty_spans():
 def test_greedy_keeps_keys_apart(spark):
     rows = [(k, b, b + 3) for k in ("a", "b") for b in range(10)]
     d = spark.createDataFrame(rows, "symbol string, bar long, next_free long")
-    got = T.greedy(d, ("symbol",)).groupBy("symbol").agg(F.sort_array(F.collect_list("bar")).alias("b")).collect()
+    got = T.greedy(d, ("symbol",), 6).groupBy("symbol").agg(F.sort_array(F.collect_list("bar")).alias("b")).collect()
     assert {r.symbol: list(r.b) for r in got} == {"a": [0, 3, 6, 9], "b": [0, 3, 6, 9]}
 
 
