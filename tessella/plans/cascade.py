@@ -7,15 +7,19 @@ from datetime import date
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessella.functions.ordering import Series
 from tessella.operators import barriers as T
 from tessella.operators import bars as B
 from tessella.operators import calendar as C
+from tessella.operators import ewm as E
 from tessella.operators import joins as J
 from tessella.operators import patterns as N
 from tessella.operators import research as Q
-from tessella.plans.base import DAILY, DAILY_SQL, HOURLY, HOURLY_SQL, hourly, ticks
-from tessella.plans.market import ZONE, ewm_sql, inside_sql, local_sql, r, stamp
-from tessella.plans.trading import FVG_PART, OB_SQL, OUTCOME_SQL, PATTERN_SQL, SWEEP_PART, logs, price_sql
+from tessella.operators import rolling as R
+from tessella.plans.base import DAILY, DAILY_SQL, HOURLY, HOURLY_SQL, hourly, panel, returns, ticks
+from tessella.plans.market import GATES_SQL, ZONE, ewm_sql, inside_sql, local_sql, r, stamp
+from tessella.plans.risk import PARTNER_SQL
+from tessella.plans.trading import FVG_PART, OB_SQL, OUTCOME_SQL, PATTERN_SQL, SWEEP_PART, chosen_sql, logs, price_sql, retrace_sql
 from tessella.sources.stage import staged
 
 SYMBOL = ("symbol",)
@@ -263,7 +267,110 @@ picks AS (SELECT * FROM scores QUALIFY row_number() OVER (PARTITION BY fold ORDE
 oos AS (SELECT p.fold, g.x FROM grid g JOIN fold ON date >= c AND date < d JOIN picks p ON p.fold = fold.fold AND p.config = g.config)"""
 
 
+# ---- gated breakouts: twenty-four configurations chosen in sample, and what the chosen one does held out, with and without its gates
+
+BLOCKED = Series(("symbol", "block"), ("date",))
+SIGMAS, REWARD, WAIT, TRIGGER, COST = (1.0, 2.0, 3.0, 4.0), 2.0, 20, 0.01, 2.0
+GATED = [T.Geometry(f"s{k:g}_{'be' if be else 'hold'}", REWARD, WAIT, f"stop_{j}", be) for j, k in enumerate(SIGMAS) for be in (True, False)]
+#: The synthetic prices jump, so breakouts are of five bars and may come back far.
+LOOKBACK, DEEPEST = 5, 60.0
+#: Gates of a configuration: none (the control), regime and VaR, these and a partner of so large a correlation.
+RHO = {"corr0": 0.0, "corr30": 0.3, "corr50": 0.5}
+
+
+def regime(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, date, all_gates, rho, implied): the daily gates and the best partner's side."""
+    d = R.rolling_historical_var(E.ewma_sigma(returns(spark, sf), DAILY, "ret"), DAILY, "ret", 0.95, 100)
+    g = R.quantile_gates(d, DAILY, "sigma", "var", 400).select("symbol", "date", (F.col("g_regime") & F.col("g_var")).alias("all_gates"))
+    p = panel(spark, sf)
+    moves = p.withColumn("move", F.sum("ret").over(Series(("asset",), ("date",)).prev(8))).select("date", "asset", "move")
+    partner = J.best_partner(E.ewma_correlation_path(p, 0.97), moves, "date", 0.0).select("date", F.col("asset").alias("symbol"), "rho", "implied")
+    return g.join(partner, ["symbol", "date"], "left")
+
+
+def gated_trades(spark: SparkSession, sf: str) -> DataFrame:
+    """Trades of every geometry under every gate, in the first two thirds of each symbol's bars and in the rest apart."""
+    bars = C.split_at(logs(spark, sf), DAILY).withColumns({"block": F.when(F.col("in_sample"), "in").otherwise("out"), "session": F.lit(0)}).drop("in_sample")
+    e = N.breakout_retrace(bars, BLOCKED, lookback=LOOKBACK, near=0.1, far=DEEPEST)
+    e = T.looking_ahead(e, T.numbered_bars(bars, BLOCKED), BLOCKED, WAIT, "date").withColumnRenamed("__own_date", "date")
+    e = e.join(regime(spark, sf), ["symbol", "date"], "left")
+    passed = F.coalesce("all_gates", F.lit(False))
+    agrees = lambda least: passed & (F.coalesce(F.abs("rho"), F.lit(0.0)) >= least) & (F.coalesce("implied", F.lit(0.0)) == F.col("side"))
+    gates = {"plain": F.lit(True), "corr0": passed} | {n: agrees(x) for n, x in RHO.items() if x > 0}
+    open_ = F.filter(F.array(*[F.when(c, F.lit(n)) for n, c in gates.items()]), lambda n: n.isNotNull())
+    stops = {f"stop_{j}": N.stop_beyond(F.col("entry"), F.col("side"), F.col("structural"), k * F.col("unit")) for j, k in enumerate(SIGMAS)}
+    e = e.withColumns({"gate": F.explode(open_)} | stops).select("symbol", "block", "date", "bar", "side", "entry", "gate", "ahead", *stops)
+    return T.grid_walk(e, BLOCKED, GATED, F.lit(COST), TRIGGER, ("gate",))
+
+
+def gated_cells(trades: DataFrame) -> DataFrame:
+    x, met = F.col("net_R"), F.col("outcome").isin("target", "stop")
+    d = trades.groupBy("block", "gate", "config").agg(
+        F.count(x).alias("trades"), F.avg(F.when(met, (F.col("outcome") == "target").cast("double"))).alias("barrier_win_rate"), ((1 + F.avg("cost_R")) / (1 + REWARD)).alias("hurdle"),
+        F.avg(x).alias("mean"), F.sum(x).alias("total"), F.stddev_samp(x).alias("sd"),
+    )
+    return d.withColumn("t", F.when(F.col("trades") > 5, F.col("mean") * F.sqrt("trades") / F.when(F.col("sd") > 0, F.col("sd"))))
+
+
+SHOWN = ("barrier_win_rate", "hurdle", "mean", "total")
+
+
+def gated_grid(spark: SparkSession, sf: str) -> DataFrame:
+    return gated_cells(gated_trades(spark, sf)).select("block", "gate", "config", "trades", *[r(c).alias(c) for c in SHOWN])
+
+
+def gated_choice(spark: SparkSession, sf: str) -> DataFrame:
+    """The configuration of the best in-sample mean (30 trades at least), in both blocks, beside its control without gates."""
+    cells = staged(gated_cells(gated_trades(spark, sf)), "cells")
+    best = cells.filter("block = 'in' AND gate <> 'plain' AND trades >= 30").orderBy(F.round("mean", 9).desc(), "config", "gate").limit(1).select("config", F.col("gate").alias("chosen_gate"))
+    d = cells.join(F.broadcast(best), "config").filter("gate IN ('plain', chosen_gate)")  # one row
+    return d.select("block", "config", "gate", "trades", *[r(c).alias(c) for c in (*SHOWN, "t")])
+
+
+GATE_FRAME = f"""gate AS (WITH {GATES_SQL.split("b AS (SELECT symbol, coalesce(sigma")[0].rstrip().rstrip(",")}
+  SELECT symbol, date, coalesce(sigma >= lo AND sigma <= hi, false) AND coalesce(var <= cap, false) AS ok FROM g)"""
+PARTNER_FRAME = f"""partner AS (WITH {PARTNER_SQL.split("SELECT CAST(top.date")[0].rstrip()}
+  SELECT top.date, top.asset AS symbol, rho, coalesce(sign(rho) * sign(move), 0)::DOUBLE AS implied FROM top LEFT JOIN mv ON mv.date = top.date AND mv.asset = partner WHERE k = 1)"""
+GATE_CELLS = ", ".join(f"('{g.name}', {k!r}::DOUBLE, {g.breakeven})" for k, g in zip([k for k in SIGMAS for _ in (0, 1)], GATED, strict=True))
+GATED_SQL = (
+    "WITH RECURSIVE " + DAILY_SQL + ", " + GATE_FRAME + ", " + PARTNER_FRAME
+    + f""", cut AS (SELECT symbol, date, {", ".join(price_sql(c) for c in B.OHLC)}, volume, row_number() OVER (PARTITION BY symbol ORDER BY date) <= floor(count(*) OVER (PARTITION BY symbol) * 0.67) AS first FROM daily),
+pb AS (SELECT symbol || '|' || CASE WHEN first THEN 'in' ELSE 'out' END AS symbol, date, open, high, low, close, volume, row_number() OVER (PARTITION BY symbol, first ORDER BY date) - 1 AS bar FROM cut)"""
+    + PATTERN_SQL + retrace_sql("0", LOOKBACK, 12, 0.1, DEEPEST)
+    + f""",
+marked AS (SELECT m.symbol, split_part(m.symbol, '|', 2) AS block, m.bar, m.side, m.entry, m.side * m.dp AS structural, m.unit, coalesce(ok, false) AS ok, coalesce(abs(rho), 0) AS rho, coalesce(implied, 0) AS implied
+  FROM resumed m JOIN pb ON pb.symbol = m.symbol AND pb.bar = m.bar LEFT JOIN gate ON gate.symbol = split_part(m.symbol, '|', 1) AND gate.date = pb.date LEFT JOIN partner ON partner.symbol = split_part(m.symbol, '|', 1) AND partner.date = pb.date),
+open_gates AS (SELECT *, 'plain' AS gate FROM marked UNION ALL SELECT *, 'corr0' FROM marked WHERE ok
+  UNION ALL SELECT *, 'corr30' FROM marked WHERE ok AND rho >= 0.3 AND implied = side UNION ALL SELECT *, 'corr50' FROM marked WHERE ok AND rho >= 0.5 AND implied = side),
+geo AS (SELECT * FROM (VALUES {GATE_CELLS}) g(config, m, be)),
+c0 AS (SELECT config || '/' || gate || '/' || symbol AS symbol, config, gate, block, be, bar, side, entry, entry - side * greatest(abs(entry - structural), m * unit) AS stop FROM open_gates, geo),
+cand AS (SELECT *, entry + side * abs(entry - stop) * {REWARD} AS target FROM c0 WHERE entry <> stop),
+b5 AS (SELECT config || '/' || gate || '/' || b.symbol AS symbol, bar, high, low, close FROM b, (SELECT DISTINCT config, gate FROM c0)),
+ah AS (SELECT c.symbol, c.bar, c.side, c.entry, c.stop, c.target, f.bar AS j, f.close AS cl, CASE WHEN c.side > 0 THEN f.high >= c.target ELSE f.low <= c.target END AS ht,
+  CASE WHEN c.side > 0 THEN f.low <= c.stop ELSE f.high >= c.stop END AS hs, CASE WHEN c.side > 0 THEN f.low <= c.entry ELSE f.high >= c.entry END AS hb,
+  c.be AND CASE WHEN c.side > 0 THEN f.close >= c.entry + c.side * {TRIGGER} * c.entry ELSE f.close <= c.entry + c.side * {TRIGGER} * c.entry END AS arm
+  FROM cand c JOIN b5 f ON f.symbol = c.symbol AND f.bar BETWEEN c.bar + 1 AND c.bar + {WAIT}),
+f1 AS (SELECT symbol, bar, any_value(side) AS side, any_value(entry) AS entry, any_value(stop) AS stop, any_value(target) AS target, min(j) FILTER (ht OR hs) AS hit, min(j) FILTER (arm) AS aj, max(j) AS lastj, arg_max(cl, j) AS lastc FROM ah GROUP BY symbol, bar),
+f2 AS (SELECT f1.*, f1.aj IS NOT NULL AND (f1.hit IS NULL OR f1.hit > f1.aj) AS armed, s.j2 FROM f1
+  LEFT JOIN (SELECT a.symbol, a.bar, min(a.j) AS j2 FROM ah a JOIN f1 x ON a.symbol = x.symbol AND a.bar = x.bar WHERE a.j > x.aj AND (a.ht OR a.hb) GROUP BY ALL) s ON s.symbol = f1.symbol AND s.bar = f1.bar),
+f3 AS (SELECT *, CASE WHEN armed THEN j2 ELSE hit END AS h FROM f2),
+be AS (SELECT f3.*, coalesce(h, lastj) - f3.bar AS held, f3.bar + greatest(coalesce(h, lastj) - f3.bar, 1) AS free, CASE WHEN h IS NULL THEN 'time' WHEN armed AND a.hb THEN 'breakeven' WHEN NOT armed AND a.hs THEN 'stop' ELSE 'target' END AS outcome,
+  CASE WHEN h IS NULL THEN lastc WHEN armed AND a.hb THEN f3.entry WHEN NOT armed AND a.hs THEN f3.stop ELSE f3.target END AS exit FROM f3 LEFT JOIN ah a ON a.symbol = f3.symbol AND a.bar = f3.bar AND a.j = f3.h)"""
+    + chosen_sql("traded", "be", "bar", "free")
+    + f""",
+cells AS (SELECT c.block, c.gate, c.config, count(*) AS trades, avg((outcome = 'target')::INT) FILTER (outcome IN ('target', 'stop')) AS barrier_win_rate, (1 + avg(cost)) / (1 + {REWARD}) AS hurdle, avg(x) AS mean, sum(x) AS total, stddev_samp(x) AS sd
+  FROM (SELECT *, 2 * {COST} / 1e4 * entry / abs(entry - stop) AS cost, side * (exit - entry) / abs(entry - stop) - 2 * {COST} / 1e4 * entry / abs(entry - stop) AS x FROM traded) t JOIN (SELECT DISTINCT symbol, block, gate, config FROM cand) c ON c.symbol = t.symbol GROUP BY ALL)"""
+)
+SHOWN_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in SHOWN)
+
+
 QUERIES = {
+    "gated_grid": (gated_grid, f"{GATED_SQL} SELECT block, gate, config, trades, {SHOWN_SQL} FROM cells"),
+    "gated_choice": (
+        gated_choice,
+        f"""{GATED_SQL}, best AS (SELECT config, gate AS chosen FROM cells WHERE block = 'in' AND gate <> 'plain' AND trades >= 30 ORDER BY round(mean, 9) DESC, config, gate LIMIT 1)
+SELECT block, config, gate, trades, {SHOWN_SQL}, round(CASE WHEN trades > 5 THEN mean * sqrt(trades) / nullif(sd, 0) END, 6) AS t FROM cells JOIN best USING (config) WHERE gate IN ('plain', chosen)""",
+    ),
     "cascade_grid": (cascade_grid, f"{GRID_SQL} SELECT config, count(*) AS trades, round(avg((outcome = 'target')::INT), 6) AS target_share, round(avg(x), 6) AS \"mean_net_R\", sum(held)::BIGINT AS bars FROM grid GROUP BY config"),
     "cascade_walkforward": (cascade_walkforward, f"{PICKS_SQL} SELECT p.fold, p.config, round(score, 6) AS score, count(x) AS n_test, round(avg(x), 6) AS test_mean FROM picks p LEFT JOIN oos ON oos.fold = p.fold GROUP BY p.fold, p.config, score"),
     "cascade_walkforward_summary": (
