@@ -15,7 +15,9 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.ordering import Series
+from tessella.operators.bootstrap import quantile_errors, risk_terms
 from tessella.operators.risk import t_constants
+from tessella.sources.stage import staged
 
 FIT = "omega double, alpha double, beta double, mu double, nu double, loglik double, n_obs long, converged boolean"
 
@@ -283,19 +285,23 @@ def simulation_state(returns: np.ndarray, method: str) -> dict:
 STATE = "omega double, alpha double, beta double, nu double, last double, r array<double>, z array<double>"
 
 
-def monte_carlo_by(df: DataFrame, series: Series, ret: str, method: str = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8) -> DataFrame:
-    """(keys, horizon, paths, var, es, ratio_sqrt_time) of every series, as `monte_carlo_var`. Each series is fitted in its own group;
-    then (series, block) are rows and run in parallel. Series draw with equal seeds, so a series' figures don't depend on which others
-    there are. A series of fewer than two returns, or a constant one, has 0 paths and null figures."""
-    check_method(method)
+def monte_carlo_by(df: DataFrame, series: Series, ret: str, method: str | tuple[str, ...] = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8, resamples: int = 200) -> DataFrame:
+    """(keys, horizon, paths, var, es, stderr, low, high, sqrt_time, ratio_sqrt_time) of every series, as `monte_carlo_var`; with a tuple of
+    methods, all of them, and a column `method`. Each series is fitted in its own group; then (series, method, block) are rows and
+    run in parallel. Series draw with equal seeds, so a series' figures don't depend on which others there are. A series of fewer
+    than two returns, or a constant one, has 0 paths and null figures."""
+    methods = (method,) if isinstance(method, str) else method
+    for m in methods:
+        check_method(m)
     keys, kinds = list(series.keys), dict(df.dtypes)
 
     def of(pdf: pd.DataFrame) -> pd.DataFrame:
         own = pdf.sort_values(list(series.order))
-        return pd.DataFrame([{k: own[k].iloc[0] for k in keys} | simulation_state(own[ret].to_numpy(), method)])
+        return pd.DataFrame([{k: own[k].iloc[0] for k in keys} | {"method": m} | simulation_state(own[ret].to_numpy(), m) for m in methods])
 
-    states = df.select(*keys, *series.order, ret).groupBy(*keys).applyInPandas(of, ", ".join([*(f"{k} {kinds[k]}" for k in keys), STATE]))
-    return simulate(states, keys, method, horizons, confidence, paths, seed, blocks)
+    states = df.select(*keys, *series.order, ret).groupBy(*keys).applyInPandas(of, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "method string", STATE]))
+    d = simulate(states, [*keys, "method"], horizons, confidence, paths, seed, blocks, resamples)
+    return d.drop("method") if isinstance(method, str) else d
 
 
 def check_method(method: str) -> None:
@@ -303,17 +309,17 @@ def check_method(method: str) -> None:
         raise ValueError("method is fhs, parametric or bootstrap")
 
 
-def simulate(states: DataFrame, keys: list[str], method: str, horizons: tuple[int, ...], confidence: float, paths: int, seed: int, blocks: int) -> DataFrame:
-    """VaR and ES by key and horizon of simulation states, one row each. Paths are simulated in blocks, each with a seed of its own, so
-    the result doesn't depend on where a block runs."""
+def simulate(states: DataFrame, keys: list[str], horizons: tuple[int, ...], confidence: float, paths: int, seed: int, blocks: int, resamples: int) -> DataFrame:
+    """Risk by key and horizon of simulation states, one row each with its method. Paths are simulated in blocks, each with a seed of its
+    own, so the result doesn't depend on where a block runs; they are written once for quantiles, tails and resamples."""
     each, kinds = -(-paths // blocks), dict(states.dtypes)
 
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for x in b.to_dict("records"):
-                r, z, nu = np.asarray(x["r"], dtype=float), np.asarray(x["z"], dtype=float), x["nu"]
+                r, z, nu, method = np.asarray(x["r"], dtype=float), np.asarray(x["z"], dtype=float), x["nu"], x["method"]
 
-                def draw(rng: np.random.Generator, n: int, z=z, nu=nu) -> np.ndarray:
+                def draw(rng: np.random.Generator, n: int, z=z, nu=nu, method=method) -> np.ndarray:
                     return rng.choice(z, n) if method == "fhs" else rng.standard_t(nu, n) * math.sqrt((nu - 2) / nu)
 
                 for h in horizons:
@@ -328,22 +334,19 @@ def simulate(states: DataFrame, keys: list[str], method: str, horizons: tuple[in
 
     work = states.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))).repartition(*keys, "block")
     sims = work.mapInPandas(of, ", ".join([*(f"{k} {kinds[k]}" for k in keys), "horizon int, path long, ret double"]))
-    sims = sims.filter(F.col("path") < paths).withColumn("ret", F.when(~F.isnan("ret"), F.col("ret")))
+    sims = staged(sims.filter(F.col("path") < paths).withColumn("ret", F.when(~F.isnan("ret"), F.col("ret"))), "paths")
     by = [*keys, "horizon"]
-    q = sims.groupBy(*by).agg(F.percentile("ret", F.lit(1 - confidence)).alias("__q"), F.count("ret").alias("paths"))
-    tail = sims.join(F.broadcast(q.drop("paths")), by).filter("ret <= __q").groupBy(*by).agg(F.avg("ret").alias("__es"))  # one row per series and horizon
-    d = q.join(tail, by, "left").select(*by, "paths", (-F.col("__q")).alias("var"), (-F.col("__es")).alias("es"))
-    first = d.groupBy(*keys).agg(F.min(F.struct("horizon", "var")).alias("__f"))
-    both = d.join(F.broadcast(first), keys) if keys else d.join(F.broadcast(first))
-    return both.select(*d.columns, (F.col("var") / (F.col("__f.var") * F.sqrt(F.col("horizon") / F.col("__f.horizon")))).alias("ratio_sqrt_time"))
+    every = sims.select(*by).distinct()
+    errors = every.join(quantile_errors(sims, by, "ret", 1 - confidence, paths, resamples, seed), by, "left")
+    return risk_terms(errors.withColumn("n", F.coalesce("n", F.lit(0).cast("long"))), keys)
 
 
-def monte_carlo_var(spark: SparkSession, returns: np.ndarray, method: str = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8) -> DataFrame:
-    """(horizon, paths, var, es, ratio_sqrt_time) of one series: simulated losses by filtered historical simulation, parametric t, or
-    bootstrap of raw returns."""
+def monte_carlo_var(spark: SparkSession, returns: np.ndarray, method: str = "fhs", horizons: tuple[int, ...] = (1, 5, 10), confidence: float = 0.99, paths: int = 20_000, seed: int = 42, blocks: int = 8, resamples: int = 200) -> DataFrame:
+    """(horizon, paths, var, es, stderr, low, high, sqrt_time, ratio_sqrt_time) of one series: simulated losses by filtered historical
+    simulation, parametric t, or bootstrap of raw returns."""
     check_method(method)
-    state = spark.createDataFrame([tuple(simulation_state(returns, method).values())], STATE)
-    return simulate(state, [], method, horizons, confidence, paths, seed, blocks)
+    state = spark.createDataFrame([(method, *simulation_state(returns, method).values())], "method string, " + STATE)
+    return simulate(state, ["method"], horizons, confidence, paths, seed, blocks, resamples).drop("method")
 
 
 def null_paths(spark: SparkSession, seeds: list[int], bars: int, regime: str = "garch", sigma: float = 3e-4, alpha: float = 0.08, beta: float = 0.90, steps: int = 10, start_price: float = 100.0) -> DataFrame:
@@ -437,10 +440,6 @@ def dcc_var_series(cov: DataFrame, weights: DataFrame, confidence: float = 0.99,
     return portfolio_var(cov, weights, confidence, nu, extra=(date,))
 
 
-def compare_methods(spark: SparkSession, returns: np.ndarray, **options) -> DataFrame:
-    """The three simulation methods in one table."""
-    out = None
-    for method in ("fhs", "parametric", "bootstrap"):
-        d = monte_carlo_var(spark, returns, method, **options).withColumn("method", F.lit(method))
-        out = d if out is None else out.unionByName(d)
-    return out
+def compare_methods(df: DataFrame, series: Series, ret: str, **options) -> DataFrame:
+    """The three simulation methods of every series in one table."""
+    return monte_carlo_by(df, series, ret, ("fhs", "parametric", "bootstrap"), **options)

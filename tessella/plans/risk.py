@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from tessella.functions import distributions as dist
 from tessella.functions.ordering import Series
 from tessella.functions.scalars import quote_bp
 from tessella.operators import bars as B
+from tessella.operators import bootstrap as W
 from tessella.operators import ewm as E
 from tessella.operators import garch as G
 from tessella.operators import joins as J
@@ -18,6 +21,7 @@ from tessella.operators import rolling as R
 from tessella.operators import stress as S
 from tessella.plans.base import DAILY, DAILY_SQL, PANEL_SQL, RETURNS_SQL, daily, panel, returns
 from tessella.plans.market import D, VWAP_SQL, day, ewm_sql, r, vwap_frame
+from tessella.sources.stage import staged
 
 KEY = ("symbol",)
 WEIGHTS = [("1-URGENT", 0.3), ("2-HIGH", 0.25), ("3-MEDIUM", 0.2), ("4-NOT SPECIFIED", 0.15), ("5-LOW", 0.1)]
@@ -362,6 +366,45 @@ def monte_carlo_var(spark: SparkSession, sf: str) -> DataFrame:
     return G.monte_carlo_by(clean_returns(spark, sf), DAILY, "ret")
 
 
+def monte_carlo_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """All three methods by symbol and horizon, with the sampling error of each VaR."""
+    return G.compare_methods(clean_returns(spark, sf), DAILY, "ret")
+
+
+BOOT_HORIZONS, BOOT_PATHS, BOOT_RESAMPLES = (1, 5, 10), 2_000, 200
+
+
+def bootstrap_var(spark: SparkSession, sf: str) -> DataFrame:
+    """VaR and ES of resampled returns by horizon, with the standard error and interval of each VaR; draws are hashes."""
+    sums = staged(W.resampled_sums(clean_returns(spark, sf), KEY, ("date",), "ret", BOOT_HORIZONS, BOOT_PATHS), "sums")
+    d = W.risk_terms(W.quantile_errors(sums, ["symbol", "horizon"], "ret", 1 - 0.99, BOOT_PATHS, BOOT_RESAMPLES), ["symbol"])
+    return d.select("symbol", "horizon", "paths", *[r(c, 8).alias(c) for c in ("var", "es", "stderr", "low", "high", "sqrt_time")], r("ratio_sqrt_time").alias("ratio_sqrt_time"))
+
+
+def uniform_sql(*parts: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('|', {', '.join(parts)})), 1, 13))::BIGINT / {float(2**52)!r})"
+
+
+BOOT_NAMES = ("0", "symbol", "horizon", "b")
+BOOT_SQL = RETURNS_SQL + f""",
+own AS (SELECT symbol, ret::DECIMAL(28, 18) AS ret, row_number() OVER (PARTITION BY symbol ORDER BY date) AS i, count(*) OVER (PARTITION BY symbol) AS n FROM rets WHERE ret IS NOT NULL),
+steps AS (SELECT symbol, n, horizon, path, step FROM (SELECT DISTINCT symbol, n FROM own), (VALUES {", ".join(f"({h})" for h in BOOT_HORIZONS)}) h(horizon), range({BOOT_PATHS}) p(path), range(1, {max(BOOT_HORIZONS) + 1}) s(step) WHERE step <= horizon),
+drawn AS (SELECT *, floor({uniform_sql("0", "symbol", "horizon", "path", "step")} * n)::BIGINT + 1 AS i FROM steps),
+sums AS (SELECT d.symbol, horizon, path, sum(ret)::DOUBLE AS ret FROM drawn d JOIN own o ON o.symbol = d.symbol AND o.i = d.i GROUP BY ALL),
+q AS (SELECT symbol, horizon, count(*) AS n, quantile_cont(ret, {1 - 0.99!r}::DOUBLE) AS q, quantile_cont(ret, {W.tail_share(1 - 0.99, BOOT_PATHS)!r}::DOUBLE) AS cut FROM sums GROUP BY ALL),
+tail AS (SELECT s.*, n, q FROM sums s JOIN q ON q.symbol = s.symbol AND q.horizon = s.horizon WHERE ret <= cut),
+es AS (SELECT symbol, horizon, avg(ret) AS es FROM tail WHERE ret <= q GROUP BY ALL),
+w0 AS (SELECT symbol, horizon, path, ret, n, b, {uniform_sql(*BOOT_NAMES, "path")} AS u FROM tail, range({BOOT_RESAMPLES}) r(b)),
+w1 AS (SELECT *, {" + ".join(f"(u >= {p!r}::DOUBLE)::INT" for p in W.POISSON)} AS w FROM w0),
+w2 AS (SELECT *, sum(w) OVER (PARTITION BY symbol, horizon, b ORDER BY ret, path ROWS UNBOUNDED PRECEDING) AS c, sum(w) OVER (PARTITION BY symbol, horizon, b) AS tw, n - count(*) OVER (PARTITION BY symbol, horizon, b) AS rest FROM w1),
+x AS (SELECT symbol, horizon, b, min(ret) AS x FROM w2
+  WHERE c >= {1 - 0.99!r}::DOUBLE * (tw + greatest(0, round(rest + sqrt(rest) * sqrt(-2 * ln(1 - {uniform_sql(*BOOT_NAMES, "'u'")})) * cos({2 * math.pi!r}::DOUBLE * {uniform_sql(*BOOT_NAMES, "'v'")})))) GROUP BY ALL),
+se AS (SELECT symbol, horizon, stddev_samp(x) AS se FROM x GROUP BY ALL),
+terms AS (SELECT q.symbol, q.horizon, q.n AS paths, -q.q AS var, -es.es AS es, se.se, first_value(-q.q) OVER w * sqrt(q.horizon / min(q.horizon) OVER (PARTITION BY q.symbol)) AS st
+  FROM q JOIN es ON es.symbol = q.symbol AND es.horizon = q.horizon JOIN se ON se.symbol = q.symbol AND se.horizon = q.horizon WINDOW w AS (PARTITION BY q.symbol ORDER BY q.horizon))
+SELECT symbol, horizon, paths, round(var, 8) AS var, round(es, 8) AS es, round(se, 8) AS stderr, round(var - 1.96 * se, 8) AS low, round(var + 1.96 * se, 8) AS high, round(st, 8) AS sqrt_time, round(var / nullif(st, 0), 6) AS ratio_sqrt_time FROM terms"""
+
+
 def null_paths(spark: SparkSession, sf: str) -> DataFrame:
     return G.null_paths(spark, [1, 2, 3, 4], 2000)
 
@@ -423,6 +466,8 @@ QUERIES = {
     "rolling_dcc_var": (rolling_dcc, None),
     "var_constructions": (var_constructions, f"WITH {CONSTRUCT_SQL}"),
     "monte_carlo_var": (monte_carlo_var, None),
+    "monte_carlo_methods": (monte_carlo_methods, None),
+    "bootstrap_var": (bootstrap_var, f"WITH {BOOT_SQL}"),
     "null_paths": (null_paths, None),
     "demo_panel": (demo_panel, None),
 }
