@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from tessella.functions.ordering import column, ratio
+from tessella.functions.special import bisected
 
 
 def typical_price(high: Column, low: Column, close: Column) -> Column:
@@ -70,6 +71,23 @@ def implied_drift(a: float, b: float, win_rate: float, sigma: float, rounds: int
     return (low + high) / 2
 
 
+def touch_probability_of(a: Column, b: Column, drift: Column, sigma: Column) -> Column:
+    """touch_probability_value as a Column, for a drift that varies by row."""
+    nu = drift - sigma * sigma / 2
+    k = 2 * nu / (sigma * sigma)
+    moved = F.expm1(F.least(k * b, F.lit(700.0))) / (F.exp(F.least(k * b, F.lit(700.0))) - F.exp(F.least(-k * a, F.lit(700.0))))
+    still = F.when(a + b != 0, b / (a + b))
+    return F.when((drift == 0) | (F.abs(nu) < 1e-12), still).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), moved)))
+
+
+def implied_drift_of(a: Column, b: Column, win_rate: Column, sigma: Column, bound: float = 5.0) -> Column:
+    """implied_drift as a Column: the drift at which the touch probability is the win rate, null where none within the bounds is."""
+    reach = lambda d: touch_probability_of(a, b, d, sigma)
+    found = bisected(lambda d: reach(d) < win_rate, F.lit(-bound), F.lit(bound), 80)
+    inside = (win_rate > 0) & (win_rate < 1) & (a > 0) & (b > 0) & (sigma > 0)
+    return F.when(inside, F.when((reach(F.lit(-bound)) <= win_rate) & (win_rate <= reach(F.lit(bound))), found))
+
+
 def scale_to_horizon(value: Column, days: float, horizon: float = 1.0) -> Column:
     return value * math.sqrt(days / horizon)
 

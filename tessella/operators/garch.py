@@ -15,8 +15,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.ordering import Series
+from tessella.functions.special import t_constants
 from tessella.operators.bootstrap import quantile_errors, risk_terms
-from tessella.operators.risk import t_constants
 from tessella.sources.stage import staged
 
 FIT = "omega double, alpha double, beta double, mu double, nu double, loglik double, n_obs long, converged boolean"
@@ -184,16 +184,11 @@ def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, w
 
 
 def garch_var(forecasts: DataFrame, confidence: float = 0.99) -> DataFrame:
-    """VaR and ES of a scaled t with each row's own nu (of its refit, so few different ones)."""
-    nus = forecasts.select("nu").distinct().filter("nu IS NOT NULL")
-
-    @F.udf("struct<q:double,e:double>")
-    def constants(nu):
-        return t_constants(nu, confidence)
-
-    k = nus.withColumn("__c", constants("nu"))
+    """VaR and ES of a scaled t with each row's own nu (of its refit: the constants are found once for each)."""
+    q, e = t_constants(F.col("nu"), confidence)
+    k = forecasts.select("nu").distinct().filter("nu IS NOT NULL").withColumns({"__q": q, "__e": e})
     d = forecasts.join(k, "nu")
-    return d.withColumns({"var": -F.col("__c.q") * F.sqrt("variance"), "es": -F.col("__c.e") * F.sqrt("variance")}).drop("__c")
+    return d.withColumns({"var": -F.col("__q") * F.sqrt("variance"), "es": -F.col("__e") * F.sqrt("variance")}).drop("__q", "__e")
 
 
 # ---- DCC

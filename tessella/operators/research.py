@@ -6,8 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tessella.functions import distributions as dist
 from tessella.functions.ordering import Series, ratio
+from tessella.functions.scalars import touch_probability
+from tessella.functions.special import t_two_sided
 
 
 def signed_forward(bars: DataFrame, entries: DataFrame, series: Series, horizons: tuple[int, ...] = (1, 4, 24, 96)) -> DataFrame:
@@ -40,13 +41,26 @@ def pooled(cells: DataFrame, value: str = "mean", by: tuple[str, ...] = (), h0:
 
 
 def with_p_values(tests: DataFrame, t: str = "t", cells: str = "cells") -> DataFrame:
-    """Two-sided p of t with cells - 1 degrees of freedom. Tests are a handful of rows."""
-
-    @F.udf("double")
-    def p(x, n):
-        return None if x is None or n is None or n < 2 else dist.t_two_sided(x, n - 1)
-
-    return tests.withColumn("p", p(t, cells))
+    """Two-sided p of t with cells - 1 degrees of freedom."""
+    n = F.col(cells).cast("double")
+    return tests.withColumn("p", F.when((n >= 2) & F.col(t).isNotNull(), t_two_sided(F.col(t), n - 1)))
+
+
+def excess_cells(trades: DataFrame, month: Column, key: str = "symbol", least: int = 3) -> DataFrame:
+    """(key, month, n, mean) of wins beyond each trade's own touch probability, of trades that met a barrier."""
+    won = (F.col("outcome") == "target").cast("double")
+    own = trades.filter(F.col("outcome") != "time").withColumn("excess", won - touch_probability(F.col("entry"), F.col("target"), F.col("stop")))
+    return cell_means(own, "excess", month, key, least)
+
+
+def clustered(cells: DataFrame, by: tuple[str, ...] = (), h0: float = 0.0) -> DataFrame:
+    """Cell means against h0, cells being the clusters: cells, mean, corrected (less h0), t and p, by group and, if there are groups, over all
+    cells (a group of nulls)."""
+    out = with_p_values(pooled(cells, "mean", by, h0))
+    if by:
+        every = with_p_values(pooled(cells, "mean", (), h0)).select(*[F.lit(None).cast(dict(cells.dtypes)[b]).alias(b) for b in by], "*")
+        out = out.unionByName(every)
+    return out.withColumn("corrected", F.col("mean") - h0).drop("share_pos")
 
 
 def average_rank(x: Column, keys: list) -> Column:

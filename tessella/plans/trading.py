@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessella.functions.ordering import Series
+from tessella.functions.scalars import implied_drift_of
 from tessella.operators import barriers as T
 from tessella.operators import bars as B
 from tessella.operators import calendar as C
@@ -258,6 +259,49 @@ def holm_survivors(spark: SparkSession, sf: str) -> DataFrame:
     return Q.holm(d, tie=("feature", "horizon")).select("feature", "horizon", r("p").alias("p"), "reject")
 
 
+def p_sql(t: str, n: str) -> str:
+    """The two-sided p of t with n - 1 degrees of freedom, as an integral over the angle (Simpson's rule), which has nothing in common with the
+    continued fraction."""
+    return f"""(SELECT 2 * exp(lgamma({n} / 2.0) - lgamma(({n} - 1) / 2.0)) / sqrt(pi()) * (pi() / 2 - any_value(th)) / 6000
+      * sum(CASE WHEN k IN (0, 2000) THEN 1 WHEN k % 2 = 1 THEN 4 ELSE 2 END * pow(greatest(0, cos(th + k * (pi() / 2 - th) / 2000)), {n} - 2))
+      FROM range(2001) r(k), (SELECT atan(abs({t}) / sqrt({n} - 1)) AS th))"""
+
+
+#: The error that a study of driftless paths would show, taken as H0.
+NULL_BIAS = 0.01
+
+
+def excess_by_symbol(spark: SparkSession, sf: str) -> DataFrame:
+    """Wins beyond the touch probability, by symbol and over all, with cells of symbols and months as clusters; and the drift that would
+    explain the win rate at the mean distances."""
+    t = walked(spark, sf)
+    tests = Q.clustered(Q.excess_cells(t, Q.month_of("date")), KEY, NULL_BIAS)
+    met = t.filter("outcome <> 'time'")
+    far = met.groupBy("symbol").agg(
+        F.count(F.lit(1)).alias("n"), F.avg((F.col("outcome") == "target").cast("double")).alias("win_rate"), F.avg(F.abs(F.ln(F.col("target") / F.col("entry")))).alias("a"), F.avg(F.abs(F.ln(F.col("entry") / F.col("stop")))).alias("b")
+    )
+    d = tests.join(far, "symbol", "left").withColumn("drift", implied_drift_of(F.col("a"), F.col("b"), F.col("win_rate"), F.lit(0.1)))
+    return d.select("symbol", "cells", *[r(c).alias(c) for c in ("mean", "corrected", "t", "p", "win_rate", "drift")])
+
+
+def reach_sql(d: str) -> str:
+    nu = f"({d} - 0.005)"
+    return f"""CASE WHEN {d} = 0 OR abs({nu}) < 1e-12 THEN b / (a + b) ELSE least(1, greatest(0, (exp(least(200 * {nu} * b, 700)) - 1) / (exp(least(200 * {nu} * b, 700)) - exp(least(-200 * {nu} * a, 700))))) END"""
+
+
+EXCESS_SQL = (
+    WALK_SQL + f""",
+met AS (SELECT *, (outcome = 'target')::INT::DOUBLE AS won, abs(ln(target / entry)) AS a, abs(ln(entry / stop)) AS b FROM walk WHERE outcome <> 'time'),
+cells AS (SELECT symbol, strftime(date, '%Y-%m') AS month, avg(won - b / (a + b)) AS m FROM met WHERE a > 0 AND b > 0 GROUP BY ALL HAVING count(*) >= 3),
+tests AS (SELECT symbol, count(*) AS cells, avg(m) AS mean, CASE WHEN count(*) >= 3 THEN (avg(m) - {NULL_BIAS}) * sqrt(count(*)) / nullif(stddev_samp(m), 0) END AS t FROM cells GROUP BY GROUPING SETS ((symbol), ())),
+far AS (SELECT symbol, avg(won) AS win_rate, avg(a) AS a, avg(b) AS b FROM met GROUP BY symbol),
+halves AS (SELECT symbol, 0 AS k, -5.0::DOUBLE AS lo, 5.0::DOUBLE AS hi, a, b, win_rate FROM far
+  UNION ALL SELECT symbol, k + 1, CASE WHEN {reach_sql("((lo + hi) / 2)")} < win_rate THEN (lo + hi) / 2 ELSE lo END, CASE WHEN {reach_sql("((lo + hi) / 2)")} < win_rate THEN hi ELSE (lo + hi) / 2 END, a, b, win_rate FROM halves WHERE k < 80)
+SELECT t.symbol, cells, round(mean, 6) AS mean, round(mean - {NULL_BIAS}, 6) AS corrected, round(t, 6) AS t, round({p_sql("t.t", "t.cells")}, 6) AS p, round(f.win_rate, 6) AS win_rate,
+  round(CASE WHEN f.win_rate > 0 AND f.win_rate < 1 THEN (lo + hi) / 2 END, 6) AS drift FROM tests t LEFT JOIN far f ON f.symbol = t.symbol LEFT JOIN halves h ON h.symbol = t.symbol AND h.k = 80"""
+)
+
+
 def holm_given(spark: SparkSession, sf: str) -> DataFrame:
     """Holm on 1 / (1 + t^2) ** 4 of each test: a given p, so that SQL can follow."""
     d = Q.ic_summary(ic_cells(spark, sf), ("feature", "horizon")).withColumn("p", 1 / F.pow(1 + F.col("t") * F.col("t"), F.lit(4.0)))
@@ -526,7 +570,8 @@ QUERIES = {
     "realised_clustering": (clustering, f"WITH {LOGS_SQL}, q AS (SELECT symbol, lr * lr AS s, lag(lr * lr) OVER (PARTITION BY symbol ORDER BY date) AS l FROM b) SELECT symbol, round(corr(s, l), 6) AS clustering FROM q GROUP BY symbol"),
     "rank_ic_cells": (rank_ic, f"WITH {IC_SQL} SELECT symbol, feature, horizon, q AS quarter, n, round(ic, 6) AS ic, round(edge_bp, 6) AS edge_bp FROM ic"),
     "ic_summary": (ic_summary, f"WITH {ICS_SQL} SELECT feature, horizon, cells, round(m, 6) AS mean_ic, round(t, 6) AS t, round(CASE WHEN m > 0 THEN pos ELSE neg END, 6) AS hit, round(e, 6) AS edge_bp FROM s"),
-    "holm_survivors": (holm_survivors, None),
+    "holm_survivors": (holm_survivors, f"WITH {HOLM_SQL}".replace("1 / pow(1 + t * t, 4) AS p", f"{p_sql('s.t', 's.cells')} AS p")),
+    "excess_by_symbol": (excess_by_symbol, EXCESS_SQL),
     "holm_given_p": (holm_given, f"WITH {HOLM_SQL}"),
     "event_study_cells": (event_study, f"WITH {EVENT_SQL} SELECT symbol, year, n, round(mean, 5) AS mean FROM cells"),
     "event_study_pooled": (event_pooled, f"WITH {EVENT_SQL} SELECT count(*) AS cells, round(avg(mean), 5) AS mean, round(avg(mean) * sqrt(count(*)) / stddev_samp(mean), 6) AS t, round(avg((mean > 0)::INT), 6) AS share_pos FROM cells"),
