@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tessella.functions.ordering import Series
 from tessella.functions.special import t_constants
 from tessella.operators.bootstrap import quantile_errors, risk_terms
+from tessella.operators.ewm import affine_scan, pair_products
 from tessella.sources.stage import staged
 
 FIT = "omega double, alpha double, beta double, mu double, nu double, loglik double, n_obs long, converged boolean"
@@ -128,8 +129,6 @@ def filter_garch(df: DataFrame, fits: DataFrame, series: Series, ret: str, out:
     per series. It starts at the sample variance."""
     from pyspark.sql.window import Window
 
-    from tessella.operators.ewm import affine_scan
-
     d = df.join(fits.select(*series.keys, "omega", "alpha", "beta", "mu"), list(series.keys)).filter("omega IS NOT NULL")
     start = F.var_samp(ret).over(Window.partitionBy(*series.keys))
     e = F.coalesce(series.lag(F.col(ret) - F.col("mu")), F.lit(0.0))
@@ -249,6 +248,26 @@ def dcc_path(panel: DataFrame, assets: list[str], date: str = "date", asset: str
     return wide.withColumn("__panel", F.lit(1)).groupBy("__panel").applyInPandas(of, f"{date} {kind}, asset_i string, asset_j string, rho double, value double, a double, b double")
 
 
+def dcc_scan(z: DataFrame, a: float, b: float, date: str = "date", asset: str = "asset", value: str = "z") -> DataFrame:
+    """(date, asset_i, asset_j, rho) for i < j: the dynamic correlation known before each date, for given parameters. z has standardised
+    returns on dates that all assets have.
+
+    Q is a recursion for each pair of its own, with a constant coefficient, so it is an affine scan by pair and the panel is never one
+    group; the pair's two diagonal elements run along.
+    """
+    if not (a >= 0 and b > 0 and a + b < 1):
+        raise ValueError("a from 0, b above 0, their sum below 1")
+    pairs = pair_products(z, date, asset, value, diagonal=False)
+    keys = Series(("asset_i", "asset_j"), (date,))
+    level = pairs.groupBy("asset_i", "asset_j").agg(F.corr("__ri", "__rj").alias("__bar"))
+    d = pairs.join(level, ["asset_i", "asset_j"])
+    first = keys.lag("x").isNull()
+    moves = {"__qij": (F.col("__bar"), F.col("x")), "__qii": (F.lit(1.0), F.col("__ri") * F.col("__ri")), "__qjj": (F.lit(1.0), F.col("__rj") * F.col("__rj"))}
+    d = d.withColumn("__first", first).withColumns({f"{n}_b": F.when(first, bar).otherwise((1 - a - b) * bar + a * keys.lag(x)) for n, (bar, x) in moves.items()})
+    d = affine_scan(d, keys, F.lit(b), {n: F.col(f"{n}_b") for n in moves})
+    return d.select(date, "asset_i", "asset_j", (F.col("__qij") / F.sqrt(F.col("__qii") * F.col("__qjj"))).alias("rho"))
+
+
 # ---- simulation
 
 

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tessella.functions.ordering import Series, ratio
 from tessella.functions.scalars import touch_probability
 from tessella.functions.special import t_two_sided
+from tessella.operators.joins import asof
 
 
 def signed_forward(bars: DataFrame, entries: DataFrame, series: Series, horizons: tuple[int, ...] = (1, 4, 24, 96)) -> DataFrame:
@@ -240,3 +241,9 @@ def allowed_for(side: Column | str, all_gates: Column, implied: Column) -> Colum
     """Whether the gates let a side trade: all are open and the partner implies that side."""
     s = F.col(side) if isinstance(side, str) else side
     return F.coalesce(all_gates & (F.signum(implied) == F.signum(s)), F.lit(False))
+
+
+def permitted(entries: DataFrame, gates: DataFrame, keys: tuple[str, ...], ts: str, side: str = "side") -> DataFrame:
+    """entries with `allowed`, by the last row of a regime table (keys, ts, all_gates, implied) at or before their stamp; an entry before
+    the table begins isn't allowed."""
+    return asof(entries, gates, keys, ts, ["all_gates", "implied"]).withColumn("allowed", allowed_for(side, F.col("all_gates"), F.col("implied")))

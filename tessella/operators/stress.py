@@ -58,6 +58,16 @@ def pairwise_table(paths: DataFrame, sample: DataFrame, date: str = "date", rho:
     return d.withColumns({"range": F.col("max") - F.col("min"), "drift": F.col("last") - F.col("sample")}).orderBy(F.col("range").desc())
 
 
+def dynamic_pairs(dynamic: DataFrame, weighted: DataFrame, sample: DataFrame, date: str = "date", rho: str = "rho") -> DataFrame:
+    """The pair table with its dynamic columns: the sample's and the exponentially weighted correlation and the drift from one to the other,
+    and the last, mean, least and largest value of a dynamic path; widest range first. weighted is a path too, its last value counts."""
+    path = dynamic.filter(F.col(rho).isNotNull()).groupBy("asset_i", "asset_j").agg(F.max_by(rho, date).alias("last"), F.avg(rho).alias("mean"), F.min(rho).alias("min"), F.max(rho).alias("max"))
+    end = weighted.filter(F.col(rho).isNotNull()).groupBy("asset_i", "asset_j").agg(F.max_by(rho, date).alias("ewma"))
+    pairs = ["asset_i", "asset_j"]
+    d = path.join(end, pairs).join(sample.select(*pairs, F.col("correlation").alias("sample")), pairs)
+    return d.withColumns({"range": F.col("max") - F.col("min"), "drift": F.col("ewma") - F.col("sample")}).orderBy(F.col("range").desc(), *pairs)
+
+
 def correlation_stress(panel: DataFrame, paths: DataFrame, quantile: float = 0.05, date: str = "date", ret: str = "ret", rho: str = "rho") -> DataFrame:
     """Mean path correlation on the worst share of dates (by the equal-weight mean return) and on all others, by pair."""
     mean = panel.groupBy(date).agg(F.avg(ret).alias("__m")).join(paths.filter(F.col(rho).isNotNull()).select(date).distinct(), date)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import date
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,11 +17,12 @@ from tessella.operators import joins as J
 from tessella.operators import patterns as N
 from tessella.operators import research as Q
 from tessella.operators import rolling as R
-from tessella.plans.base import DAILY, DAILY_SQL, HOURLY, HOURLY_SQL, hourly, panel, returns, ticks
+from tessella.plans.base import DAILY, DAILY_SQL, HOURLY, HOURLY_SQL, daily, hourly, panel, ticks
 from tessella.plans.market import GATES_SQL, ZONE, ewm_sql, inside_sql, local_sql, r, stamp
 from tessella.plans.risk import PARTNER_SQL
-from tessella.plans.trading import FVG_PART, OB_SQL, OUTCOME_SQL, PATTERN_SQL, SWEEP_PART, chosen_sql, logs, price_sql, retrace_sql
-from tessella.sources.stage import staged
+from tessella.plans.trading import FVG_PART, OB_SQL, OUTCOME_SQL, PATTERN_SQL, SWEEP_PART, SWEEP_SQL, chosen_sql, logs, price_sql, retrace_sql
+from tessella.sources import incremental as I
+from tessella.sources.stage import shared_folder, staged
 
 SYMBOL = ("symbol",)
 
@@ -278,14 +280,39 @@ LOOKBACK, DEEPEST = 5, 60.0
 RHO = {"corr0": 0.0, "corr30": 0.3, "corr50": 0.5}
 
 
-def regime(spark: SparkSession, sf: str) -> DataFrame:
-    """(symbol, date, all_gates, rho, implied): the daily gates and the best partner's side."""
-    d = R.rolling_historical_var(E.ewma_sigma(returns(spark, sf), DAILY, "ret"), DAILY, "ret", 0.95, 100)
-    g = R.quantile_gates(d, DAILY, "sigma", "var", 400).select("symbol", "date", (F.col("g_regime") & F.col("g_var")).alias("all_gates"))
+def partners(spark: SparkSession, sf: str) -> DataFrame:
+    """(date, symbol, rho, implied): each symbol's best partner and the side it implies."""
     p = panel(spark, sf)
     moves = p.withColumn("move", F.sum("ret").over(Series(("asset",), ("date",)).prev(8))).select("date", "asset", "move")
-    partner = J.best_partner(E.ewma_correlation_path(p, 0.97), moves, "date", 0.0).select("date", F.col("asset").alias("symbol"), "rho", "implied")
-    return g.join(partner, ["symbol", "date"], "left")
+    return J.best_partner(E.ewma_correlation_path(p, 0.97), moves, "date", 0.0).select("date", F.col("asset").alias("symbol"), "rho", "implied")
+
+
+def gates_of(bars: DataFrame) -> DataFrame:
+    """(symbol, date, all_gates) of daily bars."""
+    ret = B.log_returns(bars, DAILY).withColumn("ret", F.col("ret") / 100)
+    d = R.rolling_historical_var(E.ewma_sigma(ret, DAILY, "ret"), DAILY, "ret", 0.95, 100)
+    return R.quantile_gates(d, DAILY, "sigma", "var", 400).select("symbol", "date", (F.col("g_regime") & F.col("g_var")).alias("all_gates"))
+
+
+def regime(spark: SparkSession, sf: str) -> DataFrame:
+    """(symbol, date, all_gates, rho, implied): the daily gates and the best partner's side."""
+    return gates_of(daily(spark, sf)).join(partners(spark, sf), ["symbol", "date"], "left")
+
+
+def regime_table(spark: SparkSession, sf: str, path: str) -> list:
+    """Build or renew the regime table at path; the symbols that were built."""
+    return I.rebuild(path, "symbol", daily(spark, sf), lambda stale: gates_of(stale).join(partners(spark, sf), ["symbol", "date"], "left"), "1", (panel(spark, sf),))
+
+
+def regime_permission(spark: SparkSession, sf: str) -> DataFrame:
+    """How many sweeps the regime table lets through, by symbol and side; the table is built, and renewed without work."""
+    path = f"{shared_folder(spark)}/tessella-regime-{uuid.uuid4().hex}"
+    first, again = regime_table(spark, sf, path), regime_table(spark, sf, path)
+    if again or not first:
+        raise RuntimeError("the table was not built once")
+    e = N.sweeps(logs(spark, sf), DAILY).filter("sweep <> 0").select("symbol", "date", F.col("sweep").alias("side"))
+    d = Q.permitted(e, I.table(spark, path, "symbol"), SYMBOL, "date")
+    return d.groupBy("symbol", "side").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.coalesce("all_gates", F.lit(False))).alias("open"), F.count_if("allowed").alias("allowed"))
 
 
 def gated_trades(spark: SparkSession, sf: str) -> DataFrame:
@@ -364,7 +391,12 @@ cells AS (SELECT c.block, c.gate, c.config, count(*) AS trades, avg((outcome = '
 SHOWN_SQL = ", ".join(f"round({c}, 6) AS {c}" for c in SHOWN)
 
 
+PERMISSION_SQL = f"""WITH {DAILY_SQL}, {GATE_FRAME}, {PARTNER_FRAME}, swept AS (WITH {SWEEP_SQL} SELECT symbol, date, sweep AS side FROM sweep WHERE sweep <> 0)
+SELECT s.symbol, side, count(*) AS n, count(*) FILTER (ok) AS open, count(*) FILTER (ok AND coalesce(implied, 0) = side) AS allowed
+FROM swept s LEFT JOIN gate g ON g.symbol = s.symbol AND g.date = s.date LEFT JOIN partner p ON p.symbol = s.symbol AND p.date = s.date GROUP BY ALL"""
+
 QUERIES = {
+    "regime_permission": (regime_permission, PERMISSION_SQL),
     "gated_grid": (gated_grid, f"{GATED_SQL} SELECT block, gate, config, trades, {SHOWN_SQL} FROM cells"),
     "gated_choice": (
         gated_choice,

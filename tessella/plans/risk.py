@@ -126,6 +126,39 @@ def pairwise_table(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("asset_i", "asset_j", *[r(c).alias(c) for c in ("sample", "last", "mean", "min", "max", "range", "drift")])
 
 
+DYNAMIC = (0.02, 0.95)
+
+
+def dynamic_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    """The pair table with dynamic correlations of returns standardised by their EWMA deviation."""
+    p, own = panel(spark, sf), Series(("asset",), ("date",))
+    z = E.ewma_variance(p, own, "ret").filter("variance > 0").select("date", "asset", (F.col("ret") / F.sqrt("variance")).alias("z"))
+    d = S.dynamic_pairs(G.dcc_scan(z, *DYNAMIC), corr_paths(spark, sf), S.sample_correlation(p))
+    return d.select("asset_i", "asset_j", *[r(c).alias(c) for c in ("sample", "ewma", "drift", "last", "mean", "min", "max", "range")])
+
+
+def level_sql(x: str, bar: str) -> str:
+    """Q of a pair in closed form, from the products of the row before."""
+    a, b = DYNAMIC
+    return f"pow({b!r}, k - 1) * sum(CASE WHEN k = 1 THEN {bar} ELSE ({1 - a - b!r}::DOUBLE * {bar} + {a!r} * {x}) / pow({b!r}, k - 1) END) OVER w"
+
+
+DYNAMIC_SQL = CORR_SQL + f""", v0 AS (SELECT asset, date, ret, row_number() OVER (PARTITION BY asset ORDER BY date) AS i FROM panel),
+vs AS (SELECT asset, var_samp(ret) AS s FROM v0 WHERE i <= 30 GROUP BY asset),
+vp AS (SELECT v0.*, s, lag(ret) OVER (PARTITION BY v0.asset ORDER BY date) AS prev FROM v0 JOIN vs ON vs.asset = v0.asset),
+vv AS (SELECT asset, date, i, ret, pow(0.94, i - 31) * sum(CASE WHEN i < 31 THEN 0 WHEN i = 31 THEN s ELSE (1 - 0.94) * prev * prev END / pow(0.94, i - 31)) OVER (PARTITION BY asset ORDER BY date ROWS UNBOUNDED PRECEDING) AS variance FROM vp),
+zz AS (SELECT asset, date, ret / sqrt(variance) AS z FROM vv WHERE i > 30),
+zp AS (SELECT x.asset AS asset_i, y.asset AS asset_j, x.date, x.z AS zi, y.z AS zj FROM zz x JOIN zz y ON x.date = y.date AND x.asset < y.asset),
+zb AS (SELECT asset_i, asset_j, corr(zi, zj) AS bar FROM zp GROUP BY ALL),
+zl AS (SELECT p.*, bar, row_number() OVER w AS k, lag(zi) OVER w AS pi, lag(zj) OVER w AS pj FROM zp p JOIN zb ON zb.asset_i = p.asset_i AND zb.asset_j = p.asset_j WINDOW w AS (PARTITION BY p.asset_i, p.asset_j ORDER BY p.date)),
+zq AS (SELECT asset_i, asset_j, date, {level_sql("pi * pj", "bar")} AS qij, {level_sql("pi * pi", "1.0")} AS qii, {level_sql("pj * pj", "1.0")} AS qjj FROM zl WINDOW w AS (PARTITION BY asset_i, asset_j ORDER BY date ROWS UNBOUNDED PRECEDING)),
+dq AS (SELECT asset_i, asset_j, arg_max(qij / sqrt(qii * qjj), date) AS l, avg(qij / sqrt(qii * qjj)) AS m, min(qij / sqrt(qii * qjj)) AS lo, max(qij / sqrt(qii * qjj)) AS hi FROM zq GROUP BY ALL),
+ew AS (SELECT asset_i, asset_j, arg_max(rho, date) AS e FROM rho WHERE rho IS NOT NULL GROUP BY ALL),
+sa AS (SELECT asset_i, asset_j, corr(x, y) AS s FROM pn GROUP BY ALL)
+SELECT d.asset_i, d.asset_j, round(s, 6) AS sample, round(e, 6) AS ewma, round(e - s, 6) AS drift, round(l, 6) AS last, round(m, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max, round(hi - lo, 6) AS range
+FROM dq d JOIN ew ON ew.asset_i = d.asset_i AND ew.asset_j = d.asset_j JOIN sa ON sa.asset_i = d.asset_i AND sa.asset_j = d.asset_j"""
+
+
 def pairwise_correlation(spark: SparkSession, sf: str) -> DataFrame:
     return S.sample_correlation(panel(spark, sf)).select("asset_i", "asset_j", "n_obs", r("covariance", 10).alias("covariance"), r("correlation", 8).alias("correlation"))
 
@@ -436,6 +469,7 @@ QUERIES = {
     "correlation_last": (correlation_last, f"WITH {COV_SQL} SELECT c.asset_i, c.asset_j, round(CASE WHEN c.asset_i = c.asset_j THEN 1.0 ELSE c.value / sqrt(a.value * b.value) END, 8) AS value FROM cov c JOIN cov a ON a.asset_i = c.asset_i AND a.asset_j = c.asset_i JOIN cov b ON b.asset_i = c.asset_j AND b.asset_j = c.asset_j"),
     "ewma_corr_path": (ewma_corr_path, f"WITH {CORR_SQL} SELECT {D}, asset_i, asset_j, round(rho, 8) AS rho FROM rho"),
     "pairwise_table": (pairwise_table, f"WITH {CORR_SQL}, p AS (SELECT asset_i, asset_j, arg_max(rho, date) AS l, avg(rho) AS m, min(rho) AS lo, max(rho) AS hi FROM rho WHERE rho IS NOT NULL GROUP BY ALL), s AS (SELECT asset_i, asset_j, corr(x, y) AS s FROM pn GROUP BY ALL) SELECT asset_i, asset_j, round(s, 6) AS sample, round(l, 6) AS last, round(m, 6) AS mean, round(lo, 6) AS min, round(hi, 6) AS max, round(hi - lo, 6) AS range, round(l - s, 6) AS drift FROM p JOIN s USING (asset_i, asset_j)"),
+    "dynamic_pairs": (dynamic_pairs, f"WITH {DYNAMIC_SQL}"),
     "pairwise_correlation": (pairwise_correlation, f"WITH {PAIRS_SQL} SELECT asset_i, asset_j, count(*) AS n_obs, round(covar_samp(x, y), 10) AS covariance, round(corr(x, y), 8) AS correlation FROM pn GROUP BY ALL"),
     "correlation_stress": (correlation_stress, f"WITH {STRESS_SQL}"),
     "best_partner_alignment": (best_partner, f"WITH {PARTNER_SQL}"),

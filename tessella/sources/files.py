@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tessella.functions.ordering import finite
 from tessella.operators.bars import deduplicated
@@ -13,7 +14,8 @@ TICK = "datetime string, bid double, ask double, volume double"
 DAILY = "Date string, Open double, High double, Low double, Close double, Volume double"
 INTRADAY = "Datetime string, Open double, High double, Low double, Close double, Volume double"
 
-#: Characters of a symbol that don't stand in a file name, and what stands for them.
+# The columns of the formats above, and the characters of a symbol that don't stand in a file name with what stands
+# for them.
 CODEC = {"=": "_eq_", "^": "_c_", "/": "_"}
 
 
@@ -23,6 +25,20 @@ def file_stem(symbol: str) -> str:
     return symbol
 
 
+def symbol_of(stem: str) -> str:
+    """The symbol of a file stem."""
+    for a, b in CODEC.items():
+        stem = stem.replace(b, a)
+    return stem
+
+
+def cached_symbols(spark: SparkSession, folder: str, suffix: str = ".csv") -> list[str]:
+    """The symbols whose files are in a folder, by name; files are listed, not read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/*{suffix}")
+    found = at.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(at) or []
+    return sorted(symbol_of(f.getPath().getName()[: -len(suffix)]) for f in found)
+
+
 def to_utc(wall: Column, zone: str) -> Column:
     """The instant of a wall-clock stamp; null for clock times that a change of clocks skips or repeats, as neither is one instant."""
     at = F.to_utc_timestamp(wall, zone)
@@ -36,10 +52,24 @@ def read_csv(spark: SparkSession, path: str, schema: str, sep: str, header: bool
     return spark.read.schema(schema).option("sep", sep).option("header", header).option("recursiveFileLookup", True).csv(path)
 
 
+def positioned(raw: DataFrame, out: str, most: int = 200_000) -> DataFrame:
+    """raw, straight from files, with `out`: each row's ordinal over all files, by path and place in the file, whatever the splits.
+
+    Rows of one split stand together in a partition, so a row's place in its split is known where it is read. What comes before
+    the split is counted apart: a row a split, summed up in the order of paths and offsets.
+    """
+    d = raw.select("*", F.col("_metadata.file_path").alias("__path"), F.col("_metadata.file_block_start").alias("__block")).withColumn("__id", F.monotonically_increasing_id())
+    heads = d.groupBy("__path", "__block").agg(F.min("__id").alias("__first"), F.count(F.lit(1)).alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__path", "__block").rowsBetween(Window.unboundedPreceding, -1))
+    heads = heads.withColumn("__before", F.coalesce(before, F.lit(0).cast("long"))).drop("__n")
+    small = F.broadcast(heads) if heads.count() <= most else heads
+    return d.join(small, ["__path", "__block"]).withColumn(out, F.col("__before") + F.col("__id") - F.col("__first")).drop("__path", "__block", "__id", "__first", "__before")
+
+
 def minute_bars(spark: SparkSession, path: str, zone: str = "America/New_York", symbol: str | None = None) -> DataFrame:
     """`yyyyMMdd HHmmss;o;h;l;c;v` without header: (symbol, ts, o, h, l, c, tick_count). There are no tick counts in this format: null,
     never made up. Of repeated stamps the first in file order stays."""
-    raw = read_csv(spark, path, M1, ";", False).withColumn("__file", F.input_file_name()).withColumn("__pos", F.monotonically_increasing_id())
+    raw = positioned(read_csv(spark, path, M1, ";", False).withColumn("__file", F.input_file_name()), "__pos")
     wall = F.try_to_timestamp("datetime", F.lit("yyyyMMdd HHmmss"))
     d = raw.withColumn("ts", to_utc(wall, zone)).filter("ts IS NOT NULL").withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("__file", r"([A-Za-z]{6})[^/]*$", 1))
     d = deduplicated(d, ("symbol", "ts"), "__pos", keep="first")
@@ -47,8 +77,8 @@ def minute_bars(spark: SparkSession, path: str, zone: str = "America/New_York",
 
 
 def ticks(spark: SparkSession, path: str, zone: str = "America/New_York", symbol: str | None = None) -> DataFrame:
-    """`yyyyMMdd HHmmssSSS,bid,ask,v` without header: (symbol, ts, tick_id, bid, ask, mid, spread). Repeated stamps stay."""
-    raw = read_csv(spark, path, TICK, ",", False).withColumn("__file", F.input_file_name()).withColumn("tick_id", F.monotonically_increasing_id())
+    """`yyyyMMdd HHmmssSSS,bid,ask,v` without header: (symbol, ts, tick_id, bid, ask, mid, spread). Repeated stamps stay. tick_id is the row's place in its files."""
+    raw = positioned(read_csv(spark, path, TICK, ",", False).withColumn("__file", F.input_file_name()), "tick_id")
     wall = F.try_to_timestamp("datetime", F.lit("yyyyMMdd HHmmssSSS"))
     d = raw.withColumn("ts", to_utc(wall, zone)).filter("ts IS NOT NULL").withColumn("symbol", F.lit(symbol) if symbol else F.regexp_extract("__file", r"([A-Za-z]{6})[^/]*$", 1))
     return d.select("symbol", "ts", "tick_id", "bid", "ask", ((F.col("bid") + F.col("ask")) / 2).alias("mid"), (F.col("ask") - F.col("bid")).alias("spread"))
@@ -71,14 +101,14 @@ def normalised(raw: DataFrame, stamp: str, out: str, kind: str) -> DataFrame:
 
 def daily_cache(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """One instrument's daily file; of repeated dates the last in file order stays."""
-    raw = read_csv(spark, path, DAILY, ",", True).withColumn("__pos", F.monotonically_increasing_id())
+    raw = positioned(read_csv(spark, path, DAILY, ",", True), "__pos")
     kept = deduplicated(raw, ("Date",), "__pos", keep="last")
     return normalised(kept, "Date", "date", "date").withColumn("symbol", F.lit(symbol))
 
 
 def intraday_cache(spark: SparkSession, path: str, symbol: str) -> DataFrame:
     """One instrument's intraday file with stamps in UTC; of repeated stamps the last in file order stays."""
-    raw = read_csv(spark, path, INTRADAY, ",", True).withColumn("__pos", F.monotonically_increasing_id())
+    raw = positioned(read_csv(spark, path, INTRADAY, ",", True), "__pos")
     kept = deduplicated(raw, ("Datetime",), "__pos", keep="last")
     return normalised(kept, "Datetime", "ts", "timestamp").withColumn("symbol", F.lit(symbol))
 
