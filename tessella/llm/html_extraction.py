@@ -12,7 +12,7 @@ writes some from a grammar of common page layouts, so nothing has to be annotate
 Defined results. A null or empty page, and one without content, gives the empty text. Broken markup is read as far as it
 goes: unclosed elements end with their parent, stray end tags are ignored, an unclosed script, style or comment runs to the
 end, an unclosed drawing is passed over. A quote in an attribute counts after its equals sign only. What stands in a script, style or another raw element isn't markup; the element ends at the next end tag of its name. Text
-outside any element belongs to the root. Pages are read whole; repeated rows give equal texts; an empty table gives an empty
+outside any element stands in a body of its own. Hidden elements are no content. Pages are read whole; repeated rows give equal texts; an empty table gives an empty
 result; extra columns are not read.
 """
 
@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessella.llm.common import struct_of, table
+from tessella.llm.common import table
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|</([a-zA-Z][^\s/>]*)[^>]*(?:>|$)|<([a-zA-Z][^\s/>]*)((?:[^>=]|=\s*\"[^\"]*(?:\"|$)|=\s*'[^']*(?:'|$)|=)*)(?:>|$)|[^<]+|<", re.S)
 NAMED = re.compile(r"""\b(class|id|role|style|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
@@ -112,6 +112,10 @@ def parse(page: str) -> tuple[list[Node], list[tuple[int, str | None]]]:
                 if tag in INLINE and stack[k][1] not in INLINE:
                     break
         elif m[0][0] != "<" or len(m[0]) == 1:
+            if len(stack) == 1 and not m[0].isspace():  # text outside any element stands in a body of its own
+                nodes.append(Node("body", 0))
+                stack.append((len(nodes) - 1, "body"))
+                flow.append((len(nodes) - 1, None))
             at = stack[-1][0]
             flow.append((at, m[0]))
             node = nodes[at]
@@ -127,7 +131,7 @@ def observations(node: Node, kids: int) -> list[str]:
     size = len(text)
     share = node.linked / size if size else 0.0
     seen = [
-        f"tag={node.tag}", f"size={min(int(math.log2(size + 1)), 9) // 2 if size else -1}", f"links={int(share * 2.999) if size else -1}",
+        f"tag={node.tag}", f"size={min(int(math.log2(size + 1)), 9) // 2 if size else -1}", f"links{':li' if node.tag == 'li' else ''}={int(share * 2.999) if size else -1}",
         f"stop={text[-1] in '.!?:' if size else '-'}", f"kids={min(kids, 3)}",
     ]
     if "&copy;" in text or "©" in text:
@@ -207,10 +211,12 @@ def joined(a: float, b: float) -> float:
 
 
 def train(pages: list[tuple[str, set[int]]], smoothing: float = 0.5) -> Model:
-    """Potentials from pages with the numbers of their content elements (in parse order)."""
+    """Potentials from pages with the numbers of their content elements (in parse order; 0, the root, where the content has no element
+    of its own)."""
     pairs: dict[str, list[list[float]]] = defaultdict(lambda: [[smoothing, smoothing], [smoothing, smoothing]])
-    seen, labels = defaultdict(lambda: [0.0, 0.0]), [0.0, 0.0]
+    seen, labels, roots = defaultdict(lambda: [0.0, 0.0]), [0.0, 0.0], [smoothing, smoothing]
     for page, content in pages:
+        roots[0 in content] += 1
         nodes, _ = parse(page)
         kids = Counter(x.parent for x in nodes[1:])
         for i, x in enumerate(nodes[1:], 1):
@@ -220,16 +226,20 @@ def train(pages: list[tuple[str, set[int]]], smoothing: float = 0.5) -> Model:
             labels[own] += 1
             for o in observations(x, kids[i]):
                 seen[o][own] += 1
-    # what is seen of the text itself says much the same several times over, so each of these counts in part
-    emit = {o: tuple((0.4 if o.startswith(("size", "links", "stop", "kids")) else 1.0) * math.log((c + smoothing) / (n + 2 * smoothing)) for c, n in zip(cs, labels, strict=True)) for o, cs in seen.items()}
+    # what is seen of the text itself says much the same several times over, so each of these counts in part; items of lists are linked in
+    # menus and in references alike, so their links are taken among items
+    emit: dict[str, tuple[float, float]] = {}
+    for o, cs in list(seen.items()):
+        weight, among = 0.4 if o.startswith(("size", "links", "stop", "kids")) else 1.0, seen["tag=li"] if o.startswith("links:li") else labels
+        emit[o] = tuple(weight * math.log((c + smoothing) / (n + 2 * smoothing)) for c, n in zip(cs, among, strict=True))
     pair = {k: [[math.log(c / sum(row)) for c in row] for row in rows] for k, rows in pairs.items()}
-    return Model(pair, emit)
+    return Model(pair, emit, (math.log(roots[0] / sum(roots)), math.log(roots[1] / sum(roots))))
 
 
-def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, set[int]]]:
+def labelled_pages(count: int = 900, seed: int = 5) -> list[tuple[str, set[int]]]:
     """Pages written from a grammar of layouts, each with its content elements: an article (or main, section or div) with
-    headings, paragraphs, lists, quotes and tables, among menus, headers, footers, sidebars, notices, adverts, forms and
-    reader comments that stand before, after and inside it. On one page in four the article has no element of its own."""
+    headings, paragraphs, lists, quotes and tables, or text and divs alone, among menus, headers, footers, sidebars, notices, adverts, forms and
+    reader comments that stand before, after and inside it. On about half the pages the article has no element of its own."""
     rng = random.Random(seed)
     marked = "\x01"
 
@@ -274,23 +284,42 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, set[int]]
         return f"<form action='/s'><label>{words(1, 4)}</label><input name='q'><p>{prose(2, 12)}</p><select><option>{words(1, 2)}<option>{words(1, 2)}</select><button>{words(1, 2)}</button></form>"
 
     def comments() -> str:
-        tag, part = rng.choice(("section", "div", "ol", "div")), rng.choice(("div", "article", "li", "p"))
+        tag, part = rng.choice(("section", "div", "ol", "div")), rng.choice(("div", "div", "div", "article", "li", "li", "p", "p"))
         inner = "".join(f"{named(part, 'comment', 'reply', 'comment-body')}" + (f"{words(1, 2)}" if part == "p" else f"<p>{prose(4, 50)}</p><p>{prose(4, 30)}</p>") + f"</{part}>" for _ in range(rng.randint(1, 4)))
         return f"{named(tag, 'comments', 'comment-list', 'discussion', 'responses', 'replies', 'disqus')}<h{(h := rng.randint(2, 4))}>{words(1, 3)}</h{h}>{inner}</{tag}>"
 
     def around() -> str:
         return rng.choice((menu, header, footer, advert, sidebar, notice, form, comments, advert, sidebar))()
 
+    def block() -> str:
+        """A paragraph that isn't a p."""
+        inner = prose(4, 120 if rng.random() < 0.7 else 12)
+        inner = f"<span>{inner}</span>" if rng.random() < 0.15 else inner
+        return f"<div{rng.choice(('', '', '', ' class=\"para\"', ' class=\"text\"', ' class=\"paragraph\"'))}{marked}>{inner}</div>"
+
+    def references() -> str:
+        """A list of links that belongs to the article."""
+        rows = "".join(f"<li{marked}>{rng.choice(('', '', words(1, 5) + ' '))}<a href='/{k}'>{words(1, 9)}</a>{rng.choice(('', '', '.', ', ' + words(1, 4)))}</li>" for k in range(rng.randint(1, 8)))
+        return (f"<h2{marked}>{words(1, 3)}</h2>" if rng.random() < 0.4 else "") + f"<{(t := rng.choice(('ul', 'ol')))}{marked}>{rows}</{t}>"
+
+    def concealed() -> str:
+        how = rng.choice((" hidden", ' style="display:none"', ' style="display: none;"', ' aria-hidden="true"', ' class="hidden"', ' style="visibility:hidden"'))
+        return f"<{(t := rng.choice(('p', 'div', 'section')))}{how}>{prose(3, 60)}</{t}>"
+
     def content(depth: int = 0) -> str:
         kind = rng.random()
-        if kind < 0.62:
+        if kind < 0.55:
             return f"<p{marked}>{prose(1, 120 if rng.random() < 0.7 else 8)}" + rng.choice(("</p>", "</p>", "</p>", ""))
+        if kind < 0.62:
+            return block()
         if kind < 0.72:
             return f"<p{marked}><b>{prose(2, 12)}<br>"
         if kind < 0.80:
             return f"<h{(k := rng.randint(2, 4))}{marked}>{words(1, 8)}</h{k}>"
-        if kind < 0.85:
+        if kind < 0.84:
             return f"<ul{marked}>" + "".join(f"<li{marked}>{prose(2, 25)}</li>" for _ in range(rng.randint(1, 5))) + "</ul>"
+        if kind < 0.86:
+            return f"<dl{marked}>" + "".join(f"<dt{marked}>{words(1, 3)}</dt><dd{marked}>{prose(2, 25)}</dd>" for _ in range(rng.randint(1, 4))) + "</dl>"
         if kind < 0.89:
             return f"<blockquote{marked}><p{marked}>{prose(4, 40)}</p></blockquote>"
         if kind < 0.92:
@@ -302,25 +331,57 @@ def labelled_pages(count: int = 600, seed: int = 5) -> list[tuple[str, set[int]]
         return f"<{(t := rng.choice(('div', 'section')))}{marked}>" + "".join(content(depth + 1) for _ in range(rng.randint(1, 4))) + f"</{t}>" if depth < 2 else f"<p{marked}>{prose(3, 40)}</p>"
 
     def article(bare: bool) -> str:
-        inner = f"<h1{marked}>{words(2, 12)}</h1>"
-        for _ in range(rng.randint(1, 14)):
-            inner += content()
+        """Paragraphs of several elements, of divs alone, text without any, or a single paragraph."""
+        style = rng.random()
+        inner = f"<h1{marked}>{words(2, 12)}</h1>" if style < 0.6 or rng.random() < 0.5 else ""
+        if style < 0.6:
+            parts = [content() for _ in range(rng.randint(1, 14))]
+        elif style < 0.78:
+            parts = [block() for _ in range(rng.randint(1, 10))]
+        elif style < 0.9:
+            parts = [f"{prose(5, 90)}{rng.choice(('<br><br>', '<br>', ' '))}" for _ in range(rng.randint(1, 6))]
+        else:
+            parts = [rng.choice((block(), f"<p{marked}>{prose(4, 60)}</p>", f"<p{marked}>{prose(4, 60)}"))]
+        for part in parts:
+            inner += part
             if rng.random() < 0.07:
                 inner += rng.choice((advert, sidebar, notice, form, menu))()
+            if rng.random() < 0.1:
+                inner += concealed()
+        if rng.random() < 0.4:
+            inner += references()
         if rng.random() < 0.15:
             inner += comments()
         if bare:
             return inner
-        opened = rng.choice(("<article", "<article", "<article", "<main", '<div class="content"', '<div id="main"', '<div class="post article"', '<section class="entry"', '<div class="article-body"', '<div id="story"'))
+        opened = rng.choice(("<article", "<article", "<article", "<article", "<article", "<article", "<main", "<main", '<div class="content"', '<div id="content"', '<div id="main"', '<div class="post article"', '<section class="entry"', '<section class="post-body"', '<div class="article-body"', '<div id="story"', "<div", "<section"))
         return f"{opened}{marked}>{inner}</{opened[1:].split()[0]}>"
 
+    def nested(body: str, at: str) -> str:
+        """In elements that say nothing."""
+        for _ in range(rng.randint(0, 3)):
+            name = rng.choice(("", "", ' class="wrapper"', ' class="container"', ' class="row"', ' class="col"', ' class="inner"', ' id="page"', ' class="layout"'))
+            body = f"<div{name}{at}>{body}</div>"
+        return f"<table{at}><tr{at}><td{at}>{body}</td></tr></table>" if rng.random() < 0.05 else body
+
     pages = []
     for k in range(count):
         before, after = ("".join(around() for _ in range(rng.randint(0, 3))) for _ in range(2))
-        bare = k % 4 == 3  # the article stands in the body itself
+        bare = rng.random() < 0.45  # the article stands in the body itself
         at = marked if bare else ""
-        text = f"<!DOCTYPE html><html{at}><head><title>{words(1, 5)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body{at}>{menu() if k % 3 else ''}{before}{article(bare)}{after}{footer() if k % 4 else ''}" + rng.choice(("</body></html>", ""))
-        pages.append(unmarked(text, marked))
+        body = before + article(bare) + after
+        if rng.random() < 0.4:
+            body = nested(body, at)
+        if (alone := rng.random()) < 0.12:  # nothing around it, or no more than a piece of a page
+            body = article(bare)
+        else:
+            body = f"{menu() if k % 3 else ''}{body}{footer() if k % 4 else ''}"
+        if alone >= 0.06:
+            body = f"<!DOCTYPE html><html{at}><head><title>{words(1, 5)}</title><style>p{{}}</style><script>var t='</p>';</script></head><body{at}>{body}" + rng.choice(("</body></html>", ""))
+        elif not body.startswith("<"):
+            body = f"<body{at}>{body}"  # as the parser does for text alone
+        page, content_of = unmarked(body, marked)
+        pages.append((page, content_of | ({0} if bare else set())))
     return pages
 
 
@@ -336,8 +397,6 @@ def standard_model() -> Model:
     return train(labelled_pages())
 
 
-OUT = struct_of(text=T.StringType(), n_chars=T.LongType())
-
 
 def extract(pages: DataFrame, model: Model | None = None, html_col: str = "html", out: str = "text") -> DataFrame:
     """pages with the column `out`, the content of html_col."""
