@@ -8,11 +8,11 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Rounds of the continued fraction, which converges in about the root of its larger parameter, and of a bisection of [0, 1].
-ROUNDS, HALVINGS = 120, 60
+ROUNDS, HALVINGS = 120, 52
 
 
 def log_gamma(x: Column) -> Column:
@@ -30,38 +30,40 @@ def beta_fraction(a: Column, b: Column, x: Column, rounds: int = ROUNDS) -> Colu
     off0 = lambda v: F.when(F.abs(v) < 1e-300, F.lit(1e-300)).otherwise(v)
     state = lambda c, d, out: F.struct(c.alias("c"), d.alias("d"), out.alias("out"))
 
+    def moved(t: Column, by: Column) -> Column:
+        c, d = off0(1 + by / t["c"]), 1 / off0(1 + by * t["d"])
+        return state(c, d, t["out"] * c * d)
+
     def step(s: Column, k: Column) -> Column:
         m = k.cast("double")
         even, odd = m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)), -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
-        # the lambda's own variables keep each value from being written out twice
-        half = F.transform(F.array(s), lambda t: state(off0(1 + even / t["c"]), 1 / off0(1 + even * t["d"]), t["out"]))
-        half = F.transform(half, lambda t: state(t["c"], t["d"], t["out"] * t["c"] * t["d"]))
-        whole = F.transform(half, lambda t: state(off0(1 + odd / t["c"]), 1 / off0(1 + odd * t["d"]), t["out"]))
-        return F.transform(whole, lambda t: state(t["c"], t["d"], t["out"] * t["c"] * t["d"]))[0]
+        # a lambda of its own for each half, so that the first isn't written out in the second
+        return F.transform(F.transform(F.array(s), lambda t: moved(t, even)), lambda t: moved(t, odd))[0]
 
     first = 1 / off0(1 - (a + b) * x / (a + 1))
     return F.reduce(F.sequence(F.lit(1), F.lit(rounds)), state(F.lit(1.0), first, first), step, lambda s: s["out"])
 
 
-def beta_cdf(x: Column, a: Column, b: Column) -> Column:
+def beta_cdf(x: Column, a: Column, b: Column, rounds: int = ROUNDS) -> Column:
     """The regularised incomplete beta function."""
     front = F.exp(log_gamma(a + b) - log_gamma(a) - log_gamma(b) + a * F.ln(x) + b * F.log1p(-x))
     near = x < (a + 1) / (a + b + 2)
     known = x.isNotNull() & a.isNotNull() & b.isNotNull()
-    return F.when(known & (x <= 0), 0.0).when(known & (x >= 1), 1.0).when(near, front * beta_fraction(a, b, x) / a).otherwise(1 - front * beta_fraction(b, a, 1 - x) / b)
+    return F.when(known & (x <= 0), 0.0).when(known & (x >= 1), 1.0).when(near, front * beta_fraction(a, b, x, rounds) / a).otherwise(1 - front * beta_fraction(b, a, 1 - x, rounds) / b)
 
 
 def bisected(below: Callable[[Column], Column], low: Column, high: Column, rounds: int = HALVINGS) -> Column:
     """The point of [low, high] up to which `below` holds."""
     ends = lambda lo, hi: F.struct(lo.cast("double").alias("lo"), hi.cast("double").alias("hi"))
     half = lambda s: (s["lo"] + s["hi"]) / 2
-    step = lambda s, _: F.when(below(half(s)), ends(half(s), s["hi"])).otherwise(ends(s["lo"], half(s)))
+    # the middle is a lambda's variable, as `below` may read it many times
+    step = lambda s, _: F.transform(F.array(half(s)), lambda x: F.when(below(x), ends(x, s["hi"])).otherwise(ends(s["lo"], x)))[0]
     return F.reduce(F.sequence(F.lit(1), F.lit(rounds)), ends(low, high), step, half)
 
 
-def beta_ppf(p: Column, a: Column, b: Column) -> Column:
+def beta_ppf(p: Column, a: Column, b: Column, rounds: int = ROUNDS) -> Column:
     """The inverse of beta_cdf in x, for p in [0, 1]."""
-    return F.when(p.isNotNull() & a.isNotNull() & b.isNotNull(), bisected(lambda x: beta_cdf(x, a, b) < p, F.lit(0.0), F.lit(1.0)))
+    return F.when(p.isNotNull() & a.isNotNull() & b.isNotNull(), bisected(lambda x: beta_cdf(x, a, b, rounds) < p, F.lit(0.0), F.lit(1.0)))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
@@ -71,16 +73,18 @@ def t_two_sided(t: Column, df: Column) -> Column:
 
 def t_ppf(p: Column, df: Column) -> Column:
     """The p-quantile of Student's t, p in (0, 1)."""
-    x = beta_ppf(2 * F.least(p, 1 - p), df / 2, F.lit(0.5))
-    return F.signum(p - 0.5) * F.sqrt(df * (1 - x) / x)
+    # by a lambda, so that the bisection is written out once
+    return F.signum(p - 0.5) * F.transform(F.array(beta_ppf(2 * F.least(p, 1 - p), df / 2, F.lit(0.5), 50)), lambda x: F.sqrt(df * (1 - x) / x))[0]
 
 
 def t_pdf(x: Column, df: Column) -> Column:
     return F.exp(log_gamma((df + 1) / 2) - log_gamma(df / 2) - (df + 1) / 2 * F.log1p(x * x / df)) / F.sqrt(df * math.pi)
 
 
-def t_constants(nu: Column, confidence: float) -> tuple[Column, Column]:
-    """The quantile and the expected shortfall of a t variable scaled to deviation 1, in deviations; nu is at least 2.5."""
-    n = F.greatest(nu, F.lit(2.5))
-    q, scale = t_ppf(F.lit(1 - confidence), n), F.sqrt((n - 2) / n)
-    return q * scale, -t_pdf(q, n) / (1 - confidence) * (n + q * q) / (n - 1) * scale
+def with_t_constants(rows: DataFrame, nu: str, confidence: float, quantile: str, shortfall: str) -> DataFrame:
+    """rows with the quantile and the expected shortfall of a t variable scaled to deviation 1, in deviations; nu is at least 2.5. The
+    quantile is a column before the shortfall reads it, as an expression would be worked out anew at each place."""
+    n = F.greatest(F.col(nu), F.lit(2.5))
+    q, scale = F.col(quantile), F.sqrt((n - 2) / n)
+    d = rows.withColumn(quantile, t_ppf(F.lit(1 - confidence), n))
+    return d.withColumn(shortfall, -t_pdf(q, n) / (1 - confidence) * (n + q * q) / (n - 1) * scale).withColumn(quantile, q * scale)

@@ -14,8 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessella.functions.ordering import Series
-from tessella.functions.special import t_constants
+from tessella.functions.ordering import Series, finite
+from tessella.functions.special import with_t_constants
 from tessella.operators.bootstrap import quantile_errors, risk_terms
 from tessella.operators.ewm import affine_scan, pair_products
 from tessella.sources.stage import staged
@@ -96,6 +96,8 @@ def fit(returns: np.ndarray, student: bool = True, constant: bool = False, least
     empty = {"omega": None, "alpha": None, "beta": None, "mu": None, "nu": None, "loglik": None, "n_obs": len(r), "converged": False}
     if len(r) < least or not r.std() > 0:
         return empty
+    if not constant:
+        return empty | {"mu": 0.0} | fit_many([r / 100], student, least)[0]
     start = float(np.var(r, ddof=1))
     x0 = [math.log(start * 0.02), math.log(0.98 / 0.01999), math.log(0.08 / 0.90)] + [math.log(5.9 / 192)] * student + [float(r.mean())] * constant
     best, value, ok = nelder_mead(lambda x: negative_loglik(r, *natural(x, student, constant), start), np.array(x0))
@@ -138,54 +140,137 @@ def filter_garch(df: DataFrame, fits: DataFrame, series: Series, ret: str, out:
     return affine_scan(d, series, a, {out: b}, block=16).drop("__s", "__e", "__first", "omega", "alpha", "beta", "mu")
 
 
-def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, window: int = 750, refit: int = 21, student: bool = True) -> DataFrame:
-    """Walk-forward forecasts: (keys, order, variance, nu, refit_at), each known before its row. Refit points are exploded with their
-    window of returns and fitted in parallel. A fit's parameters then hold, and its variance runs on, up to the next point that could
-    be fitted: a point whose window has too few returns or is constant keeps the last ones, so no row drops out. Rows before a
-    series' first fit have no forecast. refit_at is the row number of the fit."""
+def filtered(r2: np.ndarray, omega: np.ndarray, alpha: np.ndarray, beta: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """variances() of many series at once, without the one beyond the last: [row, series]. The recursion is a scan by doubling: each pass
+    adds what came twice as far before, so there are log2(rows) passes over the matrix and no loop over rows."""
+    s = np.empty_like(r2)
+    s[0], s[1:] = start, omega + alpha * r2[:-1]
+    decay, back = beta, 1
+    while back < len(s):
+        s[back:] += decay * s[:-back].copy()
+        decay, back = decay * decay, 2 * back
+    return s
+
+
+def fit_many(windows: list[np.ndarray], student: bool = True, least: int = 100, rounds: int = 2000, tol: float = 1e-10, step: float = 0.25) -> list[dict | None]:
+    """fit() of many windows without a constant: the same simplex searches, a step of each at a time, so that a likelihood is one pass
+    for all windows that still move. None where a window can't be fitted."""
+    scaled = [x[np.isfinite(x)] * 100 for x in (np.asarray(w, dtype=float) for w in windows)]
+    good = [k for k, r in enumerate(scaled) if len(r) >= least and r.std() > 0]
+    if not good:
+        return [None] * len(windows)
+    r2 = np.zeros((max(len(scaled[k]) for k in good), len(good)))
+    there = np.zeros(r2.shape, bool)
+    for j, k in enumerate(good):
+        r2[: len(scaled[k]), j], there[: len(scaled[k]), j] = scaled[k] ** 2, True
+    start = np.array([np.var(scaled[k], ddof=1) for k in good])
+    squash = lambda x: 1 / (1 + np.exp(-np.clip(x, -500, 500)))
+
+    def params(x: np.ndarray) -> tuple[np.ndarray, ...]:
+        total, share = 0.99999 * squash(x[:, 1]), squash(x[:, 2])
+        return np.exp(np.clip(x[:, 0], -60, 20)), total * share, total * (1 - share), 2.1 + 197.9 * squash(x[:, 3]) if student else None
+
+    def loss(x: np.ndarray, who: np.ndarray) -> np.ndarray:
+        omega, alpha, beta, nu = params(x)
+        e2, mine = r2[:, who], there[:, who]
+        s = filtered(e2, omega, alpha, beta, start[who])
+        if student:
+            c = np.array([math.lgamma((n + 1) / 2) - math.lgamma(n / 2) - 0.5 * math.log(math.pi * (n - 2)) for n in nu.tolist()])
+            each = -(c - 0.5 * np.log(s) - (nu + 1) / 2 * np.log1p(e2 / s / (nu - 2)))
+        else:
+            each = 0.5 * (np.log(2 * math.pi * s) + e2 / s)
+        return np.where((s > 0).all(0), np.where(mine, each, 0.0).sum(0), 1e12)
+
+    x0 = np.column_stack([np.log(start * 0.02), *[np.full(len(good), v) for v in [math.log(0.98 / 0.01999), math.log(0.08 / 0.90)] + [math.log(5.9 / 192)] * student]])
+    n, every = x0.shape[1], np.arange(len(good))
+    points = np.stack([x0, *[x0 + step * np.eye(n)[i] for i in range(n)]])  # [vertex, window, parameter]
+    values = np.stack([loss(p, every) for p in points])
+    live, done = every, np.zeros(len(good), bool)
+    for _ in range(rounds):
+        order = np.argsort(values[:, live], axis=0)
+        p, v = np.take_along_axis(points[:, live], order[:, :, None], 0), np.take_along_axis(values[:, live], order, 0)
+        points[:, live], values[:, live] = p, v
+        still = np.abs(v[-1] - v[0]) >= tol * (np.abs(v[0]) + tol)
+        done[live[~still]] = True
+        live, p, v = live[still], p[:, still], v[:, still]
+        if not len(live):
+            break
+        centre = p[:-1].mean(0)
+        there_ = centre + (centre - p[-1])
+        vt = loss(there_, live)
+        best, middle = vt < v[0], (vt >= v[0]) & (vt < v[-2])
+        worse = ~best & ~middle
+        toward = np.where((vt < v[-1])[:, None], there_, p[-1])
+        second = np.where(best[:, None], centre + 2 * (centre - p[-1]), centre + 0.5 * (toward - centre))
+        v2 = np.full(len(live), np.inf)
+        if (need := np.flatnonzero(~middle)).size:
+            v2[need] = loss(second[need], live[need])
+        take2 = (best & (v2 < vt)) | (worse & (v2 < np.minimum(vt, v[-1])))
+        take1 = middle | (best & ~take2)
+        p[-1] = np.where(take2[:, None], second, np.where(take1[:, None], there_, p[-1]))
+        v[-1] = np.where(take2, v2, np.where(take1, vt, v[-1]))
+        points[:, live], values[:, live] = p, v
+        shrink = np.flatnonzero(worse & ~take2)
+        if shrink.size:
+            for k in range(1, n + 1):
+                moved = p[0, shrink] + 0.5 * (p[k, shrink] - p[0, shrink])
+                points[k, live[shrink]], values[k, live[shrink]] = moved, loss(moved, live[shrink])
+    top = values.argmin(0)
+    omega, alpha, beta, nu = params(points[top, every])
+    out: list[dict | None] = [None] * len(windows)
+    for j, k in enumerate(good):
+        out[k] = {"omega": float(omega[j]) / 1e4, "alpha": float(alpha[j]), "beta": float(beta[j]), "nu": float(nu[j]) if student else None, "loglik": -float(values[top[j], j]), "n_obs": len(scaled[k]), "converged": bool(done[j])}
+    return out
+
+
+def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, window: int = 750, refit: int = 21, student: bool = True, at_once: int = 32) -> DataFrame:
+    """Walk-forward forecasts: (keys, order, variance, nu, refit_at), each known before its row. A fit's parameters hold, and its variance
+    runs on, up to the next point that could be fitted: a point whose window has too few returns or is constant keeps the last ones,
+    so no row drops out. Rows before a series' first fit have no forecast. refit_at is the row number of the fit.
+
+    `at_once` refit points in a row are one batch: a row goes to the batches whose windows hold it (two, if these are longer than a
+    window), and a batch is fitted as one matrix. Rows between refits follow by a fold in the JVM.
+    """
     keys, at = list(series.keys), series.order[0]
-    n = F.row_number().over(series.window())
-    d = df.select(*keys, at, ret).withColumn("__i", n)
-    past = F.collect_list(F.struct("__i", F.col(ret).alias("r"))).over(series.window().rowsBetween(-window, -1))
-    points = d.withColumn("__w", past).filter((F.col("__i") > min_obs) & ((F.col("__i") - 1 - min_obs) % refit == 0)).select(*keys, F.col("__i").alias("first"), "__w")
+    d = df.select(*keys, at, ret).withColumn("__i", F.row_number().over(series.window()))
     kinds = dict(df.dtypes)
-    of_keys = ", ".join([f"{k} {kinds[k]}" for k in keys])
+    # point k stands at row min_obs + 1 + k * refit, and its window is the `window` rows before
+    lowest = F.greatest(F.lit(0), F.ceil((F.col("__i") - min_obs) / refit))
+    highest = F.floor((F.col("__i") + window - min_obs - 1) / refit)
+    batch = F.sequence(F.floor(lowest / at_once), F.floor(highest / at_once))
+    spread = d.filter(highest >= lowest).withColumn("__b", F.explode(batch))
 
-    def fitted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            out = []
-            for k in range(len(b)):
-                own = np.array([c["r"] for c in sorted(b["__w"].iloc[k], key=lambda c: c["__i"])], dtype=float)
-                found = fit(own, student, False)
-                if found["omega"] is None:
-                    continue
-                own = own[np.isfinite(own)]
-                s = variances(own**2, found["omega"], found["alpha"], found["beta"], float(np.var(own, ddof=1)))[-1]
-                out.append({x: b[x].iloc[k] for x in keys} | {"first": b["first"].iloc[k], "start": s} | {x: found[x] for x in ("omega", "alpha", "beta", "nu")})
-            yield pd.DataFrame(out, columns=[*keys, "first", "start", "omega", "alpha", "beta", "nu"])
-
-    fits = points.repartition(*keys, "first").mapInPandas(fitted, f"{of_keys}, first long, start double, omega double, alpha double, beta double, nu double")
+    def fitted(pdf: pd.DataFrame) -> pd.DataFrame:
+        own = pdf.sort_values("__i")
+        i, r, b = own["__i"].to_numpy(), own[ret].to_numpy(dtype=float), int(own["__b"].iloc[0])
+        firsts = min_obs + 1 + refit * np.arange(b * at_once, (b + 1) * at_once)
+        firsts = firsts[firsts <= i[-1] + 1]
+        windows = [r[np.searchsorted(i, f - window) : np.searchsorted(i, f)] for f in firsts.tolist()]
+        out = []
+        for f, w, found in zip(firsts.tolist(), windows, fit_many(windows, student), strict=True):
+            if found is not None:
+                w = w[np.isfinite(w)]
+                s = variances(w**2, found["omega"], found["alpha"], found["beta"], float(np.var(w, ddof=1)))[-1]
+                out.append({x: own[x].iloc[0] for x in keys} | {"__i": f, "start": s} | {x: found[x] for x in ("omega", "alpha", "beta", "nu")})
+        return pd.DataFrame(out, columns=[*keys, "__i", "start", "omega", "alpha", "beta", "nu"])
+
+    schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "__i int, start double, omega double, alpha double, beta double, nu double"])
+    fits = spread.groupBy(*keys, "__b").applyInPandas(fitted, schema)
     # each row's fit is the last one at or before it; a fit and its rows are one segment
-    rows = d.join(fits.withColumnRenamed("first", "__i"), [*keys, "__i"], "left")
+    rows = d.join(fits, [*keys, "__i"], "left")
     rows = rows.withColumn("__fit", F.last(F.when(F.col("omega").isNotNull(), F.col("__i")), ignorenulls=True).over(series.upto())).filter("__fit IS NOT NULL")
-
-    def walk(pdf: pd.DataFrame) -> pd.DataFrame:
-        own = pdf.sort_values("__i")
-        head = own.iloc[0]
-        s, path = head["start"], []
-        for x in own[ret].to_numpy(dtype=float).tolist():
-            path.append(s)
-            if math.isfinite(x):
-                s = head["omega"] + head["alpha"] * x**2 + head["beta"] * s
-        return own[[*keys, at]].assign(variance=path, nu=head["nu"] if student else None, refit_at=head["__fit"])
-
-    return rows.groupBy(*keys, "__fit").applyInPandas(walk, f"{of_keys}, {at} {kinds[at]}, variance double, nu double, refit_at long")
+    segments = rows.groupBy(*keys, "__fit").agg(F.sort_array(F.collect_list(F.struct("__i", F.col(at).alias("at"), F.col(ret).cast("double").alias("r")))).alias("rows"), *[F.max(c).alias(c) for c in ("start", "omega", "alpha", "beta", "nu")])
+    state = lambda s, out: F.struct(s.alias("s"), out.alias("out"))
+    after = lambda s, x: F.when(finite(x["r"]).isNotNull(), F.col("omega") + F.col("alpha") * x["r"] * x["r"] + F.col("beta") * s).otherwise(s)
+    empty = F.array().cast("array<double>")
+    path = F.reduce("rows", state(F.col("start"), empty), lambda a, x: state(after(a["s"], x), F.concat(a["out"], F.array(a["s"]))), lambda a: a["out"])
+    cells = F.explode(F.arrays_zip(F.col("rows.at").alias("at"), path.alias("variance"))).alias("x")
+    return segments.select(*keys, "nu", F.col("__fit").alias("refit_at"), cells).select(*keys, F.col("x.at").alias(at), "x.variance", *([F.col("nu")] if student else [F.lit(None).cast("double").alias("nu")]), F.col("refit_at").cast("long"))
 
 
 def garch_var(forecasts: DataFrame, confidence: float = 0.99) -> DataFrame:
     """VaR and ES of a scaled t with each row's own nu (of its refit: the constants are found once for each)."""
-    q, e = t_constants(F.col("nu"), confidence)
-    k = forecasts.select("nu").distinct().filter("nu IS NOT NULL").withColumns({"__q": q, "__e": e})
+    k = with_t_constants(forecasts.select("nu").distinct().filter("nu IS NOT NULL"), "nu", confidence, "__q", "__e")
     d = forecasts.join(k, "nu")
     return d.withColumns({"var": -F.col("__q") * F.sqrt("variance"), "es": -F.col("__e") * F.sqrt("variance")}).drop("__q", "__e")
 

@@ -32,8 +32,8 @@ def test_beta_and_its_inverse(spark):
 
 def test_students_t(spark):
     rows = [(p, n) for p in (0.001, 0.01, 0.3, 0.6, 0.975) for n in (2.5, 4.0, 8.3, 30.0, 400.0)]
-    q, e = X.t_constants(F.col("n"), 0.99)
-    d = spark.createDataFrame(rows, "p double, n double").select("p", "n", X.t_ppf(F.col("p"), F.col("n")).alias("t"), q.alias("q"), e.alias("e"))
+    d = spark.createDataFrame(rows, "p double, n double").select("p", "n", X.t_ppf(F.col("p"), F.col("n")).alias("t"))
+    d = X.with_t_constants(d, "n", 0.99, "q", "e")
     from tessella.operators.risk import t_constants
 
     for r in d.collect():

@@ -124,6 +124,35 @@ def test_rolling_garch_carries_parameters_over_failed_refits(spark):
         s = f["omega"] + f["alpha"] * r[t] ** 2 + f["beta"] * s
 
 
+def test_fits_as_one_matrix_equal_searches_one_by_one():
+    rng = np.random.default_rng(1)
+    windows = []
+    for n in (750, 750, 300, 120):
+        v, r = 1e-4, []
+        for _ in range(n):
+            r.append(math.sqrt(v) * rng.standard_t(6) * math.sqrt(4 / 6))
+            v = 2e-6 + 0.08 * r[-1] ** 2 + 0.9 * v
+        windows.append(np.array(r))
+    windows[1][10] = np.nan
+    windows += [np.ones(200), np.zeros(3), rng.normal(0, 0.01, 400)]
+    for student in (True, False):
+        together = G.fit_many(windows, student)
+        assert [f is None for f in together] == [False] * 4 + [True, True, False]
+        for w, f in zip(windows, together, strict=True):
+            if f is None:
+                assert G.fit(w, student)["omega"] is None
+                continue
+            r = w[np.isfinite(w)] * 100
+            start = float(np.var(r, ddof=1))
+            x0 = [math.log(start * 0.02), math.log(0.98 / 0.01999), math.log(0.08 / 0.90)] + [math.log(5.9 / 192)] * student
+            best, value, ok = G.nelder_mead(lambda x, r=r, s=start, t=student: G.negative_loglik(r, *G.natural(x, t, False), s), np.array(x0))
+            omega, alpha, beta, _, nu = G.natural(best, student, False)
+            assert (f["omega"] * 1e4, f["alpha"], f["beta"], f["loglik"], f["converged"]) == (pytest.approx(omega, rel=1e-6), pytest.approx(alpha, rel=1e-6), pytest.approx(beta, rel=1e-6), pytest.approx(-value), ok)
+            assert f["nu"] == (pytest.approx(nu, rel=1e-6) if student else None)
+            own = G.filtered((r**2)[:, None], *[np.array([x]) for x in (omega, alpha, beta, start)])[:, 0]
+            assert own == pytest.approx(G.variances(r**2, omega, alpha, beta, start)[:-1], rel=1e-12)
+
+
 def test_rolling_garch_without_any_fit_is_empty(spark):
     d = spark.createDataFrame([("a", t, 0.0) for t in range(300)], "symbol string, date int, ret double")
     assert G.rolling_garch(d, base.DAILY, "ret", min_obs=150, window=150, refit=50, student=False).count() == 0
