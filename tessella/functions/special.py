@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
+from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -77,6 +78,19 @@ def t_ppf(p: Column, df: Column) -> Column:
     return F.signum(p - 0.5) * F.transform(F.array(beta_ppf(2 * F.least(p, 1 - p), df / 2, F.lit(0.5), 50)), lambda x: F.sqrt(df * (1 - x) / x))[0]
 
 
+def t_quantile(p: float, df: Column, rounds: int = 60, steps: int = 5) -> Column:
+    """t_ppf of one p below a half for many df: Newton's method on the logarithm of the tail, from the expansion about the normal quantile. Much
+    less work than a bisection."""
+    z = NormalDist().inv_cdf(p)
+    first = z + (z**3 + z) / (4 * df) + (5 * z**5 + 16 * z**3 + 3 * z) / (96 * df * df) + (3 * z**7 + 19 * z**5 + 17 * z**3 - 15 * z) / (384 * df * df * df)
+
+    def step(t: Column, _: Column) -> Column:
+        tail = F.transform(F.array(t), lambda x: beta_cdf(df / (df + x * x), df / 2, F.lit(0.5), rounds) / 2)
+        return t - F.transform(tail, lambda c: c * F.ln(c / p) / t_pdf(t, df))[0]
+
+    return F.reduce(F.sequence(F.lit(1), F.lit(steps)), first, step)
+
+
 def t_pdf(x: Column, df: Column) -> Column:
     return F.exp(log_gamma((df + 1) / 2) - log_gamma(df / 2) - (df + 1) / 2 * F.log1p(x * x / df)) / F.sqrt(df * math.pi)
 
@@ -86,5 +100,5 @@ def with_t_constants(rows: DataFrame, nu: str, confidence: float, quantile: str,
     quantile is a column before the shortfall reads it, as an expression would be worked out anew at each place."""
     n = F.greatest(F.col(nu), F.lit(2.5))
     q, scale = F.col(quantile), F.sqrt((n - 2) / n)
-    d = rows.withColumn(quantile, t_ppf(F.lit(1 - confidence), n))
+    d = rows.withColumn(quantile, t_quantile(1 - confidence, n))
     return d.withColumn(shortfall, -t_pdf(q, n) / (1 - confidence) * (n + q * q) / (n - 1) * scale).withColumn(quantile, q * scale)

@@ -223,6 +223,11 @@ def fit_many(windows: list[np.ndarray], student: bool = True, least: int = 100,
     return out
 
 
+def tasks(df: DataFrame) -> int:
+    """Tasks for few rows of much work: a number, as Spark would put rows so small in one task."""
+    return 4 * int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
 def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, window: int = 750, refit: int = 21, student: bool = True, at_once: int = 32) -> DataFrame:
     """Walk-forward forecasts: (keys, order, variance, nu, refit_at), each known before its row. A fit's parameters hold, and its variance
     runs on, up to the next point that could be fitted: a point whose window has too few returns or is constant keeps the last ones,
@@ -255,7 +260,7 @@ def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, w
         return pd.DataFrame(out, columns=[*keys, "__i", "start", "omega", "alpha", "beta", "nu"])
 
     schema = ", ".join([*(f"{k} {kinds[k]}" for k in keys), "__i int, start double, omega double, alpha double, beta double, nu double"])
-    fits = spread.groupBy(*keys, "__b").applyInPandas(fitted, schema)
+    fits = spread.repartition(tasks(df), *keys, "__b").groupBy(*keys, "__b").applyInPandas(fitted, schema)
     # each row's fit is the last one at or before it; a fit and its rows are one segment
     rows = d.join(fits, [*keys, "__i"], "left")
     rows = rows.withColumn("__fit", F.last(F.when(F.col("omega").isNotNull(), F.col("__i")), ignorenulls=True).over(series.upto())).filter("__fit IS NOT NULL")
@@ -270,7 +275,7 @@ def rolling_garch(df: DataFrame, series: Series, ret: str, min_obs: int = 250, w
 
 def garch_var(forecasts: DataFrame, confidence: float = 0.99) -> DataFrame:
     """VaR and ES of a scaled t with each row's own nu (of its refit: the constants are found once for each)."""
-    k = with_t_constants(forecasts.select("nu").distinct().filter("nu IS NOT NULL"), "nu", confidence, "__q", "__e")
+    k = with_t_constants(forecasts.select("nu").distinct().filter("nu IS NOT NULL").repartition(tasks(forecasts)), "nu", confidence, "__q", "__e")
     d = forecasts.join(k, "nu")
     return d.withColumns({"var": -F.col("__q") * F.sqrt("variance"), "es": -F.col("__e") * F.sqrt("variance")}).drop("__q", "__e")
 

@@ -34,9 +34,16 @@ def median_step(bars: DataFrame, series: Series, ts: str = "ts") -> DataFrame:
     return bars.withColumn("__g", gap).groupBy(*series.keys).agg(F.percentile("__g", F.lit(0.5)).cast("long").alias("step"))
 
 
+def later(at: Column, seconds: Column, kind: str) -> Column:
+    """A stamp of a type (date, timestamp, ...) so many seconds on; a date that isn't over by then becomes the next one, as nothing is known
+    before its time."""
+    room = F.when(F.lit(kind == "date"), F.lit(86_399)).otherwise(F.lit(0))
+    return (at.cast("timestamp") + F.make_dt_interval(secs=seconds + room)).cast(kind)
+
+
 def shifted_to_close(bars: DataFrame, series: Series, ts: str = "ts") -> DataFrame:
     """Bars stamped with the time at which they are complete: their stamp and the median step."""
-    return bars.join(median_step(bars, series, ts), list(series.keys)).withColumn(ts, (F.col(ts).cast("timestamp") + F.make_dt_interval(secs=F.col("step"))).cast(dict(bars.dtypes)[ts])).drop("step")
+    return bars.join(median_step(bars, series, ts), list(series.keys)).withColumn(ts, later(F.col(ts), F.col("step"), dict(bars.dtypes)[ts])).drop("step")
 
 
 def align_to(lower: DataFrame, higher: DataFrame, series: Series, values: list[str], ts: str = "ts") -> DataFrame:

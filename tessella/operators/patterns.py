@@ -12,7 +12,7 @@ from tessella.functions.ordering import Series, at_least, ratio
 from tessella.operators.barriers import numbered_bars
 from tessella.operators.choice import first_come, greedy, option
 from tessella.operators.ewm import atr, ema, ewma_sigma
-from tessella.operators.joins import align_to, asof, median_step, shifted_to_close, touches_zone
+from tessella.operators.joins import align_to, asof, later, median_step, shifted_to_close, touches_zone
 from tessella.operators.rolling import prior_extremes, session_vwap
 
 
@@ -303,7 +303,7 @@ def cascade_entries(fine: DataFrame, coarse: DataFrame, series: Series, cfg: Cas
     found = setups(coarse, series, cfg.lookback, zone_frame, every, cfg.retrace_window, cfg.near, cfg.far, lam=cfg.lam)
     names = F.filter(F.array(*[F.when(F.col("kind").isin(*s), F.lit(n)) for n, s in sets.items()]), lambda n: n.isNotNull())
     step = median_step(coarse, series, series.order[0])
-    known = (F.col("ts").cast("timestamp") + F.make_dt_interval(secs=F.col("step"))).cast(dict(coarse.dtypes)[series.order[0]])
+    known = later(F.col("ts"), F.col("step"), dict(coarse.dtypes)[series.order[0]])
     found = found.join(step, list(series.keys)).withColumns({"known_at": known, "kinds": F.explode(names)}).drop("bar", "ts", "step", "level")
     b = atr(fine, series, cfg.atr_period, "__unit") if cfg.stop_mode == "atr" else with_sigma(fine, series, cfg.lam).withColumnRenamed("sigma", "__unit")
     if bias_bars is not None:

@@ -190,7 +190,7 @@ walked AS (SELECT t.*, c.kind, 2 * q.cost / 1e4 * t.entry / abs(t.entry - t.stop
 CASCADE_SUMMARY_SQL = CASCADE_SQL + """,
 s AS (SELECT symbol, count(*) AS trades, avg((net_R > 0)::INT) AS w, avg((outcome = 'target')::INT) FILTER (outcome IN ('target', 'stop')) AS bw, avg(cost_R) AS c, avg((outcome = 'time')::INT) AS ts, avg(net_R) AS m FROM walked GROUP BY symbol),
 pr AS (SELECT symbol, outcome, abs(ln(entry / stop)) / (abs(ln(entry / stop)) + abs(ln(target / entry))) AS p FROM walked WHERE outcome IN ('target', 'stop')),
-z AS (SELECT symbol, avg(p) AS expected, (avg((outcome = 'target')::INT) - avg(p)) * count(*) / nullif(sqrt(sum(p * (1 - p))), 0) AS z FROM pr WHERE p IS NOT NULL GROUP BY symbol)
+z AS (SELECT symbol, avg(p) AS expected, (avg((outcome = 'target')::INT) - avg(p)) * count(*) / nullif(sqrt(sum(p * (1 - p))), 0) AS z FROM pr WHERE p IS NOT NULL AND NOT isnan(p) GROUP BY symbol)
 SELECT s.symbol, trades, round(w, 6) AS win_rate, round(bw, 6) AS barrier_win_rate, round((1 + c) / 4, 6) AS hurdle, round(bw - (1 + c) / 4, 6) AS gap, round(ts, 6) AS time_share, round(m, 6) AS "mean_net_R",
   round(expected, 6) AS expected, round(z, 6) AS z FROM s LEFT JOIN z USING (symbol)"""
 

@@ -10,6 +10,7 @@ from tessella.functions.ordering import Series
 from tessella.operators import barriers as T
 from tessella.operators import choice as X
 from tessella.operators import patterns as N
+from tessella.operators.joins import later
 
 S = Series(("symbol",), ("ts",))
 DAY = datetime(2024, 1, 1)
@@ -115,6 +116,13 @@ def test_entries_move_to_the_first_bar_that_closes_after_them(spark):
     assert sorted((r.n, r.bar) for r in N.on_walk_frame(e, bars, S).collect()) == [(0, 0), (1, 1), (3, 2)]
 
 
+def test_a_date_is_known_when_it_is_over(spark):
+    rows = spark.sql("SELECT DATE '2024-01-01' AS d, TIMESTAMP '2024-01-01 06:00:00' AS t, s FROM VALUES (0L), (86400L), (388800L), (388801L) v(s)")
+    got = rows.select("s", later(F.col("d"), F.col("s"), "date").cast("string"), later(F.col("t"), F.col("s"), "timestamp").cast("string")).orderBy("s").collect()
+    assert [r[1] for r in got] == ["2024-01-01", "2024-01-02", "2024-01-06", "2024-01-06"]  # four and a half days: the sixth
+    assert [r[2] for r in got][:3] == ["2024-01-01 06:00:00", "2024-01-02 06:00:00", "2024-01-05 18:00:00"]
+
+
 def test_a_cascade_refuses_senseless_settings():
     for wrong in ({"lookback": 2}, {"near": 0.0}, {"near": 0.5, "far": 0.4}, {"trigger_window": 0}, {"stop_sigma": 0}, {"stop_mode": "x"}, {"vwap_filter": "x"}, {"bias_span": 0}, {"atr_period": 1}):
         with pytest.raises(ValueError):
