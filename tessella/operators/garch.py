@@ -453,6 +453,22 @@ def monte_carlo_var(spark: SparkSession, returns: np.ndarray, method: str = "fhs
     return simulate(state, ["method"], horizons, confidence, paths, seed, blocks, resamples).drop("method")
 
 
+def null_bars(seed: list[int], bars: int, regime: str, sigma: float, alpha: float, beta: float, steps: int, start_price: float) -> pd.DataFrame:
+    """One path of driftless bars."""
+    rng = np.random.default_rng(seed)
+    shocks = rng.standard_normal((bars, steps)) / math.sqrt(steps)
+    s = np.full(bars, sigma)
+    if regime == "garch":
+        v, omega = sigma**2, sigma**2 * (1 - alpha - beta)
+        for t in range(bars):
+            s[t] = math.sqrt(v)
+            v = omega + alpha * (s[t] * shocks[t].sum()) ** 2 + beta * v
+    path = np.cumsum((shocks * s[:, None] - (s[:, None] ** 2) / (2 * steps)).ravel()).reshape(bars, steps)
+    before = np.concatenate([[0.0], path[:-1, -1]])
+    whole = np.column_stack([before, path])
+    return pd.DataFrame({"bar": np.arange(bars), "open": start_price * np.exp(before), "high": start_price * np.exp(whole.max(axis=1)), "low": start_price * np.exp(whole.min(axis=1)), "close": start_price * np.exp(path[:, -1])})
+
+
 def null_paths(spark: SparkSession, seeds: list[int], bars: int, regime: str = "garch", sigma: float = 3e-4, alpha: float = 0.08, beta: float = 0.90, steps: int = 10, start_price: float = 100.0) -> DataFrame:
     """Driftless OHLC bars (seed, bar, open, high, low, close) from `steps` steps each, of constant or GARCH variance; one row of
     work per seed, equal for equal seeds."""
@@ -460,23 +476,30 @@ def null_paths(spark: SparkSession, seeds: list[int], bars: int, regime: str = "
     def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for seed in b["seed"]:
-                rng = np.random.default_rng([7, int(seed)])
-                shocks = rng.standard_normal((bars, steps)) / math.sqrt(steps)
-                s = np.full(bars, sigma)
-                if regime == "garch":
-                    v, omega = sigma**2, sigma**2 * (1 - alpha - beta)
-                    for t in range(bars):
-                        s[t] = math.sqrt(v)
-                        v = omega + alpha * (s[t] * shocks[t].sum()) ** 2 + beta * v
-                path = np.cumsum((shocks * s[:, None] - (s[:, None] ** 2) / (2 * steps)).ravel()).reshape(bars, steps)
-                before = np.concatenate([[0.0], path[:-1, -1]])
-                whole = np.column_stack([before, path])
-                yield pd.DataFrame({"seed": seed, "bar": np.arange(bars), "open": start_price * np.exp(before), "high": start_price * np.exp(whole.max(axis=1)), "low": start_price * np.exp(whole.min(axis=1)), "close": start_price * np.exp(path[:, -1])})
+                yield null_bars([7, int(seed)], bars, regime, sigma, alpha, beta, steps, start_price).assign(seed=seed)[["seed", "bar", "open", "high", "low", "close"]]
 
     rows = spark.createDataFrame([(int(x),) for x in seeds], "seed long").repartition(len(seeds), "seed")
     return rows.mapInPandas(of, "seed long, bar long, open double, high double, low double, close double")
 
 
+def null_paths_like(bars: DataFrame, series: Series, paths: int = 4, close: str = "close", regime: str = "garch", alpha: float = 0.08, beta: float = 0.90, steps: int = 10) -> DataFrame:
+    """Driftless bars (symbol, path, bar, open, high, low, close) as many as each series has, of its own volatility and from its first close: what a
+    study of the series would find where there is nothing. The series has one key."""
+    (key,) = series.keys
+    kind = dict(bars.dtypes)[key]
+    d = bars.withColumn("__r", F.ln(F.col(close) / series.lag(close)))
+    known = d.groupBy(key).agg(F.count(F.lit(1)).alias("bars"), F.stddev_samp("__r").alias("sigma"), F.min_by(close, series.order[0]).alias("first")).filter("sigma > 0")
+    work = known.withColumns({"path": F.explode(F.sequence(F.lit(0), F.lit(paths - 1))), "of": F.crc32(F.col(key).cast("string"))}).repartition(tasks(bars), key, "path")
+
+    def of(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            for x in b.to_dict("records"):
+                made = null_bars([7, int(x["of"]), int(x["path"])], int(x["bars"]), regime, x["sigma"], alpha, beta, steps, x["first"])
+                yield made.assign(**{key: x[key], "path": x["path"]})[[key, "path", "bar", "open", "high", "low", "close"]]
+
+    return work.mapInPandas(of, f"{key} {kind}, path int, bar long, open double, high double, low double, close double")
+
+
 def demo_panel(spark: SparkSession, days: int = 3000, assets: int = 3, seed: int = 1) -> DataFrame:
     """(day, asset, ret): a common t(6) GARCH factor times 0.7 and noise of 0.4 % each."""
 

@@ -438,14 +438,6 @@ terms AS (SELECT q.symbol, q.horizon, q.n AS paths, -q.q AS var, -es.es AS es, s
 SELECT symbol, horizon, paths, round(var, 8) AS var, round(es, 8) AS es, round(se, 8) AS stderr, round(var - 1.96 * se, 8) AS low, round(var + 1.96 * se, 8) AS high, round(st, 8) AS sqrt_time, round(var / nullif(st, 0), 6) AS ratio_sqrt_time FROM terms"""
 
 
-def null_paths(spark: SparkSession, sf: str) -> DataFrame:
-    return G.null_paths(spark, [1, 2, 3, 4], 2000)
-
-
-def demo_panel(spark: SparkSession, sf: str) -> DataFrame:
-    return G.demo_panel(spark, 1000)
-
-
 def monthly_trend(spark: SparkSession, sf: str) -> DataFrame:
     t = strategy(spark, sf).filter("position <> 0").select("symbol", F.trunc("date", "month").alias("month"), F.col("position").alias("side"), F.col("net").alias("net_R"))
     return S.monthly_trend_gap(t, B.monthly_returns(daily(spark, sf))).select("n_cells", r("corr").alias("corr"), r("slope").alias("slope"), r("intercept").alias("intercept"))
@@ -502,6 +494,4 @@ QUERIES = {
     "monte_carlo_var": (monte_carlo_var, None),
     "monte_carlo_methods": (monte_carlo_methods, None),
     "bootstrap_var": (bootstrap_var, f"WITH {BOOT_SQL}"),
-    "null_paths": (null_paths, None),
-    "demo_panel": (demo_panel, None),
 }

@@ -541,13 +541,12 @@ SELECT symbol, strftime(e.ts, '%Y-%m-%d %H:%M:%S') AS ts, coalesce(sign(round(em
 
 
 def null_benchmark(spark: SparkSession, sf: str) -> DataFrame:
-    """Driftless bars, a walk on each path, and the pooled z of all: near 0 if the walk is fair."""
-    s = Series(("seed",), ("bar",))
-    b = G.null_paths(spark, list(range(8)), 3000).withColumn("at", F.col("bar"))
-    d = N.with_sigma(b, s).withColumn("signal", F.coalesce(F.signum(s.lag("lr")), F.lit(0.0))).drop("bar").withColumnRenamed("at", "bar")
-    own = Series(("seed",), ("ord",))
-    trades = T.walk(d.withColumnRenamed("bar", "ord"), own, T.Barriers(1.0, 1.0, 40, 0.0))
-    return T.touch_benchmark(trades, ("seed",))
+    """Driftless bars as many and as volatile as each symbol's daily ones, a walk on each path, and the z against the touch chances:
+    near 0 if the walk is fair."""
+    own = Series(("symbol", "path"), ("ord",))
+    b = G.null_paths_like(logs(spark, sf), DAILY).withColumnRenamed("bar", "ord")
+    d = N.with_sigma(b, own).withColumn("signal", F.coalesce(F.signum(own.lag("lr")), F.lit(0.0)))
+    return T.touch_benchmark(T.walk(d, own, T.Barriers(1.0, 1.0, 40, 0.0)), KEY)
 
 
 QUERIES = {

@@ -60,3 +60,22 @@ def test_simulated_risk_grows_below_linearly_and_its_error_falls_with_paths(spar
         assert many[m, 1].stderr < few[m, 1].stderr and many[m, 1].low < many[m, 1]["var"] < many[m, 1].high
         assert many[m, 1].ratio_sqrt_time == 1 and many[m, 10].sqrt_time == pytest.approx(many[m, 1]["var"] * math.sqrt(10))
         assert many[m, 1].es >= many[m, 1]["var"]
+
+
+def test_null_paths_are_like_their_series(spark):
+    rng = np.random.default_rng(4)
+    rows = []
+    for symbol, n, sd in (("a", 400, 0.01), ("b", 250, 0.03)):
+        price = 50.0
+        for k in range(n):
+            price *= math.exp(rng.normal(0, sd))
+            rows.append((symbol, k, price))
+    rows.append(("c", 0, 1.0))  # one bar has no volatility
+    d = spark.createDataFrame(rows, "symbol string, date int, close double")
+    made, again = (sorted(map(tuple, G.null_paths_like(d, S, 2).collect())) for _ in range(2))
+    assert made == again and {(r[0], r[1]) for r in made} == {("a", 0), ("a", 1), ("b", 0), ("b", 1)}
+    for symbol, n, sd in (("a", 400, 0.01), ("b", 250, 0.03)):
+        own = [r for r in made if r[0] == symbol and r[1] == 0]
+        assert len(own) == n and own[0][3] == pytest.approx(next(x[2] for x in rows if x[0] == symbol))
+        assert all(r[5] <= min(r[3], r[6]) and r[4] >= max(r[3], r[6]) for r in own)
+        assert np.std(np.diff(np.log([r[6] for r in own]))) == pytest.approx(sd, rel=0.25)
