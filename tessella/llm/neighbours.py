@@ -172,11 +172,18 @@ class Neighbours:
         rows = self.valid(df, vec, vec_id)
         units = self.units(rows)
         total = units.count()
-        sample = sampled(units, F.col("unit"), SAMPLE_ROWS, total).select("vec").toArrow()["vec"]
-        size = len(sample[0]) if len(sample) else 1
-        directions = np.random.default_rng(self.seed).standard_normal((size, self.dimensions))
+        head = units.select(F.size("vec").alias("size")).first()
+        directions = np.random.default_rng(self.seed).standard_normal((head["size"] if head else 1, self.dimensions))
         wanted = min(MOST_CELLS, -(-total // self.cell_rows))
-        points = matrix(sample) @ directions if len(sample) else np.zeros((0, self.dimensions))
+
+        def projections(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in (matrix(b.column("vec")) @ directions).T], names=axes)
+
+        # the sample comes projected, so that it is as small for long vectors as for short ones
+        axes = [f"p{k}" for k in range(self.dimensions)]
+        sample = sampled(units, F.col("unit"), SAMPLE_ROWS, total).select("vec").mapInArrow(projections, struct_of(**{a: T.DoubleType() for a in axes})).toArrow()
+        points = np.column_stack([sample[a].to_numpy() for a in axes])
         tree = KdTree(points, max(1, -(-len(points) // max(1, wanted)))).ready()
         n_cells = len(tree.ends) - 1
 
