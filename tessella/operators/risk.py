@@ -154,14 +154,16 @@ def christoffersen() -> Column:
     return F.when((a + b == 0) | (c + d == 0) | (b + d == 0) | (p == 1), F.lit(0.0)).otherwise(F.greatest(-2 * (null - free), F.lit(0.0)))
 
 
+# The coefficients of the Chebyshev fit to erfc.
+ERFC = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
+
+
 def chi2_sf1(x: Column) -> Column:
     """The upper tail of chi-squared with one degree of freedom: erfc(sqrt(x / 2)), by a rational fit good to 1.2e-7."""
-    # The coefficients of the Chebyshev fit to erfc.
-    coefficients = (-1.26551223, 1.00002368, 0.37409196, 0.09678418, -0.18628806, 0.27886807, -1.13520398, 1.48851587, -0.82215223, 0.17087277)
     z = F.sqrt(x / 2)
     t = 1 / (1 + z / 2)
-    poly = F.lit(coefficients[-1])
-    for c in coefficients[-2::-1]:
+    poly = F.lit(ERFC[-1])
+    for c in ERFC[-2::-1]:
         poly = F.lit(c) + t * poly
     return t * F.exp(-z * z + poly)
 

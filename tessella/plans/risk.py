@@ -238,6 +238,29 @@ def model_comparison(spark: SparkSession, sf: str) -> DataFrame:
     return d.select("model", "symbol", "n_obs", "n_breaches", r("kupiec", 5).alias("kupiec"), r("kupiec_p", 5).alias("kupiec_p"), r("lopez_loss", 5).alias("lopez_loss"), "basel_zone", "basel_multiplier", "passed")
 
 
+def chi2_sql(x: str) -> str:
+    """The upper tail of chi-squared with one degree of freedom, by the same fit."""
+    z = f"sqrt({x} / 2)"
+    t, poly = f"(1 / (1 + {z} / 2))", repr(K.ERFC[-1])
+    for c in K.ERFC[-2::-1]:
+        poly = f"({c!r}::DOUBLE + {t} * {poly})"
+    return f"{t} * exp(-{z} * {z} + {poly})"
+
+
+ONE = f"{1 - 0.99!r}::DOUBLE"
+MODELS_SQL = RETURNS_SQL + f""", est AS (SELECT 'historical' AS model, symbol, date, ret, CASE WHEN count(ret) OVER p >= 250 THEN -quantile_cont(ret, {ONE}) OVER p END AS var FROM rets WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)
+  UNION ALL SELECT 'normal', symbol, date, ret, CASE WHEN count(ret) OVER p >= 250 THEN -(avg(ret) OVER p + {Z99!r}::DOUBLE * stddev_samp(ret) OVER p) END FROM rets WINDOW p AS (PARTITION BY symbol ORDER BY date ROWS BETWEEN 250 PRECEDING AND 1 PRECEDING)),
+b AS (SELECT *, (-ret > var)::INT AS b FROM est WHERE ret IS NOT NULL AND var IS NOT NULL), bp AS (SELECT *, lag(b) OVER (PARTITION BY model, symbol ORDER BY date) AS p FROM b),
+c AS (SELECT model, symbol, count(*) AS n, sum(b)::DOUBLE AS x, count(*) FILTER (p = 0 AND b = 0) AS n00, count(*) FILTER (p = 0 AND b = 1) AS n01, count(*) FILTER (p = 1 AND b = 0) AS n10, count(*) FILTER (p = 1 AND b = 1) AS n11,
+  coalesce(sum(1 + pow((-ret - var) * 100, 2)) FILTER (b = 1), 0) AS ll FROM bp GROUP BY model, symbol HAVING count(*) >= 100),
+k AS (SELECT *, CASE WHEN x = 0 THEN -2 * n * ln(1 - {ONE}) WHEN x = n THEN -2 * n * ln({ONE}) ELSE greatest(0, -2 * ((n - x) * ln(1 - {ONE}) + x * ln({ONE}) - (n - x) * {safe_log("1 - x / n")} - x * {safe_log("x / n")})) END AS kup,
+  n01 / nullif(n00 + n01, 0) AS p01, n11 / nullif(n10 + n11, 0) AS p11, (n01 + n11) / nullif(n00 + n01 + n10 + n11, 0) AS p, 250.0::DOUBLE * x / n AS y FROM c),
+i AS (SELECT *, CASE WHEN n00 + n01 = 0 OR n10 + n11 = 0 OR n01 + n11 = 0 OR p = 1 THEN 0 ELSE greatest(0, -2 * ((n00 + n10) * {safe_log("1 - p")} + (n01 + n11) * {safe_log("p")} - n00 * {safe_log("1 - p01")} - n01 * {safe_log("p01")} - n10 * {safe_log("1 - p11")} - n11 * {safe_log("p11")})) END AS ind FROM k)
+SELECT model, symbol, n AS n_obs, x::BIGINT AS n_breaches, round(kup, 5) AS kupiec, round({chi2_sql("kup")}, 5) AS kupiec_p, round(ll, 5) AS lopez_loss, CASE WHEN y < 5 THEN 'green' WHEN y < 10 THEN 'amber' ELSE 'red' END AS basel_zone,
+  CASE WHEN y < 5 THEN 3.0 WHEN y < 6 THEN 3.4 WHEN y < 7 THEN 3.5 WHEN y < 8 THEN 3.65 WHEN y < 9 THEN 3.75 WHEN y < 10 THEN 3.85 ELSE 4.0 END::DOUBLE AS basel_multiplier,
+  {chi2_sql("kup")} > 0.05 AND CASE WHEN ind > 0 THEN {chi2_sql("ind")} ELSE 1 END > 0.05 AS passed FROM i"""
+
+
 def scenario_replay(spark: SparkSession, sf: str) -> DataFrame:
     d = S.replay(panel(spark, sf), weights(spark), scenarios(spark))
     return d.select("key", *[r(c, 8).alias(c) for c in ("total_return", "worst_day", "volatility", "max_drawdown", "coverage")], day("worst_date"), "n_days", "missing")
@@ -468,7 +491,7 @@ QUERIES = {
     "portfolio_var": (portfolio_var, f"WITH {COV_SQL}, {WEIGHTS_SQL}, v AS (SELECT sum(a.weight * b.weight * value) AS v FROM full_cov JOIN weights a ON a.asset = asset_i JOIN weights b ON b.asset = asset_j) SELECT round(v, 12) AS variance, round({-Z99!r} * sqrt(v), 8) AS var, round({ESNORM!r} * sqrt(v), 8) AS es FROM v"),
     "component_var": (component_var, f"WITH {COMPONENT_SQL}"),
     "var_backtest_stats": (var_backtest, f"WITH {BT_SQL}"),
-    "model_comparison": (model_comparison, None),
+    "model_comparison": (model_comparison, f"WITH {MODELS_SQL}"),
     "scenario_replay": (scenario_replay, f"WITH {SCEN_SQL} SELECT key, round(total_return, 8) AS total_return, round(worst_day, 8) AS worst_day, round(vol, 8) AS volatility, round(mdd, 8) AS max_drawdown, 1.0::DOUBLE AS coverage, CAST(worst_date AS VARCHAR) AS worst_date, n_days, '' AS missing FROM res"),
     "stress_vs_var": (stress_vs_var, f"WITH {SCEN_SQL} SELECT key, round(-worst_day / 0.01, 8) AS multiple, -worst_day > 0.01 AS breach FROM res"),
     "hypothetical_shock": (hypothetical_shock, f"WITH {PANEL_SQL}, {WEIGHTS_SQL} SELECT round(sum(weight * CASE asset WHEN '1-URGENT' THEN -0.05 WHEN '3-MEDIUM' THEN 0.02 ELSE 0 END)::DOUBLE, 8) AS loss FROM weights WHERE asset IN (SELECT asset FROM panel)"),
