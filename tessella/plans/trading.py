@@ -19,6 +19,7 @@ from tessella.operators import research as Q
 from tessella.operators import rolling as R
 from tessella.plans.base import DAILY, DAILY_SQL, HOURLY, HOURLY_SQL, daily, hourly
 from tessella.plans.market import AT, GAP_SQL, RESEARCH_SQL, ZONE, D, day, ewm_sql, features, gaps, r, sessions, stamp
+from tessella.sources.stage import staged
 
 KEY = ("symbol",)
 
@@ -374,7 +375,7 @@ def configs(spark: SparkSession, sf: str) -> DataFrame:
     for name, cfg in GEOMETRIES.items():
         t = T.walk(signal_bars(spark, sf), DAILY, cfg).select(F.lit(name).alias("config"), "symbol", F.col("date").alias("entry_time"), "unit_net_R")
         out = t if out is None else out.unionByName(t)
-    return out
+    return staged(out, "configs")
 
 
 FOLDS = C.make_folds(date(1995, 1, 1), date(2001, 8, 1), 18, 6)
