@@ -95,6 +95,43 @@ def test_threshold_is_the_cheapest():
     assert QR.threshold_of(good, good[:0], 5.0) > good.max() and QR.threshold_of(good[:0], bad, 5.0) is None
 
 
+def test_cheapest_cut_of_a_table(spark):
+    rng = np.random.default_rng(6)
+    for good, bad in ((rng.normal(0.4, 0.05, 900), rng.normal(0.5, 0.05, 500)), (rng.integers(0, 9, 60) / 8, rng.integers(0, 9, 40) / 8), (rng.random(5), rng.random(0)), (rng.random(0), rng.random(5))):
+        table = spark.createDataFrame([(float(min(max(s, 0), 1)), g) for g, part in ((True, good), (False, bad)) for s in part], "score double, good boolean")
+        want = QR.threshold_of(np.clip(good, 0, 1), np.clip(bad, 0, 1), 5.0)
+        assert QR.cheapest_cut(table.repartition(5), 5.0) == (want if want is None else pytest.approx(want, abs=1e-12))
+
+
+def test_all_labelled_rows_are_fitted_and_calibrated_on(spark, monkeypatch):
+    """Every tree holds each good row that passes the base rules, the threshold is that of all labelled rows, and neither depends on
+    how rows are dealt."""
+    docs = spark.range(21_000).selectExpr(
+        "id AS doc_id",
+        "CASE WHEN id % 100 = 7 THEN 'too short' ELSE array_join(transform(sequence(1, cast(50 + id % 30 AS int)), i -> substr(md5(concat(id, '-', i)), 1, cast(1 + (id * 7 + i * i) % (3 + id % 9) AS int))), if(id % 10 = 3, '! ', ' ')) END AS text",
+    )
+    labels = docs.selectExpr("doc_id", "int(doc_id % 10 <> 3) AS quality")
+    seen, cut = [], QR.cheapest_cut
+    monkeypatch.setattr(QR, "cheapest_cut", lambda scores, weight: seen.append(scores.toPandas()) or cut(scores, weight))
+    forest = QR.QualityRules().fit(docs, labels).forest
+    rows = [(r.doc_id % 10 != 3, QR.statistics(r.text)) for r in docs.collect()]
+    rows = [(good, x) for good, (base, x) in rows if base[0] >= 50 and 100 * base[4] <= 50 * base[0]]
+    x = np.array([x for good, x in rows if good])
+    assert len(rows) > 20_000 and forest.expected == pytest.approx(float(QR.expected_path(len(x))))
+    for f, v in zip(forest.feature, forest.value, strict=True):
+        at = np.zeros(len(x), dtype=int)
+        for _ in range(forest.depth):
+            at = np.where(f[at] >= 0, 2 * at + 1 + (x[np.arange(len(x)), np.maximum(f[at], 0)] >= v[at]), at)
+        spot, held = np.unique(at, return_counts=True)
+        assert v[spot] == pytest.approx(np.floor(np.log2(spot + 1)) + QR.expected_path(held))
+    (scores,) = seen
+    assert Counter(scores["good"]) == Counter(good for good, _ in rows)
+    assert forest.threshold == pytest.approx(QR.threshold_of(scores["score"][scores["good"]].to_numpy(), scores["score"][~scores["good"]].to_numpy(), 5.0), abs=1e-12)
+    few = docs.filter("doc_id < 500")
+    one, other = (QR.QualityRules().fit(few.repartition(n), labels.repartition(n)).forest for n in (1, 7))
+    assert (one.feature == other.feature).all() and (one.value == other.value).all() and one.threshold == other.threshold
+
+
 def test_forest_on_unseen_labels(spark):
     """Error rates among rows that pass the base rules, on the half of the labels that is not fitted, both ways."""
     docs, labels = table(spark, "/root/testdata/sf0.1"), table(spark, "/root/testdata/sf0.1", "labels")
